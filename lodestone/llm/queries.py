@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import common, url_digest
+from pyspark.sql import functions as F
+
+from lodestone.llm import common, language_mixture, url_digest
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -14,8 +16,16 @@ def op4_url_digest(spark, sf_dir):
     return url_digest.url_filter(common.table(spark, sf_dir, "pages"))
 
 
+def op5_language_mixture(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    model = language_mixture.train(docs.where(~language_mixture.is_held_out(F.col("doc_id"))))
+    found = language_mixture.identify(docs, model)
+    return found.select("doc_id", language_mixture.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_url_digest": op4_url_digest,
+    "op5_language_mixture": op5_language_mixture,
 }
 ORACLES = {"op4_url_digest": url_digest.oracle()}
