@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, url_digest
+from lodestone.llm import common, language_mixture, pii_crf, url_digest
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -23,9 +23,14 @@ def op5_language_mixture(spark, sf_dir):
     return found.select("doc_id", language_mixture.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_pii_crf(spark, sf_dir):
+    return pii_crf.digest(pii_crf.find_pii(common.table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_url_digest": op4_url_digest,
     "op5_language_mixture": op5_language_mixture,
+    "op10_pii_crf": op10_pii_crf,
 }
 ORACLES = {"op4_url_digest": url_digest.oracle()}
