@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -387,10 +387,13 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts by base kind, the hash of the base spans, and all spans as one string."""
     as_text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(kind) for kind in BASE_KINDS],
         F.sha2(F.concat_ws(",", F.transform(base, as_text)).cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("spans", as_text)).alias("spans"),
     )
