@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, pii_crf, url_digest
+from lodestone.llm import common, language_mixture, pii_crf, simhash_pivot, url_digest
 from lodestone.llm.compression_bands import compression_bands
 
 
+def op1_simhash_pivot(spark, sf_dir):
+    return simhash_pivot.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark, sf_dir):
     return compression_bands(common.table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_pii_crf(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash_pivot": op1_simhash_pivot,
     "op3_compression_bands": op3_compression_bands,
     "op4_url_digest": op4_url_digest,
     "op5_language_mixture": op5_language_mixture,
