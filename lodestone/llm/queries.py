@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, pii_crf, simhash_pivot, url_digest
+from lodestone.llm import common, language_mixture, pii_crf, simhash_pivot, string_tiling, url_digest
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -27,6 +27,11 @@ def op5_language_mixture(spark, sf_dir):
     return found.select("doc_id", language_mixture.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_string_tiling(spark, sf_dir):
+    found = string_tiling.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "longest")
+
+
 def op10_pii_crf(spark, sf_dir):
     return pii_crf.digest(pii_crf.find_pii(common.table(spark, sf_dir, "documents")))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op3_compression_bands": op3_compression_bands,
     "op4_url_digest": op4_url_digest,
     "op5_language_mixture": op5_language_mixture,
+    "op6_string_tiling": op6_string_tiling,
     "op10_pii_crf": op10_pii_crf,
 }
 ORACLES = {"op4_url_digest": url_digest.oracle()}
