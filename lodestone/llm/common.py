@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: Texts that a Python worker handles at once, by rows and by bytes of text.
-SLICE_ROWS, SLICE_BYTES = 2_000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
+
+#: Arrow batches sent to Python workers, where the session has Spark's own defaults.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,9 @@ def ship(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    for key, value in ARROW_BATCHES.items():
+        if spark.conf.get(key, None) in (None, "10000", "-1", "67108864", "64MB"):
+            spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -42,8 +42,8 @@ END_ID = 2
 PARTS = 4096
 MOST_SOURCES = 10_000
 SLOT_DOCS = 20_000
-#: Words and ids that a worker remembers from batch to batch.
-CACHE_WORDS, CACHE_IDS = 600_000, 1 << 23
+#: Distinct runs of letters or signs that a worker remembers from task to task.
+CACHE_WORDS = 400_000
 EXPAND_AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -56,10 +56,12 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of texts. The tokenizer drops white space and never joins what it parts, so words are encoded once each.
+    """Token ids of texts, each distinct run of letters or signs encoded once.
 
-    It also lower-cases, and parts letters from signs: a word of Latin letters and signs after them
-    is made of the ids of its lower-cased letters and those of its signs.
+    The tokenizer drops white space, lower-cases, and parts letters, digits and signs before it
+    merges anything. For texts of ASCII and Latin letters the same parts are found here, and only
+    parts that are not yet known go to the tokenizer, many in one call: every part ends in a token
+    that closes a word, which tells them apart. Any other text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -73,82 +75,52 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the memory of words."""
+        """Empties the memory of parts."""
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _add(self, word: str, ids: array) -> None:
-        self.known[word] = len(self.known)
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-
-    def _of(self, word: str) -> array:
-        at = self.known[word]
-        return self.ids[self.ends[at] : self.ends[at + 1]]
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """Words of letters, each a single run that ends in a closing token: many in one call."""
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2_000):
+            some = parts[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                self._learn_any(part)
-                continue
+            if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
+                each = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                ids, ends = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
             used = len(self.ids)
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
             self.ids.frombytes(ids.tobytes())
             self.ends.frombytes((used + ends).astype(np.int64).tobytes())
 
-    def _learn_any(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._add(word, array("I", found.ids))
-
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
-        parts = [(w, m.group(1).lower(), m.group(2)) for w in words if (m := _PLAIN.fullmatch(w))]
-        plain = {w for w, _, _ in parts}
-        self._learn_letters(list(dict.fromkeys(core for _, core, _ in parts if core not in known)))
-        odd = dict.fromkeys(w for w in words if w not in plain)
-        odd.update(dict.fromkeys(tail for _, _, tail in parts if tail))
-        self._learn_any([w for w in odd if w not in known])
-        for word, core, tail in parts:
-            if word not in known:
-                self._add(word, self._of(core) + self._of(tail) if tail else self._of(core))
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without end ids."""
-        if len(self.known) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+        if len(self.known) > CACHE_WORDS:
             self.forget()
-        split = [[] if _odd_space(t) else t.split() for t in texts]
-        words = list(chain.from_iterable(split))
+        whole = {i for i, t in enumerate(texts) if _UNUSUAL.search(t) or "<|" in t}
+        split = [[] if i in whole else _PARTS.findall(t.lower()) for i, t in enumerate(texts)]
         known = self.known.get
-        number = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
+        number = np.fromiter((known(w, -1) for parts in split for w in parts), np.int64, sum(map(len, split)))
         if len(unknown := np.flatnonzero(number < 0)):
-            self._learn(list(dict.fromkeys(words[i] for i in unknown)))
-            number[unknown] = [self.known[words[i]] for i in unknown]
+            every = list(chain.from_iterable(split))
+            missing = [every[i] for i in unknown]
+            self._learn(list(dict.fromkeys(missing)))
+            number[unknown] = [self.known[w] for w in missing]
         ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         starts, sizes = ends[number], ends[number + 1] - ends[number]
         reached = np.cumsum(sizes)
-        flat = ids[np.repeat(starts - reached + sizes, sizes) + np.arange(reached[-1] if len(words) else 0)]
+        flat = ids[np.repeat(starts - reached + sizes, sizes) + np.arange(reached[-1] if len(number) else 0)]
         del ids, ends
         cuts = np.append(0, reached)[np.cumsum([len(x) for x in split], dtype=np.int64)]
         out = np.split(flat, cuts[:-1]) if texts else []
-        for i, text in enumerate(texts):
-            if _odd_space(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
-def _odd_space(text: str) -> bool:
-    """Whether it holds one of the four characters that Python takes for white space and the tokenizer does not."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-
-
-#: Latin letters whose lower case is one letter, then ASCII signs other than the apostrophe.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts with any of these are encoded whole: all but white space, ASCII signs and Latin letters with a lower case of one letter.
+_UNUSUAL = re.compile(r"[^\t-\r\x20-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: Fixed value: the tokenizer's own parts, for such texts.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 @lru_cache(maxsize=1)
