@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, url_digest
+from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, url_digest, weak_labels
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -32,6 +32,13 @@ def op6_string_tiling(spark, sf_dir):
     return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "longest")
 
 
+def op7_weak_labels(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    _, scorer = weak_labels.train(docs, common.table(spark, sf_dir, "labels"))
+    found = weak_labels.score(docs, scorer)
+    return found.select("doc_id", F.round("quality", 6).alias("quality"), F.round("toxicity", 6).alias("toxicity"), "kept")
+
+
 def op8_mixture_packing(spark, sf_dir):
     return mixture_packing.pack(common.table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,7 @@ QUERIES = {
     "op4_url_digest": op4_url_digest,
     "op5_language_mixture": op5_language_mixture,
     "op6_string_tiling": op6_string_tiling,
+    "op7_weak_labels": op7_weak_labels,
     "op8_mixture_packing": op8_mixture_packing,
     "op10_pii_crf": op10_pii_crf,
 }
