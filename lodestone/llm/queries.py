@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, url_digest, weak_labels
+from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, trie_counts, url_digest, weak_labels
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -43,6 +43,10 @@ def op8_mixture_packing(spark, sf_dir):
     return mixture_packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op9_trie_counts(spark, sf_dir):
+    return trie_counts.token_counts(common.table(spark, sf_dir, "documents"))
+
+
 def op10_pii_crf(spark, sf_dir):
     return pii_crf.digest(pii_crf.find_pii(common.table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_string_tiling": op6_string_tiling,
     "op7_weak_labels": op7_weak_labels,
     "op8_mixture_packing": op8_mixture_packing,
+    "op9_trie_counts": op9_trie_counts,
     "op10_pii_crf": op10_pii_crf,
 }
 ORACLES = {"op4_url_digest": url_digest.oracle()}
