@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, trie_counts, url_digest, weak_labels
+from lodestone.llm import common, language_mixture, mixture_packing, pii_crf, simhash_pivot, string_tiling, suffix_columns, trie_counts, url_digest, weak_labels
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -12,6 +12,11 @@ def op1_simhash_pivot(spark, sf_dir):
     return simhash_pivot.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_columns(spark, sf_dir):
+    found = suffix_columns.remove_repeats(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_compression_bands(spark, sf_dir):
     return compression_bands(common.table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_pii_crf(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash_pivot": op1_simhash_pivot,
+    "op2_suffix_columns": op2_suffix_columns,
     "op3_compression_bands": op3_compression_bands,
     "op4_url_digest": op4_url_digest,
     "op5_language_mixture": op5_language_mixture,
