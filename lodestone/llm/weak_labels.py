@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 10_000
 DIMENSIONS = 1 << 18
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (4, 5, 6, 7)
 CACHE_WORDS = 400_000
 #: Standard errors by which a feature must tell good from bad documents to be used.
 LEAST_Z = 5.0
 N_BINS = 8
+DOCS_AT_ONCE = 500
 #: Distinct words up to which each counts in full.
 PLAIN_WORDS = 150
 TASKS = ("quality", "toxicity")
@@ -217,11 +218,15 @@ class Scorer:
     bias: np.ndarray
 
 
-def telling(flat: np.ndarray, doc: np.ndarray, good: np.ndarray, weight: np.ndarray, least: float = LEAST_Z) -> np.ndarray:
-    """Features whose share among good documents and among bad ones differ by ``least`` standard errors."""
-    n = int(flat.max()) + 1 if len(flat) else 0
+def telling(features: list[np.ndarray], good: np.ndarray, weight: np.ndarray, least: float = LEAST_Z) -> np.ndarray:
+    """Mask of the features whose share among good documents and among bad ones differ by ``least`` standard errors."""
     sizes = np.array([((1 - good) * weight).sum(), (good * weight).sum()])
-    counts = np.stack([np.bincount(flat, weights=(w * weight)[doc], minlength=n) for w in (1 - good, good)])
+    counts = np.zeros((2, DIMENSIONS))
+    for at in range(0, len(features), DOCS_AT_ONCE):
+        some = features[at : at + DOCS_AT_ONCE]
+        flat, doc = np.concatenate([f[1:] for f in some]), np.repeat(np.arange(at, at + len(some)), [len(f) - 1 for f in some])
+        for row, share in zip(counts, (1 - good, good), strict=True):
+            row += np.bincount(flat, weights=(share * weight)[doc], minlength=DIMENSIONS)
     shares = counts / np.maximum(sizes, 1)[:, None]
     pooled = counts.sum(0) / max(1.0, sizes.sum())
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / np.maximum(sizes, 1)).sum())
@@ -229,19 +234,25 @@ def telling(flat: np.ndarray, doc: np.ndarray, good: np.ndarray, weight: np.ndar
 
 
 def fit_scorer(features: list[np.ndarray], targets: np.ndarray, known: np.ndarray, rounds: int = 300, ridge: float = 3e-4) -> Scorer:
-    """Logistic regression, over the telling features, on soft targets [documents, tasks] where ``known``."""
+    """Logistic regression, over the telling features, on soft targets [documents, tasks] where ``known``.
+
+    ``features``: arrays of ``document_features``. They are gone through in portions, so that the
+    driver needs little more than the arrays themselves.
+    """
     tasks = targets.shape[1]
     weights, bias = np.zeros((DIMENSIONS, tasks), np.float32), np.zeros(tasks)
-    if not features:
-        return Scorer(weights, bias)
-    all_doc = np.repeat(np.arange(len(features)), [len(f) - 1 for f in features])
-    value = np.concatenate([np.append(np.full(len(f) - 1 - N_BINS, word_scale(f[0])), np.ones(N_BINS)) for f in features])
-    all_used, all_flat = np.unique(np.concatenate([f[1:] for f in features]), return_inverse=True)
-    for t in range(tasks):
+    for t in range(tasks if features else 0):
         good, weight = targets[:, t], known[:, t].astype(float)
-        chosen = telling(all_flat, all_doc, good, weight)
-        used, entries = all_used[chosen], chosen[all_flat]
-        flat, doc, own = (np.cumsum(chosen) - 1)[all_flat[entries]], all_doc[entries], value[entries]
+        chosen = telling(features, good, weight)
+        used, number = np.flatnonzero(chosen), np.cumsum(chosen) - 1
+        kept, docs, values = [], [], []
+        for i, f in enumerate(features):
+            live = chosen[f[1:]]
+            value = np.append(np.full(len(f) - 1 - N_BINS, word_scale(int(f[0]))), np.ones(N_BINS))
+            kept.append(number[f[1:][live]])
+            docs.append(np.full(len(kept[-1]), i))
+            values.append(value[live])
+        flat, doc, own = np.concatenate(kept), np.concatenate(docs), np.concatenate(values)
         weight /= max(1.0, weight.sum())
         w, b = np.zeros(len(used)), 0.0
         first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -269,7 +280,7 @@ def _sampled(docs: DataFrame, labelled: DataFrame) -> tuple[list[np.ndarray], np
     drawn = common.only(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "q", "t", "q_known", "t_known")
     table = drawn.mapInArrow(rows, "features binary, q double, t double, q_known boolean, t_known boolean").collect()
     return (
-        [np.frombuffer(r["features"], np.uint32).astype(np.int64) for r in table],
+        [np.frombuffer(r["features"], np.uint32) for r in table],
         np.array([[r["q"], r["t"]] for r in table]).reshape(-1, 2),
         np.array([[r["q_known"], r["t_known"]] for r in table], bool).reshape(-1, 2),
     )
