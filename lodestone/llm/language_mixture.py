@@ -33,6 +33,8 @@ TRAIN_DOCS = 20_000
 #: Labels told apart at most; each costs every executor 256 KB.
 MOST_LANGUAGES = 1_000
 BLOCK = 4_096
+#: Share of a text that its main language has at least, where documents are rejected.
+LEAST_SCORE = 0.3
 _SPACE = 32
 _FOLD = np.full(256, _SPACE, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -212,3 +214,15 @@ def identify(docs: DataFrame, model: LanguageModel, mixing: Mixing = Mixing()) -
             )
 
     return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double, shares map<string,double>")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = LEAST_SCORE, mixing: Mixing = Mixing()) -> DataFrame:
+    """The same rows and columns without documents that have no letter, or no language with ``least_score`` of the text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.text_slices(batches):
+            shares = mixtures(model, common.utf8(batch.column("text")), mixing)
+            kept = [bool(s.any()) and s.max() >= least_score and has_letter(t) for t, s in zip(batch.column("text").to_pylist(), shares, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import common
@@ -20,9 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {name: bound(build) for name, build in QUERIES.items()}
+    return {name: bound(build) for name, build in {**QUERIES, "pipeline": corpus_pipeline.run}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB statement of every query here that SQL can express."""
-    return dict(ORACLES)
+    return dict(ORACLES) if corpus_pipeline.ORACLE_SQL is None else {**ORACLES, "pipeline": corpus_pipeline.ORACLE_SQL}
