@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 LENGTH, GRAM = 100, 32
-#: Windows of a passage, at most.
-MOST_WINDOWS = 64
+#: Windows of a passage, at most: as many as may hold one and the same place of its representative.
+MOST_WINDOWS = LENGTH - GRAM + 1
 #: Bytes of a text that are looked at together; longer texts are cut with an overlap.
 BLOCK = 2 << 20
 #: Passages that a task remembers to find its own repeats.
