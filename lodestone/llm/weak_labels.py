@@ -44,7 +44,7 @@ BAD, GOOD, NONE = 0, 1, 2
 #: Common English insults that mark a toxic text.
 INSULTS = frozenset("clown disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SIGNS = "#*$%&|<>"
+_SIGNS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 
 @dataclass(frozen=True)
@@ -68,11 +68,11 @@ def figures(text: str) -> tuple[Figures, list[str]]:
     n = len(tokens)
     letters = list(dict.fromkeys(_LETTERS.findall(text.lower())))
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = len(re.findall(r"[A-Z]", text))
-    small = len(re.findall(r"[a-z]", text))
+    bytes_seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+    upper, small = int(bytes_seen[65:91].sum()), int(bytes_seen[97:123].sum())
     return Figures(
         n,
-        sum(map(text.count, _SIGNS)) / max(1, len(text)),
+        int(bytes_seen[_SIGNS].sum()) / max(1, len(text)),
         tokens.count("|") / max(1, n),
         upper / max(1, upper + small),
         sum(map(str.__eq__, tokens, tokens[1:])) / max(1, n),
