@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.relational import chains
+from lodestone.sources.lineage import cut
 
 MOST_EDGES = 5_000
 
@@ -58,10 +59,10 @@ def import_kind(resolved: Column, module: Column, standard: Sequence[str]) -> Co
 
 def _reach(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """The least label among each node and the nodes that it leads to, by repeated relaxation."""
-    current = nodes.select("node", F.col("node").alias(label)).checkpoint()
+    current = cut(nodes.select("node", F.col("node").alias(label)))
     while True:
         offered = edges.join(current, edges["dst"] == current["node"]).select(F.col("src").alias("node"), label)
-        settled = current.unionByName(offered).groupBy("node").agg(F.min(label).alias(label)).checkpoint()
+        settled = cut(current.unionByName(offered).groupBy("node").agg(F.min(label).alias(label)))
         changed = settled.alias("n").join(current.alias("o"), "node").where(F.col(f"n.{label}") < F.col(f"o.{label}"))
         if changed.isEmpty():
             return settled
@@ -73,24 +74,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Forward-backward colouring: every node takes the least node that it can reach, along edges
     within its colour; the nodes of a colour that the root reaches back are one component. These are
-    taken out and the rest goes on. Self loops are cycles. Needs a checkpoint folder.
+    taken out and the rest goes on. Self loops are cycles.
     """
-    e = edges.select("src", "dst").distinct().checkpoint()
+    e = cut(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_loop"))
-    left, done = nodes_of(e).checkpoint(), []
+    left, done = cut(nodes_of(e)), []
     while not left.isEmpty():
-        inner = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").checkpoint()
+        inner = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         colour = _reach(left, inner, "colour")
-        same = inner.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst").checkpoint()
-        found = colour.where("node = colour").select("node", F.col("colour").alias("component")).checkpoint()
+        same = cut(inner.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
+        found = cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
         while True:
             onward = same.join(found, same["src"] == found["node"]).select(F.col("dst").alias("node"), "component")
-            wider = found.unionByName(onward).distinct().checkpoint()
+            wider = cut(found.unionByName(onward).distinct())
             if wider.count() == found.count():
                 break
             found = wider
         done.append(found)
-        left = left.join(found, "node", "left_anti").checkpoint()
+        left = cut(left.join(found, "node", "left_anti"))
     if not done:
         return nodes_of(e).withColumn("component", F.col("node")).withColumn("in_cycle", F.lit(False))
     every = reduce(DataFrame.unionByName, done)

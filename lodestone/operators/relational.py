@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.sources.lineage import cut
+
 #: Seconds by which modification times may differ: change detection, and coverage.
 CHANGE_TOLERANCE, COVERAGE_TOLERANCE = 0.1, 1e-6
 
@@ -230,11 +232,10 @@ def timing_summary(df: DataFrame, operation: str, seconds: str) -> DataFrame:
 def renumber(df: DataFrame, order: Sequence[str], name: str, slices: int = 64) -> DataFrame:
     """Dense numbers from 0 in a global order, without gathering all rows in one task.
 
-    Rows are range-partitioned by the first column of the order; numbers within a slice start at
-    the count of all rows in the slices before it.
+    Rows are range-partitioned by the order and cut off there, so that slices stay as they are;
+    numbers within a slice start at the count of all rows in the slices before it.
     """
-    ranged = df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
-    kept = ranged.persist()
+    kept = cut(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
     sizes = kept.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1

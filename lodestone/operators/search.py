@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions.patterns import prefix_terms
+from lodestone.operators.relational import renumber
 
 #: Characters of a text that full-text search looks at, as documented for the index.
 MOST_CHARACTERS = 200_000
@@ -90,8 +90,8 @@ def findings(df: DataFrame, source: str, key: str, stable_id: Column, raw: Colum
     """Findings (result_id, source, key, stable_id, score), numbered by score; rows without an identity are left out."""
     own = df.select(F.col(key).cast("string").alias("key"), stable_id.cast("string").alias("stable_id"), contract_score(source, raw).alias("score"))
     own = own.where("key IS NOT NULL AND stable_id IS NOT NULL")
-    n = F.row_number().over(Window.orderBy(F.col("score").desc(), "key", "stable_id"))
-    return own.select(F.format_string(source + "-%06d", n).alias("result_id"), F.lit(source).alias("source"), "key", "stable_id", "score")
+    numbered = renumber(own.withColumn("_worse", -F.col("score")), ["_worse", "key", "stable_id"], "_n")
+    return numbered.select(F.format_string(source + "-%06d", F.col("_n") + 1).alias("result_id"), F.lit(source).alias("source"), "key", "stable_id", "score")
 
 
 def relevance_order(found: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def relevance_order(found: DataFrame) -> DataFrame:
     return found.orderBy(F.col("score").desc(), "result_id")
 
 
-def blocks_of(found: DataFrame, size: int, order: Sequence[Column | str]) -> DataFrame:
+def blocks_of(found: DataFrame, size: int, order: Sequence[str]) -> DataFrame:
     """Findings with the number of the page that they are on in some order."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return found.withColumn("ordinal", n).withColumn("block", F.floor((F.col("ordinal") - 1) / size).cast("long"))
+    numbered = renumber(found, order, "_n").withColumn("ordinal", F.col("_n") + 1).drop("_n")
+    return numbered.withColumn("block", F.floor((F.col("ordinal") - 1) / size).cast("long"))
 
 
 def overlay(symbols: Column, docstring: Column) -> Column:
@@ -112,7 +112,7 @@ def overlay(symbols: Column, docstring: Column) -> Column:
 
 def enrich(matches: DataFrame, blocks: DataFrame, key: str, line: str, n: int, need_structure: bool = False) -> DataFrame:
     """The first ``n`` matches (by key and line) with the smallest block around them, the others with the line alone."""
-    numbered = matches.withColumn("_n", F.row_number().over(Window.orderBy(key, line)))
+    numbered = renumber(matches, [key, line], "_n").withColumn("_n", F.col("_n") + 1)
     near = numbered.where(F.col("_n") <= n)
     b = blocks.select(F.col(key).alias("_key"), "block", F.col("first").alias("_first"), F.col("last").alias("_last"))
     held = near.join(b, (near[key] == b["_key"]) & near[line].between(b["_first"], b["_last"]), "left")

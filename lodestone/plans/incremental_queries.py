@@ -1 +1,70 @@
-"""Driver queries."""
+"""Driver queries of change detection, queues and running totals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.plans.catalog import register
+from lodestone.sources import tables
+from lodestone.streaming import incremental
+
+
+def _snapshots(spark, sf_dir):
+    orders = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("t"))
+    before = orders.where("key % 13 <> 0")
+    after = orders.where("key % 17 <> 0").withColumn("t", F.when(F.col("key") % 5 == 0, F.col("t") + 1).otherwise(F.col("t") + 0.05))
+    return before, after
+
+
+@register("file_delta", """WITH a AS (SELECT o_orderkey AS key, o_totalprice AS t FROM orders WHERE o_orderkey % 13 <> 0), b AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice + 0.05 END AS t FROM orders WHERE o_orderkey % 17 <> 0)
+    SELECT key, state FROM (SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'new' WHEN b.key IS NULL THEN 'deleted' WHEN abs(b.t - a.t) > 0.1 THEN 'changed' END AS state FROM a FULL JOIN b ON a.key = b.key) WHERE state IS NOT NULL""")
+def file_delta(spark, sf_dir):
+    return incremental.delta(*_snapshots(spark, sf_dir), "key", "t").select("key", "state")
+
+
+@register("index_queue", "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P') WHERE place <= 2")
+def index_queue(spark, sf_dir):
+    pending = tables.read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return incremental.queue(pending, "o_custkey", [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()], 2).select("o_custkey", "o_orderkey", "place")
+
+
+@register("cycle_stats", """WITH d AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n, sum(round(value * 100)::BIGINT) AS s FROM events GROUP BY 1)
+    SELECT day, sum(n) OVER w AS total, round(sum(s) OVER w / 100.0, 6) AS seconds, round(sum(s) OVER w / 100.0 / sum(n) OVER w, 6) AS average FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def cycle_stats(spark, sf_dir):
+    days = tables.read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), (F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("s"))
+    return incremental.cycle_stats(days, "day", "n", "s")
+
+
+@register("dead_letters", "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id % 5 >= 3")
+def dead_letters(spark, sf_dir):
+    events = tables.read(spark, sf_dir, "events").withColumn("attempts", F.col("user_id") % 5)
+    return incremental.rejected(events, "attempts", 3, F.col("event_type") != "error")[1].select("event_id", "user_id")
+
+
+@register("signature_changed", """WITH a AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m, sum(o_orderkey) AS s FROM orders WHERE o_orderkey % 10 <> 0 OR o_custkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m, sum(o_orderkey) AS s FROM orders GROUP BY 1)
+    SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE (a.n, a.m, a.s) IS DISTINCT FROM (b.n, b.m, b.s)""")
+def signature_changed(spark, sf_dir):
+    orders = tables.read(spark, sf_dir, "orders")
+    before = incremental.signatures(orders.where("o_orderkey % 10 <> 0 OR o_custkey % 2 = 0"), "o_custkey", "o_orderkey", "o_orderkey")
+    return incremental.signature_changes(before, incremental.signatures(orders, "o_custkey", "o_orderkey", "o_orderkey"), "o_custkey")
+
+
+@register("idle_expired", """WITH s AS (SELECT user_id, max(ts) AS last, max(event_id) AS e FROM events GROUP BY 1) SELECT user_id FROM s WHERE user_id % 29 = 0 OR (e % 2 = 0 AND epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last) > 43200)""")
+def idle_expired(spark, sf_dir):
+    sessions = tables.read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.max("event_id").alias("e"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return incremental.expired(sessions, F.col("last"), now, 43_200, F.col("e") % 2 == 0, F.col("user_id") % 29 == 0).select("user_id")
+
+
+@register("startup_findings", """SELECT doc_id::VARCHAR AS key, 'orphan' AS finding FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) UNION ALL
+    SELECT doc_id::VARCHAR, 'missing' FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT (doc_id // 4)::VARCHAR, 'duplicate' FROM labels GROUP BY doc_id // 4 HAVING count(*) > 1""")
+def startup_findings(spark, sf_dir):
+    indexed = tables.read(spark, sf_dir, "labels").withColumn("identity", F.floor(F.col("doc_id") / 4).cast("long"))
+    present = tables.read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    return incremental.reconcile(indexed, present, "doc_id", "identity")
+
+
+@register("hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_counts(spark, sf_dir):
+    found = incremental.windowed_counts(tables.read(spark, sf_dir, "events"), "ts", "event_type")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

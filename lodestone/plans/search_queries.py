@@ -1 +1,169 @@
-"""Driver queries."""
+"""Driver queries of full-text, vector and combined search, and of duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import duplicates, relational, search
+from lodestone.plans.catalog import register
+from lodestone.sources import files, tables
+
+QUERY = "thing-re/ou"
+#: A fixed query vector of 64 values.
+VECTOR = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
+_VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
+_TOKENS = r"list_filter(string_split_regex(lower(substr(text, 1, 200000)), '[^\p{L}\p{N}_]+'), lambda t: t <> '')"
+_TERMS = ("thing", "re", "ou")
+_ALL = " AND ".join(f"len(list_filter(w, lambda t: starts_with(t, '{t}'))) > 0" for t in _TERMS)
+_HITS = " + ".join(f"len(list_filter(w, lambda t: starts_with(t, '{t}')))" for t in _TERMS)
+_FULLTEXT = f"SELECT doc_id, ({_HITS})::DOUBLE / len(w) AS rank FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) WHERE {_ALL}"
+_COSINE = f"""(SELECT vec_id, 1 - list_dot_product(e, {_VECTOR_SQL}) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product({_VECTOR_SQL}, {_VECTOR_SQL}))) AS distance
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
+
+
+def _fulltext(spark, sf_dir):
+    docs = tables.read(spark, sf_dir, "documents")
+    return search.fulltext(docs, "doc_id", search.index_text(F.col("text")), QUERY)
+
+
+@register("fulltext_matches", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT})")
+def fulltext_matches(spark, sf_dir):
+    return _fulltext(spark, sf_dir).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@register("fulltext_topk", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT}) ORDER BY round(rank, 6) DESC, doc_id LIMIT 10")
+def fulltext_topk(spark, sf_dir):
+    return search.top_by_rank(_fulltext(spark, sf_dir).select("doc_id", F.round("rank", 6).alias("rank")), "doc_id", 10)
+
+
+@register("semantic_topk_cosine", f"SELECT vec_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM (SELECT * FROM {_COSINE} ORDER BY distance, vec_id LIMIT 20) WHERE 1 / (1 + distance) >= 0.5")
+def semantic_topk_cosine(spark, sf_dir):
+    found = search.semantic(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", VECTOR, 20, search.vector_backend("auto"), 0.5)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@register("semantic_topk_l2", f"SELECT vec_id, round(2 * distance, 6) AS distance, round(1 / (1 + 2 * distance), 6) AS score FROM {_COSINE} ORDER BY distance, vec_id LIMIT 20")
+def semantic_topk_l2(spark, sf_dir):
+    found = search.semantic(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", VECTOR, 20, search.vector_backend("faiss"))
+    return found.select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+_FINDINGS = f"""WITH fulltext AS ({_FULLTEXT}), semantic AS (SELECT vec_id, 1 / (1 + distance) AS score FROM (SELECT * FROM {_COSINE} ORDER BY distance, vec_id LIMIT 20)),
+    grep AS (SELECT doc_id, line FROM (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS l FROM documents)) WHERE contains(content, 'token =')),
+    every AS (SELECT 'fulltext' AS source, doc_id::VARCHAR AS key, doc_id::VARCHAR AS stable_id, least(greatest(rank, 0), 1) AS score FROM fulltext
+      UNION ALL SELECT 'semantic', vec_id::VARCHAR, vec_id::VARCHAR, score FROM semantic UNION ALL SELECT 'grep', doc_id::VARCHAR, doc_id || ':' || line, 1.0 FROM grep),
+    numbered AS (SELECT printf('%s-%06d', source, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, key, stable_id)) AS result_id, source, key, stable_id, round(score, 6) AS score FROM every)"""
+
+
+def _findings(spark, sf_dir):
+    docs, vectors = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "embeddings")
+    full = search.findings(_fulltext(spark, sf_dir), "fulltext", "doc_id", F.col("doc_id"), F.round("rank", 6))
+    near = search.semantic(vectors, "vec_id", "embedding", VECTOR, 20)
+    near = search.findings(near, "semantic", "vec_id", F.col("vec_id"), F.round("score", 6))
+    lines = relational.grep(files.lines(docs, "doc_id", "text"), "content", "token =")
+    lines = search.findings(lines, "grep", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")), F.lit(1.0))
+    return full.unionByName(near).unionByName(lines)
+
+
+@register("hybrid_search", _FINDINGS + " SELECT * FROM numbered")
+def hybrid_search(spark, sf_dir):
+    return _findings(spark, sf_dir)
+
+
+@register("hybrid_relevance", _FINDINGS + " SELECT result_id, score FROM numbered ORDER BY score DESC, result_id LIMIT 25")
+def hybrid_relevance(spark, sf_dir):
+    return search.relevance_order(_findings(spark, sf_dir)).limit(25).select("result_id", "score")
+
+
+@register("hybrid_page", _FINDINGS + " SELECT result_id, ordinal, block FROM (SELECT result_id, row_number() OVER (ORDER BY result_id) AS ordinal, floor((row_number() OVER (ORDER BY result_id) - 1) / 10)::BIGINT AS block FROM numbered) WHERE block = 1")
+def hybrid_page(spark, sf_dir):
+    return search.blocks_of(_findings(spark, sf_dir), 10, ["result_id"]).where("block = 1").select("result_id", "ordinal", "block")
+
+
+@register("symbol_overlay", r"SELECT part_id AS p_partkey, text FROM (SELECT p_partkey AS part_id, array_to_string(list_distinct_ordered, ' ') AS text FROM (SELECT p_partkey, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT p_partkey, list_filter(string_split_regex(p_name || ' ' || p_type || ' ' || p_name || ' ' || p_brand, '\s+'), lambda t: t <> '') AS w FROM part)))")
+def symbol_overlay(spark, sf_dir):
+    text = search.overlay(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_name", "p_brand"))
+    return tables.read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+_LINES = r"(SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents))"
+
+
+@register("grep_enriched", f"""WITH m AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS n FROM {_LINES} WHERE contains(content, 'token ='))
+    SELECT doc_id, line, CASE WHEN n <= 30 THEN doc_id || '/' || (line - line % 4) END AS block, CASE WHEN n <= 30 THEN 'block' ELSE 'line' END AS status FROM m""")
+def grep_enriched(spark, sf_dir):
+    docs = tables.read(spark, sf_dir, "documents")
+    lines = files.lines(docs, "doc_id", "text").withColumn("line", F.col("line").cast("long"))
+    blocks = lines.select("doc_id", (F.col("line") - F.col("line") % 4).alias("first")).distinct()
+    wide = blocks.select("doc_id", F.lit(0).cast("long").alias("first"), F.lit(1 << 30).cast("long").alias("last"), F.lit("whole").alias("block")).distinct()
+    blocks = blocks.select("doc_id", "first", (F.col("first") + 3).alias("last"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("first").cast("string")).alias("block")).unionByName(wide)
+    matches = relational.grep(lines, "content", "token =").select("doc_id", "line")
+    return search.enrich(matches, blocks, "doc_id", "line", 30)
+
+
+@register("vector_statistics", "SELECT label, count(*) AS n, count(*) FILTER (embedding IS NULL OR len(embedding) = 0) AS n_missing, max(len(embedding)) AS dimensions FROM embeddings GROUP BY 1")
+def vector_statistics(spark, sf_dir):
+    return search.vector_statistics(tables.read(spark, sf_dir, "embeddings"), "embedding", "label")
+
+
+@register("exact_duplicate_groups", r"""SELECT hash, count(*) AS n, min(doc_id) AS first_key FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"\n]*"|''[^''\n]*''', '_STR_', 'g'), '[0-9]+(\.[0-9]+)?', '_NUM_', 'g'), '[ \t\r\n]+', ' ', 'g')))) AS hash FROM documents) GROUP BY 1 HAVING count(*) >= 2""")
+def exact_duplicate_groups(spark, sf_dir):
+    return duplicates.hash_groups(tables.read(spark, sf_dir, "documents"), "doc_id", duplicates.normal_form(F.col("text")))
+
+
+@register("duplicates_in_source", "SELECT source, sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_key FROM documents GROUP BY 1, 2 HAVING count(*) >= 2")
+def duplicates_in_source(spark, sf_dir):
+    return duplicates.hash_groups(tables.read(spark, sf_dir, "documents"), "doc_id", F.col("text"), scope=["source"])
+
+
+_PAIRS = """(SELECT a.label, a.vec_id AS "left", b.vec_id AS "right", list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS similarity
+    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+
+
+@register("semantic_duplicate_pairs", f'SELECT label, "left", "right", round(similarity, 6) AS similarity FROM {_PAIRS} WHERE similarity >= 0.25')
+def semantic_duplicate_pairs(spark, sf_dir):
+    pairs = duplicates.similar_pairs(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.25)
+    return pairs.select("label", "left", "right", F.round("similarity", 6).alias("similarity"))
+
+
+@register("hybrid_duplicate_groups")
+def hybrid_duplicate_groups(spark, sf_dir):
+    pairs = duplicates.similar_pairs(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.25)
+    groups = pairs.select("label", (F.col("left") * 1_000_000 + F.col("right")).alias("pair"), F.array("left", "right").alias("members"))
+    return duplicates.hybrid_groups(groups, "label", "pair", "members")
+
+
+@register("name_similarity")
+def name_similarity(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    pairs = part.select("p_brand", F.col("p_name").alias("a")).distinct().join(part.select("p_brand", F.col("p_name").alias("b")).distinct(), "p_brand").where("a < b")
+    return duplicates.lcs_similarity(pairs, "a", "b")
+
+
+@register("greedy_pages")
+def greedy_pages(spark, sf_dir):
+    return duplicates.greedy_pages(tables.read(spark, sf_dir, "documents"), "source", "doc_id", F.octet_length("text"), 20_000, 10)
+
+
+@register("first_fit_batches")
+def first_fit_batches(spark, sf_dir):
+    sized = tables.read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.sum("l_quantity").cast("long").alias("size"))
+    return duplicates.first_fit(sized, "l_suppkey", "l_orderkey", "size", 60)
+
+
+@register("paragraph_chunks", r"""SELECT doc_id, ordinal, chunk, CASE WHEN ordinal = 0 THEN 1 WHEN regexp_matches(chunk, '^#|:$') THEN 2 ELSE 3 END AS binding_level
+    FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS ordinal, unnest(l) AS chunk FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS l FROM documents)) WHERE trim(chunk) <> ''""")
+def paragraph_chunks(spark, sf_dir):
+    return duplicates.paragraphs(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@register("placeholder_lines", rf"""SELECT doc_id, line, upper(regexp_extract(content, '(?i)\b(stupid|license|licensed|token)\b', 1)) AS word FROM {_LINES} WHERE regexp_matches(content, '(?i)\b(stupid|license|licensed|token)\b')""")
+def placeholder_lines(spark, sf_dir):
+    rows = files.lines(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
+    return duplicates.placeholders(rows, "content", ["stupid", "license", "licensed", "token"]).select("doc_id", F.col("line").cast("long").alias("line"), "word")
+
+
+@register("missing_rows", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)")
+def missing_rows(spark, sf_dir):
+    present = tables.read(spark, sf_dir, "documents").where("n_chars > 500")
+    return tables.read(spark, sf_dir, "labels").join(present, "doc_id", "left_anti").select("doc_id")

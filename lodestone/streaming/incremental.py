@@ -63,7 +63,7 @@ def signature_changes(before: DataFrame, after: DataFrame, project: str) -> Data
 
 def expired(sessions: DataFrame, last_access: Column, now: Column, ttl_seconds: float, terminal: Column, lost: Column) -> DataFrame:
     """Sessions to remove: terminal ones idle for longer than the limit, and lost ones; running ones stay."""
-    idle = now.cast("double") - last_access.cast("double") > ttl_seconds
+    idle = now.cast("timestamp").cast("double") - last_access.cast("timestamp").cast("double") > ttl_seconds
     return sessions.where(F.coalesce(lost, F.lit(False)) | (F.coalesce(terminal, F.lit(False)) & idle))
 
 
