@@ -134,7 +134,7 @@ def blocks_by_id(df: DataFrame, column: str, ids: Sequence) -> DataFrame:
     found = df.where(F.col(column).isin(list(ids)))
     missing = found.agg((F.countDistinct(column) == len(set(ids))).alias("_all"))
     checked = missing.select(F.assert_true("_all", F.lit("a block id is unknown")).alias("_checked"))
-    return found.crossJoin(F.broadcast(checked)).drop("_checked")
+    return found.crossJoin(F.broadcast(checked)).where(F.col("_checked").isNull()).drop("_checked")
 
 
 def or_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
