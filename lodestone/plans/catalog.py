@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
-MODULES = ("relational_queries", "search_queries", "graph_queries", "tree_queries", "incremental_queries")
+MODULES = ("relational_queries", "search_queries", "graph_queries", "tree_queries", "source_queries", "incremental_queries")
 _QUERIES: dict[str, Builder] = {}
 _ORACLES: dict[str, str] = {}
 
