@@ -68,3 +68,12 @@ def startup_findings(spark, sf_dir):
 def hourly_counts(spark, sf_dir):
     found = incremental.windowed_counts(tables.read(spark, sf_dir, "events"), "ts", "event_type")
     return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@register("closed_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def closed_sessions(spark, sf_dir):
+    found = incremental.closed_sessions(tables.read(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("user_id", shown("start"), shown("end"), "n")

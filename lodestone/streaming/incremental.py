@@ -99,3 +99,9 @@ def snapshot_writer(folder: str, keys: Sequence[str], version: str) -> Callable[
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window and kind, with a watermark for late rows; works on batches as well."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def closed_sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each key that end after a gap without events; on a stream each is sent once it can no longer grow."""
+    sessions = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n"))
+    return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

@@ -155,3 +155,13 @@ def test_windowed_counts_stream(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, incremental.windowed_counts(frame, "t", "k").collect()))
+
+
+@pytest.mark.parametrize("block", [2, 3, 512])
+def test_similar_pairs(spark, block):
+    draw = random.Random(4)
+    rows = [(i, i % 3 if i != 7 else None, [draw.uniform(-1, 1) for _ in range(3)]) for i in range(20)] + [(20, 0, [0.0, 0.0, 0.0]), (21, 1, None)]
+    found = duplicates.similar_pairs(spark.createDataFrame(rows, "i int, g int, v array<float>"), "i", "v", "g", 0.6, block)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    usable = [r for r in rows if r[2] and any(r[2]) and r[1] is not None]
+    assert sorted((r.g, r.left, r.right) for r in found.where("g IS NOT NULL").collect()) == sorted((a[1], a[0], b[0]) for a in usable for b in usable if a[0] < b[0] and a[1] == b[1] and cosine(a[2], b[2]) >= 0.6)
