@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -87,3 +87,20 @@ def utf8(column: pa.Array) -> list[bytes]:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that others with clashing names never meet them."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+class Numbers(dict):
+    """Numbers for distinct strings in order of first use; ``fresh`` gathers those that are new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.fresh.append(part)
+        return number
+
+    def of(self, parts: Iterable[str], count: int) -> np.ndarray:
+        """The number of each string."""
+        return np.fromiter(map(self.__getitem__, parts), np.int64, count)

@@ -41,7 +41,7 @@ END_ID = 2
 #: Shares are kept in parts of a token; 2**38 rounds of a whole window still fit a long.
 PARTS = 4096
 MOST_SOURCES = 10_000
-SLOT_DOCS = 20_000
+SLOT_DOCS = 4_000
 #: Distinct runs of letters or signs that a worker remembers from task to task.
 CACHE_WORDS = 400_000
 EXPAND_AT_ONCE = 1 << 20
@@ -76,19 +76,19 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Empties the memory of parts."""
-        self.known: dict[str, int] = {}
+        self.known = common.Numbers()
         self.ids, self.ends = array("I"), array("q", [0])
 
     def _learn(self, parts: list[str]) -> None:
+        """Puts the ids of newly numbered parts behind those that are known."""
         for at in range(0, len(parts), 2_000):
             some = parts[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
                 each = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
                 ids, ends = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
             used = len(self.ids)
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
             self.ids.frombytes(ids.tobytes())
             self.ends.frombytes((used + ends).astype(np.int64).tobytes())
 
@@ -98,13 +98,9 @@ class WordEncoder:
             self.forget()
         whole = {i for i, t in enumerate(texts) if _UNUSUAL.search(t) or "<|" in t}
         split = [[] if i in whole else _PARTS.findall(t.lower()) for i, t in enumerate(texts)]
-        known = self.known.get
-        number = np.fromiter((known(w, -1) for parts in split for w in parts), np.int64, sum(map(len, split)))
-        if len(unknown := np.flatnonzero(number < 0)):
-            every = list(chain.from_iterable(split))
-            missing = [every[i] for i in unknown]
-            self._learn(list(dict.fromkeys(missing)))
-            number[unknown] = [self.known[w] for w in missing]
+        number = self.known.of(chain.from_iterable(split), sum(map(len, split)))
+        self._learn(self.known.fresh)
+        self.known.fresh = []
         ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         starts, sizes = ends[number], ends[number + 1] - ends[number]
         reached = np.cumsum(sizes)
@@ -252,7 +248,7 @@ def pieces(plan: Schedule, source: int, begins: np.ndarray, sizes: np.ndarray, w
 def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[str, float] | None = None, window: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     table = common.written(tokenised(docs, tokenizer_path or default_tokenizer(), end_id), "tokens")
-    slots = max(32, math.ceil(table.count() / SLOT_DOCS))
+    slots = max(64, math.ceil(table.count() / SLOT_DOCS))
     queued = table.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
     sums = common.written(queued.groupBy("source", "slot").agg(F.sum("n_tokens").alias("slot_tokens")), "slots")
     totals = {r["source"]: r["total"] for r in sums.groupBy("source").agg(F.sum("slot_tokens").alias("total")).limit(MOST_SOURCES + 1).collect()}

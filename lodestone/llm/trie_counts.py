@@ -17,6 +17,7 @@ Null and empty texts have no tokens. Repeated rows are counted each; other colum
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -117,21 +118,23 @@ class Counter:
 
     def __init__(self, path: str):
         self.scores = piece_scores(path)
-        self.known: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words."""
+        self.known, self.stored = common.Numbers(), array("q")
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each text."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.forget()
         split = [t.split() for t in texts]
         sizes = np.array([len(x) for x in split], np.int64)
-        known = self.known.get
-        found = np.fromiter((known(w, -1) for w in chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if len(unknown := np.flatnonzero(found < 0)):
-            every = list(chain.from_iterable(split))
-            missing = [every[i] for i in unknown]
-            self.known.update(count_words(missing, self.scores))
-            found[unknown] = [self.known[w] for w in missing]
+        number = self.known.of(chain.from_iterable(split), int(sizes.sum()))
+        counted = count_words(self.known.fresh, self.scores)
+        self.stored.extend(counted[w] for w in self.known.fresh)
+        self.known.fresh = []
+        found = np.array(self.stored, np.int64)[number] if len(number) else number
         reached = np.concatenate([[0], np.cumsum(found)])
         ends = np.cumsum(sizes)
         return sizes, reached[ends] - reached[ends - sizes]
