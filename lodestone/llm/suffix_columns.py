@@ -44,7 +44,7 @@ BLOCK = 2 << 20
 #: Passages that a task remembers to find its own repeats.
 HELD = 1 << 20
 #: Symbols of a collection; passages of one representative that are ordered together, at most.
-COLLECTION, MOST_IN_GROUP = 600_000, 8_192
+COLLECTION, MOST_IN_GROUP = 600_000, 2_048
 IN_MEMORY = 32 << 20
 CANDIDATE, REPEAT, OPEN, PERIODIC = 0, 1, 2, 3
 ROWS = "key long, print long, doc_id long, begin long, size int, kind int"
