@@ -65,6 +65,22 @@ def coverage(known: Column, deleted: Column, contents: Column, indexed_time: Col
     )
 
 
+def staleness(known: Column, indexed_sum: Column, current_sum: Column, in_session: Column) -> Column:
+    """not_in_db, sha_match, skipped_active_session or rebuilt; a current text that cannot be read is not trusted."""
+    same = F.coalesce(indexed_sum == current_sum, F.lit(False))
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), "not_in_db")
+        .when(same, "sha_match")
+        .when(F.coalesce(in_session, F.lit(False)), "skipped_active_session")
+        .otherwise("rebuilt")
+    )
+
+
+def search_candidates(files: DataFrame, allowed: Column, state: Column) -> DataFrame:
+    """Files of a search with where to look for them: the index if that is current, else the disk; others are left out."""
+    return files.where(allowed).withColumn("look_in", F.when(state == "current", "index").otherwise("disk"))
+
+
 def time_gate(seen: Column, current: Column, tolerance: float = CHANGE_TOLERANCE) -> Column:
     """Whether a result has to be made anew: no_current, no_previous, unchanged or changed."""
     return (

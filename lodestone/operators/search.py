@@ -125,3 +125,11 @@ def enrich(matches: DataFrame, blocks: DataFrame, key: str, line: str, n: int, n
 def vector_statistics(df: DataFrame, vector: str, group: str) -> DataFrame:
     """Vectors, those without values, and the number of dimensions, by group."""
     return df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(vector).isNull() | (F.size(vector) == 0)).alias("n_missing"), F.max(F.size(vector)).alias("dimensions"))
+
+
+def vector_index(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """The index of an exact search: dense numbers in key order, and vectors of unit length; vectors without length are left out."""
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    unit = df.select(key, vector, norm.alias("norm")).where("norm > 0")
+    unit = unit.select(key, "norm", F.transform(vector, lambda x: x.cast("double") / F.col("norm")).alias("unit"))
+    return renumber(unit, [key], "dense_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -206,3 +207,66 @@ def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """Paragraph blocks of texts with the lines that they span."""
     numbered = df.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
     return numbered.where(F.trim("line") != "").select(key, F.col("n").alias("first"), F.col("n").alias("last"), F.col("line").alias("block"))
+
+
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+_HEADING = re.compile(r"^ {0,3}(#{1,6})(?:\s|$)")
+_ITEM = re.compile(r"^ {0,3}(?:[-*+]|\d{1,9}[.)])\s")
+_RULE = re.compile(r"^ {0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})$")
+
+
+def markdown_blocks(text: str) -> list[tuple]:
+    """Blocks of a Markdown text (number, kind, level, first line, last line, content).
+
+    Fenced code, headings (also underlined ones), rules, quotes, list items and paragraphs; a
+    paragraph goes on until a blank line or the start of another block.
+    """
+    lines = text.split("\n")
+    out: list[tuple] = []
+    at = 0
+
+    def add(kind: str, level: int, first: int, last: int) -> None:
+        out.append((len(out), kind, level, first + 1, last + 1, "\n".join(lines[first : last + 1])))
+
+    def starts_block(line: str) -> bool:
+        return bool(_FENCE.match(line) or _HEADING.match(line) or _ITEM.match(line) or _RULE.match(line) or line.lstrip().startswith(">"))
+
+    while at < len(lines):
+        line, first = lines[at], at
+        if not line.strip():
+            at += 1
+        elif fence := _FENCE.match(line):
+            mark = fence.group(1)
+            at += 1
+            while at < len(lines) and not (lines[at].strip().startswith(mark) and not lines[at].strip().strip(mark[0])):
+                at += 1
+            add("fence", 0, first, min(at, len(lines) - 1))
+            at += 1
+        elif heading := _HEADING.match(line):
+            add("heading", len(heading.group(1)), first, first)
+            at += 1
+        elif _RULE.match(line):
+            add("rule", 0, first, first)
+            at += 1
+        else:
+            kind = "quote" if line.lstrip().startswith(">") else "item" if _ITEM.match(line) else "paragraph"
+            at += 1
+            while at < len(lines) and lines[at].strip():
+                under = re.fullmatch(r" {0,3}(=+|-+)\s*", lines[at])
+                if kind == "paragraph" and under:
+                    kind, level = "heading", 1 if under.group(1)[0] == "=" else 2
+                    add(kind, level, first, at)
+                    break
+                if kind == "quote" and not lines[at].lstrip().startswith(">") and starts_block(lines[at]) or kind != "quote" and starts_block(lines[at]):
+                    break
+                at += 1
+            if kind == "heading":
+                at += 1
+            else:
+                add(kind, 0, first, at - 1)
+    return out
+
+
+def markdown_tree(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Blocks of Markdown texts with their lines."""
+    return exploded(df, key, text, "ordinal long, kind string, level int, first long, last long, block string", markdown_blocks)

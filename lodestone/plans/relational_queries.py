@@ -501,3 +501,21 @@ def distinct_edges(spark, sf_dir):
 @register("token_counts", r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END AS n_words FROM documents")
 def token_counts(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", duplicates.word_count(F.col("text")).alias("n_words"))
+
+
+@register("staleness_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'not_in_db' WHEN d.doc_id % 9 <> 0 AND l.quality = 1 THEN 'sha_match' WHEN d.doc_id % 4 = 0 THEN 'skipped_active_session' ELSE 'rebuilt' END AS bucket
+    FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1""")
+def staleness_buckets(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents", "labels")
+    both = docs.join(labels.withColumn("known", F.lit(True)), "doc_id", "left")
+    now = F.when(F.col("doc_id") % 9 != 0, F.sha2("text", 256))
+    seen = F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise("old")
+    bucket = relational.staleness(F.col("known"), seen, now, F.col("doc_id") % 4 == 0)
+    return relational.counts_by(both.select(bucket.alias("bucket")), ["bucket"])
+
+
+@register("search_candidates", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'index' ELSE 'disk' END AS look_in FROM pages WHERE url LIKE '%.html' AND NOT list_contains(string_split(url, '/'), 'fr')""")
+def search_candidates(spark, sf_dir):
+    allowed = patterns.allowed_path(F.col("url"), [".html"], ["fr"])
+    state = relational.coverage(F.lit(True), F.lit(False), F.lit(1), (F.col("page_id") % 3).cast("double"), F.lit(0.0))
+    return relational.search_candidates(_t(spark, sf_dir, "pages"), allowed, state).select("page_id", "look_in")

@@ -167,3 +167,15 @@ def placeholder_lines(spark, sf_dir):
 def missing_rows(spark, sf_dir):
     present = tables.read(spark, sf_dir, "documents").where("n_chars > 500")
     return tables.read(spark, sf_dir, "labels").join(present, "doc_id", "left_anti").select("doc_id")
+
+
+@register("vector_index", "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS dense_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def vector_index(spark, sf_dir):
+    found = search.vector_index(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select("vec_id", "dense_id", F.round("norm", 6).alias("norm"), F.round(F.element_at("unit", 1), 6).alias("first"))
+
+
+@register("merged_neighbours")
+def merged_neighbours(spark, sf_dir):
+    turns = tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 3 == 0).alias("failed"), F.length("text").alias("size"))
+    return duplicates.merged_neighbours(turns, "conv_id", "turn", "failed", "size", 1_000)

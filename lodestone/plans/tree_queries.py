@@ -108,3 +108,9 @@ def json_nodes(spark, sf_dir):
 def text_blocks(spark, sf_dir):
     found = trees.text_blocks(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.withColumn("first", F.col("first").cast("long")).withColumn("last", F.col("last").cast("long"))
+
+
+@register("markdown_blocks", r"""SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[#*>`~=+_|-]|[0-9]', 'x', 'g'), '\n\s*\n')) AS block FROM documents) WHERE trim(regexp_replace(block, '\s', '', 'g')) <> '' GROUP BY 1""")
+def markdown_blocks(spark, sf_dir):
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[#*>`~=+_|-]|[0-9]", "x").alias("text"))
+    return trees.markdown_tree(docs, "doc_id", "text").groupBy("doc").agg(F.count("*").alias("n"))

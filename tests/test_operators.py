@@ -165,3 +165,9 @@ def test_similar_pairs(spark, block):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     usable = [r for r in rows if r[2] and any(r[2]) and r[1] is not None]
     assert sorted((r.g, r.left, r.right) for r in found.where("g IS NOT NULL").collect()) == sorted((a[1], a[0], b[0]) for a in usable for b in usable if a[0] < b[0] and a[1] == b[1] and cosine(a[2], b[2]) >= 0.6)
+
+
+def test_merged_neighbours(spark):
+    frame = spark.createDataFrame([("s", i, i in (2, 5), n) for i, n in enumerate([5, 3, 2, 4, 9, 50, 1])], "s string, o int, bad boolean, n int")
+    found = duplicates.merged_neighbours(frame, "s", "o", "bad", "n", 11).orderBy("o").collect()
+    assert [(r.o, r["first"], r["last"]) for r in found] == [(2, 0, 2), (5, 5, 5)]

@@ -90,3 +90,12 @@ def test_yaml_and_html():
     assert [(r[5], r[6], r[8], r[9]) for r in rows] == [("pair", "a", 1, 3), ("item", None, 2, 2), ("item", None, 3, 3), ("pair", "b", 4, 5)]
     tags = trees.html_nodes("<div id=x><p>a<br>b</p><li>c</div><p>d")
     assert [(r[4], r[2]) for r in tags] == [("div", None), ("p", 0), ("br", 1), ("li", 0), ("p", None)]
+
+
+def test_markdown_blocks():
+    text = "# Title\n\nTwo lines\nof text\n- one\n- two\n  more\n\n```py\n# no heading\n```\nUnder\n=====\n> quoted\n> on\n***\nlast\n~~~\nopen"
+    assert [(r[1], r[2], r[3], r[4]) for r in trees.markdown_blocks(text)] == [
+        ("heading", 1, 1, 1), ("paragraph", 0, 3, 4), ("item", 0, 5, 5), ("item", 0, 6, 7), ("fence", 0, 9, 11),
+        ("heading", 1, 12, 13), ("quote", 0, 14, 15), ("rule", 0, 16, 16), ("paragraph", 0, 17, 17), ("fence", 0, 18, 19),
+    ]
+    assert trees.markdown_blocks("") == []
