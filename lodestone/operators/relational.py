@@ -220,12 +220,12 @@ def counts_by(df: DataFrame, keys: Sequence[str], **counters: Column) -> DataFra
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in counters.items()])
 
 
-def roll_up(base: DataFrame, key: str, parts: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """Aggregates of other tables beside each base row: each is aggregated by the key first, then joined; no rows: zero."""
+def roll_up(base: DataFrame, key: str, parts: Sequence[tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+    """Aggregates of other tables beside each base row; each table is aggregated by the key once, then joined. No rows: zero."""
     out = base
-    for name, (df, aggregate) in parts.items():
-        out = out.join(df.groupBy(key).agg(aggregate.alias(name)), key, "left")
-    return out.fillna(0, list(parts))
+    for df, aggregates in parts:
+        out = out.join(df.groupBy(key).agg(*[a.alias(name) for name, a in aggregates.items()]), key, "left")
+    return out.fillna(0, [name for _, aggregates in parts for name in aggregates])
 
 
 def grouped_lists(df: DataFrame, key: str, item: Column, order: str) -> DataFrame:

@@ -31,11 +31,14 @@ def fulltext(df: DataFrame, key: str, text: Column, query: str) -> DataFrame:
     terms = prefix_terms(query)
     if not terms:
         return df.select(key, F.lit(0.0).alias("rank")).limit(0)
-    found = df.select(key, tokens(text).alias("_tokens"))
     for term in terms:
-        found = found.where(F.exists("_tokens", _begins(term)))
-    hits = sum((F.size(F.filter("_tokens", _begins(t))) for t in terms), F.lit(0))
-    return found.select(key, (hits / F.size("_tokens")).alias("rank"))
+        df = df.where(F.contains(F.lower(text), F.lit(term)))  # cheap, and true of every match
+    counts = lambda words: F.struct(F.size(words).alias("n"), *[F.size(F.filter(words, _begins(t))).alias(f"h{i}") for i, t in enumerate(terms)])
+    found = df.select(key, F.element_at(F.transform(F.array(tokens(text)), counts), 1).alias("_c"))
+    hits = [F.col(f"_c.h{i}") for i in range(len(terms))]
+    for count in hits:
+        found = found.where(count > 0)
+    return found.select(key, (sum(hits, F.lit(0)) / F.col("_c.n")).alias("rank"))
 
 
 def _begins(term: str):

@@ -333,12 +333,10 @@ def rollup_customer_activity(spark, sf_dir):
     c, o, li = _t(spark, sf_dir, "customer", "orders", "lineitem")
     orders = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
     lines = orders.join(li.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    parts = {
-        "n_orders": (orders, F.count("*")),
-        "n_open": (orders.where("o_orderstatus = 'O'"), F.count("*")),
-        "n_lines": (lines, F.count("*")),
-        "n_parts": (lines, F.countDistinct("l_partkey")),
-    }
+    parts = [
+        (orders, {"n_orders": F.count("*"), "n_open": F.count_if(F.col("o_orderstatus") == "O")}),
+        (lines, {"n_lines": F.count("*"), "n_parts": F.countDistinct("l_partkey")}),
+    ]
     return relational.roll_up(c.select("c_custkey", "c_name"), "c_custkey", parts)
 
 
