@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 LENGTH, GRAM = 100, 32
+#: Bytes beside its representative that a window takes in on at least one side.
+SIDE = (LENGTH - GRAM) // 2
 #: Windows of a passage, at most: as many as may hold one and the same place of its representative.
 MOST_WINDOWS = LENGTH - GRAM + 1
 #: Bytes of a text that are looked at together; longer texts are cut with an overlap.
@@ -331,6 +333,36 @@ def equal_windows(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which passages may hold a window that another passage of their representative, or they themselves, hold as well.
+
+    A window has at least half of its bytes beyond the representative on one side of it. So what two
+    passages share takes in the ``SIDE`` bytes before the representative, or those behind it.
+    """
+    sizes = np.array([len(s) for s in strings], np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    if len(flat) < LENGTH:
+        return np.zeros(len(strings), bool)
+    hashes = gram_hashes(flat)
+    owner = np.repeat(np.arange(len(strings)), sizes)[: len(hashes)]
+    at = np.flatnonzero((hashes == key.view(np.uint64)[owner]) & (np.arange(len(hashes)) + GRAM <= ends[owner]))
+    owner = owner[at]
+    prints = Prints(flat)
+    needed = np.bincount(owner, minlength=len(strings)) != 1
+    for begin in (at - SIDE, at):
+        whole = (begin >= (ends - sizes)[owner]) & (begin + GRAM + SIDE <= ends[owner])
+        mark = prints.of(begin[whole], np.full(whole.sum(), GRAM + SIDE))
+        with np.errstate(over="ignore"):
+            mark = _mixed(mark + hashes[at[whole]] * _M3)
+        order = np.argsort(mark, kind="stable")
+        twin = mark[order[1:]] == mark[order[:-1]]
+        met = np.zeros(len(mark), bool)
+        met[order[1:][twin]] = met[order[:-1][twin]] = True
+        needed[owner[whole][met]] = True
+    return needed
+
+
 def repeats_among(doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches (doc, begin, size) of the strings that are covered by windows found earlier."""
     string, place, group = equal_windows(strings)
@@ -378,7 +410,8 @@ def ordered_repeats(pieces: DataFrame) -> DataFrame:
             key, doc, begin = (np.concatenate([h[i] for h in held]) for i in range(3))
             data = [d for h in held for d in h[3]]
             end = len(key) if upto is None else upto
-            found = repeats_among(doc[:end], begin[:end], data[:end])
+            chosen = np.flatnonzero(may_share(key[:end], data[:end]))
+            found = repeats_among(doc[chosen], begin[chosen], [data[i] for i in chosen])
             held = [(key[end:], doc[end:], begin[end:], data[end:])] if end < len(key) else []
             symbols = sum(map(len, data[end:]))
             none = np.zeros(len(found[0]), np.int64)

@@ -95,3 +95,22 @@ def test_shared_ids(spark):
 def test_odd_documents(odd_docs, no_docs):
     assert suffix_columns.remove_repeats(odd_docs).count() == 11
     assert suffix_columns.remove_repeats(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_passages_left_out_share_nothing(seed):
+    draw = random.Random(seed)
+    word = lambda: bytes(draw.choices(b"abcd ", k=draw.randrange(1, 7)))
+    shared = b"".join(word() for _ in range(60))
+    texts = [b"".join(word() for _ in range(40)) + shared[draw.randrange(60) :][: draw.randrange(60, 160)] + b"".join(word() for _ in range(40)) for _ in range(40)] + [b"abcab" * 60]
+    owner, begin, size, key, mark, periodic = suffix_columns.passages(texts)
+    strings = [texts[o][b : b + s] for o, b, s in zip(owner, begin, size, strict=True)]
+    order = np.argsort(key.view(np.int64), kind="stable")
+    strings, key = [strings[i] for i in order], key[order].view(np.int64)
+    chosen = suffix_columns.may_share(key, strings)
+    seen = {}
+    for i, s in enumerate(strings):
+        for at in range(len(s) - 99):
+            seen.setdefault((key[i], s[at : at + 100]), []).append(i)
+    needed = {i for where in seen.values() if len(where) > 1 for i in where}
+    assert needed <= set(np.flatnonzero(chosen).tolist()) and chosen.sum() < len(strings)
