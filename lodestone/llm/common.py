@@ -21,7 +21,7 @@ WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: Texts that a Python worker handles at once, by rows and by bytes of text.
 SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
 
-#: Arrow batches sent to Python workers, where the session has Spark's own defaults.
+#: Arrow batches sent to Python workers, where the session sets none.
 ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
@@ -31,14 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of this application import the package."""
+    """Lets Python workers of this application import the package, and bounds the batches they are sent."""
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
     for key, value in ARROW_BATCHES.items():
-        if spark.conf.get(key, None) in (None, "10000", "-1", "67108864", "64MB"):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
 
