@@ -6,6 +6,8 @@ is unset (tests, a laptop) a temporary folder of this machine is used instead.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -77,6 +79,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             held += size
         if batch.num_rows > start:
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the system, since workers wait for further tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

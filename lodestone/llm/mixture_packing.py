@@ -43,7 +43,7 @@ PARTS = 4096
 MOST_SOURCES = 10_000
 SLOT_DOCS = 4_000
 #: Distinct runs of letters or signs that a worker remembers from task to task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 EXPAND_AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
