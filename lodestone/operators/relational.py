@@ -245,12 +245,14 @@ def timing_summary(df: DataFrame, operation: str, seconds: str) -> DataFrame:
     )
 
 
-def renumber(df: DataFrame, order: Sequence[str], name: str, slices: int = 64) -> DataFrame:
+def renumber(df: DataFrame, order: Sequence[str], name: str, slices: int | None = None) -> DataFrame:
     """Dense numbers from 0 in a global order, without gathering all rows in one task.
 
     Rows are range-partitioned by the order and cut off there, so that slices stay as they are;
-    numbers within a slice start at the count of all rows in the slices before it.
+    numbers within a slice start at the count of all rows in the slices before it. ``slices`` is the
+    session's number of shuffle partitions if it is not given.
     """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = cut(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
     sizes = kept.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
