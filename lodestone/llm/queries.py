@@ -9,7 +9,7 @@ from lodestone.llm.compression_bands import compression_bands
 
 
 def op1_simhash_pivot(spark, sf_dir):
-    return simhash_pivot.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return simhash_pivot.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=simhash_pivot.SHINGLE, radius=simhash_pivot.RADIUS)
 
 
 def op2_suffix_columns(spark, sf_dir):

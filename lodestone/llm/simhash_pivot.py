@@ -11,8 +11,18 @@ inequality), and what is left is verified by its Hamming distance. Cells with mo
 fingerprint one bit away, and those that meet are linked through the least of them, which joins
 the same components without any pair.
 
-Null texts and texts without words have fingerprint zero, linked like any other. Copies share a
-fingerprint and are joined before any pairing. Other columns are not looked at.
+That holds for a radius of a few bits, as ``op1`` has it. Texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 differ by some ten bits with a deviation of three, so no radius that
+still tells texts apart reaches all of them. Where a similarity is asked for, which is the default,
+candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAND_ROWS``: of pairs at
+0.8, 3 in a million share no cell), and every pair is decided by the exact Jaccard similarity of its
+sets. A cell's members are first held against one of them, its leader, and only where that leaves
+several components against each other; while the pairs would be many, further leaders come first.
+Every pair of a cell is decided or already joined, whatever the cell's size.
+
+Null texts and texts without words have fingerprint zero, linked like any other; as sets they equal
+each other alone. Copies share a fingerprint, and texts of equal sets a set's digest, and are joined
+before any pairing. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,21 +45,39 @@ BLOCKS, BLOCK_BITS = 4, 16
 MOST_IN_CELL = 256
 PAIRS_AT_ONCE = 1 << 21
 _PAIRS = tuple(combinations(range(BLOCKS), 2))
-
-
-def fingerprint(raw: bytes) -> int:
-    """SimHash of the lower-cased text's word shingles; a bit is set if it is in over half of the hashes."""
+#: The general rule for near-duplicates, where ``op1`` has SHINGLE and RADIUS.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 32, 5
+#: Set members whose MinHash values are computed at once.
+MEMBERS_AT_ONCE = 1 << 11
+#: Pairs that are decided at once, without further leaders: so many for each member of a cell, and so many in all.
+PAIRS_A_MEMBER, FEW_PAIRS = 8, 1 << 20
+_MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+_FACTORS |= np.uint64(1)
+
+
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the lower-cased text's word shingles in their order; a text of fewer words is one shingle."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: len(words) - SHINGLE].tolist()]
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
+    starts = [0, *ends[: len(words) - shingle].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of the lower-cased text's word shingles; a bit is set if it is in over half of the hashes."""
+    return majority(shingle_hashes(raw, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -125,12 +153,12 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Columns (doc_id, fp) of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches):
-            prints = np.array([fingerprint(r) for r in common.utf8(batch.column("text"))], np.uint64)
+            prints = np.array([fingerprint(r, shingle) for r in common.utf8(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
@@ -204,13 +232,141 @@ def links(distinct: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (its least doc_id)."""
-    prints = common.written(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    settled = connected_components(links(distinct, most_in_cell))
-    rooted = distinct.join(settled, distinct["fp"] == settled["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+def set_digest(members: np.ndarray) -> int:
+    """A hash of a sorted set of shingle hashes."""
+    return xxhash.xxh64_intdigest(members.tobytes(), SEED)
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """The cells of a set: for each band a hash of its MinHash values [BANDS]; none for the empty set."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(members), MEMBERS_AT_ONCE):
+            np.minimum(least, ((members[at : at + MEMBERS_AT_ONCE] ^ _MASKS) * _FACTORS).min(1), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity at least."""
+    common_members = len(np.intersect1d(a, b, assume_unique=True))
+    return common_members >= similarity * (len(a) + len(b) - common_members) - 1e-9
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """Columns (doc_id, fp, node, size, cells): fingerprint, digest and size of the set of shingles, and its cells."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.text_slices(batches):
+            prints, nodes, sizes, cells = [], [], [], []
+            for raw in common.utf8(batch.column("text")):
+                hashes = shingle_hashes(raw, shingle)
+                members = np.unique(hashes)
+                prints.append(majority(hashes))
+                nodes.append(set_digest(members))
+                sizes.append(len(members))
+                cells.append(band_keys(members))
+            whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), *whole, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "node", "size", "cells"],
+            )
+
+    return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long, node long, size long, cells array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Columns (node, members) for the wanted nodes (columns node, rep); members are the bytes of the sorted set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.text_slices(batches):
+            sets = [np.unique(shingle_hashes(raw, shingle)) for raw in common.utf8(batch.column("text"))]
+            own = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
+            take = np.flatnonzero(own == batch.column("wanted").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary())], names=["node", "members"])
+
+    texts = common.only(docs, "doc_id", "text")
+    wanted = wanted.select("rep", F.col("node").alias("wanted"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
+    return found.mapInArrow(rows, "node long, members binary").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose sets are alike."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+
+    first = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
+    second = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(rows, "u long, v long")
+
+
+def _pairs_in_cells(members: DataFrame) -> DataFrame:
+    """All pairs of a cell's members that are in different components."""
+    left = members.select("cell", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("root").alias("u_root"))
+    right = members.select("cell", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
+    return left.join(right, "cell").where("u < v AND u_root <> v_root")
+
+
+def _pairs_with_leaders(members: DataFrame) -> DataFrame:
+    """Each member of a cell with the cell's leader, where they are in different components."""
+    lead = members.groupBy("cell").agg(F.min(F.struct("node", "size", "root")).alias("lead"))
+    both = members.join(lead, "cell").where("node <> lead.node AND root <> lead.root")
+    return both.select(F.col("lead.node").alias("u"), F.col("lead.size").alias("u_size"), F.col("node").alias("v"), F.col("size").alias("v_size"))
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Columns (node, root) that join distinct sets (columns node, rep, size, cells) into components of alike sets."""
+    cells = distinct.select("node", "size", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    members = common.written(cells.join(shared, "cell").select("cell", "node", "size", F.col("node").alias("root")), "cells")
+    wanted = common.written(distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep"), "wanted")
+    sets = common.written(_sets(docs, wanted, shingle), "sets")
+    links, settled, leading = None, None, True
+    most_pairs = PAIRS_A_MEMBER * members.count() + FEW_PAIRS
+    while not members.isEmpty():
+        pairs = _pairs_with_leaders(members) if leading else _pairs_in_cells(members)
+        fitting = pairs.where(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-9)
+        fresh = _confirmed(common.written(fitting.select("u", "v").distinct(), "pairs"), sets, similarity)
+        links = common.written(fresh if links is None else links.unionByName(fresh), "links")
+        settled = common.written(connected_components(links), "settled")
+        if not leading:
+            break
+        # The leaders are through with their cells: they leave, and so do cells that are one component.
+        lead = members.groupBy("cell").agg(F.min("node").alias("node"))
+        left = members.join(lead, ["cell", "node"], "left_anti").drop("root", "n").join(settled, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        still = left.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+        members = common.written(left.join(still, "cell").select("cell", "node", "size", "root", "n"), "cells")
+        leading = (members.agg(F.sum(F.col("n") - 1)).first()[0] or 0) > 2 * most_pairs
+    return distinct.select("node").limit(0).withColumn("root", F.col("node")) if settled is None else settled
+
+
+def near_duplicates(
+    docs: DataFrame, most_in_cell: int = MOST_IN_CELL, shingle: int = WIDE_SHINGLE, radius: int | None = None, similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (its least doc_id).
+
+    With a radius (cells are made for ``RADIUS`` alone) fingerprints within so many bits are linked;
+    without one, texts whose sets of shingles have the similarity (cells are made for ``SIMILARITY`` or more).
+    """
+    if radius not in (None, RADIUS) or similarity < SIMILARITY:
+        raise ValueError(f"cells are made for a radius of {RADIUS} bits, or a similarity of {SIMILARITY} or more")
+    if radius is None:
+        prints = common.written(sketches(docs, shingle), "sketches")
+        distinct = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("cells").alias("cells"))
+        settled = similar_components(docs, distinct, shingle, similarity)
+    else:
+        prints = common.written(fingerprints(docs, shingle), "fingerprints").withColumn("node", F.col("fp"))
+        distinct = prints.groupBy("node").agg(F.min("doc_id").alias("rep"))
+        settled = connected_components(links(distinct.select(F.col("node").alias("fp")), most_in_cell))
+    rooted = distinct.select("node", "rep").join(settled, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     rooted = common.written(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    mapping = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(mapping, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    mapping = rooted.join(named, "root").select("node", "component_id")
+    return prints.select("doc_id", "fp", "node").join(mapping, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

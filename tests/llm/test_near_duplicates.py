@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from lodestone.llm import components, simhash_pivot
 
 
@@ -87,3 +88,57 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert {found[i].component_id for i in (1, 2, 3)} == {1} and found[1].fingerprint == "0" * 16
     assert found[5].component_id == 4
     assert simhash_pivot.near_duplicates(no_docs).count() == 0
+
+
+def brute_groups(texts):
+    """Least id of each id's component under a Jaccard similarity of 0.8 on five-word shingles."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    least = {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            shared = len(sets[i] & sets[j])
+            if j > i and 10 * shared >= 8 * (len(sets[i]) + len(sets[j]) - shared) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if c == high else c for k, c in least.items()}
+    return least
+
+
+def edited_copies(seed, families, copies):
+    draw = random.Random(seed)
+    texts = {}
+    for _ in range(families):
+        words = [f"w{draw.randrange(5000)}" for _ in range(120)]
+        for _ in range(copies):
+            texts[len(texts)] = " ".join(words)
+            words = list(words)
+            for _ in range(draw.randrange(1, 7)):
+                words[draw.randrange(len(words))] = f"v{draw.randrange(5000)}"
+    return texts
+
+
+@pytest.mark.parametrize("most_pairs", [1000, 0])
+def test_similar_texts(spark, monkeypatch, most_pairs):
+    monkeypatch.setattr(simhash_pivot, "PAIRS_A_MEMBER", 0)
+    monkeypatch.setattr(simhash_pivot, "FEW_PAIRS", most_pairs)
+    texts = edited_copies(7, 5, 6) | {1000: "a b c", 1001: "A  b c", 1002: "a b d", 1003: None, 1004: " "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_pivot.near_duplicates(docs).collect()}
+    assert found == brute_groups(texts)
+    assert 5 < len(set(found.values())) < len(texts)
+
+
+def test_stage_removes_edited_copies(spark, small_dir):
+    texts = edited_copies(11, 20, 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small_dir).collect()}
+    assert kept == set(brute_groups(texts).values())
+    assert len({r.component_id for r in simhash_pivot.near_duplicates(docs, shingle=3, radius=2).collect()}) > len(kept)
+
+
+def test_only_what_cells_are_made_for(no_docs):
+    for wrong in ({"radius": 11}, {"similarity": 0.5}):
+        with pytest.raises(ValueError):
+            simhash_pivot.near_duplicates(no_docs, **wrong)
