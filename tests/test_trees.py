@@ -45,19 +45,39 @@ def nodes(spark):
         ("function", ["three"]),
         ("AsyncFunctionDef", ["three"]),
         ("FunctionDef", ["one", "two", "one"]),
-        ("Function:*", ["one", "two", "one"]),
+        ("Function:*", ["three"]),
+        ("Def:*", ["A", "one", "two", "three", "B", "one"]),
         ("class:not(class[name=A])", ["B"]),
         ("class[missing!=x]", []),
         ("method[name!=one]", ["two"]),
         ("module // If", [None]),
         ("class[name~=B]>*[kind=method]", ["one"]),
+        ("//FunctionDef[@name='two']", ["two"]),
+        ("//ClassDef//FunctionDef[@name=one]", ["one", "one"]),
+        ("//class[@name=A] > method", ["one", "two"]),
+        ("method:nth(1):first", ["two"]),
+        ("method:first:nth(1)", []),
+        ("method:last:first", ["one"]),
+        ("method:nth(7)", []),
+        ("class:not(class > method)", ["A", "B"]),
+        ("method:not(method:first)", []),
+        ("method:not(method:nth(1))", ["one", "two", "one"]),
+        ("class:not(class:not([name=A]))", ["A"]),
+        ("class [name=A]", ["A"]),
+        ("class:first [name=one]", ["one"]),
+        ("class > method[name=two] return", [None, None]),
+        ("class > method[name=two] Return", [None, None]),
+        ("module class > method > stmt smallstmt", [None]),
+        ("*[type=If]", [None]),
+        ("node:first", [None]),
+        ("Function:*[kind=method]", []),
     ],
 )
 def test_select(nodes, text, names):
     assert [r["name"] for r in selector.select(nodes, text).orderBy("doc", "pre").collect()] == names
 
 
-@pytest.mark.parametrize("text", ["", "class >", "> class", "class > > method", "class:not(a > b)", "class[", "class !"])
+@pytest.mark.parametrize("text", ["", "class >", "> class", "class > > method", "class:not(a", "class:not()", "class[", "class !", "class:nth", "class:first(1)", "class)", "class:last("])
 def test_unreadable(text):
     with pytest.raises(selector.SelectorError):
         selector.parse(text)
