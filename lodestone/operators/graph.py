@@ -15,9 +15,16 @@ MOST_EDGES = 5_000
 
 
 def edges_of(kinds: Mapping[str, DataFrame], most: int | None = MOST_EDGES) -> DataFrame:
-    """Edges (src, dst, kind) of several kinds, ordered before they are cut to ``most``; not de-duplicated."""
+    """Edges (src, dst, kind, truncated) of several kinds, ordered before they are cut to ``most``; not de-duplicated.
+
+    ``truncated`` says of every edge whether others were cut off; ``None`` cuts nothing.
+    """
     every = reduce(DataFrame.unionByName, [df.select("src", "dst", F.lit(kind).alias("kind")) for kind, df in kinds.items()])
-    return every.orderBy("src", "dst", "kind").limit(most) if most is not None else every
+    if most is None:
+        return every.withColumn("truncated", F.lit(False))
+    ahead = every.orderBy("src", "dst", "kind").limit(most + 1)
+    size = ahead.agg((F.count("*") > most).alias("truncated"))
+    return ahead.orderBy("src", "dst", "kind").limit(most).crossJoin(F.broadcast(size))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -26,14 +33,14 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def to_dot(edges: DataFrame, name: str = "graph") -> DataFrame:
-    """One row: the graph in DOT, lines in order."""
+    """One row: the graph in DOT, lines in order. A sink for graphs that fit a row; see ``edges_of`` for the bound."""
     line = F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), "kind")
     body = edges.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
     return body.select(F.concat(F.lit(f"digraph {name} {{\n"), "body", F.lit("\n}")).alias("dot"))
 
 
 def to_json(edges: DataFrame) -> DataFrame:
-    """One row: nodes and edges as JSON."""
+    """One row: nodes and edges as JSON. A sink for graphs that fit a row; see ``edges_of`` for the bound."""
     e = edges.agg(F.sort_array(F.collect_list(F.struct("src", "dst", "kind"))).alias("edges"))
     n = nodes_of(edges).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
@@ -133,29 +140,110 @@ def dependency_split(edges: DataFrame, internal: DataFrame, node: str) -> DataFr
     return edges.join(known, "dst", "left").select("src", "dst", F.when(F.col("_in"), "internal").otherwise("external").alias("side"))
 
 
-def dead_code(symbols: DataFrame, usages: DataFrame, key: str, is_test: Column, is_import: Column) -> DataFrame:
-    """Each symbol's class: live, test_only, import_only or unused, and its place in the report."""
+def dead_code(symbols: DataFrame, usages: DataFrame, key: str, is_test: Column, is_import: Column, file: str | None = None) -> DataFrame:
+    """Each symbol's class: live, test_only, import_only or unused, and its place in the report.
+
+    With ``file``, a column of both tables, imports from a symbol's own file do not count; other uses
+    there do. A name's importing files are then told apart by their least and greatest, so that no
+    usage ever meets a symbol of its name.
+    """
+    if file:
+        least, greatest = F.min(F.when(is_import, F.col(file))), F.max(F.when(is_import, F.col(file)))
+        seen = usages.groupBy(key).agg(F.max(~is_test & ~is_import).alias("_live"), F.max(is_test & ~is_import).alias("_test"), least.alias("_low"), greatest.alias("_high"))
+        joined = symbols.join(seen, key, "left").withColumn("_import", (F.col("_low") != F.col(file)) | (F.col("_high") != F.col(file)))
+        return _dead_code_state(joined, symbols.columns)
     seen = usages.groupBy(key).agg(F.max(~is_test & ~is_import).alias("_live"), F.max(is_test & ~is_import).alias("_test"), F.max(is_import).alias("_import"))
-    joined = symbols.join(seen, key, "left")
+    return _dead_code_state(symbols.join(seen, key, "left"), symbols.columns)
+
+
+def _dead_code_state(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     state = F.when(yes("_live"), "live").when(yes("_test"), "test_only").when(yes("_import"), "import_only").otherwise("unused")
     rank = F.when(yes("_live"), 3).when(yes("_test"), 2).when(yes("_import"), 1).otherwise(0)
-    return joined.select(*symbols.columns, state.alias("state"), rank.alias("rank"))
+    return joined.select(*columns, state.alias("state"), rank.alias("rank"))
 
 
-def cross_reference(usages: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
+def cross_reference(usages: DataFrame, spans: DataFrame, entities: DataFrame, bucket: int | None = None) -> DataFrame:
     """Edges caller to callee: the smallest entity around each usage, and the entity of the name used, same file first.
 
     ``usages``: usage_id, file, line, name. ``spans``: entity, file, first, last, rank.
-    ``entities``: entity, file, name.
+    ``entities``: entity, file, name. The least entity of each name, and of each name in each file,
+    is found first, so a usage meets one row of either however common its name is. ``bucket``: width
+    of cells that lines are dealt into, for files with very many spans.
     """
     s = spans.select(F.col("file").alias("_file"), "entity", F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("rank").alias("_rank"))
-    around = usages.join(s, (F.col("file") == F.col("_file")) & F.col("line").between(F.col("_first"), F.col("_last")), "left")
+    u, on = usages, F.col("file") == F.col("_file")
+    if bucket:
+        s = s.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / bucket), F.floor(F.col("_last") / bucket))))
+        u = u.withColumn("_at", F.floor(F.col("line") / bucket))
+        on = on & (F.col("_at") == F.col("_cell"))
+    around = u.join(s, on & F.col("line").between(F.col("_first"), F.col("_last")), "left")
     callers = around.groupBy(*usages.columns).agg(F.min_by("entity", F.when(F.col("entity").isNotNull(), F.struct(F.col("_last") - F.col("_first"), "_rank", -F.col("_first"), "entity"))).alias("caller"))
-    e = entities.select(F.col("entity").alias("callee"), F.col("file").alias("_callee_file"), F.col("name").alias("_name"))
-    named = callers.join(e, F.col("name") == F.col("_name"))
-    best = F.min_by("callee", F.struct(F.col("file") != F.col("_callee_file"), "callee"))
-    return named.groupBy("usage_id", "file", "line", "name", "caller").agg(best.alias("callee"))
+    near = entities.groupBy(F.col("name").alias("_near_name"), F.col("file").alias("_near_file")).agg(F.min("entity").alias("_near"))
+    far = near.groupBy(F.col("_near_name").alias("_far_name")).agg(F.min("_near").alias("_far"))
+    named = callers.join(far, F.col("name") == F.col("_far_name")).join(near, (F.col("name") == F.col("_near_name")) & (F.col("file") == F.col("_near_file")), "left")
+    return named.select("usage_id", "file", "line", "name", "caller", F.coalesce("_near", "_far").alias("callee"))
+
+
+def inherit_edges(classes: DataFrame, key: str, name: str, bases: str) -> DataFrame:
+    """Edges (src, dst, kind ``inherit``) from each class to its bases, met by the last part of their dotted names.
+
+    A base whose name no class, or more than one, has is left out. As one plan over all classes it
+    does not depend on which of them came first, so nothing is filled in later.
+    """
+    parent = F.element_at(F.split("_base", r"\."), -1)
+    wanted = classes.select(F.col(key).alias("src"), F.explode(F.col(bases)).alias("_base")).select("src", parent.alias("_parent")).distinct()
+    single = classes.groupBy(F.col(name).alias("_parent")).agg(F.count("*").alias("_n"), F.min(key).alias("dst")).where("_n = 1")
+    return wanted.join(single, "_parent").select("src", "dst", F.lit("inherit").alias("kind"))
+
+
+def find_usages(imports: DataFrame, classes: DataFrame, usages: DataFrame, target: str, target_type: str | None = None, target_class: str | None = None, file: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Where a name is used: imports, classes that inherit from it, and calls; a page by file and line.
+
+    ``imports``: file, line, name, module. ``classes``: file, line, name, bases. ``usages``: file, line,
+    name, target_type (class, function or method), target_class, usage. Columns (source, file, line,
+    name, target_type, target_class, usage). Imports are asked for classes and functions, bases for
+    classes, calls always; pages are cut once, after the union.
+    """
+    parts = []
+    if target_type in ("class", "function", None):
+        own = imports.where(F.col("name") == target)
+        parts.append(own.select(F.lit("import").alias("source"), "file", "line", "name", F.lit(target_type or "import").alias("target_type"), F.lit(None).cast("string").alias("target_class"), F.lit("import").alias("usage")))
+    if target_type in ("class", None):
+        own = classes.where(F.array_contains("bases", target))
+        parts.append(own.select(F.lit("inheritance").alias("source"), "file", "line", F.lit(target).alias("name"), F.lit("class").alias("target_type"), F.lit(None).cast("string").alias("target_class"), F.lit("inheritance").alias("usage")))
+    own = usages.where(F.col("name") == target)
+    for column, value in (("target_type", target_type), ("target_class", target_class)):
+        own = own.where(F.col(column) == value) if value is not None else own
+    parts.append(own.select(F.lit("usage").alias("source"), "file", "line", "name", "target_type", "target_class", "usage"))
+    return _page(parts, file, limit, offset)
+
+
+def find_dependencies(imports: DataFrame, classes: DataFrame, usages: DataFrame, target: str, target_type: str | None = None, target_class: str | None = None, file: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """What depends on a name; as ``find_usages``, but imports also by a part of their module, and modules are asked for imports alone."""
+    parts = []
+    if target_type in ("class", "function", "module", None):
+        own = imports.where((F.col("name") == target) | F.coalesce(F.col("module").contains(target), F.lit(False)))
+        parts.append(own.select(F.lit("import").alias("source"), "file", "line", "name", F.lit(None).cast("string").alias("target_type"), F.lit(None).cast("string").alias("target_class")))
+    if target_type in ("class", None):
+        own = classes.where(F.array_contains("bases", target))
+        parts.append(own.select(F.lit("inheritance").alias("source"), "file", "line", "name", F.lit("class").alias("target_type"), F.lit(None).cast("string").alias("target_class")))
+    if target_type in ("class", "function", "method", None):
+        own = usages.where(F.col("name") == target)
+        for column, value in (("target_type", target_type), ("target_class", target_class)):
+            own = own.where(F.col(column) == value) if value is not None else own
+        parts.append(own.select(F.lit("usage").alias("source"), "file", "line", "name", "target_type", "target_class"))
+    return _page(parts, file, limit, offset)
+
+
+def _page(parts: Sequence[DataFrame], file: str | None, limit: int | None, offset: int) -> DataFrame:
+    every = reduce(DataFrame.unionByName, parts)
+    every = every.where(F.col("file") == file) if file is not None else every
+    if limit is None and not offset:
+        return every
+    place = F.when(F.col("source") == "import", 0).when(F.col("source") == "inheritance", 1).otherwise(2)
+    ordered = every.orderBy(place, "file", "line", "name").offset(offset)
+    return ordered.limit(limit) if limit is not None else ordered
 
 
 def neighbours(edges: DataFrame, node, towards: str = "dependencies") -> DataFrame:
@@ -166,5 +254,6 @@ def neighbours(edges: DataFrame, node, towards: str = "dependencies") -> DataFra
 
 def issues(components: DataFrame, kind: str = "import_cycle") -> DataFrame:
     """An issue row per cycle of two nodes or more."""
-    rings = components.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") >= 2)
+    sizes = components.groupBy("component").agg(F.count("*").alias("_n")).where("_n >= 2")
+    rings = components.join(sizes, "component").groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     return rings.select(F.lit(kind).alias("issue_type"), F.concat_ws(" -> ", F.transform("nodes", lambda n: n.cast("string"))).alias("description"), F.size("nodes").alias("n_nodes"))

@@ -147,28 +147,60 @@ def missing_docstrings(df: DataFrame, key: str, text: str) -> DataFrame:
     return exploded(df, key, text, "kind string, qualname string, line int", rows)
 
 
+def _called_on(value: ast.AST, owner: str | None) -> str | None:
+    """The class of a method call: the one around it if the call is on ``self`` or on what hangs from it."""
+    while isinstance(value, ast.Attribute):
+        value = value.value
+    return owner if isinstance(value, ast.Name) and value.id == "self" else None
+
+
 def usages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Calls: of functions, of classes (a capital first), and of methods, those on ``self`` with their class."""
+    """Calls of functions, of classes (a capital first) and of methods, with the class and function around them."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
         out: list[tuple] = []
-        stack: list[tuple[ast.AST, str | None]] = [(root, None)] if root else []
+        stack: list[tuple[ast.AST, str | None, str | None]] = [(root, None, None)] if root else []
         while stack:
-            node, owner = stack.pop()
+            node, owner, function = stack.pop()
             if isinstance(node, ast.ClassDef):
                 owner = node.name
-            if isinstance(node, ast.Call):
+            elif isinstance(node, FUNCTIONS):
+                function = node.name
+            if isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
                 f = node.func
-                if isinstance(f, ast.Name):
-                    out.append((f.id, "instantiation" if f.id[:1].isupper() else "call", None, node.lineno))
-                elif isinstance(f, ast.Attribute):
-                    own = owner if isinstance(f.value, ast.Name) and f.value.id == "self" else getattr(f.value, "id", None)
-                    out.append((f.attr, "method", own, node.lineno))
-            stack += [(child, owner) for child in ast.iter_child_nodes(node)]
-        return sorted(out, key=lambda r: (r[3], r[0]))
+                context = " | ".join(f"{kind}:{name}" for kind, name in (("class", owner), ("function", function)) if name) or None
+                if isinstance(f, ast.Attribute):
+                    out.append((f.attr, "method", "call", _called_on(f.value, owner), context, node.lineno))
+                else:
+                    made = f.id[:1].isupper()
+                    out.append((f.id, "class" if made else "function", "instantiation" if made else "call", None, context, node.lineno))
+            stack += [(child, owner, function) for child in ast.iter_child_nodes(node)]
+        return sorted(out, key=lambda r: (r[5], r[0]))
+
+    return exploded(df, key, text, "name string, target_type string, usage string, target_class string, context string, line int", rows)
+
+
+def imports(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Imported names with their module (null for plain imports) and the kind of statement."""
+
+    def rows(source: str) -> list[tuple]:
+        root = _parsed(source)
+        found = [n for n in ast.walk(root) if isinstance(n, ast.Import | ast.ImportFrom)] if root else []
+        return [(a.name, getattr(n, "module", None), "import_from" if isinstance(n, ast.ImportFrom) else "import", n.lineno) for n in sorted(found, key=lambda n: n.lineno) for a in n.names]
+
+    return exploded(df, key, text, "name string, module string, import_type string, line int", rows)
 
-    return exploded(df, key, text, "name string, usage string, target_class string, line int", rows)
+
+def classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Classes with their bases as written."""
+
+    def rows(source: str) -> list[tuple]:
+        root = _parsed(source)
+        found = [(n, q) for n, _, q in _definitions(root) if isinstance(n, ast.ClassDef)] if root else []
+        return [(n.name, q, [ast.unparse(b) for b in n.bases], n.lineno) for n, q in found]
+
+    return exploded(df, key, text, "name string, qualname string, bases array<string>, line int", rows)
 
 
 def docstring_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -188,44 +220,50 @@ def docstring_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class _Normal(ast.NodeTransformer):
-    """Names by first place, strings and numbers (with booleans) made alike, docstrings gone."""
+    """Variables, arguments and names of functions by first place, and values made alike by their kind.
+
+    ``self``, ``cls``, attributes, keywords, names of classes and ``None`` stay as they are; docstrings
+    are strings like any other, decorators and annotations count.
+    """
 
     def __init__(self) -> None:
-        self.names: dict[str, str] = {}
+        self.known: dict[str, str] = {}
 
-    def _name(self, name: str) -> str:
-        return self.names.setdefault(name, f"_VAR{len(self.names)}_")
+    def _alias(self, name: str) -> str:
+        return self.known.setdefault(name, f"name{len(self.known)}")
 
     def visit_Name(self, node: ast.Name) -> ast.Name:
-        return ast.Name(self._name(node.id), ast.Load())
+        return node if node.id in ("self", "cls") else ast.Name(self._alias(node.id), node.ctx)
 
     def visit_arg(self, node: ast.arg) -> ast.arg:
-        return ast.arg(self._name(node.arg), None)
+        return ast.arg(self._alias(node.arg), self.visit(node.annotation) if node.annotation else None)
+
+    def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> ast.AST:
+        node.name = self._alias(node.name)
+        return self.generic_visit(node)
+
+    visit_FunctionDef = visit_AsyncFunctionDef = _function
 
     def visit_Constant(self, node: ast.Constant) -> ast.Constant:
-        if isinstance(node.value, str | bytes):
-            return ast.Constant("_STR_")
-        return ast.Constant("_NUM_") if isinstance(node.value, int | float | complex) else node
+        if node.value is None:
+            return node
+        return ast.Constant("number" if isinstance(node.value, int | float | complex) else "string")
 
 
 def normal_source(node: ast.AST) -> str:
     """A definition as text that does not depend on names and values."""
-    copy = ast.parse(ast.unparse(node)).body[0]
-    copy.body = _body(copy) or [ast.Pass()]
-    copy.name = "_DEF_"
-    copy.decorator_list = []
-    return ast.unparse(_Normal().visit(copy))
+    return ast.dump(_Normal().visit(ast.parse(ast.unparse(node)).body[0]), annotate_fields=False)
 
 
 def structural_hashes(df: DataFrame, key: str, text: str, least_lines: int = 5) -> DataFrame:
-    """Hash of the normal form of every definition of ``least_lines`` lines or more."""
+    """Hash of the normal form of every function and method of ``least_lines`` lines or more; the two never share one."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
         out = []
-        for node, _, qualname in _definitions(root) if root else ():
-            if node.end_lineno - node.lineno + 1 >= least_lines:
-                kind = "class" if isinstance(node, ast.ClassDef) else "function"
+        for node, parent, qualname in _definitions(root) if root else ():
+            if isinstance(node, FUNCTIONS) and node.end_lineno - node.lineno + 1 >= least_lines:
+                kind = "method" if isinstance(parent, ast.ClassDef) and node in parent.body else "function"
                 out.append((qualname, node.lineno, node.end_lineno, f"{kind}:{hashlib.sha256(normal_source(node).encode()).hexdigest()}"))
         return out
 

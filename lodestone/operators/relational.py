@@ -43,25 +43,54 @@ def grep_budget(texts: DataFrame, key: str, most_texts: int) -> DataFrame:
     return texts.orderBy(key).limit(most_texts)
 
 
-def freshness(indexed_sum: Column, indexed_time: Column, current_sum: Column, current_time: Column) -> Column:
-    """missing_index, unavailable, stale or fresh; checksums decide where there are two, else times."""
+def grep_bounded(lines: DataFrame, key: str, content: str, pattern: str, most_texts: int, most_matches: int, most_bytes: int, regex: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Matches by key and line within a budget, each with why the search stopped (``exceeded``, null if it did not).
+
+    The budget is the number of texts looked at, of matches, and of bytes of the matched lines; the
+    first match that no longer fits ends the list. ``exceeded`` names the first limit met: texts,
+    matches or bytes. Only rows within the first two limits meet in one task.
+    """
+    looked_at = lines.select(key).distinct().orderBy(key).limit(most_texts + 1)
+    places = looked_at.withColumn("_place", F.row_number().over(Window.orderBy(key)))
+    more = places.agg(F.coalesce(F.max("_place") > most_texts, F.lit(False)).alias("_more_texts"))
+    own = lines.join(F.broadcast(places.where(F.col("_place") <= most_texts).select(key)), key, "left_semi")
+    found = grep(own, content, pattern, regex, ignore_case, most_matches + 1, [key, "line"])
+    order = Window.orderBy(key, "line")
+    counted = found.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", F.sum(F.octet_length(content)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = counted.agg(F.coalesce(F.max("_n") > most_matches, F.lit(False)).alias("_more_matches"), F.coalesce(F.max(F.when(F.col("_n") <= most_matches, F.col("_bytes"))) > most_bytes, F.lit(False)).alias("_more_bytes"))
+    reason = F.when(F.col("_more_bytes"), "bytes").when(F.col("_more_matches"), "matches").when(F.col("_more_texts"), "texts")
+    why = over.crossJoin(F.broadcast(more)).select(reason.alias("exceeded"))
+    kept = counted.where((F.col("_n") <= most_matches) & (F.col("_bytes") <= most_bytes))
+    return kept.drop("_n", "_bytes").crossJoin(F.broadcast(why))
+
+
+def freshness(known: Column, indexed_sum: Column, indexed_time: Column, disk_sum: Column, disk_time: Column) -> Column:
+    """missing_index, unavailable_index, stale or fresh.
+
+    No record: missing; one without checksum and time: unavailable. Stale is a checksum that differs
+    from the disk's, or a disk time that is newer, even where the checksums agree.
+    """
     return (
-        F.when(indexed_sum.isNull() & indexed_time.isNull(), "missing_index")
-        .when(current_sum.isNull() & current_time.isNull(), "unavailable")
-        .when(indexed_sum.isNotNull() & current_sum.isNotNull(), F.when(indexed_sum == current_sum, "fresh").otherwise("stale"))
-        .when(indexed_time >= current_time, "fresh")
-        .otherwise("stale")
+        F.when(~F.coalesce(known, F.lit(False)), "missing_index")
+        .when(indexed_sum.isNull() & indexed_time.isNull(), "unavailable_index")
+        .when(indexed_sum.isNotNull() & ~indexed_sum.eqNullSafe(disk_sum), "stale")
+        .when(F.coalesce(disk_time > indexed_time, F.lit(False)), "stale")
+        .otherwise("fresh")
     )
 
 
-def coverage(known: Column, deleted: Column, contents: Column, indexed_time: Column, current_time: Column) -> Column:
-    """not_indexed, deleted, missing_content, changed or current."""
+def coverage(known: Column, deleted: Column, contents: Column, indexed_time: Column, disk_time: Column) -> Column:
+    """not_indexed, deleted, missing_content, changed_since_index or indexed_current.
+
+    Changed is a file that is gone from the disk (no disk time), or newer there; an older one is current.
+    """
+    newer = disk_time > F.coalesce(indexed_time, F.lit(0.0)) + COVERAGE_TOLERANCE
     return (
         F.when(~F.coalesce(known, F.lit(False)), "not_indexed")
         .when(F.coalesce(deleted, F.lit(False)), "deleted")
         .when(F.coalesce(contents, F.lit(0)) == 0, "missing_content")
-        .when(F.abs(F.coalesce(current_time, F.lit(0.0)) - F.coalesce(indexed_time, F.lit(0.0))) > COVERAGE_TOLERANCE, "changed")
-        .otherwise("current")
+        .when(F.coalesce(newer, F.lit(True)), "changed_since_index")
+        .otherwise("indexed_current")
     )
 
 
@@ -78,16 +107,16 @@ def staleness(known: Column, indexed_sum: Column, current_sum: Column, in_sessio
 
 def search_candidates(files: DataFrame, allowed: Column, state: Column) -> DataFrame:
     """Files of a search with where to look for them: the index if that is current, else the disk; others are left out."""
-    return files.where(allowed).withColumn("look_in", F.when(state == "current", "index").otherwise("disk"))
+    return files.where(allowed).withColumn("look_in", F.when(state == "indexed_current", "index").otherwise("disk"))
 
 
-def time_gate(seen: Column, current: Column, tolerance: float = CHANGE_TOLERANCE) -> Column:
-    """Whether a result has to be made anew: no_current, no_previous, unchanged or changed."""
+def time_gate(seen: Column, disk: Column, tolerance: float = CHANGE_TOLERANCE) -> Column:
+    """Why a result has to be made anew (no_record, disk_newer) or not (equal_within_tolerance, disk_older)."""
     return (
-        F.when(current.isNull(), "no_current")
-        .when(seen.isNull(), "no_previous")
-        .when(F.abs(current - seen) <= tolerance, "unchanged")
-        .otherwise("changed")
+        F.when(seen.isNull(), "no_record")
+        .when(disk > seen + tolerance, "disk_newer")
+        .when(F.abs(disk - seen) <= tolerance, "equal_within_tolerance")
+        .when(disk.isNotNull(), "disk_older")
     )
 
 

@@ -26,7 +26,7 @@ def _regions(spark, sf_dir):
     return tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 100).alias("dst"))
 
 
-@register("graph_edges", _EDGES + " SELECT src, dst, 'trade' AS kind FROM edges UNION ALL SELECT n_nationkey, n_regionkey + 100, 'region' FROM nation")
+@register("graph_edges", _EDGES + " SELECT src, dst, 'trade' AS kind, false AS truncated FROM edges UNION ALL SELECT n_nationkey, n_regionkey + 100, 'region', false FROM nation")
 def graph_edges(spark, sf_dir):
     return graph.edges_of({"trade": _edges(spark, sf_dir), "region": _regions(spark, sf_dir)})
 
@@ -41,7 +41,14 @@ def graph_dot(spark, sf_dir):
     return graph.to_dot(_regions(spark, sf_dir).withColumn("kind", F.lit("region")), "regions")
 
 
-@register("graph_json")
+@register("graph_edges_cut", "SELECT o_custkey AS src, o_orderkey AS dst, 'order' AS kind, (SELECT count(*) FROM orders) > 500 AS truncated FROM orders ORDER BY src, dst LIMIT 500")
+def graph_edges_cut(spark, sf_dir):
+    """The first edges of a graph that is larger than asked for, which every edge then says."""
+    return graph.edges_of({"order": tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))}, 500)
+
+
+@register("graph_json", _EDGES + """ SELECT '{"nodes":[' || (SELECT string_agg(node, ',' ORDER BY node) FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)) || '],"edges":['
+    || (SELECT string_agg('{"src":' || src || ',"dst":' || dst || ',"kind":"trade"}', ',' ORDER BY src, dst) FROM edges) || ']}' AS json""")
 def graph_json(spark, sf_dir):
     return graph.to_json(_edges(spark, sf_dir).withColumn("kind", F.lit("trade")))
 
@@ -103,12 +110,15 @@ def dependency_split(spark, sf_dir):
     return graph.dependency_split(_edges(spark, sf_dir), tables.read(spark, sf_dir, "nation").where("n_regionkey = 1"), "n_nationkey")
 
 
-@register("dead_code_classes", """WITH seen AS (SELECT l_partkey, max((l_returnflag <> 'R' AND l_linestatus = 'O')::INT) AS live, max((l_returnflag = 'R' AND l_linestatus = 'O')::INT) AS test, max((l_linestatus = 'F')::INT) AS imp FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
-    SELECT p_partkey, CASE WHEN live = 1 THEN 'live' WHEN test = 1 THEN 'test_only' WHEN imp = 1 THEN 'import_only' ELSE 'unused' END AS state, CASE WHEN live = 1 THEN 3 WHEN test = 1 THEN 2 WHEN imp = 1 THEN 1 ELSE 0 END AS rank FROM part LEFT JOIN seen ON p_partkey = l_partkey""")
+@register("dead_code_classes", """WITH seen AS (SELECT l_partkey, max((l_returnflag <> 'R' AND l_linestatus = 'O')::INT) AS live, max((l_returnflag = 'R' AND l_linestatus = 'O')::INT) AS test, count(DISTINCT l_suppkey) FILTER (l_linestatus = 'F') AS files, max(l_suppkey) FILTER (l_linestatus = 'F') AS one FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
+    own AS (SELECT p_partkey, p_partkey % 50 + 1 AS file FROM part), j AS (SELECT p_partkey, live, test, coalesce(files > 1 OR one <> file, false)::INT AS imp FROM own LEFT JOIN seen ON p_partkey = l_partkey)
+    SELECT p_partkey, CASE WHEN live = 1 THEN 'live' WHEN test = 1 THEN 'test_only' WHEN imp = 1 THEN 'import_only' ELSE 'unused' END AS state, CASE WHEN live = 1 THEN 3 WHEN test = 1 THEN 2 WHEN imp = 1 THEN 1 ELSE 0 END AS rank FROM j""")
 def dead_code_classes(spark, sf_dir):
-    part, li = tables.read(spark, sf_dir, "part").select("p_partkey"), tables.read(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    found = graph.dead_code(part, li.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")
-    return found.orderBy("rank", "p_partkey")
+    """Parts as symbols, lines as uses; a supplier is a file, and imports from a symbol's own do not count."""
+    part = tables.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50 + 1).alias("l_suppkey"))
+    li = tables.read(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey")
+    found = graph.dead_code(part, li, "p_partkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", "l_suppkey")
+    return found.drop("l_suppkey").orderBy("rank", "p_partkey")
 
 
 @register("entity_neighbours", _EDGES + " SELECT DISTINCT dst AS node, 'dependency' AS side FROM edges WHERE src = 3 UNION ALL SELECT DISTINCT src, 'dependent' FROM edges WHERE dst = 3")

@@ -9,6 +9,7 @@ from lodestone.functions import logs, patterns
 from lodestone.operators import duplicates, relational
 from lodestone.plans.catalog import register
 from lodestone.sources import files, tables
+from lodestone.sources.lineage import scratch
 
 
 def _t(spark, sf_dir, *names):
@@ -137,29 +138,42 @@ def grep_budget(spark, sf_dir):
     return relational.grep_budget(_t(spark, sf_dir, "documents"), "doc_id", 100).select("doc_id", F.length("text").alias("chars"))
 
 
-@register("freshness_verdict", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_index' WHEN d.doc_id % 7 = 0 THEN 'unavailable'
-    WHEN l.quality = 1 THEN 'fresh' ELSE 'stale' END AS verdict FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@register("grep_bounded", f"""WITH looked AS (SELECT DISTINCT doc_id FROM documents ORDER BY doc_id LIMIT 400), m AS (SELECT doc_id, line, octet_length(encode(content)) AS size FROM {_LINES} WHERE doc_id IN (SELECT doc_id FROM looked) AND contains(content, 'thing')),
+    c AS (SELECT doc_id, line, row_number() OVER w AS n, sum(size) OVER w AS bytes FROM m WINDOW w AS (ORDER BY doc_id, line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT doc_id, line, CASE WHEN (SELECT max(bytes) FILTER (n <= 200) FROM c) > 60000 THEN 'bytes' WHEN (SELECT count(*) FROM c) > 200 THEN 'matches' WHEN (SELECT count(DISTINCT doc_id) FROM documents) > 400 THEN 'texts' END AS exceeded FROM c WHERE n <= 200 AND bytes <= 60000""")
+def grep_bounded(spark, sf_dir):
+    rows = files.lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    found = relational.grep_bounded(rows, "doc_id", "content", "thing", 400, 200, 60_000)
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), "exceeded")
+
+
+@register("freshness_verdict", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_index' WHEN d.doc_id % 5 = 0 AND d.doc_id % 3 = 0 THEN 'unavailable_index' WHEN d.doc_id % 5 = 1 THEN 'stale'
+    WHEN d.doc_id % 3 <> 0 AND d.doc_id % 7 > 3 THEN 'stale' ELSE 'fresh' END AS verdict FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def freshness_verdict(spark, sf_dir):
+    """Records without a checksum, without a time, with neither; disk times that are older, equal and newer."""
     docs, labels = _t(spark, sf_dir, "documents", "labels")
     both = docs.join(labels.withColumn("known", F.lit(True)), "doc_id", "left")
-    now = F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256))
-    seen = F.when(F.col("known"), F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise("other"))
-    none = F.lit(None).cast("double")
-    return both.select("doc_id", relational.freshness(seen, none, now, none).alias("verdict"))
+    now = F.sha2("text", 256)
+    seen = F.when(F.col("doc_id") % 5 == 1, "other").when(F.col("doc_id") % 5 != 0, now)
+    verdict = relational.freshness(F.col("known"), seen, F.when(F.col("doc_id") % 3 != 0, 103.0), now, (100 + F.col("doc_id") % 7).cast("double"))
+    return both.select("doc_id", verdict.alias("verdict"))
 
 
 @register("coverage_classify", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_indexed' WHEN l.toxic = 1 THEN 'deleted' WHEN d.n_chars < 200 THEN 'missing_content'
-    WHEN l.quality = 0 THEN 'changed' ELSE 'current' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)""")
+    WHEN d.doc_id % 5 = 0 OR d.doc_id % 5 = 4 OR (d.doc_id % 5 = 1 AND d.doc_id % 11 = 7) OR (d.doc_id % 5 IN (2, 3) AND d.doc_id % 11 = 7) THEN 'changed_since_index' ELSE 'indexed_current' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def coverage_classify(spark, sf_dir):
+    """Files that are gone (0), older than the index (1), as old (2), newer within the tolerance (3) and newer (4); some without a time in the index."""
     docs, labels = _t(spark, sf_dir, "documents", "labels")
     both = docs.join(labels.withColumn("known", F.lit(True)), "doc_id", "left")
-    state = relational.coverage(F.col("known"), F.col("toxic") == 1, F.when(F.col("n_chars") >= 200, 1).otherwise(0), F.col("quality").cast("double"), F.lit(1.0))
+    kind = F.col("doc_id") % 5
+    disk = F.when(kind == 1, 0.5).when(kind == 2, 1.0).when(kind == 3, 1.0 + 5e-7).when(kind == 4, 1.1)
+    state = relational.coverage(F.col("known"), F.col("toxic") == 1, F.when(F.col("n_chars") >= 200, 1).otherwise(0), F.when(F.col("doc_id") % 11 != 7, 1.0), disk)
     return both.select("doc_id", state.alias("state"))
 
 
 @register("mtime_gate_verdict", """WITH last AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
     gate AS (SELECT a.user_id, a.value AS current, b.value AS seen FROM last a LEFT JOIN last b ON a.user_id = b.user_id AND b.rn = 2 WHERE a.rn = 1)
-    SELECT user_id, CASE WHEN current IS NULL THEN 'no_current' WHEN seen IS NULL THEN 'no_previous' WHEN abs(current - seen) <= 0.1 THEN 'unchanged' ELSE 'changed' END AS reason FROM gate""")
+    SELECT user_id, CASE WHEN seen IS NULL THEN 'no_record' WHEN current > seen + 0.1 THEN 'disk_newer' WHEN abs(current - seen) <= 0.1 THEN 'equal_within_tolerance' ELSE 'disk_older' END AS reason FROM gate""")
 def mtime_gate_verdict(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     last = _t(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).withColumn("seen", F.lead("value").over(w)).where("rn = 1")
@@ -198,21 +212,77 @@ def structural_gate(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", relational.structural_gate(checks).alias("verdict"))
 
 
-@register("log_grammar", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CASE event_id % 5 WHEN 4 THEN 'UNKNOWN' ELSE upper(event_type) END AS level,
-    CASE event_id % 5 WHEN 0 THEN least(event_id % 13, 10) WHEN 4 THEN 0 ELSE CASE event_type WHEN 'error' THEN 8 ELSE 0 END END AS importance,
-    CASE event_id % 5 WHEN 4 THEN 'free text ' || user_id ELSE 'user ' || user_id END AS message FROM events WHERE event_id % 5 <> 3""")
+#: Line forms of a log by remainder of the event's id, with what they parse to: (line, has a stamp, level, importance, message).
+_LOG_FORMS = [
+    ("{s} | {e} | {i} | user {u}", True, "{e}", "stated", "user {u}"),
+    ("{s} | {e} | user {u}", True, "{e}", "usual", "user {u}"),
+    ("{s} - {e} - user {u}", True, "{e}", "usual", "user {u}"),
+    ("{s} | INFO | high | user {u}", True, "INFO", "4", "user {u}"),
+    ("free text {u}", False, "UNKNOWN", "4", "free text {u}"),
+    ("{s} worker {u} got ERROR, then INFO", True, "ERROR", "8", "{s} worker {u} got ERROR, then INFO"),
+    ("{s} nothing {u}", True, "UNKNOWN", "4", "{s} nothing {u}"),
+    ("not a stamp | INFO | 3 | user {u}", False, "UNKNOWN", "4", "not a stamp | INFO | 3 | user {u}"),
+    ("{s} |  debug | +7 |  user | {u} ", True, "debug", "7", "user | {u}"),
+    ("{s} | CRITICAL | -3 | user {u}", True, "CRITICAL", "0", "user {u}"),
+    ("{s}: user {u} - WARNING - x", True, "WARNING", "6", "{s}: user {u} - WARNING - x"),
+]
+
+
+def _log_sql(text: str) -> str:
+    parts = {"{s}": "strftime(ts, '%Y-%m-%d %H:%M:%S')", "{e}": "event_type", "{u}": "user_id", "{i}": "event_id % 13"}
+    out = "'" + text + "'"
+    for mark, column in parts.items():
+        out = out.replace(mark, f"' || ({column})::VARCHAR || '")
+    return out
+
+
+def _log_case(values: list[str]) -> str:
+    return f"CASE event_id % {len(_LOG_FORMS)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _log_line():
+    parts = {"{s}": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "{e}": F.col("event_type"), "{u}": F.col("user_id").cast("string"), "{i}": (F.col("event_id") % 13).cast("string")}
+    line = F.lit(None).cast("string")
+    for at, (form, *_) in enumerate(_LOG_FORMS):
+        own = F.lit(form)
+        for mark, column in parts.items():
+            own = F.replace(own, F.lit(mark), column) if mark in form else own
+        line = F.when(F.col("event_id") % len(_LOG_FORMS) == at, own).otherwise(line)
+    return line
+
+
+_USUAL = "CASE upper(event_type) WHEN 'DEBUG' THEN 2 WHEN 'INFO' THEN 4 WHEN 'WARNING' THEN 6 WHEN 'ERROR' THEN 8 WHEN 'CRITICAL' THEN 10 ELSE 4 END"
+_IMPORTANCE = _log_case([{"stated": "least(event_id % 13, 10)", "usual": _USUAL}.get(f[3], f[3]) for f in _LOG_FORMS])
+_STAMPED = ", ".join(str(i) for i, f in enumerate(_LOG_FORMS) if f[1])
+
+
+@register("log_grammar", f"""SELECT event_id, CASE WHEN event_id % {len(_LOG_FORMS)} IN ({_STAMPED}) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp, {_log_case([_log_sql(f[2]) for f in _LOG_FORMS])} AS level,
+    {_IMPORTANCE} AS importance, {_log_case([_log_sql(f[4]) for f in _LOG_FORMS])} AS message FROM events""")
 def log_grammar(spark, sf_dir):
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    message, kind = F.concat(F.lit("user "), F.col("user_id").cast("string")), F.col("event_id") % 5
-    line = (
-        F.when(kind == 0, F.concat_ws(" | ", stamp, "event_type", (F.col("event_id") % 13).cast("string"), message))
-        .when(kind == 1, F.concat_ws(" | ", stamp, "event_type", message))
-        .when(kind == 2, F.concat_ws(" - ", stamp, "event_type", message))
-        .otherwise(F.concat(F.lit("free text "), F.col("user_id").cast("string")))
-    )
-    parsed = _t(spark, sf_dir, "events").where("event_id % 5 <> 3").select("event_id", stamp.alias("real"), logs.parse_line(line).alias("p"))
-    shown = F.coalesce(F.date_format("p.stamp", "yyyy-MM-dd HH:mm:ss"), "real")
-    return parsed.select("event_id", shown.alias("stamp"), "p.level", F.col("p.importance").cast("long").alias("importance"), "p.message")
+    parsed = _t(spark, sf_dir, "events").select("event_id", logs.parse_line(_log_line()).alias("p"))
+    return parsed.select("event_id", F.date_format("p.stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "p.level", F.col("p.importance").cast("long").alias("importance"), "p.message")
+
+
+@register("log_files", f"""SELECT level, count(*) AS n, sum(importance)::BIGINT AS importance FROM (SELECT {_log_case([_log_sql(f[2]) for f in _LOG_FORMS])} AS level, {_IMPORTANCE} AS importance FROM events) GROUP BY 1""")
+def log_files(spark, sf_dir):
+    """The same lines from plain and from gzip files of one folder."""
+    lines = _t(spark, sf_dir, "events").select((F.col("event_id") % 2).alias("half"), _log_line().alias("value"))
+    folder = scratch(spark, "logs")
+    for half, codec in ((0, "none"), (1, "gzip")):
+        lines.where(F.col("half") == half).select("value").write.mode("append").option("compression", codec).text(folder)
+    parsed = files.log_lines(spark, folder).select(logs.parse_line(F.col("text")).alias("p"))
+    return parsed.groupBy("p.level").agg(F.count("*").alias("n"), F.sum("p.importance").alias("importance"))
+
+
+@register("directory_scan", """SELECT 'kind=' || n_regionkey || '/' AS folder, count(*) AS n_lines FROM nation WHERE n_regionkey NOT IN (2, 3) GROUP BY 1""")
+def directory_scan(spark, sf_dir):
+    """Files of a written folder: one directory is ignored by its name, another by a pattern; marker files by their suffix."""
+    folder = scratch(spark, "scan")
+    _t(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").alias("kind")).write.partitionBy("kind").text(folder)
+    rules = files.ScanRules(suffixes=(".txt",), ignored_parts=("kind=2",), ignored_globs=("kind=3/*",))
+    found = files.scan_directory(spark, folder, rules)
+    rows = F.size(F.filter(F.split(F.decode("content", "UTF-8"), "\n", -1), lambda x: x != ""))
+    return found.select(F.regexp_extract("relative_path", "^[^/]*/", 0).alias("folder"), rows.alias("n")).groupBy("folder").agg(F.sum("n").alias("n_lines"))
 
 
 @register("block_slice", """SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations) WHERE n >= 1 AND n < greatest(c - 1, 0)""")
@@ -257,10 +327,10 @@ def semi_join(spark, sf_dir):
     return s.join(li.where("l_quantity >= 50 AND l_returnflag = 'R'"), s["s_suppkey"] == li["l_suppkey"], "left_semi").select("s_suppkey")
 
 
-@register("or_join_pairs", "SELECT DISTINCT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey OR l_partkey = s_suppkey WHERE l_orderkey < 2000")
+@register("or_join_pairs", "SELECT DISTINCT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey OR l_partkey = s_suppkey")
 def or_join_pairs(spark, sf_dir):
     li, s = _t(spark, sf_dir, "lineitem", "supplier")
-    lines = li.where("l_orderkey < 2000").withColumn("row", F.struct("l_orderkey", "l_linenumber"))
+    lines = li.withColumn("row", F.struct("l_orderkey", "l_linenumber"))
     return relational.or_join(lines, s, [("l_suppkey", "s_suppkey"), ("l_partkey", "s_suppkey")], "row", "s_suppkey").select("l_orderkey", "l_linenumber", "s_suppkey")
 
 
@@ -381,9 +451,21 @@ def timing_bottlenecks(spark, sf_dir):
     return relational.timing_summary(_t(spark, sf_dir, "events"), "event_type", "value").orderBy(F.col("total").desc()).limit(3)
 
 
-@register("timing_lines", """SELECT event_type AS operation, count(*) AS n, round(sum(round(value, 2)), 3) AS total, round(avg(round(value, 2)), 3) AS average, round(min(round(value, 2)), 3) AS least, round(max(round(value, 2)), 3) AS greatest FROM events WHERE event_id % 2 = 0 GROUP BY 1""")
+@register("timing_lines", """SELECT event_type AS operation, count(*) AS n, round(sum(round(value, 2)), 3) AS total, round(avg(round(value, 2)), 3) AS average, round(min(round(value, 2)), 3) AS least, round(max(round(value, 2)), 3) AS greatest FROM events WHERE event_id % 6 < 4 GROUP BY 1""")
 def timing_lines(spark, sf_dir):
-    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[TIMING] "), "event_type", F.lit(" duration="), F.round("value", 2).cast("string"), F.lit("s"))).otherwise("idle")
+    """Timings after one blank, two, a tab, and in the last part of a line; not in small letters, nor in another part."""
+    spent = F.concat(F.lit("duration="), F.round("value", 2).cast("string"), F.lit("s"))
+    bars = lambda *parts: F.concat_ws(" | ", *parts)
+    timing = lambda tag, gap: F.concat(F.lit(tag + gap), "event_type", F.lit(gap), spent)
+    kind = F.col("event_id") % 6
+    line = (
+        F.when(kind == 0, timing("[TIMING]", " "))
+        .when(kind == 1, timing("[TIMING]", "  "))
+        .when(kind == 2, F.concat(F.lit("then "), timing("[TIMING]", "\t"), F.lit(" done")))
+        .when(kind == 3, bars(F.lit("2024-01-01 00:00:00"), F.lit("INFO"), F.lit("4"), timing("[TIMING]", " ")))
+        .when(kind == 4, timing("[timing]", " "))
+        .otherwise(bars(timing("[TIMING]", " "), F.lit("a"), F.lit("b"), F.lit("c")))
+    )
     parsed = _t(spark, sf_dir, "events").select(logs.timing(line).alias("t")).where("t IS NOT NULL").select("t.operation", "t.seconds")
     return relational.timing_summary(parsed, "operation", "seconds")
 
@@ -470,14 +552,14 @@ def entity_counts(spark, sf_dir):
     return relational.counts_by(_entities(spark, sf_dir), ["entity"])
 
 
-@register("usages_union", """SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, o_custkey AS target FROM orders WHERE o_custkey < 50 UNION ALL SELECT 'line', l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey < 50
-    UNION ALL SELECT 'event', event_id, user_id FROM events WHERE user_id < 50) ORDER BY target, kind, id LIMIT 100 OFFSET 20""")
+@register("usages_union", """SELECT * FROM (SELECT 'order' AS kind, o_orderkey AS id, o_custkey AS target FROM orders UNION ALL SELECT 'line', l_orderkey, l_suppkey FROM lineitem
+    UNION ALL SELECT 'event', event_id, user_id FROM events) ORDER BY target, kind, id LIMIT 100 OFFSET 20""")
 def usages_union(spark, sf_dir):
     o, li, e = _t(spark, sf_dir, "orders", "lineitem", "events")
     parts = {
-        "order": o.where("o_custkey < 50").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target")),
-        "line": li.where("l_suppkey < 50").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("target")),
-        "event": e.where("user_id < 50").select(F.col("event_id").alias("id"), F.col("user_id").alias("target")),
+        "order": o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target")),
+        "line": li.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("target")),
+        "event": e.select(F.col("event_id").alias("id"), F.col("user_id").alias("target")),
     }
     return relational.union_entities(parts).withColumnRenamed("entity", "kind").orderBy("target", "kind", "id").offset(20).limit(100)
 
@@ -489,10 +571,10 @@ def set_difference(spark, sf_dir):
     return present.withColumn("present", F.lit(True)).unionByName(absent.withColumn("present", F.lit(False)))
 
 
-@register("distinct_edges", "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey < 500")
+@register("distinct_edges", "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey")
 def distinct_edges(spark, sf_dir):
     o, c, li, s = _t(spark, sf_dir, "orders", "customer", "lineitem", "supplier")
-    joined = o.where("o_orderkey < 500").join(c, o["o_custkey"] == c["c_custkey"]).join(li, o["o_orderkey"] == li["l_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(li, o["o_orderkey"] == li["l_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
     return joined.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
@@ -512,8 +594,8 @@ def staleness_buckets(spark, sf_dir):
     return relational.counts_by(both.select(bucket.alias("bucket")), ["bucket"])
 
 
-@register("search_candidates", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'index' ELSE 'disk' END AS look_in FROM pages WHERE url LIKE '%.html' AND NOT list_contains(string_split(url, '/'), 'fr')""")
+@register("search_candidates", """SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN 'index' ELSE 'disk' END AS look_in FROM pages WHERE url LIKE '%.html' AND NOT list_contains(string_split(url, '/'), 'fr')""")
 def search_candidates(spark, sf_dir):
     allowed = patterns.allowed_path(F.col("url"), [".html"], ["fr"])
-    state = relational.coverage(F.lit(True), F.lit(False), F.lit(1), (F.col("page_id") % 3).cast("double"), F.lit(0.0))
+    state = relational.coverage(F.lit(True), F.lit(False), F.lit(1), F.lit(1.0), (F.col("page_id") % 3).cast("double"))
     return relational.search_candidates(_t(spark, sf_dir, "pages"), allowed, state).select("page_id", "look_in")

@@ -1,7 +1,7 @@
-"""Driver queries of the measures of Python sources, over a few sources kept here.
+"""Driver queries of the measures of Python sources, over sources generated from the table of parts.
 
-The driver tables hold no source code, so these run over ``SOURCES``; their expected rows are
-worked out by hand in the tests.
+Every part gives one source by a formula of its key, with all that the measures look for, on fixed
+lines; so the number of sources grows with the table and SQL knows the rows to expect.
 """
 
 from __future__ import annotations
@@ -10,144 +10,239 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph, python_source, relational, selector, trees
 from lodestone.plans.catalog import register
-
-SOURCES = {
-    "shop/cart.py": '''"""Cart."""
-import decimal
-from shop import price
-
-class Base:
-    """Anything that can be sold."""
-    def total(self):
-        ...
-
-class Cart(Base):
-    def __init__(self, items):
-        self.items = items
-
-    def total(self):
-        amount = 0
-        for item in self.items:
-            if item.count and item.price or item.free:
-                amount += price.of(item)
-        return self.rounded(amount)
-
-    def rounded(self, amount):
-        """Round."""
-        return decimal.Decimal(amount)
-''',
-    "shop/price.py": '''from shop import tax
-
-def of(item):
-    rate = tax.rate(item)
-    for step in item.steps:
-        rate += step
-    return rate, "price"
-
-def of_many(things):
-    """The same for many."""
-    value = tax.rate(things)
-    for part in things.steps:
-        value += part
-    return value, "prices"
-
-def later():
-    raise NotImplementedError
-''',
-    "shop/tax.py": '''"""Tax."""
-def rate(item):
-    import shop.cart
-    cart = shop.cart.Cart([item])
-    try:
-        return Cart(cart).total()
-    except ValueError:
-        return None
-
-async def refresh():
-    pass
-
-x = 1
-import late
-''',
-    "shop/broken.py": "def (:\n",
-    "shop/empty.py": "",
-}
+from lodestone.sources import tables
+from lodestone.sources.lineage import cut
+
+#: Lines of a source: each a text, or texts by a remainder of the key k. {k} is the key, {n} the next one, {t} the key of the module used.
+_LINES: list[str | tuple[str, ...]] = [
+    ('"""Module {k}."""', "# plain"),
+    "import os",
+    "from pkg{u} import mod{t}",
+    "",
+    ("class C{k}(Base):", "class C{k}(Base, C{n}):", "class C{k}(Base):", "class C{k}(Base):"),
+    ('    """Class."""', "    size = 1", "    size = 1"),
+    "    def run(self, x):",
+    "        if x and self.ok or x > {k}:",
+    "            return mod{t}.go(x)",
+    "        return self.inner.stub(x)",
+    "",
+    "    def stub(self):",
+    ("        pass", "        ...", "        raise NotImplementedError", "        return None"),
+    "",
+    "def go(x):",
+    "    total = {k}",
+    "    for i in x:",
+    "        total += i",
+    "    return C{k}(total)",
+    "",
+    ("async def twin(y):", *["def twin(y):"] * 6),
+    "    out = 7",
+    "    for j in y:",
+    "        out += j",
+    ("    return out", *["    return D(out)"] * 4),
+    ("x = 1", "import late", "x = 1"),
+]
+#: The module that a source uses: the next one; in even tens the last uses the first, in odd ones none but itself.
+_USED = "CASE WHEN p_partkey % 10 < 9 THEN p_partkey + 1 WHEN p_partkey // 10 % 2 = 0 THEN p_partkey - 9 ELSE p_partkey END"
+_P = f"WITH p AS (SELECT p_partkey AS k, 'pkg' || (p_partkey % 10) || '/mod' || p_partkey || '.py' AS doc, {_USED} AS t FROM part)"
+
+
+def _sources(spark, sf_dir):
+    k = F.col("p_partkey")
+    tens = F.floor(k / 10)
+    used = F.when(k % 10 < 9, k + 1).when(tens % 2 == 0, k - 9).otherwise(k)
+    values = {"{k}": k, "{n}": k + 1, "{t}": used, "{u}": used % 10}
+
+    def filled(line: str):
+        out = F.lit(line)
+        for mark, value in values.items():
+            if mark in line:
+                out = F.replace(out, F.lit(mark), value.cast("string"))
+        return out
+
+    lines = []
+    for line in _LINES:
+        forms = [line] if isinstance(line, str) else line
+        column = filled(forms[0])
+        for remainder, form in enumerate(forms[1:], 1):
+            column = F.when(k % len(forms) == remainder, filled(form)).otherwise(column)
+        lines.append(column)
+    path = F.concat(F.lit("pkg"), (k % 10).cast("string"), F.lit("/mod"), k.cast("string"), F.lit(".py"))
+    return tables.read(spark, sf_dir, "part").select(path.alias("path"), F.concat_ws("\n", *lines).alias("source"))
+
+
+_DEFINITIONS = """(SELECT doc, 'class' AS kind, 'C' || k AS name, 'C' || k AS qualname, 5 AS start_line, 13 AS end_line FROM p UNION ALL SELECT doc, 'method', 'run', 'C' || k || '.run', 7, 10 FROM p
+    UNION ALL SELECT doc, 'method', 'stub', 'C' || k || '.stub', 12, 13 FROM p UNION ALL SELECT doc, 'function', 'go', 'go', 15, 19 FROM p UNION ALL SELECT doc, 'function', 'twin', 'twin', 21, 25 FROM p)"""
+
+
+def _nodes(spark, sf_dir):
+    return trees.python_tree(_sources(spark, sf_dir), "path", "source")
+
+
+@register("python_nodes", _P + f""" SELECT * FROM {_DEFINITIONS} UNION ALL SELECT doc, 'module', NULL, NULL, 1, 26 FROM p UNION ALL SELECT doc, 'import', NULL, NULL, 2, 2 FROM p
+    UNION ALL SELECT doc, 'import', NULL, NULL, 3, 3 FROM p UNION ALL SELECT doc, 'import', NULL, NULL, 26, 26 FROM p WHERE k % 3 = 1""")
+def python_nodes(spark, sf_dir):
+    kinds = ["module", "class", "method", "function", "import"]
+    return _nodes(spark, sf_dir).where(F.col("kind").isin(kinds)).select("doc", "kind", "name", "qualname", "start_line", "end_line")
 
 
-def _sources(spark):
-    return spark.createDataFrame(list(SOURCES.items()), "path string, source string")
+@register("python_node_counts", _P + " SELECT doc, 2 AS n_loops, 1 AS n_tests, 2 + (k % 3 <> 0)::INT + (k % 3 <> 1)::INT AS n_assigned FROM p")
+def python_node_counts(spark, sf_dir):
+    count = lambda name, *types: F.count_if(F.col("node_type").isin(*types)).alias(name)
+    return _nodes(spark, sf_dir).groupBy("doc").agg(count("n_loops", "For"), count("n_tests", "If"), count("n_assigned", "Assign"))
 
 
-@register("python_nodes")
-def python_nodes(spark, sf_dir):
-    return trees.python_tree(_sources(spark), "path", "source")
+@register("python_select", _P + f" SELECT doc, qualname, start_line, end_line FROM {_DEFINITIONS} WHERE kind = 'method'")
+def python_select(spark, sf_dir):
+    return selector.select(_nodes(spark, sf_dir), "class > method").select("doc", "qualname", "start_line", "end_line")
+
+
+#: Selectors with the definitions that they pick.
+_FORMS = {
+    "//FunctionDef[@name='stub']": "name = 'stub'",
+    "//ClassDef//FunctionDef": "kind = 'method'",
+    "class[@name^=C] > method[@start_line>=12]": "name = 'stub'",
+    "method:nth(1):first": "name = 'stub'",
+    "method:last:first": "name = 'stub'",
+    "method:first:nth(1)": "false",
+    "class:not(class > method)": "kind = 'class'",
+    "method:not(method[name=run])": "name = 'stub'",
+    "method:not(method:first)": "false",
+    "Class:* method:first": "name = 'run'",
+    "Def:*[name~=wi]": "name = 'twin'",
+}
 
 
-@register("python_select")
-def python_select(spark, sf_dir):
-    return selector.select(python_nodes(spark, sf_dir), "class[name=Cart] > method").select("doc", "qualname", "start_line", "end_line")
+@register("select_forms", _P + " " + " UNION ALL ".join(f"""SELECT '{form.replace("'", "''")}' AS form, doc, qualname FROM {_DEFINITIONS} WHERE {test}""" for form, test in _FORMS.items()))
+def select_forms(spark, sf_dir):
+    """Every form of selector over one written node table."""
+    nodes = cut(_nodes(spark, sf_dir).where("kind IN ('module', 'class', 'method', 'function')"))
+    found = [selector.select(nodes, form).select(F.lit(form).alias("form"), "doc", "qualname") for form in _FORMS]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
 
 
-@register("complexity_report")
+@register("complexity_report", _P + " SELECT doc, 'C' || k || '.run' AS qualname, 7 AS line, 4 AS complexity FROM p UNION ALL SELECT doc, 'go', 15, 2 FROM p UNION ALL SELECT doc, 'twin', 21, 2 FROM p")
 def complexity_report(spark, sf_dir):
-    return python_source.complexity(_sources(spark), "path", "source", 2)
+    return python_source.complexity(_sources(spark, sf_dir), "path", "source", 2)
 
 
-@register("stub_functions")
+@register("stub_functions", _P + " SELECT doc, 'C' || k || '.stub' AS qualname, 12 AS line, CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'ellipsis' WHEN 2 THEN 'not_implemented' ELSE 'return_none' END AS stub FROM p")
 def stub_functions(spark, sf_dir):
-    return python_source.stubs(_sources(spark), "path", "source")
+    return python_source.stubs(_sources(spark, sf_dir), "path", "source")
 
 
-@register("empty_methods")
+@register("empty_methods", _P + " SELECT doc, 'C' || k || '.stub' AS qualname, 12 AS line FROM p WHERE k % 4 < 2")
 def empty_methods(spark, sf_dir):
-    return python_source.empty_methods(_sources(spark), "path", "source")
+    return python_source.empty_methods(_sources(spark, sf_dir), "path", "source")
 
 
-@register("late_imports")
+@register("late_imports", _P + " SELECT doc, 26 AS line, 'late' AS names FROM p WHERE k % 3 = 1")
 def late_imports(spark, sf_dir):
-    return python_source.late_imports(_sources(spark), "path", "source")
+    return python_source.late_imports(_sources(spark, sf_dir), "path", "source")
 
 
-@register("missing_docstrings")
+@register("missing_docstrings", _P + f""" SELECT doc, 'file' AS kind, '' AS qualname, 1 AS line FROM p WHERE k % 2 = 1 UNION ALL SELECT doc, 'class', 'C' || k, 5 FROM p WHERE k % 3 <> 0
+    UNION ALL SELECT doc, kind, qualname, start_line FROM {_DEFINITIONS} WHERE kind <> 'class'""")
 def missing_docstrings(spark, sf_dir):
-    return python_source.missing_docstrings(_sources(spark), "path", "source")
+    return python_source.missing_docstrings(_sources(spark, sf_dir), "path", "source")
 
 
-@register("usage_extraction")
+_USAGES = """(SELECT doc, k, 'go' AS name, 'method' AS target_type, 'call' AS usage, NULL AS target_class, 'class:C' || k || ' | function:run' AS context, 9 AS line FROM p
+    UNION ALL SELECT doc, k, 'stub', 'method', 'call', 'C' || k, 'class:C' || k || ' | function:run', 10 FROM p UNION ALL SELECT doc, k, 'C' || k, 'class', 'instantiation', NULL, 'function:go', 19 FROM p
+    UNION ALL SELECT doc, k, 'D', 'class', 'instantiation', NULL, 'function:twin', 25 FROM p WHERE k % 5 <> 0)"""
+_IMPORTS = """(SELECT doc, 2 AS line, 'os' AS name, NULL AS module FROM p UNION ALL SELECT doc, 3, 'mod' || t, 'pkg' || (t % 10) FROM p UNION ALL SELECT doc, 26, 'late', NULL FROM p WHERE k % 3 = 1)"""
+
+
+def _usages(spark, sf_dir):
+    return python_source.usages(_sources(spark, sf_dir), "path", "source")
+
+
+def _references(spark, sf_dir):
+    """Imports, classes and usages under the names that the searches take."""
+    own = _sources(spark, sf_dir)
+    parts = (python_source.imports(own, "path", "source"), python_source.classes(own, "path", "source"), _usages(spark, sf_dir))
+    return [p.withColumnRenamed("doc", "file") for p in parts]
+
+
+@register("usage_extraction", _P + f" SELECT doc, name, target_type, usage, target_class, context, line FROM {_USAGES}")
 def usage_extraction(spark, sf_dir):
-    return python_source.usages(_sources(spark), "path", "source")
+    return _usages(spark, sf_dir)
+
 
+@register("find_usages", _P + f""" SELECT 'inheritance' AS source, doc AS file, 5 AS line, 'C2' AS name, 'class' AS target_type, NULL AS target_class, 'inheritance' AS usage FROM p WHERE k % 4 = 1 AND k + 1 = 2
+    UNION ALL SELECT 'usage', doc, line, name, target_type, target_class, usage FROM {_USAGES} WHERE name = 'C2'""")
+def find_usages(spark, sf_dir):
+    return graph.find_usages(*_references(spark, sf_dir), "C2")
 
-@register("docstring_chunks")
+
+@register("find_usages_page", _P + f" SELECT source, file, line, name, target_type FROM (SELECT 0 AS n, 'import' AS source, doc AS file, line, name, 'import' AS target_type FROM {_IMPORTS} WHERE name = 'late' UNION ALL SELECT 2, 'usage', doc, line, name, target_type FROM {_USAGES} WHERE name = 'late') ORDER BY n, file, line, name LIMIT 15 OFFSET 3")
+def find_usages_page(spark, sf_dir):
+    return graph.find_usages(*_references(spark, sf_dir), "late", limit=15, offset=3).select("source", "file", "line", "name", "target_type")
+
+
+@register("find_method_usages", _P + f" SELECT doc AS file, line, target_class FROM {_USAGES} WHERE name = 'stub' AND target_class = 'C7'")
+def find_method_usages(spark, sf_dir):
+    return graph.find_usages(*_references(spark, sf_dir), "stub", "method", "C7").select("file", "line", "target_class")
+
+
+@register("find_dependencies", _P + f""" SELECT 'import' AS source, doc AS file, line, name, NULL AS target_type, NULL AS target_class FROM {_IMPORTS} WHERE name = 'pkg3' OR contains(module, 'pkg3')
+    UNION ALL SELECT 'usage', doc, line, name, target_type, target_class FROM {_USAGES} WHERE name = 'pkg3'""")
+def find_dependencies(spark, sf_dir):
+    return graph.find_dependencies(*_references(spark, sf_dir), "pkg3")
+
+
+@register("docstring_chunks", _P + " SELECT doc, '' AS qualname, 1 AS binding_level, 1 AS line, 'Module ' || k || '.' AS chunk FROM p WHERE k % 2 = 0 UNION ALL SELECT doc, 'C' || k, 2, 5, 'Class.' FROM p WHERE k % 3 = 0")
 def docstring_chunks(spark, sf_dir):
-    return python_source.docstring_chunks(_sources(spark), "path", "source")
+    return python_source.docstring_chunks(_sources(spark, sf_dir), "path", "source")
 
 
-@register("structural_duplicates")
+@register("structural_duplicates", _P + " SELECT doc, 2 AS n, 'go,twin' AS names FROM p WHERE k % 5 <> 0 AND k % 7 <> 0")
 def structural_duplicates(spark, sf_dir):
-    return python_source.structural_duplicates(_sources(spark), "path", "source").select("doc", "n", F.array_join(F.transform("occurrences", lambda o: o["qualname"]), ",").alias("names"))
+    found = python_source.structural_duplicates(_sources(spark, sf_dir), "path", "source")
+    return found.select("doc", "n", F.array_join(F.transform("occurrences", lambda o: o["qualname"]), ",").alias("names"))
 
 
-@register("import_cycles")
+@register("structural_duplicate_groups", _P + """, f AS (SELECT k, 'loop' AS form FROM p UNION ALL SELECT k, CASE WHEN k % 7 = 0 THEN 'async ' ELSE '' END || CASE WHEN k % 5 = 0 THEN 'plain' ELSE 'loop' END FROM p)
+    SELECT count(*) AS n FROM f GROUP BY form HAVING count(*) > 1""")
+def structural_duplicate_groups(spark, sf_dir):
+    """Sizes of the groups over all sources, counted without listing their members."""
+    hashed = python_source.structural_hashes(_sources(spark, sf_dir), "path", "source")
+    return hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("n")
+
+
+_IMPORT_EDGES = _P + ", e AS (SELECT a.doc AS src, b.doc AS dst FROM p a JOIN p b ON a.t = b.k), whole AS (SELECT k // 10 AS ten FROM p WHERE k // 10 % 2 = 0 GROUP BY 1 HAVING count(*) = 10)"
+
+
+@register("import_cycles", _IMPORT_EDGES + """ SELECT doc AS node, CASE WHEN k // 10 IN (SELECT ten FROM whole) THEN 'pkg0/mod' || (k // 10 * 10) || '.py' ELSE doc END AS component, k // 10 IN (SELECT ten FROM whole) OR k = t AS in_cycle
+    FROM p WHERE doc IN (SELECT src FROM e UNION SELECT dst FROM e)""")
 def import_cycles(spark, sf_dir):
     """Imports resolved to files by their path suffix, then the components of the import graph."""
-    nodes = python_nodes(spark, sf_dir)
-    imports = nodes.where("kind = 'import'").select("doc", "pre")
-    aliases = nodes.where("node_type = 'alias'").select(F.col("doc"), F.col("parent").alias("pre"), "name")
-    named = imports.join(aliases, ["doc", "pre"])
-    wanted = named.select(F.col("doc").alias("src"), F.concat(F.regexp_replace("name", r"\.", "/"), F.lit(".py")).alias("module"))
-    files = _sources(spark).select("path")
-    resolved = relational.path_suffix_match(wanted, files, "module", "path")
+    own = _sources(spark, sf_dir)
+    names = python_source.imports(own, "path", "source")
+    wanted = names.where("module IS NOT NULL").select(F.col("doc").alias("src"), F.concat(F.regexp_replace(F.concat_ws(".", "module", "name"), r"\.", "/"), F.lit(".py")).alias("module"))
+    resolved = relational.path_suffix_match(wanted, own.select("path"), "module", "path")
     return graph.strong_components(resolved.select("src", F.col("resolved").alias("dst")))
 
 
-@register("build_cross_reference")
+@register("inherit_edges", _P + " SELECT a.doc || '::C' || a.k AS src, b.doc || '::C' || b.k AS dst, 'inherit' AS kind FROM p a JOIN p b ON a.k + 1 = b.k WHERE a.k % 4 = 1")
+def inherit_edges(spark, sf_dir):
+    found = python_source.classes(_sources(spark, sf_dir), "path", "source").withColumn("entity", F.concat_ws("::", "doc", "qualname"))
+    return graph.inherit_edges(found, "entity", "name", "bases")
+
+
+@register("build_cross_reference", _P + """ SELECT doc || ':10:stub' AS usage_id, doc AS file, 10 AS line, 'method:C' || k || '.stub' AS name, doc || '::C' || k || '.run' AS caller, doc || '::C' || k || '.stub' AS callee FROM p
+    UNION ALL SELECT doc || ':19:C' || k, doc, 19, 'class:C' || k, doc || '::go', doc || '::C' || k FROM p""")
 def build_cross_reference(spark, sf_dir):
-    """Calls with the smallest definition around them and the definition that they name, same file first."""
-    nodes = python_nodes(spark, sf_dir).where("kind IN ('class', 'method', 'function')")
+    """Calls with the smallest definition around them and the definition that they name, same file first; methods are named with their class."""
+    nodes = _nodes(spark, sf_dir).where("kind IN ('class', 'method', 'function')")
     rank = F.when(F.col("kind") == "method", 0).when(F.col("kind") == "function", 1).otherwise(2)
     entity = F.concat_ws("::", "doc", "qualname")
     spans = nodes.select(entity.alias("entity"), F.col("doc").alias("file"), F.col("start_line").alias("first"), F.col("end_line").alias("last"), rank.alias("rank"))
-    entities = nodes.select(entity.alias("entity"), F.col("doc").alias("file"), "name")
-    used = usage_extraction(spark, sf_dir).select(F.concat_ws(":", "doc", "line", "name").alias("usage_id"), F.col("doc").alias("file"), "line", "name").distinct()
+    owned = F.when(F.col("kind") == "method", F.element_at(F.slice(F.reverse(F.split("qualname", r"\.")), 2, 1), 1))
+    entities = nodes.select(entity.alias("entity"), F.col("doc").alias("file"), F.concat(F.col("kind"), F.lit(":"), F.concat_ws(".", owned, "name")).alias("name"))
+    named = F.when((F.col("target_type") != "method") | F.col("target_class").isNotNull(), F.concat(F.col("target_type"), F.lit(":"), F.concat_ws(".", "target_class", "name")))
+    used = _usages(spark, sf_dir).select(F.concat_ws(":", "doc", "line", "name").alias("usage_id"), F.col("doc").alias("file"), "line", named.alias("name")).where("name IS NOT NULL").distinct()
     return graph.cross_reference(used, spans, entities)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql.window import Window
 from lodestone.operators.relational import CHANGE_TOLERANCE
 from lodestone.sources.tables import upsert
 
-#: Seconds and factor of the idle back-off.
-BASE_INTERVAL, MOST_INTERVAL = 5.0, 300.0
+#: Fixed value: the most seconds between two looks.
+MOST_INTERVAL = 3600
 
 
 def delta(snapshot: DataFrame, current: DataFrame, key: str, time: str, tolerance: float = CHANGE_TOLERANCE) -> DataFrame:
@@ -30,9 +31,30 @@ def queue(pending: DataFrame, project: str, fresh: Sequence[Column], batch: int)
     return pending.withColumn("place", F.row_number().over(Window.partitionBy(project).orderBy(*fresh))).where(F.col("place") <= batch)
 
 
-def backoff(streak: int, base: float = BASE_INTERVAL, most: float = MOST_INTERVAL) -> float:
-    """Seconds to the next look after so many idle ones."""
-    return min(most, base * 2 ** max(0, streak))
+def next_interval(base: int, work: int, streak: int, most: int = MOST_INTERVAL) -> tuple[int, int]:
+    """Seconds to the next look and the new streak of idle looks.
+
+    Work resets both; each idle look doubles the base (1 second at least) once more, up to ``most``.
+    """
+    base = max(int(base), 1)
+    if work > 0:
+        return base, 0
+    streak += 1
+    return min(base << min(streak, most.bit_length()), most), streak
+
+
+def poll(look: Callable[[], int], base: int, looks: int | None = None, most: int = MOST_INTERVAL, sleep: Callable[[float], None] = time.sleep) -> list[int]:
+    """Calls ``look`` (which returns how much work it found) over and over, with the pauses of ``next_interval``.
+
+    Ends after so many looks, if a number is given, and returns the pauses.
+    """
+    pauses, streak = [], 0
+    while looks is None or len(pauses) < looks:
+        pause, streak = next_interval(base, look(), streak, most)
+        pauses = [*pauses, pause] if looks is not None else []
+        if looks is None or len(pauses) < looks:
+            sleep(pause)
+    return pauses
 
 
 def cycle_stats(cycles: DataFrame, cycle: str, processed: str, seconds: str) -> DataFrame:

@@ -40,20 +40,25 @@ def test_query_text():
 
 LINES = [
     ("2024-01-02 03:04:05 | ERROR | 12 | broken", ("ERROR", 10, "broken")),
-    ("2024-01-02 03:04:05 | info | fine", ("INFO", 4, "fine")),
-    ("2024-01-02T03:04:05,123 - WARNING - look", ("WARNING", 6, "look")),
-    ("2024-01-02 03:04:05 [DEBUG] deep", ("DEBUG", 2, "deep")),
+    ("2024-01-02 03:04:05 | info | fine", ("info", 4, "fine")),
+    ("2024-01-02 03:04:05 - WARNING - look - out", ("WARNING", 6, "look - out")),
+    ("2024-01-02 03:04:05 [DEBUG] deep", ("DEBUG", 2, "2024-01-02 03:04:05 [DEBUG] deep")),
     ("2024-01-02 03:04:05 | ERROR | -3 | low", ("ERROR", 0, "low")),
-    ("no stamp at all", ("UNKNOWN", 0, "no stamp at all")),
+    ("2024-01-02 03:04:05 | INFO | high | hello | you", ("INFO", 4, "hello | you")),
+    ("2024-01-02 03:04:05 | TRACE | x", ("TRACE", 4, "x")),
+    ("2024-01-02 03:04:05 what a day", ("UNKNOWN", 4, "2024-01-02 03:04:05 what a day")),
+    ("no stamp at all", ("UNKNOWN", 4, "no stamp at all")),
+    ("2024-13-02 03:04:05 | INFO | bad month", ("UNKNOWN", 4, "2024-13-02 03:04:05 | INFO | bad month")),
 ]
 
 
 def test_log_lines(spark):
     rows = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(LINES)], "i int, line string").select("i", logs.parse_line(F.col("line")).alias("p")).orderBy("i").collect()
     assert [(r.p.level, r.p.importance, r.p.message) for r in rows] == [e for _, e in LINES]
-    assert [r.p.stamp is not None for r in rows] == [True] * 5 + [False]
+    assert [r.p.stamp is not None for r in rows] == [True] * 8 + [False] * 2
+    assert spark.createDataFrame([(" ",), (None,)], "line string").select(logs.parse_line(F.col("line")).alias("p")).where("p IS NOT NULL").count() == 0
 
 
 def test_timing(spark):
-    frame = spark.createDataFrame([("x [TIMING] load duration=1.25s",), ("none",)], "line string")
-    assert [(r.t and (r.t.operation, r.t.seconds)) for r in frame.select(logs.timing(F.col("line")).alias("t")).collect()] == [("load", 1.25), None]
+    frame = spark.createDataFrame([("x [TIMING]  load\tduration=1.25s",), ("none",), ("[timing] load duration=1s",), ("a | b | c | [TIMING] q duration=2s",)], "line string")
+    assert [(r.t and (r.t.operation, r.t.seconds)) for r in frame.select(logs.timing(F.col("line")).alias("t")).collect()] == [("load", 1.25), None, None, ("q", 2.0)]

@@ -145,8 +145,35 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_backoff():
-    assert [incremental.backoff(n, 5, 60) for n in range(5)] == [5, 10, 20, 40, 60]
-
+    pauses, streak = [], 0
+    for work in (0, 0, 3, 0, 0, 0, 0, 0):
+        pause, streak = incremental.next_interval(5, work, streak, 60)
+        pauses.append(pause)
+    assert pauses == [10, 20, 5, 10, 20, 40, 60, 60]
+    assert incremental.next_interval(0, 0, 0) == (2, 1) and incremental.next_interval(0, 1, 9) == (1, 0)
+    assert incremental.next_interval(7, 0, 100_000) == (3600, 100_001)
+
+
+def test_poll_pauses_between_looks():
+    work, slept = iter([0, 0, 4, 0]), []
+    assert incremental.poll(lambda: next(work), 1, 4, sleep=slept.append) == [2, 4, 1, 2]
+    assert slept == [2, 4, 1]
+
+
+def test_freshness(spark):
+    rows = [(False, "a", 1.0, "a", 1.0), (True, None, None, "a", 1.0), (True, "a", None, "b", 1.0), (True, "a", 1.0, "a", 2.0), (True, None, 2.0, "a", 1.0), (True, "a", 1.0, "a", 1.0), (True, "a", None, None, None)]
+    frame = spark.createDataFrame(rows, "k boolean, a string, b double, c string, d double")
+    found = frame.select(relational.freshness(*map(F.col, "kabcd")).alias("v")).collect()
+    assert [r.v for r in found] == ["missing_index", "unavailable_index", "stale", "stale", "fresh", "fresh", "stale"]
+
+
+def test_grep_bounded(spark):
+    frame = spark.createDataFrame([(t, n, "hit" if n % 2 else "no") for t in range(4) for n in range(1, 6)], "t int, line int, c string")
+    found = lambda *budget: [(r.t, r.line, r.exceeded) for r in relational.grep_bounded(frame, "t", "c", "hit", *budget).orderBy("t", "line").collect()]
+    assert found(2, 10, 1000) == [(t, n, "texts") for t in range(2) for n in (1, 3, 5)]
+    assert found(9, 4, 1000) == [(0, 1, "matches"), (0, 3, "matches"), (0, 5, "matches"), (1, 1, "matches")]
+    assert found(9, 12, 7) == [(0, 1, "bytes"), (0, 3, "bytes")]
+    assert len(found(9, 12, 1000)) == 12 and {e for *_, e in found(9, 12, 1000)} == {None}
 
 def test_windowed_counts_stream(spark, tmp_path):
     frame = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k")

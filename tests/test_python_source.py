@@ -66,6 +66,12 @@ def second(c, d):
         out += item
     return "other", out
 
+def fourth(a, b):
+    total = a + 2.5
+    for x in b:
+        total += x
+    return "", total
+
 def third(c):
     a = 1
     b = 2
@@ -105,9 +111,21 @@ def test_missing_docstrings(sources):
 
 
 def test_usages(sources):
-    found = rows(source.usages(sources, "f", "s").where("doc = 'm'"), "name", "usage", "target_class")
-    assert ("compute", "method", "Thing") in found and ("Thing", "instantiation", None) in found and ("open", "call", None) in found
+    found = rows(source.usages(sources, "f", "s").where("doc = 'm'"), "name", "target_type", "usage", "target_class", "context")
+    assert ("compute", "method", "call", "Thing", "class:Thing | function:value") in found
+    assert ("Thing", "class", "instantiation", None, None) in found and ("open", "function", "call", None, "function:branches") in found
+
+
+def test_targets_of_method_calls(spark):
+    text = "class A:\n def f(self, obj):\n  self.x.y.go()\n  obj.run()\n  self.own()\n  f().late()\nself.out()\n"
+    found = rows(source.usages(spark.createDataFrame([("a", text)], "f string, s string"), "f", "s"), "name", "target_class")
+    assert dict(found) == {"go": "A", "run": None, "own": "A", "f": None, "late": None, "out": None}
+
 
+def test_imports_and_classes(spark):
+    frame = spark.createDataFrame([("a", "import os, sys as s\nfrom . import x\nfrom a.b import c\nclass K(p.Q, R[int]): pass\n")], "f string, s string")
+    assert rows(source.imports(frame, "f", "s"), "name", "module", "import_type") == [("os", None, "import"), ("sys", None, "import"), ("x", None, "import_from"), ("c", "a.b", "import_from")]
+    assert rows(source.classes(frame, "f", "s"), "name", "bases") == [("K", ["p.Q", "R[int]"])]
 
 def test_docstrings(sources):
     assert rows(source.docstring_chunks(sources, "f", "s").where("doc = 'm'"), "qualname", "binding_level") == [("", 1), ("branches", 2), ("Thing.empty", 3)]
@@ -115,4 +133,22 @@ def test_docstrings(sources):
 
 def test_structural_duplicates(sources):
     found = source.structural_duplicates(sources, "f", "s").collect()
-    assert [[o.qualname for o in r.occurrences] for r in found] == [["first", "second"]]
+    assert [[o.qualname for o in r.occurrences] for r in found] == [["first", "fourth"]]
+
+
+def hash_of(text):
+    import ast
+
+    return source.normal_source(ast.parse(text).body[0])
+
+
+def test_normal_form():
+    assert hash_of("def a(self, x):\n return x + 1.5") == hash_of("def b(self, y):\n return y + True")
+    assert hash_of("def a(self):\n return self") != hash_of("def a(this):\n return this")
+    assert hash_of("def a(x):\n 'doc'\n return x") != hash_of("def a(x):\n return x")
+    assert hash_of("@d\ndef a(x): return x") != hash_of("def a(x): return x")
+    assert hash_of("async def a(x): return x") != hash_of("def a(x): return x")
+    assert hash_of("def a(x): return x.p") != hash_of("def a(x): return x.q")
+    assert hash_of("def a(x: int): return x") != hash_of("def a(x): return x")
+    assert hash_of("def a(x): return None") != hash_of("def a(x): return 1")
+    assert hash_of("def a(x): return ...") == hash_of("def a(x): return b'1'")
