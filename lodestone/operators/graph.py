@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.relational import chains
+from lodestone.operators.relational import chains, preferred
 from lodestone.sources.lineage import cut
 
 MOST_EDGES = 5_000
+#: Edges that one task solves.
+EDGES_AT_ONCE = 200_000
 
 
 def edges_of(kinds: Mapping[str, DataFrame], most: int | None = MOST_EDGES) -> DataFrame:
@@ -64,46 +67,112 @@ def import_kind(resolved: Column, module: Column, standard: Sequence[str]) -> Co
     return F.when(resolved.isNotNull(), "project").when(F.element_at(F.split(module, r"\."), 1).isin(list(standard)), "stdlib").otherwise("third_party")
 
 
-def _reach(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """The least label among each node and the nodes that it leads to, by repeated relaxation."""
-    current = cut(nodes.select("node", F.col("node").alias(label)))
-    while True:
-        offered = edges.join(current, edges["dst"] == current["node"]).select(F.col("src").alias("node"), label)
-        settled = cut(current.unionByName(offered).groupBy("node").agg(F.min(label).alias(label)))
-        changed = settled.alias("n").join(current.alias("o"), "node").where(F.col(f"n.{label}") < F.col(f"o.{label}"))
-        if changed.isEmpty():
-            return settled
-        current = settled
+def _propagated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Columns (node, label): the least label among each node (columns node, label) and the nodes that lead to it.
 
-
-def strong_components(edges: DataFrame) -> DataFrame:
+    Each round sends labels from the nodes whose own has just changed, and looks once whether any did.
+    """
+    current = cut(nodes.select("node", "label", F.lit(True).alias("moved")))
+    while not current.where("moved").isEmpty():
+        sent = current.where("moved").join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offered"))
+        better = F.coalesce(F.col("offered") < F.col("label"), F.lit(False))
+        current = cut(current.join(sent, "node", "left").select("node", F.when(better, F.col("offered")).otherwise(F.col("label")).alias("label"), better.alias("moved")))
+    return current.select("node", "label")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both an edge in and one out; the others are on no cycle."""
+    both = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+    kept = edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi")
+    return kept.join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def tarjan(sources: list, targets: list) -> list[list]:
+    """Strong components of the graph of these edges."""
+    ahead: dict = {}
+    for a, b in zip(sources, targets, strict=True):
+        ahead.setdefault(a, []).append(b)
+    order: dict = {}
+    low: dict = {}
+    held: dict = {}
+    out: list[list] = []
+    for root in ahead:
+        if root in order:
+            continue
+        walk = [(root, iter(ahead[root]))]
+        order[root] = low[root] = len(order)
+        held[root] = True
+        while walk:
+            node, rest = walk[-1]
+            following = next((x for x in rest if x not in order or x in held), None)
+            if following is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(held.popitem()[0])
+                    out.append(members)
+            elif following in order:
+                low[node] = min(low[node], order[following])
+            else:
+                order[following] = low[following] = len(order)
+                held[following] = True
+                walk.append((following, iter(ahead.get(following, ()))))
+    return out
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """Columns (node, component) of a graph that one task holds."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sources: list = []
+        targets: list = []
+        for frame in batches:
+            sources += frame["src"].tolist()
+            targets += frame["dst"].tolist()
+        out = [(node, min(members)) for members in tarjan(sources, targets) for node in members]
+        yield pd.DataFrame(out, columns=["node", "component"])
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(rows, f"node {kind}, component {kind}")
+
+
+def strong_components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """Columns (node, component, in_cycle): nodes that lead to each other; the component is its least node.
 
-    Forward-backward colouring: every node takes the least node that it can reach, along edges
-    within its colour; the nodes of a colour that the root reaches back are one component. These are
-    taken out and the rest goes on. Self loops are cycles.
+    A graph of up to ``at_once`` edges (counted first) is solved by one task. A larger one is cut down
+    to that: nodes without an edge in or out go, round by round while that helps; then every node
+    takes the least node that leads to it, and those of its colour that lead back to that one are a
+    component, which is taken out. Self loops are cycles.
     """
-    e = cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct().where("src IS NOT NULL AND dst IS NOT NULL"))
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("_loop"))
-    left, done = cut(nodes_of(e)), []
-    while not left.isEmpty():
-        inner = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        colour = _reach(left, inner, "colour")
-        same = cut(inner.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
-        found = cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
-        while True:
-            onward = same.join(found, same["src"] == found["node"]).select(F.col("dst").alias("node"), "component")
-            wider = cut(found.unionByName(onward).distinct())
-            if wider.count() == found.count():
-                break
-            found = wider
+    inner, done = e.where("src <> dst"), []
+    size = inner.count()
+    while size > at_once:
+        smaller = cut(_trimmed(inner))
+        before, inner, size = size, smaller, smaller.count()
+        if size <= at_once or size < 0.9 * before:
+            continue
+        colour = _propagated(nodes_of(inner).select("node", F.col("node").alias("label")), inner)
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("label").alias(f"{end}_colour"))
+        same = cut(inner.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour"))
+        # Along reversed edges of one colour the root's mark, which is least, reaches just its component.
+        ends = same.select(F.col("src").alias("node"), "src_colour").union(same.select("dst", "dst_colour")).distinct()
+        marks = ends.select("node", F.when(F.col("node") == F.col("src_colour"), 0).otherwise(1).alias("label"))
+        reached = _propagated(marks, same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = cut(reached.where("label = 0").join(colour.withColumnRenamed("label", "component"), "node").select("node", "component"))
         done.append(found)
-        left = cut(left.join(found, "node", "left_anti"))
-    if not done:
-        return nodes_of(e).withColumn("component", F.col("node")).withColumn("in_cycle", F.lit(False))
+        gone = found.select("node")
+        inner = cut(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        size = inner.count()
+    done.append(_solved(inner))
     every = reduce(DataFrame.unionByName, done)
-    sizes = every.groupBy("component").agg(F.count("*").alias("_n"))
-    return every.join(sizes, "component").join(loops, "node", "left").select("node", "component", ((F.col("_n") > 1) | F.coalesce("_loop", F.lit(False))).alias("in_cycle"))
+    sizes = every.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1")
+    own = nodes_of(e).join(every, "node", "left").join(sizes, "component", "left").join(loops, "node", "left")
+    return own.select("node", F.coalesce("component", "node").alias("component"), (F.col("_n").isNotNull() | F.coalesce("_loop", F.lit(False))).alias("in_cycle"))
 
 
 def bounded_cycles(edges: DataFrame, depth: int) -> DataFrame:
@@ -179,10 +248,7 @@ def cross_reference(usages: DataFrame, spans: DataFrame, entities: DataFrame, bu
         on = on & (F.col("_at") == F.col("_cell"))
     around = u.join(s, on & F.col("line").between(F.col("_first"), F.col("_last")), "left")
     callers = around.groupBy(*usages.columns).agg(F.min_by("entity", F.when(F.col("entity").isNotNull(), F.struct(F.col("_last") - F.col("_first"), "_rank", -F.col("_first"), "entity"))).alias("caller"))
-    near = entities.groupBy(F.col("name").alias("_near_name"), F.col("file").alias("_near_file")).agg(F.min("entity").alias("_near"))
-    far = near.groupBy(F.col("_near_name").alias("_far_name")).agg(F.min("_near").alias("_far"))
-    named = callers.join(far, F.col("name") == F.col("_far_name")).join(near, (F.col("name") == F.col("_near_name")) & (F.col("file") == F.col("_near_file")), "left")
-    return named.select("usage_id", "file", "line", "name", "caller", F.coalesce("_near", "_far").alias("callee"))
+    return preferred(callers, entities.withColumnRenamed("entity", "callee"), ("name", "name"), ("file", "file"), "callee")
 
 
 def inherit_edges(classes: DataFrame, key: str, name: str, bases: str) -> DataFrame:

@@ -204,11 +204,16 @@ def smallest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start:
     return held.groupBy(*points.columns).agg(best.alias(span_id))
 
 
-def preferred(left: DataFrame, right: DataFrame, on: Column, prefer: Sequence[Column], key: str) -> DataFrame:
-    """One match per left row, the first by the preferences, which should end in something unique."""
-    joined = left.join(right, on)
-    ranked = joined.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*prefer)))
-    return ranked.where("_rank = 1").drop("_rank")
+def preferred(left: DataFrame, right: DataFrame, on: tuple[str, str], same: tuple[str, str], right_id: str) -> DataFrame:
+    """Left rows with the least id among the right rows of their key, of those that are the same in another column if there are any.
+
+    The least id of each key, and of each key and column, is found first, so a left row meets one row
+    of either, however many the key has.
+    """
+    near = right.groupBy(F.col(on[1]).alias("_near_key"), F.col(same[1]).alias("_near_same")).agg(F.min(right_id).alias("_near"))
+    far = near.groupBy(F.col("_near_key").alias("_far_key")).agg(F.min("_near").alias("_far"))
+    met = left.join(far, F.col(on[0]) == F.col("_far_key")).join(near, (F.col(on[0]) == F.col("_near_key")) & (F.col(same[0]) == F.col("_near_same")), "left")
+    return met.select(*left.columns, F.coalesce("_near", "_far").alias(right_id))
 
 
 def unique_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_id: str) -> DataFrame:
@@ -279,8 +284,10 @@ def renumber(df: DataFrame, order: Sequence[str], name: str, slices: int | None
 
     Rows are range-partitioned by the order and cut off there, so that slices stay as they are;
     numbers within a slice start at the count of all rows in the slices before it. ``slices`` is the
-    session's number of shuffle partitions if it is not given.
+    session's number of shuffle partitions if it is not given. The rows are written before (sampling
+    the ranges would make them twice) and after they are dealt out, so this runs as it is called.
     """
+    df = cut(df)
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = cut(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
     sizes = kept.groupBy("_slice").agg(F.count("*").alias("_n"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.patterns import prefix_terms
@@ -31,8 +32,9 @@ def fulltext(df: DataFrame, key: str, text: Column, query: str) -> DataFrame:
     terms = prefix_terms(query)
     if not terms:
         return df.select(key, F.lit(0.0).alias("rank")).limit(0)
+    folded = F.lower(text)
     for term in terms:
-        df = df.where(F.contains(F.lower(text), F.lit(term)))  # cheap, and true of every match
+        df = df.where(F.contains(folded, F.lit(term)))  # cheap, and true of every match
     counts = lambda words: F.struct(F.size(words).alias("n"), *[F.size(F.filter(words, _begins(t))).alias(f"h{i}") for i, t in enumerate(terms)])
     found = df.select(key, F.element_at(F.transform(F.array(tokens(text)), counts), 1).alias("_c"))
     hits = [F.col(f"_c.h{i}") for i in range(len(terms))]
@@ -90,11 +92,21 @@ def contract_score(source: str, raw: Column) -> Column:
 
 
 def findings(df: DataFrame, source: str, key: str, stable_id: Column, raw: Column) -> DataFrame:
-    """Findings (result_id, source, key, stable_id, score), numbered by score; rows without an identity are left out."""
-    own = df.select(F.col(key).cast("string").alias("key"), stable_id.cast("string").alias("stable_id"), contract_score(source, raw).alias("score"))
-    own = own.where("key IS NOT NULL AND stable_id IS NOT NULL")
-    numbered = renumber(own.withColumn("_worse", -F.col("score")), ["_worse", "key", "stable_id"], "_n")
-    return numbered.select(F.format_string(source + "-%06d", F.col("_n") + 1).alias("result_id"), F.lit(source).alias("source"), "key", "stable_id", "score")
+    """Findings (source, key, stable_id, score) of one producer; rows without an identity are left out."""
+    own = df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), stable_id.cast("string").alias("stable_id"), contract_score(source, raw).alias("score"))
+    return own.where("key IS NOT NULL AND stable_id IS NOT NULL")
+
+
+def numbered(*producers: DataFrame) -> DataFrame:
+    """Findings of all producers in one table, each with a result_id: its source and its number there by score.
+
+    All are numbered at once (see ``renumber``), so every producer runs a single time.
+    """
+    every = reduce(DataFrame.unionByName, producers)
+    rows = renumber(every.withColumn("_worse", -F.col("score")), ["source", "_worse", "key", "stable_id"], "_n")
+    first = rows.groupBy("source").agg(F.min("_n").alias("_first"))
+    own = rows.join(F.broadcast(first), "source")  # one row a producer
+    return own.select(F.format_string("%s-%06d", "source", F.col("_n") - F.col("_first") + 1).alias("result_id"), "source", "key", "stable_id", "score")
 
 
 def relevance_order(found: DataFrame) -> DataFrame:
@@ -136,3 +148,20 @@ def vector_index(df: DataFrame, key: str, vector: str) -> DataFrame:
     unit = df.select(key, vector, norm.alias("norm")).where("norm > 0")
     unit = unit.select(key, "norm", F.transform(vector, lambda x: x.cast("double") / F.col("norm")).alias("unit"))
     return renumber(unit, [key], "dense_id")
+
+
+def write_vector_index(df: DataFrame, key: str, vector: str, path: str) -> None:
+    """Builds the index anew and puts it in place of the one at a path."""
+    vector_index(df, key, vector).select("dense_id", F.col(key).alias("key"), "unit").write.mode("overwrite").parquet(path)
+
+
+def search_vector_index(spark: SparkSession, path: str, query: Sequence[float], k: int, least: float | None = None) -> DataFrame:
+    """The ``k`` nearest vectors of a stored index (key, dense_id, distance, score) by squared distance of unit vectors."""
+    size = sum(float(x) ** 2 for x in query) ** 0.5
+    if not size:
+        raise ValueError("a query vector has a length")
+    unit = F.array(*[F.lit(float(x) / size) for x in query])
+    apart = F.aggregate(F.zip_with("unit", unit, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    near = spark.read.parquet(path).select("key", "dense_id", apart.alias("distance")).orderBy("distance", "key").limit(k)
+    scored = near.withColumn("score", 1 / (1 + F.col("distance")))
+    return scored.where(F.col("score") >= least) if least is not None else scored

@@ -371,7 +371,8 @@ def containment_smallest_span(spark, sf_dir):
     FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey % 10) WHERE rn = 1""")
 def preferred_match(spark, sf_dir):
     c, s = _t(spark, sf_dir, "customer", "supplier")
-    return relational.preferred(c, s, F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, [(F.col("c_nationkey") == F.col("s_nationkey")).desc(), F.col("s_suppkey").asc()], "c_custkey").select("c_custkey", "s_suppkey")
+    found = relational.preferred(c.withColumn("key", F.col("c_custkey") % 10), s.withColumn("key", F.col("s_suppkey") % 10), ("key", "key"), ("c_nationkey", "s_nationkey"), "s_suppkey")
+    return found.select("c_custkey", "s_suppkey")
 
 
 @register("unique_match", """SELECT o_orderkey, s_suppkey FROM orders JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) ON o_custkey % 25 = s_nationkey""")

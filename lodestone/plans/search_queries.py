@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import duplicates, relational, search
 from lodestone.plans.catalog import register
 from lodestone.sources import files, tables
+from lodestone.sources.lineage import scratch
 
 QUERY = "thing-re/ou"
 #: A fixed query vector of 64 values.
@@ -62,7 +63,7 @@ def _findings(spark, sf_dir):
     near = search.findings(near, "semantic", "vec_id", F.col("vec_id"), F.round("score", 6))
     lines = relational.grep(files.lines(docs, "doc_id", "text"), "content", "token =")
     lines = search.findings(lines, "grep", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")), F.lit(1.0))
-    return full.unionByName(near).unionByName(lines)
+    return search.numbered(full, near, lines)
 
 
 @register("hybrid_search", _FINDINGS + " SELECT * FROM numbered")
@@ -106,7 +107,7 @@ def vector_statistics(spark, sf_dir):
     return search.vector_statistics(tables.read(spark, sf_dir, "embeddings"), "embedding", "label")
 
 
-@register("exact_duplicate_groups", r"""SELECT hash, count(*) AS n, min(doc_id) AS first_key FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"\n]*"|''[^''\n]*''', '_STR_', 'g'), '[0-9]+(\.[0-9]+)?', '_NUM_', 'g'), '[ \t\r\n]+', ' ', 'g')))) AS hash FROM documents) GROUP BY 1 HAVING count(*) >= 2""")
+@register("exact_duplicate_groups", r"""SELECT hash, count(*) AS n, min(doc_id) AS first_key FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"\n]*"|''[^''\n]*''', ' string ', 'g'), '[0-9]+(\.[0-9]+)?', ' number ', 'g'), '[ \t\r\n]+', ' ', 'g')))) AS hash FROM documents) GROUP BY 1 HAVING count(*) >= 2""")
 def exact_duplicate_groups(spark, sf_dir):
     return duplicates.hash_groups(tables.read(spark, sf_dir, "documents"), "doc_id", duplicates.normal_form(F.col("text")))
 
@@ -126,26 +127,40 @@ def semantic_duplicate_pairs(spark, sf_dir):
     return pairs.select("label", "left", "right", F.round("similarity", 6).alias("similarity"))
 
 
-@register("hybrid_duplicate_groups")
+@register("hybrid_duplicate_groups", f"""WITH RECURSIVE pairs AS (SELECT label, "left" AS a, "right" AS b, row_number() OVER (PARTITION BY label ORDER BY "left", "right") AS k FROM {_PAIRS} WHERE similarity >= 0.25),
+    fold(label, k, pair, members, fits, seen) AS (SELECT label, 0, 0, [0, 0], false, []::BIGINT[] FROM pairs GROUP BY 1
+      UNION ALL SELECT p.label, p.k, p.a * 1000000 + p.b, [p.a, p.b], NOT list_contains(seen, p.a) AND NOT list_contains(seen, p.b), CASE WHEN list_contains(seen, p.a) OR list_contains(seen, p.b) THEN seen ELSE list_concat(seen, [p.a, p.b]) END FROM fold f JOIN pairs p ON p.label = f.label AND p.k = f.k + 1)
+    SELECT label, pair, array_to_string(members, ',') AS members FROM fold WHERE fits""")
 def hybrid_duplicate_groups(spark, sf_dir):
     pairs = duplicates.similar_pairs(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.25)
     groups = pairs.select("label", (F.col("left") * 1_000_000 + F.col("right")).alias("pair"), F.array("left", "right").alias("members"))
-    return duplicates.hybrid_groups(groups, "label", "pair", "members")
+    return duplicates.hybrid_groups(groups, "label", "pair", "members").select("label", "pair", F.array_join("members", ",").alias("members"))
 
 
-@register("name_similarity")
+@register("name_similarity", """WITH RECURSIVE names AS (SELECT DISTINCT p_brand, p_name FROM part), pairs AS (SELECT a.p_brand, a.p_name AS a, b.p_name AS b FROM names a JOIN names b ON a.p_brand = b.p_brand AND a.p_name < b.p_name),
+    lcs(a, b, i, r) AS (SELECT DISTINCT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM pairs
+      UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda q: greatest(r[q], CASE WHEN q > 1 AND substr(a, i + 1, 1) = substr(b, q - 1, 1) THEN r[q - 1] + 1 ELSE 0 END)))) FROM lcs WHERE i < length(a))
+    SELECT p_brand, a, b, round(r[length(b) + 1]::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM pairs JOIN lcs USING (a, b) WHERE i = length(a) AND r[length(b) + 1]::DOUBLE / greatest(length(a), length(b)) >= 0.6""")
 def name_similarity(spark, sf_dir):
-    part = tables.read(spark, sf_dir, "part")
-    pairs = part.select("p_brand", F.col("p_name").alias("a")).distinct().join(part.select("p_brand", F.col("p_name").alias("b")).distinct(), "p_brand").where("a < b")
-    return duplicates.lcs_similarity(pairs, "a", "b")
+    found = duplicates.similar_names(tables.read(spark, sf_dir, "part"), "p_brand", "p_name", 0.6)
+    return found.select("p_brand", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@register("greedy_pages")
+@register("greedy_pages", """WITH RECURSIVE d AS (SELECT source, doc_id, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+    fold(source, k, doc_id, size, page, held, n) AS (SELECT source, k, doc_id, size, 0, size, 1 FROM d WHERE k = 1 UNION ALL SELECT d.source, d.k, d.doc_id, d.size, CASE WHEN held + d.size > 20000 OR n >= 10 THEN page + 1 ELSE page END,
+      CASE WHEN held + d.size > 20000 OR n >= 10 THEN d.size ELSE held + d.size END, CASE WHEN held + d.size > 20000 OR n >= 10 THEN 1 ELSE n + 1 END FROM fold f JOIN d ON d.source = f.source AND d.k = f.k + 1)
+    SELECT source, doc_id, size, page FROM fold""")
 def greedy_pages(spark, sf_dir):
     return duplicates.greedy_pages(tables.read(spark, sf_dir, "documents"), "source", "doc_id", F.octet_length("text"), 20_000, 10)
 
 
-@register("first_fit_batches")
+@register("first_fit_batches", """WITH RECURSIVE items AS (SELECT l_suppkey, l_orderkey, sum(l_quantity)::BIGINT AS size FROM lineitem GROUP BY 1, 2),
+    parts AS (SELECT l_suppkey, l_orderkey, part, CASE WHEN size - part * 60 > 60 THEN 60 ELSE size - part * 60 END AS size, size - part * 60 > 60 AS whole, row_number() OVER (PARTITION BY l_suppkey ORDER BY items.size DESC, l_orderkey, part) AS k FROM (SELECT *, unnest(range(greatest(((size - 1) // 60)::BIGINT, 0) + 1)) AS part FROM items) items),
+    fold(l_suppkey, k, l_orderkey, part, size, place, room) AS (SELECT l_suppkey, 0, 0, 0, 0, 0, []::BIGINT[] FROM parts GROUP BY 1
+      UNION ALL SELECT p.l_suppkey, p.k, p.l_orderkey, p.part, p.size, CASE WHEN p.whole THEN len(room) + 1 ELSE coalesce(list_position(list_transform(room, lambda r: r >= p.size), true), len(room) + 1) END,
+      CASE WHEN p.whole THEN list_append(room, 0) WHEN list_position(list_transform(room, lambda r: r >= p.size), true) IS NULL THEN list_append(room, 60 - p.size) ELSE list_transform(room, lambda r, i: CASE WHEN i = list_position(list_transform(room, lambda q: q >= p.size), true) THEN r - p.size ELSE r END) END
+      FROM fold f JOIN parts p ON p.l_suppkey = f.l_suppkey AND p.k = f.k + 1)
+    SELECT l_suppkey, l_orderkey, part, size, place - 1 AS batch FROM fold WHERE k > 0""")
 def first_fit_batches(spark, sf_dir):
     sized = tables.read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.sum("l_quantity").cast("long").alias("size"))
     return duplicates.first_fit(sized, "l_suppkey", "l_orderkey", "size", 60)
@@ -175,7 +190,21 @@ def vector_index(spark, sf_dir):
     return found.select("vec_id", "dense_id", F.round("norm", 6).alias("norm"), F.round(F.element_at("unit", 1), 6).alias("first"))
 
 
-@register("merged_neighbours")
+@register("stored_vector_search", f"SELECT vec_id, dense_id, round(2 * distance, 6) AS distance, round(1 / (1 + 2 * distance), 6) AS score FROM {_COSINE} JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS dense_id FROM embeddings) USING (vec_id) ORDER BY distance, vec_id LIMIT 15")
+def stored_vector_search(spark, sf_dir):
+    path = scratch(spark, "vectors")
+    search.write_vector_index(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
+    found = search.search_vector_index(spark, path, VECTOR, 15)
+    return found.select(F.col("key").alias("vec_id"), "dense_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+_GROWN = """WITH t AS (SELECT conv_id, turn, length(text) AS size, length(text) % 3 = 0 AS failed, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations),
+    l AS (SELECT a.conv_id, a.turn, a.size, a.upto, coalesce(min(b.turn) FILTER (a.upto - b.upto + b.size <= 1000), any_value(a.turn)) AS first FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.failed GROUP BY a.conv_id, a.turn, a.size, a.upto),
+    w AS (SELECT l.*, l.upto - f.upto + f.size AS held FROM l JOIN t f ON l.conv_id = f.conv_id AND f.turn = l.first)"""
+
+
+@register("merged_neighbours", _GROWN + """ SELECT w.conv_id, w.turn, any_value(w.first) AS first, coalesce(max(b.turn) FILTER (w.held + b.upto - w.upto <= 1000), any_value(w.turn)) AS last
+    FROM w LEFT JOIN t b ON w.conv_id = b.conv_id AND b.turn > w.turn GROUP BY w.conv_id, w.turn""")
 def merged_neighbours(spark, sf_dir):
     turns = tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 3 == 0).alias("failed"), F.length("text").alias("size"))
     return duplicates.merged_neighbours(turns, "conv_id", "turn", "failed", "size", 1_000)

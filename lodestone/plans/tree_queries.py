@@ -83,9 +83,13 @@ def html_select(spark, sf_dir):
     return selector.select(nodes, "nav // li > a").groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@register("html_levels")
+@register("html_levels", r"""WITH t AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\1\2', 'g'), '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1) AS l FROM pages),
+    u AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS tag FROM t),
+    s AS (SELECT page_id, tag, sum(CASE WHEN starts_with(tag, '/') THEN 0 ELSE 1 END) OVER w - 1 AS pre, sum(CASE WHEN starts_with(tag, '/') THEN -1 WHEN tag IN ('meta', 'link', 'br', 'img', 'hr', 'input') THEN 0 ELSE 1 END) OVER w - CASE WHEN tag IN ('meta', 'link', 'br', 'img', 'hr', 'input') THEN 0 ELSE 1 END AS depth FROM u WINDOW w AS (PARTITION BY page_id ORDER BY i))
+    SELECT page_id AS doc, depth, pre, tag AS node_type FROM s WHERE tag IN ('h1', 'h2', 'p')""")
 def html_levels(spark, sf_dir):
-    return trees.flatten_ast(trees.html_tree(tables.read(spark, sf_dir, "pages"), "page_id", "html"), ["h1", "h2", "p"])
+    found = trees.flatten_ast(trees.html_tree(tables.read(spark, sf_dir, "pages"), "page_id", "html"), ["h1", "h2", "p"])
+    return found.select("doc", "depth", "pre", "node_type")
 
 
 @register("json_pointer_find", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

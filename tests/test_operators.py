@@ -17,11 +17,28 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src int, dst int")
 
 
-def test_strong_components(spark):
-    found = graph.strong_components(edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8), (1, 2)]))
+@pytest.mark.parametrize("at_once", [100, 2, 0])
+def test_strong_components(spark, at_once):
+    found = graph.strong_components(edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8), (1, 2)]), at_once)
     assert {(r.node, r.component, r.in_cycle) for r in found.collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 4, True), (5, 4, True), (6, 6, True), (7, 7, False), (8, 8, False)}
 
 
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
+def test_tarjan(pairs):
+    reach = {(a, b) for a, b in pairs}
+    for k in range(10):
+        reach |= {(a, b) for a in range(10) for b in range(10) if (a, k) in reach and (k, b) in reach}
+    found = {frozenset(c) for c in graph.tarjan([a for a, _ in pairs], [b for _, b in pairs])}
+    assert found == {frozenset(b for b in range(10) if a == b or (a, b) in reach and (b, a) in reach) for a in {x for p in pairs for x in p}}
+
+
+def test_strong_components_of_a_random_graph(spark):
+    draw = random.Random(2)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(90)]
+    one, many = ({(r.node, r.component, r.in_cycle) for r in graph.strong_components(edges(spark, pairs), n).collect()} for n in (1000, 5))
+    assert one == many
+
+
 def test_strong_components_of_nothing(spark):
     assert graph.strong_components(edges(spark, [])).count() == 0
 
@@ -72,6 +89,29 @@ def test_first_fit(spark):
     assert out.groupby("batch")["size"].sum().max() <= 10
 
 
+@given(st.lists(st.integers(0, 30), max_size=40))
+def test_first_fit_is_the_plain_scan(sizes):
+    rooms, plain = duplicates._Rooms(), []
+    for n in sizes:
+        at = next((i for i, r in enumerate(plain) if r >= n), None)
+        assert rooms.first(n) == at
+        if at is None:
+            at = len(plain)
+            plain.append(30)
+            rooms.set(at, 30)
+        plain[at] -= n
+        rooms.set(at, rooms[at] - n)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.8])
+def test_similar_names(spark, least):
+    names = ["abc", "abd", "", "xabcx", "zzz", "cba", "aabbcc", None]
+    frame = spark.createDataFrame([(g, n) for g in (1, 2) for n in names], "g int, n string")
+    found = {(r.g, r.a, r.b) for r in duplicates.similar_names(frame, "g", "n", least).collect()}
+    known = [n for n in names if n is not None]
+    assert found == {(g, a, b) for g in (1, 2) for a in known for b in known if a < b and duplicates.lcs_length(a, b) >= least * max(len(a), len(b))}
+
+
 def test_greedy_pages(spark):
     frame = spark.createDataFrame([("a", i, n) for i, n in enumerate([4, 4, 4, 50, 1, 1, 1, 1])], "s string, i int, n int")
     out = duplicates.greedy_pages(frame, "s", "i", F.col("n"), 10, 3).orderBy("i").collect()

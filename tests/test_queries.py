@@ -42,9 +42,8 @@ def test_oracle(spark, duck, small_dir, name):
     assert canonical(frame.collect(), frame.columns) == canonical(found.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, small_dir, name):
-    assert QUERIES[name](spark, small_dir).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
