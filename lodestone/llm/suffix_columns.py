@@ -3,24 +3,31 @@
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts earlier, in a document
 of smaller id or further ahead in the same one. Strings are judged on the input.
 
-Which strings may be equal is found first. Every window of ``LENGTH`` bytes is represented by its
-least hashed ``GRAM``-byte string; equal windows have the same one. Neighbouring windows with the
-same representative form a passage, and passages meet by representative. Of equal passages all but
-the first are repeats throughout (before the shuffle already within a task, so that a passage that
-is everywhere comes once from each). Passages without another one of their representative are
-unique. What is left are different passages that may share windows; their bytes are fetched and
-ordered: collections of them get their Burrows-Wheeler transform and longest common prefixes
-column by column from the right end. A round inserts one symbol of every string: the symbol is
-entered where the string's last suffix stands, the stable order of the symbols gives the places of
-the new suffixes, and the common prefixes with both neighbours follow from the least value in
-between. The transform and the prefixes are rewritten in one sequential pass a round, in files once
-they outgrow ``IN_MEMORY``. In the end intervals with common prefixes of ``LENGTH`` or more hold the
-equal windows. Representatives with more than ``MOST_IN_GROUP`` different passages are met by single
-windows instead, where equal windows are equal passages.
-
-Null texts are empty; texts shorter than ``LENGTH`` bytes keep all. Rows that share a doc_id are
-told apart, and ordered, by the hash of their text; rows alike in both are one document, reported
-for each row. Documents without an id come first. Other columns are not looked at.
+Hashes only bring strings together; which of them are equal is decided by the order of their bytes.
+Every window of ``LENGTH`` bytes is represented by its least hashed ``GRAM``-byte string; equal
+windows have the same one. Neighbouring windows with the same representative form a passage, and
+passages meet by representative. Collections of passages get their Burrows-Wheeler transform and
+longest common prefixes column by column from the right end. A round inserts one symbol of every
+string: the symbol is entered where the string's last suffix stands, the stable order of the symbols
+gives the places of the new suffixes, and the common prefixes with both neighbours follow from the
+least value in between. Transform and prefixes are read and rewritten in sequential passes, a chunk
+at a time, in files once they outgrow ``IN_MEMORY``. In the end intervals with common prefixes of
+``LENGTH`` or more hold the equal windows; of each all but the first are repeats.
+
+This is done twice. Each task orders the passages of its own texts that meet there, and drops those
+of which every window stands earlier in the same task; so a string that is everywhere comes once
+from each task. What is left meets across tasks: of representatives that several passages have, the
+bytes are fetched and ordered. Representatives with more than ``MOST_IN_GROUP`` passages are split
+by ever longer strings around them (``CONTEXTS``): a window holds at least half of what is missing
+on one side, so equal windows stay together on every level, and the longest string is the window
+itself. At most that many passages of a representative, or as many as there are tasks that hold one
+and the same window, meet in one task.
+
+Null texts are empty; texts shorter than ``LENGTH`` bytes keep all; an empty table gives an empty one.
+A text is cut in blocks of ``BLOCK`` bytes with an overlap, so long ones are only read and hashed
+whole where they are written back. Rows that share a doc_id are told apart, and ordered, by the hash
+of their text; rows alike in both are one document, reported for each row. Documents without an id
+come first. Ties between equal windows go to the earlier one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,15 +48,19 @@ LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2
 #: Windows of a passage, at most: as many as may hold one and the same place of its representative.
 MOST_WINDOWS = LENGTH - GRAM + 1
+#: Sizes of the strings that crowded representatives are split by, each half-way to the window.
+CONTEXTS = (66, 83, 92, 96, 98, 99, 100)
 #: Bytes of a text that are looked at together; longer texts are cut with an overlap.
 BLOCK = 2 << 20
-#: Passages that a task remembers to find its own repeats.
-HELD = 1 << 20
+#: Bytes of text whose passages a task orders together.
+HELD = 8 << 20
 #: Symbols of a collection; passages of one representative that are ordered together, at most.
-COLLECTION, MOST_IN_GROUP = 600_000, 2_048
-IN_MEMORY = 32 << 20
-CANDIDATE, REPEAT, OPEN, PERIODIC = 0, 1, 2, 3
-ROWS = "key long, print long, doc_id long, begin long, size int, kind int"
+COLLECTION, MOST_IN_GROUP = 4 << 20, 512
+#: Symbols from which on transform and prefixes are in files, and those of a chunk of a pass.
+IN_MEMORY, CHUNK = 1 << 20, 1 << 16
+OPEN, REPEAT = 0, 1
+ROWS = "key long, doc_id long, begin long, size int, kind int"
+PIECES = "key long, doc_id long, begin long, at int, data binary, size int, kind int"
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -102,14 +113,16 @@ class Prints:
 
 
 def passages(parts: list[bytes], most_windows: int = MOST_WINDOWS, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Passages of several byte strings: (string, begin in it, size, representative, print, whether it may repeat itself).
+    """Passages of several byte strings: (string, begin in it, size, representative, whether it may repeat itself).
 
-    A passage in which the representative stands more than once may hold equal windows.
+    The representative is the least whole hash, whatever else is in the buffer. A passage in which it
+    stands more than once may hold equal windows.
     """
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+        return none
     ends = np.cumsum(sizes)
     begins = ends - sizes
     live = np.zeros(len(data) + 1, np.int64)
@@ -118,12 +131,12 @@ def passages(parts: list[bytes], most_windows: int = MOST_WINDOWS, length: int =
     np.add.at(live, ends[long_enough] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(live)[:-1] > 0)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+        return none
     hashes = gram_hashes(data)
+    least = least_ahead(hashes, length - GRAM + 1)[starts]
+    # Equal windows at two places have their least (high bits, then place) at the same offset, so the places differ.
     bits = np.uint64(max(1, len(data).bit_length()))
-    placed = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
-    place = (least_ahead(placed, length - GRAM + 1)[starts] & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-    least = hashes[place]
+    place = least_ahead(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)[starts] & (np.uint64(1) << bits) - np.uint64(1)
     owner = np.searchsorted(ends, starts, "right")
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -131,8 +144,7 @@ def passages(parts: list[bytes], most_windows: int = MOST_WINDOWS, length: int =
     within = np.arange(len(starts)) - np.flatnonzero(fresh)[run]
     first = np.flatnonzero(within % most_windows == 0)
     count = np.diff(np.append(first, len(starts)))
-    begin, size = starts[first], count + length - 1
-    return owner[first], begin - begins[owner[first]], size, least[first], Prints(data).of(begin, size), place[first] != place[first + count - 1]
+    return owner[first], starts[first] - begins[owner[first]], count + length - 1, least[first], place[first] != place[first + count - 1]
 
 
 def _cut(raws: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -155,92 +167,105 @@ def _cut(raws: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarra
         yield strings, np.array(rows), np.array(offsets)
 
 
-def _batch(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    columns = [key.view(np.int64), mark.view(np.int64), doc, begin, size.astype(np.int32), kind.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "print", "doc_id", "begin", "size", "kind"])
-
-
-def _own_repeats(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task in which all but the first of equal passages are marked as repeats, on their way to any task."""
-    doc, begin, size, key, mark, periodic = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((begin, doc, mark, key))
-    doc, begin, size, key, mark, periodic = (c[order] for c in (doc, begin, size, key, mark, periodic))
-    again = np.zeros(len(key), bool)
-    again[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
-    with np.errstate(over="ignore"):
-        key[again] = _mixed(doc[again].view(np.uint64) * _M1 + begin[again].astype(np.uint64))
-    kind = np.where(again, REPEAT, np.where(periodic, PERIODIC, CANDIDATE))
+def _batch(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(key), 50_000):
-        cut = slice(at, at + 50_000)
-        yield _batch(key[cut], mark[cut], doc[cut], begin[cut], size[cut], kind[cut])
+        part = slice(at, at + 50_000)
+        columns = [key[part].view(np.int64), doc[part], begin[part], size[part].astype(np.int32), np.full(len(key[part]), kind, np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "begin", "size", "kind"])
+
+
+def _merged(doc: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches with those of a document that meet or overlap made one."""
+    if not len(doc):
+        return doc, begin, size
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], (begin + size)[order]
+    # Ends rise within a document once every document lies beyond the one before.
+    span = int(end.max()) + 1
+    number = np.cumsum(np.append(False, doc[1:] != doc[:-1]))
+    upto = np.maximum.accumulate(end + number * span) - number * span
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > upto[:-1])
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(doc) - 1)
+    return doc[fresh], begin[fresh], upto[last] - begin[fresh]
+
+
+def _settled(doc: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, periodic: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which passages of a task go on, and the stretches that repeat others of the same task.
+
+    ``doc`` numbers the texts, ``data`` holds their bytes, ``begin`` is a place in them.
+    """
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    met = np.append(False, same) | np.append(same, False)
+    chosen = order[met | periodic[order]]
+    strings = [data[d][b : b + s] for d, b, s in zip(doc[chosen].tolist(), begin[chosen].tolist(), size[chosen].tolist(), strict=True)]
+    goes_on = np.ones(len(key), bool)
+    stretches = []
+    for part, found, whole in ordered(key[chosen], doc[chosen], begin[chosen], strings):
+        goes_on[chosen[part[whole]]] = False
+        stretches.append(found)
+    return goes_on, tuple(np.concatenate(c) for c in zip(*stretches, strict=True)) if stretches else (np.zeros(0, np.int64),) * 3
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """The passages of all texts (columns doc_id, text)."""
+    """Of all texts (columns doc_id, text) the stretches that repeat others of their task, and the passages that go on."""
+
+    def settle(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        # In order of documents, so that the first of equal windows is the earlier one.
+        held = sorted(held, key=lambda h: h[:2])
+        ids, offsets = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+        columns = []
+        for at, group in _groups([len(h[2]) for h in held]):
+            owner, *rest = passages([held[i][2] for i in group])
+            columns.append((owner + at, *rest))
+        owner, begin, size, key, periodic = (np.concatenate(c) for c in zip(*columns, strict=True))
+        goes_on, (doc, start, span) = _settled(owner, begin, size, key, periodic, [h[2] for h in held])
+        # Blocks of one text are put together again; equal rows (id and text) are one document.
+        gone = _merged(ids[doc], start + offsets[doc], span)
+        yield from _batch(np.zeros(len(gone[0]), np.int64), *gone, REPEAT)
+        owner, begin, size, key = owner[goes_on], begin[goes_on], size[goes_on], key[goes_on]
+        yield from _batch(key, ids[owner], begin + offsets[owner], size, OPEN)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
         for batch in common.text_slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_pylist()
             for strings, row, offset in _cut(common.utf8(batch.column("text"))):
-                owner, begin, size, key, mark, periodic = passages(strings)
-                held.append((ids[row[owner]], begin + offset[owner], size, key, mark, periodic))
-                count += len(key)
-            if count > HELD:
-                yield from _own_repeats(held)
-                held, count = [], 0
-        if count:
-            yield from _own_repeats(held)
+                for string, r, o in zip(strings, row.tolist(), offset.tolist(), strict=True):
+                    if len(string) >= LENGTH:
+                        held.append((ids[r], o, string))
+                        size += len(string)
+                if size >= HELD:
+                    yield from settle(held)
+                    held, size = [], 0
+        if held:
+            yield from settle(held)
 
     return docs.select("doc_id", "text").mapInArrow(rows, ROWS)
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """Repeats of passages, and the passages that repeat themselves or whose representative has other ones (kind ``OPEN``)."""
+def _groups(sizes: list[int]) -> Iterator[tuple[int, range]]:
+    """Neighbouring strings of up to two blocks together: (first, all)."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > 2 * BLOCK:
+            yield first, range(first, i)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, range(first, len(sizes))
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "print", "doc_id", "begin", "size", "kind")
-        last: tuple[int, int] | None = None
-        pending: list[np.ndarray] | None = None
-        shared = False
-        for batch in batches:
-            table = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            ready = table[5] == REPEAT
-            if ready.any():
-                yield _batch(*(c[ready] for c in table))
-                table = [c[~ready] for c in table]
-            key, mark = table[0], table[1]
-            if not len(key):
-                continue
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
-            again[0] = last == (key[0], mark[0])
-            last = (key[-1], mark[-1])
-            if again.any():
-                out = [c[again] for c in table]
-                out[5] = np.full(len(out[0]), REPEAT)
-                yield _batch(*out)
-            firsts = [c[~again] for c in table]
-            if pending is not None:
-                firsts = [np.concatenate([p, c]) for p, c in zip(pending, firsts, strict=True)]
-            if not len(firsts[0]):
-                continue
-            same = firsts[0][1:] == firsts[0][:-1]
-            open_rows = np.append(False, same) | np.append(same, False)
-            open_rows[0] |= shared
-            open_rows |= firsts[5] == PERIODIC
-            shared = bool(open_rows[-1])
-            pending = [c[-1:] for c in firsts]
-            out = [c[:-1][open_rows[:-1]] for c in firsts]
-            if len(out[0]):
-                out[5] = np.full(len(out[0]), OPEN)
-                yield _batch(*out)
-        if pending is not None and shared:
-            pending[5] = np.full(1, OPEN)
-            yield _batch(*pending)
-
-    return rows.repartition("key").sortWithinPartitions("key", "print", "doc_id", "begin").mapInArrow(settled, ROWS)
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Passages whose representative others have as well, with their number ``n``.
+
+    Counts are gathered before they are shuffled, and a representative with very many passages is one
+    that Spark deals out anew where it joins (a skewed join), since only one row stands against them.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(counts, "key")
 
 
 def _room(n: int, folder: str, name: str) -> np.ndarray:
@@ -248,52 +273,113 @@ def _room(n: int, folder: str, name: str) -> np.ndarray:
     return np.memmap(f"{folder}/{name}", np.uint8, "w+", shape=(n,)) if n > IN_MEMORY else np.zeros(n, np.uint8)
 
 
+def _least_upto(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least of ``values[:end]`` for rising ends of 1 or more."""
+    return np.minimum.accumulate(np.minimum.reduceat(values[: ends[-1]], np.append(0, ends[:-1])))
+
+
+class _Round:
+    """What a pass over the transform gathers while a round's symbols are entered."""
+
+    def __init__(self) -> None:
+        self.count = np.zeros(256, np.int64)
+        self.seen = np.zeros(256, bool)
+        self.last_is_new = np.zeros(256, bool)
+        self.least_since = np.full(256, 255, np.uint8)
+        self.found: list[tuple[np.ndarray, ...]] = []
+
+    def take(self, symbols: np.ndarray, prefixes: np.ndarray, entered: np.ndarray, who: np.ndarray) -> None:
+        """A chunk: its symbols, among them those entered (at rising places, for strings), and its prefixes."""
+        n = len(symbols)
+        order = np.argsort(symbols, kind="stable")
+        here = np.bincount(symbols, minlength=256)
+        letters = np.flatnonzero(here)
+        upto = np.cumsum(here[letters])
+        heads = upto - here[letters]
+        marks = np.zeros(n, bool)
+        marks[entered] = True
+        fresh = marks[order]
+        # A prefix changes where the symbol, or the same one before it, is new.
+        changed = fresh.copy()
+        changed[1:] |= fresh[:-1]
+        changed[heads] = fresh[heads] | self.seen[letters] & self.last_is_new[letters]
+        at = np.flatnonzero(changed)
+        group = np.searchsorted(heads, at, "right") - 1
+        if letters[0] == 0:
+            at, group = at[group > 0], group[group > 0]
+        letter, place = letters[group], order[at]
+        value = np.zeros(len(at), np.uint8)
+        inner = at > heads[group]
+        value[inner] = _least_between(prefixes, order[at[inner] - 1] + 1, place[inner] + 1)
+        if not inner.all():
+            outer = np.flatnonzero(~inner)
+            outer = outer[np.argsort(place[outer])]
+            value[outer] = np.where(self.seen[letter[outer]], np.minimum(_least_upto(prefixes, place[outer] + 1), self.least_since[letter[outer]]), 0)
+        value += (inner | self.seen[letter]) & (value < 255)
+        string = np.full(len(at), -1, np.int64)
+        new = fresh[at]
+        string[new] = who[np.searchsorted(entered, place[new])]
+        self.found.append((letter, at - heads[group] + self.count[letter], value, string))
+        # For the chunks that follow: the last place of each symbol here, and the least prefix behind it.
+        last = order[upto - 1]
+        by_place = np.argsort(-last)
+        behind = _least_upto(np.append(np.uint8(255), prefixes[::-1]), n - last[by_place])
+        np.minimum(self.least_since, prefixes.min(), out=self.least_since)
+        self.least_since[letters[by_place]] = behind
+        self.last_is_new[letters] = fresh[upto - 1]
+        self.seen[letters] = True
+        self.count += here
+
+
 def column_order(columns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform and longest common prefixes (up to 255) of all suffixes of the strings.
 
     ``columns[r]`` holds the symbol ``r`` places from the end of every string, 1 or more, and 0 past
     its beginning. Suffixes are in order of their symbols; the empty ones come first. The transform
-    has 0 for whole strings.
+    has 0 for whole strings. A round takes two sequential passes: one that enters the symbols and
+    finds the places and prefixes of the new suffixes, one that writes the next files.
     """
     m, rounds = len(sizes), int(sizes.max(initial=0))
-    symbols, common_prefix = np.zeros(m, np.uint8), np.zeros(m, np.uint8)
     place, string = np.arange(m), np.arange(m)
     with tempfile.TemporaryDirectory() as folder:
+        whole = m + int(sizes.sum())
+        files = [[_room(whole, folder, f"{name}{i}") for name in ("symbols", "prefixes")] for i in (0, 1)]
+        size = m
         for r in range(rounds):
+            symbols, prefixes = (x[:size] for x in files[r & 1])
             longer = sizes[string] > r
             place, string = place[longer], string[longer]
-            symbols[place] = columns[r][string]
-            n = len(symbols)
-            order = np.argsort(symbols, kind="stable")
-            whole = n - np.count_nonzero(symbols)
-            entered = np.zeros(n, bool)
-            entered[place] = True
-            rank = np.flatnonzero(entered[order])
-            at = order[rank]
-            string = string[np.searchsorted(place, at)]
-            before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, n - 1)]
-            like_before = (symbols[before] == symbols[at]) & (rank > whole)
-            like_after = (symbols[after] == symbols[at]) & (rank + 1 < n)
-            low = np.concatenate([before[like_before], at[like_after]]) + 1
-            high = np.concatenate([at[like_before], after[like_after]]) + 1
-            shared = _least_between(common_prefix, low, high)
-            shared += shared < 255
-            place = m + rank - whole
-            old = np.ones(n + len(place), bool)
-            old[place] = False
-            next_symbols, next_prefix = (_room(len(old), folder, f"{name}{r & 1}") for name in ("symbols", "prefixes"))
-            next_symbols[old] = symbols
-            next_prefix[old] = common_prefix
-            behind = place[like_after] + 1
-            next_prefix[behind] = shared[np.count_nonzero(like_before) :]
-            next_prefix[place] = 0
-            next_prefix[place[like_before]] = shared[: np.count_nonzero(like_before)]
-            behind = place[~like_after] + 1
-            behind = behind[(behind < len(old))]
-            behind = behind[old[behind]]
-            next_prefix[behind] = 0
-            symbols, common_prefix = next_symbols, next_prefix
-        return np.array(symbols), np.array(common_prefix)
+            gathered = _Round()
+            cuts = np.searchsorted(place, np.arange(0, size + CHUNK, CHUNK))
+            for i, begin in enumerate(range(0, size, CHUNK)):
+                own = slice(cuts[i], cuts[i + 1])
+                chunk = symbols[begin : begin + CHUNK]
+                chunk[place[own] - begin] = columns[r][string[own]]
+                gathered.take(np.asarray(chunk), np.asarray(prefixes[begin : begin + CHUNK]), place[own] - begin, string[own])
+            letter, rank, value, who = (np.concatenate(c) for c in zip(*gathered.found, strict=True))
+            gathered.count[0] = 0
+            row = m + (np.cumsum(gathered.count) - gathered.count)[letter] + rank
+            order = np.argsort(row)
+            row, value, who = row[order], value[order], who[order]
+            new = who >= 0
+            place, string = row[new], who[new]
+            size += len(place)
+            next_symbols, next_prefixes = (x[:size] for x in files[~r & 1])
+            starts = np.arange(0, size + CHUNK, CHUNK)
+            cuts, changes = np.searchsorted(place, starts), np.searchsorted(row, starts)
+            for i, begin in enumerate(range(0, size, CHUNK)):
+                here = min(CHUNK, size - begin)
+                taken = slice(begin - cuts[i], begin - cuts[i] + here - int(cuts[i + 1] - cuts[i]))
+                part, own = next_prefixes[begin : begin + here], next_symbols[begin : begin + here]
+                if cuts[i] == cuts[i + 1]:
+                    own[:], part[:] = symbols[taken], prefixes[taken]
+                else:
+                    old = np.ones(here, bool)
+                    old[place[cuts[i] : cuts[i + 1]] - begin] = False
+                    own[~old] = 0
+                    own[old], part[old] = symbols[taken], prefixes[taken]
+                part[row[changes[i] : changes[i + 1]] - begin] = value[changes[i] : changes[i + 1]]
+        return tuple(np.array(x[:size]) for x in files[rounds & 1])
 
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -363,9 +449,29 @@ def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
     return needed
 
 
-def repeats_among(doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches (doc, begin, size) of the strings that are covered by windows found earlier."""
+def ordered(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
+    """Passages in order of their keys, in collections of whole keys: (which, stretches that repeat others, whether all of one does).
+
+    Passages that cannot share a window are left out before.
+    """
+    if not strings:
+        return
+    part = np.flatnonzero(may_share(key, strings))
+    upto = np.cumsum([len(strings[i]) for i in part])
+    edges = np.append(np.flatnonzero(key[part][1:] != key[part][:-1]) + 1, len(part)) if len(part) else part
+    first = 0
+    for edge in edges.tolist():
+        if edge == len(part) or upto[edge - 1] - (upto[first - 1] if first else 0) >= COLLECTION:
+            own = part[first:edge]
+            *found, whole = repeats_among(doc[own], begin[own], [strings[i] for i in own])
+            yield own, tuple(found), whole
+            first = edge
+
+
+def repeats_among(doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (doc, begin, size) of the strings that are covered by windows found earlier, and which strings are so throughout."""
     string, place, group = equal_windows(strings)
+    windows = np.bincount(string, minlength=len(strings))
     at_doc, at = doc[string], begin[string] + place
     order = np.lexsort((at, at_doc, group))
     string, place, group, at_doc, at = (c[order] for c in (string, place, group, at_doc, at))
@@ -380,26 +486,33 @@ def repeats_among(doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> t
     start[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
     heads = np.flatnonzero(start)
     counts = np.diff(np.append(heads, len(string)))
-    return doc[string[heads]], begin[string[heads]] + place[heads], counts + LENGTH - 1
+    whole = (np.bincount(string, minlength=len(strings)) == windows) & (windows > 0)
+    return doc[string[heads]], begin[string[heads]] + place[heads], counts + LENGTH - 1, whole
 
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of passages (key, doc_id, begin, size)."""
+    """The bytes of passages (key, n, doc_id, begin, size).
+
+    A text meets the list of what is wanted of it, which is no longer than a small multiple of the text.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches):
-            ids, raws, asked = batch.column("doc_id").to_pylist(), common.utf8(batch.column("text")), batch.column("asked").to_pylist()
-            found = [(w["key"], i, w["begin"], raw[w["begin"] : w["begin"] + w["size"]]) for i, raw, ws in zip(ids, raws, asked, strict=True) for w in ws]
-            for at in range(0, len(found), 20_000):
-                key, doc, begin, data = zip(*found[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(data, pa.binary())], names=["key", "doc_id", "begin", "data"])
+            ids, raws = batch.column("doc_id").to_pylist(), common.utf8(batch.column("text"))
+            for doc, raw, asked in zip(ids, raws, batch.column("asked"), strict=True):
+                key, n, begin, size = (asked.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "begin", "size"))
+                for at in range(0, len(key), 20_000):
+                    part = slice(at, at + 20_000)
+                    data = [raw[b : b + s] for b, s in zip(begin[part].tolist(), size[part].tolist(), strict=True)]
+                    columns = [pa.array(key[part]), pa.array(n[part]), pa.array(np.full(len(data), doc, np.int64)), pa.array(begin[part]), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "doc_id", "begin", "data"])
 
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "begin", "size")).alias("asked"))
-    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(rows, "key long, doc_id long, begin long, data binary")
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "n", "begin", "size")).alias("asked"))
+    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(rows, "key long, n long, doc_id long, begin long, data binary").withColumn("at", F.lit(-1))
 
 
 def ordered_repeats(pieces: DataFrame) -> DataFrame:
-    """Repeats among different passages (key, doc_id, begin, data): collections of whole keys are ordered by columns."""
+    """Repeats among passages (key, doc_id, begin, data) of a representative, in collections of whole ones."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
@@ -410,12 +523,11 @@ def ordered_repeats(pieces: DataFrame) -> DataFrame:
             key, doc, begin = (np.concatenate([h[i] for h in held]) for i in range(3))
             data = [d for h in held for d in h[3]]
             end = len(key) if upto is None else upto
-            chosen = np.flatnonzero(may_share(key[:end], data[:end]))
-            found = repeats_among(doc[chosen], begin[chosen], [data[i] for i in chosen])
+            for _, found, _ in ordered(key[:end], doc[:end], begin[:end], data[:end]):
+                gone = _merged(*found)
+                yield from _batch(np.zeros(len(gone[0]), np.int64), *gone, REPEAT)
             held = [(key[end:], doc[end:], begin[end:], data[end:])] if end < len(key) else []
             symbols = sum(map(len, data[end:]))
-            none = np.zeros(len(found[0]), np.int64)
-            yield _batch(none, none, *found, np.full(len(none), REPEAT))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
@@ -431,27 +543,83 @@ def ordered_repeats(pieces: DataFrame) -> DataFrame:
         if held:
             yield from flush(None)
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(rows, ROWS)
+    own = pieces.select("key", "doc_id", "begin", "data")
+    return own.repartition("key").sortWithinPartitions("key").mapInArrow(rows, ROWS)
+
 
+def _anchors(key: np.ndarray, begin: np.ndarray, at: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of every window of the passages: (passage, its place in all bytes, the place of what it is represented by)."""
+    sizes = np.array([len(d) for d in data], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    count = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(data)), count)
+    window = starts[owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if at[0] >= 0:
+        return owner, window, (starts + at)[owner]
+    # At first the representative is known by its hash alone: the next place of it from the window on.
+    hashes = gram_hashes(np.frombuffer(b"".join(data), np.uint8))
+    of = np.repeat(np.arange(len(data)), sizes)[: len(hashes)]
+    places = np.flatnonzero(hashes == key.view(np.uint64)[of])
+    return owner, window, places[np.searchsorted(places, window)]
 
-def single_windows(pieces: DataFrame) -> DataFrame:
-    """Every window of the passages as a passage of its own."""
+
+def refined(crowded: DataFrame, level: int) -> DataFrame:
+    """Passages of crowded representatives, cut into those of longer ones and settled within the task.
+
+    A window holds its representative and at least half of the bytes still missing to the next size
+    on one side of it; with these it makes the next representative.
+    """
+    known, size = (GRAM, *CONTEXTS)[level], CONTEXTS[level]
+    more = size - known
+
+    def settle(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, at: np.ndarray, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        owner, window, anchor = _anchors(key, begin, at, data)
+        left = anchor - window >= more
+        context = np.where(left, anchor - more, anchor)
+        fresh = np.ones(len(window), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (context[1:] != context[:-1]) | (left[1:] != left[:-1])
+        first = np.flatnonzero(fresh)
+        count = np.diff(np.append(first, len(window)))
+        owner, left, context, window = owner[first], left[first], context[first], window[first]
+        with np.errstate(over="ignore"):
+            mark = Prints(flat).of(context, np.full(len(first), size))
+            key = _mixed(mark * _M1 + np.where(left, _M2, _M3))
+        start = np.cumsum([0, *map(len, data)])[owner]
+        begin, span = begin[owner] + window - start, count + LENGTH - 1
+        order = np.lexsort((begin, doc[owner], key))
+        owner, key, begin, span, context, window = (c[order] for c in (owner, key, begin, span, context, window))
+        strings = [flat[w : w + s].tobytes() for w, s in zip(window.tolist(), span.tolist(), strict=True)]
+        goes_on = np.ones(len(key), bool)
+        for part, found, whole in ordered(key, doc[owner], begin, strings):
+            goes_on[part[whole]] = False
+            gone = _merged(*found)
+            yield _pieces(np.zeros(len(gone[0]), np.int64), gone[0], gone[1], np.zeros(len(gone[0])), [None] * len(gone[0]), gone[2], REPEAT)
+        for at in range(0, len(key), 20_000):
+            kept = np.flatnonzero(goes_on[at : at + 20_000]) + at
+            yield _pieces(key[kept], doc[owner[kept]], begin[kept], (context - window)[kept], [strings[i] for i in kept], span[kept], OPEN)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        symbols = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                doc, begin = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "begin"))
+            for start in range(0, batch.num_rows, 2_000):
+                part = batch.slice(start, 2_000)
                 data = part.column("data").to_pylist()
-                flat = np.frombuffer(b"".join(data), np.uint8)
-                sizes = np.array([len(d) for d in data])
-                count = sizes - LENGTH + 1
-                owner = np.repeat(np.arange(len(data)), count)
-                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                mark = Prints(flat).of((np.cumsum(sizes) - sizes)[owner] + place, np.full(len(owner), LENGTH))
-                yield from _own_repeats([(doc[owner], begin[owner] + place, np.full(len(owner), LENGTH), _mixed(mark * _M3), mark, np.zeros(len(owner), bool))])
+                held.append((*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "begin", "at")), data))
+                symbols += sum(map(len, data))
+                if symbols >= COLLECTION:
+                    yield from settle(*(np.concatenate([h[i] for h in held]) for i in range(4)), [d for h in held for d in h[4]])
+                    held, symbols = [], 0
+        if held:
+            yield from settle(*(np.concatenate([h[i] for h in held]) for i in range(4)), [d for h in held for d in h[4]])
+
+    return crowded.select("key", "doc_id", "begin", "at", "data").mapInArrow(rows, PIECES)
+
 
-    return pieces.mapInArrow(rows, ROWS)
+def _pieces(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, at: np.ndarray, data: list, size: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(doc), pa.array(begin), pa.array(at.astype(np.int32)), pa.array(data, pa.binary()), pa.array(size.astype(np.int32)), pa.array(np.full(len(key), kind, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "begin", "at", "data", "size", "kind"])
 
 
 def kept_bytes(docs: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -493,31 +661,37 @@ def _united(gone: pa.Scalar) -> list[tuple[int, int]]:
 def numbered(docs: DataFrame) -> DataFrame:
     """Columns id (as given), doc_id (not null, one for each document, in the same order) and text.
 
-    Where ids are unique, which is looked up first, they stay. Otherwise documents are ranked by id
-    and then by the hash of their text, within slots of the id, so that no task sees all of them.
+    Where ids are unique, which is looked up first, they stay. Otherwise documents are numbered in
+    order of their id and then of the hash of their text; the numbers rise but leave gaps, so no task
+    sees all documents.
     """
     own = common.only(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").withColumn("id", F.col("id").cast("long"))
     odd = own.groupBy("id").count().where("count > 1 OR id IS NULL")
     if odd.isEmpty():
         return own.withColumn("doc_id", F.col("id"))
     marked = own.withColumn("mark", F.xxhash64("text"))
-    distinct = marked.select("id", "mark").distinct().orderBy(F.col("id").asc_nulls_first(), "mark")
-    ranks = distinct.rdd.zipWithIndex().map(lambda r: (r[0]["id"], r[0]["mark"], r[1])).toDF("r_id long, r_mark long, doc_id long")
-    ranks = common.written(ranks, "ranks")
+    distinct = marked.select(F.col("id").alias("r_id"), F.col("mark").alias("r_mark")).distinct()
+    ranks = common.written(distinct.orderBy(F.col("r_id").asc_nulls_first(), "r_mark").withColumn("doc_id", F.monotonically_increasing_id()), "ranks")
     return marked.join(ranks, marked["id"].eqNullSafe(ranks["r_id"]) & (marked["mark"] == ranks["r_mark"])).select("id", "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """What is left of each document once repeated strings are gone; see ``kept_bytes``."""
     own = numbered(docs)
-    found = common.written(settle(candidates(own)), "passages")
-    repeats = found.where(F.col("kind") == REPEAT).select("doc_id", "begin", "size")
-    still_open = found.where(F.col("kind") == OPEN).select("key", "doc_id", "begin", "size")
-    crowded = common.written(still_open.groupBy("key").count().where(F.col("count") > most_in_group).select("key"), "crowded")
-    pieces = common.written(fetched(own, still_open), "pieces")
-    ordered = ordered_repeats(pieces.join(crowded, "key", "left_anti"))
-    repeats = repeats.unionByName(ordered.select("doc_id", "begin", "size"))
-    if not crowded.isEmpty():
-        single = settle(single_windows(pieces.join(crowded, "key", "left_semi")))
-        repeats = repeats.unionByName(single.where(F.col("kind") == REPEAT).select("doc_id", "begin", "size"))
-    return kept_bytes(own, repeats)
+    found = common.written(candidates(own), "passages")
+    stretch = ("doc_id", "begin", "size")
+    repeats = found.where(F.col("kind") == REPEAT).select(*stretch)
+    pieces = common.written(fetched(own, shared(found.where(F.col("kind") == OPEN))), "pieces")
+    columns = ("key", "doc_id", "begin", "data")
+    to_order, crowded = pieces.where(F.col("n") <= most_in_group).select(*columns), pieces.where(F.col("n") > most_in_group)
+    for level in range(len(CONTEXTS)):
+        if crowded.isEmpty():
+            break
+        finer = common.written(refined(crowded, level), "finer")
+        repeats = repeats.unionByName(finer.where(F.col("kind") == REPEAT).select(*stretch))
+        again = common.written(shared(finer.where(F.col("kind") == OPEN)), "crowded")
+        # The last strings are the windows themselves, once from each task: nothing is left to split.
+        last = level + 1 == len(CONTEXTS)
+        to_order = to_order.unionByName(again.where(F.lit(last) | (F.col("n") <= most_in_group)).select(*columns))
+        crowded = again.where(~F.lit(last) & (F.col("n") > most_in_group))
+    return kept_bytes(own, repeats.unionByName(ordered_repeats(to_order).select(*stretch)))

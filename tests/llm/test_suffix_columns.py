@@ -39,6 +39,7 @@ def texts():
 
 @pytest.mark.parametrize("most_in_group", [8192, 2])
 def test_against_brute_force(spark, most_in_group):
+    """With small groups crowded representatives are split down to single windows."""
     rows = texts()
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_columns.remove_repeats(frame, most_in_group).collect()}
@@ -73,10 +74,55 @@ def test_files_when_large(monkeypatch):
     assert sorted(map(len, found.values())) == [1] * len(found) and {next(iter(v)) for v in found.values()} == {b"abc", b"bca", b"cab"}
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1 << 16])
+def test_order_does_not_depend_on_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_columns, "CHUNK", chunk)
+    for seed in range(3):
+        test_column_order(seed)
+
+
+def test_every_size_of_collection_and_task(spark, monkeypatch):
+    """What is held, ordered or hashed together changes nothing (within one process, as workers read the module anew)."""
+    rows = [(k, t.encode()) for k, t in texts() if t]
+    expected = brute([(k, t.decode()) for k, t in rows])
+    for collection in (1, 3_000, 1 << 22):
+        monkeypatch.setattr(suffix_columns, "COLLECTION", collection)
+        owner, begin, size, key, periodic = suffix_columns.passages([t for _, t in rows])
+        goes_on, (doc, start, span) = suffix_columns._settled(owner, begin, size, key, periodic, [t for _, t in rows])
+        gone = [bytearray(len(t)) for _, t in rows]
+        for d, b, n in zip(doc.tolist(), start.tolist(), span.tolist(), strict=True):
+            gone[d][b : b + n] = b"\1" * n
+        assert [sum(g) for g in gone] == [expected[k][1] for k, _ in rows]
+        assert 0 < goes_on.sum() < len(goes_on)
+
+
+def test_representatives_do_not_depend_on_the_buffer():
+    draw = random.Random(3)
+    raws = [bytes(draw.choices(b"abcdef ", k=400)) for _ in range(30)]
+    together = suffix_columns.passages(raws)
+    for i, raw in enumerate(raws):
+        alone = suffix_columns.passages([raw])
+        mine = together[0] == i
+        for a, b in zip(alone[1:4], together[1:4], strict=True):
+            assert a.tolist() == b[mine].tolist()
+
+
+def test_a_common_line_with_differing_neighbours(spark):
+    """One representative with many different passages, in more tasks than one."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefgh", k=9))
+    line = " ".join(word() for _ in range(14))
+    rows = [(i, " ".join([*(word() for _ in range(12)), line[i % 3 :], *(word() for _ in range(12))])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for most in (512, 20):
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_columns.remove_repeats(frame, most).collect()}
+        assert found == brute(rows)
+
+
 def test_long_texts_are_cut_with_an_overlap(monkeypatch):
     monkeypatch.setattr(suffix_columns, "BLOCK", 150)
     raw = bytes(random.Random(1).choices(range(97, 123), k=1000))
-    parts = [(o + a, k) for strings, _, offsets in suffix_columns._cut([raw]) for s, o in zip(strings, offsets, strict=True) for _, a, _, k, *_ in zip(*suffix_columns.passages([s]), strict=True)]
+    parts = [(o + a, k) for strings, _, offsets in suffix_columns._cut([raw]) for s, o in zip(strings, offsets, strict=True) for _, a, _, k, _ in zip(*suffix_columns.passages([s]), strict=True)]
     starts = {a + i for a, _ in parts for i in [0]}
     assert min(starts) == 0
     covered = sum(int(z) - 99 for strings, _, _ in suffix_columns._cut([raw]) for s in strings for z in suffix_columns.passages([s])[2])
@@ -103,7 +149,7 @@ def test_passages_left_out_share_nothing(seed):
     word = lambda: bytes(draw.choices(b"abcd ", k=draw.randrange(1, 7)))
     shared = b"".join(word() for _ in range(60))
     texts = [b"".join(word() for _ in range(40)) + shared[draw.randrange(60) :][: draw.randrange(60, 160)] + b"".join(word() for _ in range(40)) for _ in range(40)] + [b"abcab" * 60]
-    owner, begin, size, key, mark, periodic = suffix_columns.passages(texts)
+    owner, begin, size, key, periodic = suffix_columns.passages(texts)
     strings = [texts[o][b : b + s] for o, b, s in zip(owner, begin, size, strict=True)]
     order = np.argsort(key.view(np.int64), kind="stable")
     strings, key = [strings[i] for i in order], key[order].view(np.int64)
