@@ -7,12 +7,14 @@ Hashes only bring strings together; which of them are equal is decided by the or
 Every window of ``LENGTH`` bytes is represented by its least hashed ``GRAM``-byte string; equal
 windows have the same one. Neighbouring windows with the same representative form a passage, and
 passages meet by representative. Collections of passages get their Burrows-Wheeler transform and
-longest common prefixes column by column from the right end. A round inserts one symbol of every
-string: the symbol is entered where the string's last suffix stands, the stable order of the symbols
-gives the places of the new suffixes, and the common prefixes with both neighbours follow from the
-least value in between. Transform and prefixes are read and rewritten in sequential passes, a chunk
-at a time, in files once they outgrow ``IN_MEMORY``. In the end intervals with common prefixes of
-``LENGTH`` or more hold the equal windows; of each all but the first are repeats.
+longest common prefixes column by column from the right end. A symbol is a word of ``WORD`` bytes, in
+step with the representative, which equal windows have at the same offset. A round inserts one symbol
+of every string: the symbol is entered where the string's last suffix stands, the stable order of the
+symbols gives the places of the new suffixes, and the common prefixes with both neighbours follow
+from the least value in between. Transform and prefixes are read and rewritten in sequential passes,
+a chunk at a time, in files once they outgrow ``IN_MEMORY``. In the end intervals with common prefixes
+of all whole words of a window, and the same bytes at its edges, hold the equal windows; of each all
+but the first are repeats.
 
 This is done twice. Each task orders the passages of its own texts that meet there, and drops those
 of which every window stands earlier in the same task; so a string that is everywhere comes once
@@ -35,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, WORD = 100, 32, 4
 #: Bytes beside its representative that a window takes in on at least one side.
 SIDE = (LENGTH - GRAM) // 2
 #: Windows of a passage, at most: as many as may hold one and the same place of its representative.
@@ -54,10 +57,10 @@ CONTEXTS = (66, 83, 92, 96, 98, 99, 100)
 BLOCK = 2 << 20
 #: Bytes of text whose passages a task orders together.
 HELD = 8 << 20
-#: Symbols of a collection; passages of one representative that are ordered together, at most.
+#: Bytes of a collection; passages of one representative that are ordered together, at most.
 COLLECTION, MOST_IN_GROUP = 4 << 20, 512
 #: Symbols from which on transform and prefixes are in files, and those of a chunk of a pass.
-IN_MEMORY, CHUNK = 1 << 20, 1 << 16
+IN_MEMORY, CHUNK = 1 << 18, 1 << 16
 OPEN, REPEAT = 0, 1
 ROWS = "key long, doc_id long, begin long, size int, kind int"
 PIECES = "key long, doc_id long, begin long, at int, data binary, size int, kind int"
@@ -268,9 +271,15 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "key")
 
 
-def _room(n: int, folder: str, name: str) -> np.ndarray:
-    """Zeroed bytes, in a file of the folder if there are many."""
-    return np.memmap(f"{folder}/{name}", np.uint8, "w+", shape=(n,)) if n > IN_MEMORY else np.zeros(n, np.uint8)
+def _room(n: int, kind: type, folder: str, name: str) -> np.ndarray:
+    """Zeroed numbers, in a file of the folder if there are many."""
+    return np.memmap(f"{folder}/{name}", kind, "w+", shape=(n,)) if n > IN_MEMORY else np.zeros(n, kind)
+
+
+def _stable_order(symbols: np.ndarray, alphabet: int) -> np.ndarray:
+    """The stable order of numbers under ``alphabet``, by halves of 16 bits."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    return order if alphabet <= 1 << 16 else order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
 
 
 def _least_upto(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -281,18 +290,19 @@ def _least_upto(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class _Round:
     """What a pass over the transform gathers while a round's symbols are entered."""
 
-    def __init__(self) -> None:
-        self.count = np.zeros(256, np.int64)
-        self.seen = np.zeros(256, bool)
-        self.last_is_new = np.zeros(256, bool)
-        self.least_since = np.full(256, 255, np.uint8)
+    def __init__(self, alphabet: int) -> None:
+        self.alphabet = alphabet
+        self.count = np.zeros(alphabet, np.int64)
+        self.seen = np.zeros(alphabet, bool)
+        self.last_is_new = np.zeros(alphabet, bool)
+        self.least_since = np.full(alphabet, 255, np.uint8)
         self.found: list[tuple[np.ndarray, ...]] = []
 
     def take(self, symbols: np.ndarray, prefixes: np.ndarray, entered: np.ndarray, who: np.ndarray) -> None:
         """A chunk: its symbols, among them those entered (at rising places, for strings), and its prefixes."""
         n = len(symbols)
-        order = np.argsort(symbols, kind="stable")
-        here = np.bincount(symbols, minlength=256)
+        order = _stable_order(symbols, self.alphabet)
+        here = np.bincount(symbols, minlength=self.alphabet)
         letters = np.flatnonzero(here)
         upto = np.cumsum(here[letters])
         heads = upto - here[letters]
@@ -340,16 +350,17 @@ def column_order(columns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     finds the places and prefixes of the new suffixes, one that writes the next files.
     """
     m, rounds = len(sizes), int(sizes.max(initial=0))
+    alphabet = int(columns.max(initial=0)) + 1
     place, string = np.arange(m), np.arange(m)
     with tempfile.TemporaryDirectory() as folder:
         whole = m + int(sizes.sum())
-        files = [[_room(whole, folder, f"{name}{i}") for name in ("symbols", "prefixes")] for i in (0, 1)]
+        files = [[_room(whole, kind, folder, f"{kind.__name__}{i}") for kind in (np.uint32, np.uint8)] for i in (0, 1)]
         size = m
         for r in range(rounds):
             symbols, prefixes = (x[:size] for x in files[r & 1])
             longer = sizes[string] > r
             place, string = place[longer], string[longer]
-            gathered = _Round()
+            gathered = _Round(alphabet)
             cuts = np.searchsorted(place, np.arange(0, size + CHUNK, CHUNK))
             for i, begin in enumerate(range(0, size, CHUNK)):
                 own = slice(cuts[i], cuts[i + 1])
@@ -383,42 +394,70 @@ def column_order(columns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least of ``values[low:high]`` for each pair; descending, so that reduceat does nothing in between."""
+    """The least of ``values[low:high]`` for each pair, from the least of spans that double."""
     if not len(low):
         return np.zeros(0, np.uint8)
-    order = np.argsort(-low, kind="stable")
-    bounds = np.empty(2 * len(low), np.int64)
-    bounds[0::2], bounds[1::2] = low[order], high[order]
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
     out = np.empty(len(low), np.uint8)
-    out[order] = np.minimum.reduceat(np.append(values, np.uint8(255)), bounds)[0::2]
+    for at in range(int(level.max()) + 1):
+        if at:
+            values = np.minimum(values[: -(1 << at - 1)], values[1 << at - 1 :])
+        here = np.flatnonzero(level == at)
+        out[here] = np.minimum(values[low[here]], values[high[here] - (1 << at)])
     return out
 
 
-def equal_windows(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the strings as (string, place, set of equal windows), from their suffix order."""
+def equal_windows(strings: list[bytes], owner: np.ndarray, phase: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the strings as (entry, place, set of equal windows), from their suffix order.
+
+    An entry is a string (``owner``) whose words begin at ``phase`` and every ``WORD`` bytes from there;
+    sets are told apart by where in a word their windows begin.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
-    width = int(sizes.max(initial=0))
-    columns = np.zeros((width, len(strings)), np.uint8)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum(sizes)
-    string = np.repeat(np.arange(len(strings)), sizes)
-    columns[ends[string] - 1 - np.arange(len(flat)), string] = flat + np.uint8(1)
-    symbols, common_prefix = column_order(columns, sizes)
-    interval = np.cumsum(common_prefix < length)
-    order = np.argsort(symbols, kind="stable")
+    flat = np.frombuffer(b"".join(strings) + bytes(2 * WORD), np.uint8)
+    begin = (ends - sizes)[owner]
+    cells = np.maximum(sizes[owner] - phase, 0) // WORD
+    width = int(cells.max(initial=0))
+    entry = np.repeat(np.arange(len(owner)), cells)
+    number = np.arange(len(entry)) - np.repeat(np.cumsum(cells) - cells, cells)
+    words = np.lib.stride_tricks.sliding_window_view(flat, WORD)[(begin + phase)[entry] + WORD * number].copy().view(np.uint32)[:, 0]
+    columns = np.zeros((width, len(owner)), np.uint32)
+    columns[cells[entry] - 1 - number, entry] = np.unique(words, return_inverse=True)[1] + 1
+    symbols, common_prefix = column_order(columns, cells)
+    # Windows that begin ``lead`` bytes before a word have so many whole words; the rest is compared as bytes.
+    intervals = {n: np.cumsum(common_prefix < n) for n in {(length - lead) // WORD for lead in range(WORD)}}
+    order = _stable_order(symbols, int(symbols.max(initial=0)) + 1)
     whole = len(symbols) - np.count_nonzero(symbols)
     behind = np.empty(len(symbols), np.int64)
-    behind[order] = np.arange(len(symbols)) - whole + len(strings)
-    place, out = np.arange(len(strings)), []
-    alive = np.arange(len(strings))
+    behind[order] = np.arange(len(symbols)) - whole + len(owner)
+    alive = place = np.arange(len(owner))
+    out = []
     for size in range(1, width + 1):
-        keep = sizes[alive] >= size
+        keep = cells[alive] >= size
         alive, place = alive[keep], behind[place[keep]]
-        if size >= length:
-            out.append((alive, sizes[alive] - size, interval[place]))
+        for lead in range(WORD):
+            n = (length - lead) // WORD
+            window = phase[alive] + WORD * (cells[alive] - size) - lead
+            fits = (window >= 0) & (window <= sizes[owner[alive]] - length)
+            if not fits.any():
+                continue
+            at = begin[alive[fits]] + window[fits]
+            edge = np.zeros(len(at), np.int64)
+            for i in (*range(lead), *range(lead + WORD * n, length)):
+                edge = edge << 8 | flat[at + i]
+            out.append((alive[fits], window[fits], ((intervals[n][place[fits]] * WORD + lead) << 8 * WORD) | edge))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def _places(key: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings (their bytes one after the other) hold their representative: (string, place in all bytes)."""
+    hashes = gram_hashes(flat) if len(flat) >= GRAM else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+    at = np.flatnonzero((hashes == key.view(np.uint64)[owner]) & (np.arange(len(hashes)) + GRAM <= np.cumsum(sizes)[owner]))
+    return owner[at], at
+
+
 def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
     """Which passages may hold a window that another passage of their representative, or they themselves, hold as well.
 
@@ -428,19 +467,14 @@ def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes)
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    if len(flat) < LENGTH:
-        return np.zeros(len(strings), bool)
-    hashes = gram_hashes(flat)
-    owner = np.repeat(np.arange(len(strings)), sizes)[: len(hashes)]
-    at = np.flatnonzero((hashes == key.view(np.uint64)[owner]) & (np.arange(len(hashes)) + GRAM <= ends[owner]))
-    owner = owner[at]
+    owner, at = _places(key, flat, sizes)
     prints = Prints(flat)
     needed = np.bincount(owner, minlength=len(strings)) != 1
     for begin in (at - SIDE, at):
         whole = (begin >= (ends - sizes)[owner]) & (begin + GRAM + SIDE <= ends[owner])
         mark = prints.of(begin[whole], np.full(whole.sum(), GRAM + SIDE))
         with np.errstate(over="ignore"):
-            mark = _mixed(mark + hashes[at[whole]] * _M3)
+            mark = _mixed(mark + key.view(np.uint64)[owner[whole]] * _M3)
         order = np.argsort(mark, kind="stable")
         twin = mark[order[1:]] == mark[order[:-1]]
         met = np.zeros(len(mark), bool)
@@ -449,36 +483,54 @@ def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
     return needed
 
 
-def ordered(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
+def ordered(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings: list[bytes], at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
     """Passages in order of their keys, in collections of whole keys: (which, stretches that repeat others, whether all of one does).
 
-    Passages that cannot share a window are left out before.
+    ``at`` is the place of the representative in each, where it is known otherwise than by its hash;
+    if it is not, passages that cannot share a window are left out before.
     """
     if not strings:
         return
-    part = np.flatnonzero(may_share(key, strings))
+    part = np.flatnonzero(may_share(key, strings)) if at is None else np.arange(len(key))
     upto = np.cumsum([len(strings[i]) for i in part])
     edges = np.append(np.flatnonzero(key[part][1:] != key[part][:-1]) + 1, len(part)) if len(part) else part
     first = 0
     for edge in edges.tolist():
         if edge == len(part) or upto[edge - 1] - (upto[first - 1] if first else 0) >= COLLECTION:
             own = part[first:edge]
-            *found, whole = repeats_among(doc[own], begin[own], [strings[i] for i in own])
+            *found, whole = repeats_among(key[own], doc[own], begin[own], [strings[i] for i in own], None if at is None else at[own])
             yield own, tuple(found), whole
             first = edge
 
 
-def repeats_among(doc: np.ndarray, begin: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches (doc, begin, size) of the strings that are covered by windows found earlier, and which strings are so throughout."""
-    string, place, group = equal_windows(strings)
+def repeats_among(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings: list[bytes], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (doc, begin, size) of the strings that are covered by windows found earlier, and which strings are so throughout.
+
+    A string in which the representative stands several times is entered once for every step of words
+    that its places ask for; a window then counts where its own, the next place from it on, does.
+    """
+    sizes = np.array([len(s) for s in strings], np.int64)
+    if at is None:
+        held, places = _places(key, np.frombuffer(b"".join(strings), np.uint8), sizes)
+        starts = np.cumsum(sizes) - sizes
+        entries = np.unique(held * WORD + (places - starts[held]) % WORD)
+        owner, phase = entries // WORD, entries % WORD
+    else:
+        owner, phase = np.arange(len(strings)), at.astype(np.int64) % WORD
+    entry, place, group = equal_windows(strings, owner, phase)
+    string = owner[entry]
+    if at is None and len(owner) > len(strings):
+        following = places[np.searchsorted(places, starts[string] + place)]
+        own = (following - starts[string]) % WORD == phase[entry]
+        string, place, group = string[own], place[own], group[own]
     windows = np.bincount(string, minlength=len(strings))
-    at_doc, at = doc[string], begin[string] + place
-    order = np.lexsort((at, at_doc, group))
-    string, place, group, at_doc, at = (c[order] for c in (string, place, group, at_doc, at))
+    at_doc, at_byte = doc[string], begin[string] + place
+    order = np.lexsort((at_byte, at_doc, group))
+    string, place, group, at_doc, at_byte = (c[order] for c in (string, place, group, at_doc, at_byte))
     head = np.ones(len(group), bool)
     head[1:] = group[1:] != group[:-1]
     first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (at_doc != at_doc[first]) | (at != at[first])
+    later = (at_doc != at_doc[first]) | (at_byte != at_byte[first])
     string, place = string[later], place[later]
     order = np.lexsort((place, string))
     string, place = string[order], place[order]
@@ -511,39 +563,41 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(rows, "key long, n long, doc_id long, begin long, data binary").withColumn("at", F.lit(-1))
 
 
-def ordered_repeats(pieces: DataFrame) -> DataFrame:
-    """Repeats among passages (key, doc_id, begin, data) of a representative, in collections of whole ones."""
+def ordered_repeats(pieces: DataFrame, placed: bool) -> DataFrame:
+    """Repeats among passages (key, doc_id, begin, at, data) of a representative, in collections of whole ones.
+
+    ``placed``: the representative stands at ``at``; otherwise it is known by its hash.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
-        symbols = 0
+        held: list[tuple] = []
+        size = 0
 
         def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
-            nonlocal held, symbols
-            key, doc, begin = (np.concatenate([h[i] for h in held]) for i in range(3))
-            data = [d for h in held for d in h[3]]
+            nonlocal held, size
+            key, doc, begin, at = (np.concatenate([h[i] for h in held]) for i in range(4))
+            data = [d for h in held for d in h[4]]
             end = len(key) if upto is None else upto
-            for _, found, _ in ordered(key[:end], doc[:end], begin[:end], data[:end]):
+            for _, found, _ in ordered(key[:end], doc[:end], begin[:end], data[:end], at[:end] if placed else None):
                 gone = _merged(*found)
                 yield from _batch(np.zeros(len(gone[0]), np.int64), *gone, REPEAT)
-            held = [(key[end:], doc[end:], begin[end:], data[end:])] if end < len(key) else []
-            symbols = sum(map(len, data[end:]))
+            held = [(key[end:], doc[end:], begin[end:], at[end:], data[end:])] if end < len(key) else []
+            size = sum(map(len, data[end:]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                key, doc, begin = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "begin"))
+            for first in range(0, batch.num_rows, 2_000):
+                part = batch.slice(first, 2_000)
                 data = part.column("data").to_pylist()
-                held.append((key, doc, begin, data))
-                symbols += sum(map(len, data))
-                if symbols >= COLLECTION:
+                held.append((*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "begin", "at")), data))
+                size += sum(map(len, data))
+                if size >= COLLECTION:
                     keys = np.concatenate([h[0] for h in held])
                     if upto := int(np.searchsorted(keys, keys[-1], "left")):
                         yield from flush(upto)
         if held:
             yield from flush(None)
 
-    own = pieces.select("key", "doc_id", "begin", "data")
+    own = pieces.select("key", "doc_id", "begin", "at", "data")
     return own.repartition("key").sortWithinPartitions("key").mapInArrow(rows, ROWS)
 
 
@@ -557,9 +611,7 @@ def _anchors(key: np.ndarray, begin: np.ndarray, at: np.ndarray, data: list[byte
     if at[0] >= 0:
         return owner, window, (starts + at)[owner]
     # At first the representative is known by its hash alone: the next place of it from the window on.
-    hashes = gram_hashes(np.frombuffer(b"".join(data), np.uint8))
-    of = np.repeat(np.arange(len(data)), sizes)[: len(hashes)]
-    places = np.flatnonzero(hashes == key.view(np.uint64)[of])
+    places = _places(key, np.frombuffer(b"".join(data), np.uint8), sizes)[1]
     return owner, window, places[np.searchsorted(places, window)]
 
 
@@ -591,7 +643,7 @@ def refined(crowded: DataFrame, level: int) -> DataFrame:
         owner, key, begin, span, context, window = (c[order] for c in (owner, key, begin, span, context, window))
         strings = [flat[w : w + s].tobytes() for w, s in zip(window.tolist(), span.tolist(), strict=True)]
         goes_on = np.ones(len(key), bool)
-        for part, found, whole in ordered(key, doc[owner], begin, strings):
+        for part, found, whole in ordered(key, doc[owner], begin, strings, context - window):
             goes_on[part[whole]] = False
             gone = _merged(*found)
             yield _pieces(np.zeros(len(gone[0]), np.int64), gone[0], gone[1], np.zeros(len(gone[0])), [None] * len(gone[0]), gone[2], REPEAT)
@@ -682,8 +734,9 @@ def remove_repeats(docs: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataF
     stretch = ("doc_id", "begin", "size")
     repeats = found.where(F.col("kind") == REPEAT).select(*stretch)
     pieces = common.written(fetched(own, shared(found.where(F.col("kind") == OPEN))), "pieces")
-    columns = ("key", "doc_id", "begin", "data")
-    to_order, crowded = pieces.where(F.col("n") <= most_in_group).select(*columns), pieces.where(F.col("n") > most_in_group)
+    columns = ("key", "doc_id", "begin", "at", "data")
+    ordered_ones = ordered_repeats(pieces.where(F.col("n") <= most_in_group), placed=False).select(*stretch)
+    crowded, to_order = pieces.where(F.col("n") > most_in_group), []
     for level in range(len(CONTEXTS)):
         if crowded.isEmpty():
             break
@@ -692,6 +745,8 @@ def remove_repeats(docs: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataF
         again = common.written(shared(finer.where(F.col("kind") == OPEN)), "crowded")
         # The last strings are the windows themselves, once from each task: nothing is left to split.
         last = level + 1 == len(CONTEXTS)
-        to_order = to_order.unionByName(again.where(F.lit(last) | (F.col("n") <= most_in_group)).select(*columns))
+        to_order.append(again.where(F.lit(last) | (F.col("n") <= most_in_group)).select(*columns))
         crowded = again.where(~F.lit(last) & (F.col("n") > most_in_group))
-    return kept_bytes(own, repeats.unionByName(ordered_repeats(to_order).select(*stretch)))
+    if to_order:
+        ordered_ones = ordered_ones.unionByName(ordered_repeats(reduce(DataFrame.unionByName, to_order), placed=True).select(*stretch))
+    return kept_bytes(own, repeats.unionByName(ordered_ones))

@@ -51,7 +51,7 @@ def test_column_order(seed):
     draw = np.random.default_rng(seed)
     strings = [bytes(draw.integers(1, 4, draw.integers(0, 25)).astype(np.uint8)) for _ in range(40)]
     sizes = np.array([len(s) for s in strings])
-    columns = np.zeros((int(sizes.max()), len(strings)), np.uint8)
+    columns = np.zeros((int(sizes.max()), len(strings)), np.uint32)
     for i, s in enumerate(strings):
         columns[: len(s), i] = np.frombuffer(s, np.uint8)[::-1]
     transform, prefixes = suffix_columns.column_order(columns, sizes)
@@ -64,14 +64,33 @@ def test_column_order(seed):
     assert sorted(transform.tolist()) == sorted([0] * len(strings) + [c for s in strings for c in s])
 
 
-def test_files_when_large(monkeypatch):
-    monkeypatch.setattr(suffix_columns, "IN_MEMORY", 10)
-    strings = [b"abcab", b"bcabc", b"cab"]
-    string, place, group = suffix_columns.equal_windows(strings, 3)
-    found = {}
-    for s, p, g in zip(string, place, group, strict=True):
-        found.setdefault(int(g), set()).add(strings[s][p : p + 3])
-    assert sorted(map(len, found.values())) == [1] * len(found) and {next(iter(v)) for v in found.values()} == {b"abc", b"bca", b"cab"}
+@pytest.mark.parametrize(("in_memory", "length"), [(10, 9), (10, 12), (1 << 18, 11), (1 << 18, 10)])
+def test_equal_windows_in_files_and_in_memory(monkeypatch, in_memory, length):
+    monkeypatch.setattr(suffix_columns, "IN_MEMORY", in_memory)
+    draw = random.Random(length)
+    strings = [bytes(draw.choices(b"ab", k=draw.randrange(0, 60))) for _ in range(40)]
+    phase = np.array([draw.randrange(4) for _ in strings])
+    entry, place, group = suffix_columns.equal_windows(strings, np.arange(40), phase, length)
+    assert len(entry) == sum(max(0, len(s) - length + 1) for s in strings)
+    found, expected = {}, {}
+    for e, p, g in zip(entry.tolist(), place.tolist(), group.tolist(), strict=True):
+        found.setdefault(g, set()).add((e, p))
+        expected.setdefault((strings[e][p : p + length], (p - phase[e]) % 4), set()).add((e, p))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_least_between():
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 255, 200).astype(np.uint8)
+    low = draw.integers(0, 199, 300)
+    high = np.array([draw.integers(a + 1, 201) for a in low])
+    assert suffix_columns._least_between(values, low, high).tolist() == [values[a:b].min() for a, b in zip(low, high, strict=True)]
+
+
+@pytest.mark.parametrize("alphabet", [300, 70_000, 1 << 20])
+def test_stable_order(alphabet):
+    symbols = np.random.default_rng(alphabet).integers(0, alphabet, 5_000).astype(np.uint32)
+    assert suffix_columns._stable_order(symbols, alphabet).tolist() == np.argsort(symbols, kind="stable").tolist()
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1 << 16])
