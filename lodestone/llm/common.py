@@ -60,7 +60,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -61,6 +61,8 @@ HELD = 8 << 20
 COLLECTION, MOST_IN_GROUP = 4 << 20, 512
 #: Symbols from which on transform and prefixes are in files, and those of a chunk of a pass.
 IN_MEMORY, CHUNK = 1 << 18, 1 << 16
+#: Low bits of a hash that give way to the place in a buffer.
+PLACE_BITS = 24
 OPEN, REPEAT = 0, 1
 ROWS = "key long, doc_id long, begin long, size int, kind int"
 PIECES = "key long, doc_id long, begin long, at int, data binary, size int, kind int"
@@ -118,9 +120,12 @@ class Prints:
 def passages(parts: list[bytes], most_windows: int = MOST_WINDOWS, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Passages of several byte strings: (string, begin in it, size, representative, whether it may repeat itself).
 
-    The representative is the least whole hash, whatever else is in the buffer. A passage in which it
-    stands more than once may hold equal windows.
+    The representative is the gram with the least hash, by its high bits and then by its place in the
+    window, which does not depend on what else is in the buffer. A passage in which it stands more
+    than once may hold equal windows.
     """
+    if sum(map(len, parts)) >> PLACE_BITS:
+        raise ValueError(f"a buffer holds less than {1 << PLACE_BITS} bytes")
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
@@ -136,10 +141,10 @@ def passages(parts: list[bytes], most_windows: int = MOST_WINDOWS, length: int =
     if not len(starts):
         return none
     hashes = gram_hashes(data)
-    least = least_ahead(hashes, length - GRAM + 1)[starts]
-    # Equal windows at two places have their least (high bits, then place) at the same offset, so the places differ.
-    bits = np.uint64(max(1, len(data).bit_length()))
-    place = least_ahead(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)[starts] & (np.uint64(1) << bits) - np.uint64(1)
+    # Equal windows have their least (by the high bits, then by place) at the same offset, in whatever buffer they are.
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    place = least_ahead(hashes & ~mask | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)[starts] & mask
+    least = hashes[place]
     owner = np.searchsorted(ends, starts, "right")
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -264,11 +269,11 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, range]]:
 def shared(rows: DataFrame) -> DataFrame:
     """Passages whose representative others have as well, with their number ``n``.
 
-    Counts are gathered before they are shuffled, and a representative with very many passages is one
-    that Spark deals out anew where it joins (a skewed join), since only one row stands against them.
+    Counts are gathered before they are shuffled, and written: then a representative with very many
+    passages is one that Spark deals out anew where it joins (a skewed join).
     """
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(counts, "key")
+    counts = common.written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return rows.drop("kind").join(counts, "key")
 
 
 def _room(n: int, kind: type, folder: str, name: str) -> np.ndarray:
@@ -411,7 +416,8 @@ def equal_windows(strings: list[bytes], owner: np.ndarray, phase: np.ndarray, le
     """Windows of the strings as (entry, place, set of equal windows), from their suffix order.
 
     An entry is a string (``owner``) whose words begin at ``phase`` and every ``WORD`` bytes from there;
-    sets are told apart by where in a word their windows begin.
+    sets are told apart by where in a word their windows begin. The length is a multiple of ``WORD``, so
+    that the bytes beside whole words make one word.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes)
@@ -486,12 +492,28 @@ def may_share(key: np.ndarray, strings: list[bytes]) -> np.ndarray:
 def ordered(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings: list[bytes], at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
     """Passages in order of their keys, in collections of whole keys: (which, stretches that repeat others, whether all of one does).
 
-    ``at`` is the place of the representative in each, where it is known otherwise than by its hash;
-    if it is not, passages that cannot share a window are left out before.
+    Passages that are the same byte for byte are entered once, for the first of them. ``at`` is the
+    place of the representative in each, where it is known otherwise than by its hash; if it is not,
+    passages without a copy that cannot share a window are left out before.
     """
     if not strings:
         return
-    part = np.flatnonzero(may_share(key, strings)) if at is None else np.arange(len(key))
+    known: dict[tuple[int, bytes], int] = {}
+    number = np.fromiter((known.setdefault(k, len(known)) for k in zip(key.tolist(), strings, strict=True)), np.int64, len(strings))
+    order = np.lexsort((begin, doc, number))
+    head = np.ones(len(order), bool)
+    head[1:] = number[order][1:] != number[order][:-1]
+    firsts = order[head]
+    several = np.diff(np.append(np.flatnonzero(head), len(order))) > 1
+    copies, of = order[~head], firsts[np.cumsum(head) - 1][~head]
+    later = (doc[copies] != doc[of]) | (begin[copies] != begin[of])
+    if len(copies):
+        again = copies[later]
+        yield copies, (doc[again], begin[again], np.array([len(strings[i]) for i in again], np.int64)), np.ones(len(copies), bool)
+    # Distinct strings are numbered as they come, so keys stay in order.
+    part = firsts
+    if at is None:
+        part = firsts[several | may_share(key[firsts], [strings[i] for i in firsts])]
     upto = np.cumsum([len(strings[i]) for i in part])
     edges = np.append(np.flatnonzero(key[part][1:] != key[part][:-1]) + 1, len(part)) if len(part) else part
     first = 0
@@ -510,9 +532,9 @@ def repeats_among(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings:
     that its places ask for; a window then counts where its own, the next place from it on, does.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
+    starts = np.cumsum(sizes) - sizes
     if at is None:
         held, places = _places(key, np.frombuffer(b"".join(strings), np.uint8), sizes)
-        starts = np.cumsum(sizes) - sizes
         entries = np.unique(held * WORD + (places - starts[held]) % WORD)
         owner, phase = entries // WORD, entries % WORD
     else:
@@ -523,23 +545,27 @@ def repeats_among(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, strings:
         following = places[np.searchsorted(places, starts[string] + place)]
         own = (following - starts[string]) % WORD == phase[entry]
         string, place, group = string[own], place[own], group[own]
-    windows = np.bincount(string, minlength=len(strings))
-    at_doc, at_byte = doc[string], begin[string] + place
-    order = np.lexsort((at_byte, at_doc, group))
-    string, place, group, at_doc, at_byte = (c[order] for c in (string, place, group, at_doc, at_byte))
+    # Windows in order of their texts and places, as one number each; the least of a set is the first.
+    order = np.lexsort((begin, doc))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (begin[order][1:] != begin[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh)
+    when = rank[string] * int(sizes.max(initial=1)) + place
+    by_group = np.argsort(group)
     head = np.ones(len(group), bool)
-    head[1:] = group[1:] != group[:-1]
-    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (at_doc != at_doc[first]) | (at_byte != at_byte[first])
-    string, place = string[later], place[later]
-    order = np.lexsort((place, string))
-    string, place = string[order], place[order]
-    start = np.ones(len(string), bool)
-    start[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
-    heads = np.flatnonzero(start)
-    counts = np.diff(np.append(heads, len(string)))
-    whole = (np.bincount(string, minlength=len(strings)) == windows) & (windows > 0)
-    return doc[string[heads]], begin[string[heads]] + place[heads], counts + LENGTH - 1, whole
+    head[1:] = group[by_group][1:] != group[by_group][:-1]
+    heads = np.flatnonzero(head)
+    earliest = np.minimum.reduceat(when[by_group], heads) if len(heads) else when
+    gone = np.zeros(int(sizes.sum()) + 1, np.int8)
+    chosen = by_group[when[by_group] != earliest[np.cumsum(head) - 1]] if len(heads) else by_group
+    gone[starts[string[chosen]] + place[chosen]] = 1
+    # A string's last windows begin before its end, so runs never go on into the next one.
+    turns = np.diff(gone, prepend=np.int8(0))
+    low, high = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    of = np.searchsorted(starts, low, "right") - 1
+    whole = np.bincount(of, high - low, len(strings)).astype(np.int64) == sizes - LENGTH + 1
+    return doc[of], begin[of] + low - starts[of], high - low + LENGTH - 1, whole
 
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -588,7 +614,7 @@ def ordered_repeats(pieces: DataFrame, placed: bool) -> DataFrame:
             for first in range(0, batch.num_rows, 2_000):
                 part = batch.slice(first, 2_000)
                 data = part.column("data").to_pylist()
-                held.append((*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "begin", "at")), data))
+                held.append((*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "begin", "at" if placed else "key")), data))
                 size += sum(map(len, data))
                 if size >= COLLECTION:
                     keys = np.concatenate([h[0] for h in held])
@@ -597,7 +623,7 @@ def ordered_repeats(pieces: DataFrame, placed: bool) -> DataFrame:
         if held:
             yield from flush(None)
 
-    own = pieces.select("key", "doc_id", "begin", "at", "data")
+    own = pieces.select("key", "doc_id", "begin", *(["at"] if placed else []), "data")
     return own.repartition("key").sortWithinPartitions("key").mapInArrow(rows, ROWS)
 
 

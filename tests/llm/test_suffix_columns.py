@@ -64,7 +64,7 @@ def test_column_order(seed):
     assert sorted(transform.tolist()) == sorted([0] * len(strings) + [c for s in strings for c in s])
 
 
-@pytest.mark.parametrize(("in_memory", "length"), [(10, 9), (10, 12), (1 << 18, 11), (1 << 18, 10)])
+@pytest.mark.parametrize(("in_memory", "length"), [(10, 8), (10, 12), (1 << 18, 16), (1 << 18, 20)])
 def test_equal_windows_in_files_and_in_memory(monkeypatch, in_memory, length):
     monkeypatch.setattr(suffix_columns, "IN_MEMORY", in_memory)
     draw = random.Random(length)
@@ -75,7 +75,7 @@ def test_equal_windows_in_files_and_in_memory(monkeypatch, in_memory, length):
     found, expected = {}, {}
     for e, p, g in zip(entry.tolist(), place.tolist(), group.tolist(), strict=True):
         found.setdefault(g, set()).add((e, p))
-        expected.setdefault((strings[e][p : p + length], (p - phase[e]) % 4), set()).add((e, p))
+        expected.setdefault((strings[e][p : p + length], (p - int(phase[e])) % 4), set()).add((e, p))
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
