@@ -1,15 +1,14 @@
 """Helpers that the operators of this subpackage share.
 
-Scratch tables and checkpoints go to the folder named by ``spark.checkpoint.dir``; where that
-is unset (tests, a laptop) a temporary folder of this machine is used instead.
+Scratch tables and checkpoints go to the folder named by ``spark.checkpoint.dir``; where that is
+unset and the session runs on one machine (tests, a laptop) a temporary folder is used instead, and
+on a cluster the job fails.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -19,6 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.lineage import scratch, shared_folder
+
+__all__ = ["ARROW_BATCHES", "Numbers", "only", "release", "scratch", "shared_folder", "ship", "table", "text_slices", "utf8", "written"]
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 #: Texts that a Python worker handles at once, by rows and by bytes of text.
 SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
@@ -44,27 +46,11 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only where the session has none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
