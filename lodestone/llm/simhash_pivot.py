@@ -1,15 +1,15 @@
 """Near-duplicates by SimHash fingerprints and a table of distances to pivots.
 
-The table holds, for every distinct fingerprint, its Hamming distances to 65 reference
-fingerprints: zero, and for each of four blocks of 16 bits the Walsh patterns and the full block.
-The distances to one block's references, less the distance to zero, depend on that block alone. Of
-two fingerprints at most two bits apart at least two blocks are the same, and so are the table's
-entries for them; fingerprints that share the entries of some two blocks meet in a cell. In a cell
-a pair is discarded as soon as one pivot distance differs by more than the radius (the triangle
-inequality), and what is left is verified by its Hamming distance. Cells with more members than
-``MOST_IN_CELL`` are not paired up: there every member is entered under itself and each
-fingerprint one bit away, and those that meet are linked through the least of them, which joins
-the same components without any pair.
+The table holds, for every distinct fingerprint, its Hamming distances to reference fingerprints:
+zero, and for each of four blocks of its 64 bits the Walsh patterns and the full block. The
+distances to one block's references, less the distance to zero, depend on that block alone. Of two
+fingerprints at most two bits apart at least two blocks are the same, and so are the table's entries
+for them; fingerprints that share the entries of some two blocks meet in a cell. A cell with more
+members than ``MOST_IN_CELL`` is split in the same way by further references, those of four blocks of
+the bits that its members may still differ in (32 bits, then 16, 8 and 4), until it is small; as
+members are distinct, cells of the third kind hold 256 at most. In a cell a pair is discarded as soon
+as one pivot distance differs by more than the radius (the triangle inequality), and what is left is
+verified by its Hamming distance.
 
 That holds for a radius of a few bits, as ``op1`` has it. Texts whose sets of five-word shingles
 have a Jaccard similarity of 0.8 differ by some ten bits with a deviation of three, so no radius that
@@ -22,12 +22,16 @@ Every pair of a cell is decided or already joined, whatever the cell's size.
 
 Null texts and texts without words have fingerprint zero, linked like any other; as sets they equal
 each other alone. Copies share a fingerprint, and texts of equal sets a set's digest, and are joined
-before any pairing. Other columns are not looked at.
+before any pairing. Long texts are hashed whole, their shingles counted in portions. A null doc_id is
+reported as null and never names a component unless all of its members have none; rows of one id are
+reported each. An empty table gives an empty one. Ties of ids do not arise: a component is named by
+its least. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,14 +39,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.llm import common
 from lodestone.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS, BITS = 4, 64
 MOST_IN_CELL = 256
+#: Kinds of cells: each leaves half of the bits of the one before free, down to 2.
+LEVELS = 5
 PAIRS_AT_ONCE = 1 << 21
 _PAIRS = tuple(combinations(range(BLOCKS), 2))
 #: The general rule for near-duplicates, where ``op1`` has SHINGLE and RADIUS.
@@ -85,28 +90,45 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def references() -> np.ndarray:
-    """The pivots: zero, then for each block its 15 Walsh patterns and the block of ones."""
-    patterns = [sum((bin(i & j).count("1") & 1) << i for i in range(BLOCK_BITS)) for j in range(1, BLOCK_BITS)] + [(1 << BLOCK_BITS) - 1]
-    return np.array([0, *(p << (b * BLOCK_BITS) for b in range(BLOCKS) for p in patterns)], np.uint64)
+def blocks_of(free: int) -> list[list[int]]:
+    """The free bits of a mask in four blocks, from the low end."""
+    bits = [i for i in range(BITS) if free >> i & 1]
+    size = len(bits) // BLOCKS
+    return [bits[b * size : (b + 1) * size] for b in range(BLOCKS)]
+
+
+def references(free: int = (1 << BITS) - 1) -> np.ndarray:
+    """The pivots of a mask: zero, then for each block its Walsh patterns and the block of ones."""
+    out = [0]
+    for bits in blocks_of(free):
+        for j in [*range(1, len(bits)), None]:
+            out.append(sum(1 << bit for i, bit in enumerate(bits) if j is None or (i & j).bit_count() & 1))
+    return np.array(out, np.uint64)
 
 
 PIVOTS = references()
 
 
-def distance_table(prints: np.ndarray) -> np.ndarray:
+def distance_table(prints: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
     """Hamming distance of every fingerprint to every pivot [fingerprints, pivots]."""
-    return np.bitwise_count(prints[:, None] ^ PIVOTS).astype(np.int8)
+    return np.bitwise_count(prints[:, None] ^ pivots).astype(np.int8)
+
 
+def free_after(free: int) -> list[int]:
+    """The bits that stay free once two blocks are the same, for each two blocks."""
+    masks = [sum(1 << i for i in bits) for bits in blocks_of(free)]
+    return [free & ~(masks[a] | masks[b]) for a, b in _PAIRS]
 
-def cell_keys(prints: np.ndarray) -> np.ndarray:
-    """A key of the table's entries for each two blocks [fingerprints, pairs of blocks]."""
-    rows = distance_table(prints)
-    own = (rows[:, 1:] - rows[:, :1]).reshape(len(prints), BLOCKS, BLOCK_BITS)
-    base = np.uint64(2 * BLOCK_BITS + 1)
+
+def cell_keys(prints: np.ndarray, free: int = (1 << BITS) - 1) -> np.ndarray:
+    """A key of the table's entries for each two blocks of the free bits [fingerprints, pairs of blocks]."""
+    size = free.bit_count() // BLOCKS
+    rows = distance_table(prints, references(free))
+    own = (rows[:, 1:] - rows[:, :1]).reshape(len(prints), BLOCKS, size)
+    base = 2 * BITS + 1
     with np.errstate(over="ignore"):
-        powers = np.array([pow(int(base), i, 1 << 64) for i in range(BLOCK_BITS)], np.uint64)
-        folded = ((own.astype(np.int64) + BLOCK_BITS).astype(np.uint64) * powers).sum(2)
+        powers = np.array([pow(base, i, 1 << 64) for i in range(size)], np.uint64)
+        folded = ((own.astype(np.int64) + BITS).astype(np.uint64) * powers).sum(2)
         mixed = [(folded[:, a] * np.uint64(0x9E3779B97F4A7C15)) ^ (folded[:, b] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k + 1)) for k, (a, b) in enumerate(_PAIRS)]
     return np.stack(mixed, 1)
 
@@ -164,17 +186,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
 
 
-def _cells(distinct: DataFrame) -> DataFrame:
+def _cells(members: DataFrame) -> DataFrame:
+    """Columns (cell, free, fp): the members of cells (the same columns) in the finer cells of each."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column("fp").to_numpy(zero_copy_only=False)
-            keys = cell_keys(prints.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.tile(np.arange(len(_PAIRS), dtype=np.int32), len(prints))), pa.array(np.repeat(prints, len(_PAIRS)))],
-                names=["cell", "blocks", "fp"],
-            )
+            cells, frees, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "free", "fp"))
+            for free in np.unique(frees):
+                own = np.flatnonzero(frees == free)
+                mask = int(free) & (1 << BITS) - 1
+                with np.errstate(over="ignore"):
+                    keys = cell_keys(prints[own].view(np.uint64), mask) ^ (cells[own].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
+                left = np.array(free_after(mask), np.uint64).view(np.int64)
+                columns = [keys.view(np.int64).ravel(), np.tile(left, len(own)), np.repeat(prints[own], len(_PAIRS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "free", "fp"])
+
+    return members.select("cell", "free", "fp").mapInArrow(rows, "cell long, free long, fp long")
+
 
-    return distinct.select("fp").mapInArrow(rows, "cell long, blocks int, fp long")
+def _populated(cells: DataFrame) -> DataFrame:
+    """Members of cells with two members or more, with their number; counts are gathered before they are
+    shuffled, and written, so that Spark can deal a crowded cell out anew where it joins."""
+    sizes = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return common.written(cells.join(sizes, "cell"), "cells")
 
 
 def _links_in_cells(members: DataFrame) -> DataFrame:
@@ -207,29 +241,18 @@ def _links_in_cells(members: DataFrame) -> DataFrame:
     return members.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(rows, "u long, v long")
 
 
-def _links_by_neighbours(members: DataFrame) -> DataFrame:
-    """Links of any cell: members within one bit of a common fingerprint are joined through the least."""
-    masks = []
-    for chosen in _PAIRS:
-        free = [b for b in range(BLOCKS) if b not in chosen]
-        bits = [1 << (b * BLOCK_BITS + i) for b in free for i in range(BLOCK_BITS)]
-        masks.append(F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in (0, *bits)]))
-    by_blocks = F.element_at(F.array(*masks), F.col("blocks") + 1)
-    near = members.select("cell", "fp", F.explode(by_blocks).alias("mask")).select("cell", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("near"))
-    least = F.min("fp").over(Window.partitionBy("cell", "near"))
-    return near.select(F.col("fp").alias("u"), least.alias("v")).where("u <> v").distinct()
-
-
 def links(distinct: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     """Links (u, v) that join distinct fingerprints (column fp) within ``RADIUS`` bits into their components."""
-    cells = _cells(distinct)
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = common.written(cells.join(sizes, "cell"), "cells")
-    found = _links_in_cells(members.where(F.col("n") <= most_in_cell))
-    crowded = members.where(F.col("n") > most_in_cell)
-    if not crowded.isEmpty():
-        found = found.unionByName(_links_by_neighbours(crowded))
-    return found
+    members = _populated(_cells(distinct.select(F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("free"), "fp")))
+    found = []
+    for level in range(LEVELS):
+        small = F.lit(True) if level + 1 == LEVELS else F.col("n") <= most_in_cell
+        found.append(_links_in_cells(members.where(small)))
+        crowded = members.where(~small)
+        if crowded.isEmpty():
+            break
+        members = _populated(_cells(crowded).distinct())
+    return reduce(DataFrame.unionByName, found)
 
 
 def set_digest(members: np.ndarray) -> int:

@@ -46,19 +46,33 @@ def test_cells_are_complete():
         b = a
         for _ in range(draw.randrange(3)):
             b ^= 1 << draw.randrange(64)
-        keys = simhash_pivot.cell_keys(np.array([a, b], np.uint64))
-        assert (keys[0] == keys[1]).any()
-
-
-def test_keys_tell_blocks_apart():
-    blocks = np.arange(1 << 16, dtype=np.uint64)
-    assert len(np.unique(simhash_pivot.cell_keys(blocks)[:, 0])) == 1 << 16
-
-
-@pytest.mark.parametrize("most_in_cell", [256, 2])
+        frees = [(1 << 64) - 1]
+        for _ in range(simhash_pivot.LEVELS):  # on every level some cell of the two holds both
+            met = []
+            for free in frees:
+                keys = simhash_pivot.cell_keys(np.array([a, b], np.uint64), free)
+                met += [left for left, same in zip(simhash_pivot.free_after(free), keys[0] == keys[1], strict=True) if same]
+            assert met and all((a ^ b) & ~left == 0 for left in met)
+            frees = met[:2]
+
+
+@pytest.mark.parametrize("level", range(simhash_pivot.LEVELS))
+def test_keys_tell_blocks_apart(level):
+    free = (1 << 64) - 1
+    for _ in range(level):
+        free = simhash_pivot.free_after(free)[3]
+    low = simhash_pivot.blocks_of(free)[0]
+    blocks = np.array([sum(1 << bit for i, bit in enumerate(low) if n >> i & 1) for n in range(1 << len(low))], np.uint64)
+    assert len(np.unique(simhash_pivot.cell_keys(blocks, free)[:, 0])) == len(blocks)
+
+
+@pytest.mark.parametrize("most_in_cell", [256, 20, 2])
 def test_links(spark, most_in_cell):
+    """Chains of near fingerprints, and many that share 40 bits, in cells that are split up to four times."""
     draw = random.Random(5)
     prints = {}
+    for _ in range(60):
+        prints[len(prints)] = 0x123456789A << 24 | draw.getrandbits(9) << 7
     for base in [draw.getrandbits(64) for _ in range(12)]:
         current = base
         for _ in range(12):
