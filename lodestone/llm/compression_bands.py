@@ -3,10 +3,12 @@
 A text that zstandard shrinks too well repeats itself; one that it hardly shrinks is noise. The
 ratio (compressed bytes over bytes) is taken over the whole document and over fixed chunks of it,
 and each is held against limits that depend on the length compressed, since short inputs always
-shrink less.
+shrink less. Up to 64 bytes nothing can be told, up to 128 only repetition.
 
-Null or empty text, or text of separators only: no words, base rule failed, not kept. Ties and
-repeated rows are judged row by row. Other columns of the input are not looked at.
+Null or empty text, or text of separators only: no words, base rule failed, not kept. Long texts are
+compressed whole, and chunk by chunk. A ratio at a limit is within it. A null doc_id is passed on,
+repeated rows are judged row by row, an empty table gives an empty one. Other columns of the input
+are not looked at.
 """
 
 from __future__ import annotations
@@ -36,14 +38,22 @@ class Bands:
     """Limits of the ratio by length: rows of (bytes up to, least ratio, greatest ratio)."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.0, 1.0),
+        (64, 0.0, NO_LIMIT),
+        (128, 0.55, NO_LIMIT),
+        (256, 0.45, 0.95),
         (512, 0.30, 0.85),
         (1024, 0.28, 0.76),
         (4096, 0.25, 0.70),
         (16384, 0.20, 0.65),
         (float("inf"), 0.15, 0.62),
     )
-    chunk: tuple[tuple[float, float, float], ...] = ((1024, 0.0, NO_LIMIT), (float("inf"), 0.20, 0.70))
+    chunk: tuple[tuple[float, float, float], ...] = (
+        (128, 0.0, NO_LIMIT),
+        (256, 0.35, 0.95),
+        (512, 0.25, 0.85),
+        (1024, 0.22, 0.76),
+        (float("inf"), 0.20, 0.70),
+    )
     chunk_bytes: int = 4096
     #: Rejected if more than this share of its chunks is out of its limits.
     most_chunks_out: float = 0.5
@@ -106,7 +116,7 @@ def judge(raw: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[fl
         part = raw[start : start + bands.chunk_bytes]
         low, high = _limits(bands.chunk, len(part))
         chunks += 1
-        if high < NO_LIMIT:
+        if low or high < NO_LIMIT:
             out += not low <= len(press.compress(part)) / len(part) <= high
     low, high = _limits(bands.whole, len(raw))
     if ratio < low:

@@ -44,6 +44,41 @@ def test_bands(spark):
     assert found[4] == found[5] == (True, False, "base")
 
 
+def brute_verdict(raw, bands):
+    """The method's verdict by slicing and comparing, with a compressor made anew for each part."""
+    ratio = lambda part: len(compression_bands.zstandard.compress(part, bands.level)) / len(part)
+    band = lambda rows, n: [r for r in rows if n <= r[0]][0]
+    _, low, high = band(bands.whole, len(raw))
+    if not low <= ratio(raw) <= high:
+        return False
+    parts = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw), bands.chunk_bytes)]
+    outside = [p for p in parts if not band(bands.chunk, len(p))[1] <= ratio(p) <= band(bands.chunk, len(p))[2]]
+    return len(outside) <= bands.most_chunks_out * len(parts)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_verdict_against_brute_force(seed):
+    draw = random.Random(seed)
+    bands = compression_bands.Bands()
+    press = compression_bands.zstandard.ZstdCompressor(level=bands.level)
+    word = lambda letters: "".join(draw.choices(letters, k=draw.randrange(1, 12)))
+    words = [word("etaoinshrdlu") for _ in range(draw.choice([3, 40, 400]))]
+    text = " ".join(draw.choice(words) if draw.random() < 0.9 else word("ABCDEFGHabcdefgh0123456789+/%$") for _ in range(draw.choice([5, 20, 60, 400, 3000])))
+    raw = text.encode()
+    assert (compression_bands.judge(raw, bands, press)[3] is None) == brute_verdict(raw, bands)
+
+
+def test_short_texts_have_limits():
+    bands = compression_bands.Bands()
+    press = compression_bands.zstandard.ZstdCompressor(level=bands.level)
+    draw = random.Random(1)
+    noise = bytes(draw.choices(range(33, 127), k=240))
+    assert compression_bands.judge(b"word " * 50, bands, press)[3] == "repetitive" == compression_bands.judge(b"ab " * 40, bands, press)[3]
+    assert compression_bands.judge(noise, bands, press)[3] == "incompressible"
+    assert compression_bands.judge(b"A plain sentence of prose is neither the one nor the other, however short it may be.", bands, press)[3] is None
+    assert compression_bands.judge(b"x" * (3 << 20), bands, press)[3] == "repetitive"
+
+
 def test_bands_of_odd_documents(odd_docs, no_docs):
     assert compression_bands.compression_bands(odd_docs).count() == 11
     assert compression_bands.compression_bands(no_docs).count() == 0
