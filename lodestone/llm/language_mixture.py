@@ -9,8 +9,10 @@ The models are counted on a bounded sample: at most ``TRAIN_DOCS`` labelled docu
 language, chosen by a hash of the id. Prediction reads nothing but the text.
 
 Null text, or text without a letter: ``und`` with score 0. Exact ties go to the language that comes
-first by name. Repeated rows are judged alike, each by itself. With no labelled document at all,
-every row is ``und``.
+first by name. Long texts are judged whole. A null doc_id is passed on and never held out; repeated
+rows are judged alike, each by itself; an empty table gives an empty one. With no labelled document
+at all, every row is ``und``. Other columns are not looked at, whatever their names. More than
+``MOST_LANGUAGES`` labels are refused: that is no column of languages.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MOST_LANGUAGES = 1_000
 BLOCK = 4_096
 #: Share of a text that its main language has at least, where documents are rejected.
 LEAST_SCORE = 0.3
+#: Mean log-likelihood of a trigram, over that of chance, of a text that is in any of the languages; asked of texts of so many trigrams.
+LEAST_GAIN, LEAST_TRIGRAMS = -0.5, 48
 _SPACE = 32
 _FOLD = np.full(256, _SPACE, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -156,6 +160,22 @@ def _mix(fit: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray,
     return share, np.add.reduceat(total, first)
 
 
+def gains(model: LanguageModel, raws: list[bytes]) -> np.ndarray:
+    """Mean log-likelihood of each text's trigrams, each run in its best language, over that of chance; 0 for few trigrams."""
+    out = np.zeros(len(raws))
+    buckets, firsts, counts = trigrams(raws)
+    live = np.flatnonzero(counts >= LEAST_TRIGRAMS)
+    if len(live) and model.names:
+        size = -(-counts[live] // RUN)
+        first = np.cumsum(size) - size
+        doc = np.repeat(np.arange(len(live)), size)
+        starts = firsts[live][doc] + (np.arange(size.sum()) - first[doc]) * RUN
+        ends = np.minimum(starts + RUN, (firsts + counts)[live][doc])
+        best = np.max([np.add.reduceat(np.append(p[buckets], np.float32(0)), np.stack([starts, ends], 1).ravel())[::2] for p in model.log_p], 0)
+        out[live] = np.add.reduceat(best, first) / counts[live] + np.log(BUCKETS)
+    return out
+
+
 def mixtures(model: LanguageModel, raws: list[bytes], mixing: Mixing = Mixing()) -> np.ndarray:
     """Proportions of the languages in each text [texts, languages]; all zero where there is no trigram."""
     out = np.zeros((len(raws), len(model.names)))
@@ -196,8 +216,10 @@ def mixtures(model: LanguageModel, raws: list[bytes], mixing: Mixing = Mixing())
 
 def identify(docs: DataFrame, model: LanguageModel, mixing: Mixing = Mixing()) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (its share of the text) and the shares of the set found."""
+    handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = handed.value
         for batch in common.text_slices(batches):
             texts = batch.column("text").to_pylist()
             shares = mixtures(model, common.utf8(batch.column("text")), mixing)
@@ -217,12 +239,19 @@ def identify(docs: DataFrame, model: LanguageModel, mixing: Mixing = Mixing()) -
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = LEAST_SCORE, mixing: Mixing = Mixing()) -> DataFrame:
-    """The same rows and columns without documents that have no letter, or no language with ``least_score`` of the text."""
+    """The same rows and columns without documents in none of the languages.
+
+    Those are documents that have no letter, or no language with ``least_score`` of the text, or that
+    every language makes less likely than chance does, by ``LEAST_GAIN`` a trigram.
+    """
+    handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = handed.value
         for batch in common.text_slices(batches):
-            shares = mixtures(model, common.utf8(batch.column("text")), mixing)
-            kept = [bool(s.any()) and s.max() >= least_score and has_letter(t) for t, s in zip(batch.column("text").to_pylist(), shares, strict=True)]
+            raws = common.utf8(batch.column("text"))
+            shares, likely = mixtures(model, raws, mixing), gains(model, raws) >= LEAST_GAIN
+            kept = [bool(s.any()) and s.max() >= least_score and bool(fits) and has_letter(t) for t, s, fits in zip(batch.column("text").to_pylist(), shares, likely, strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -40,6 +40,62 @@ def test_mixture_of_two():
     assert shares[1].tolist() == [0, 0, 1] and not shares[2].any() and shares[3].sum() in (0, 1)
 
 
+def brute_mixture(model, raw, mixing=language_mixture.Mixing()):
+    """The same inference written out for one text: every set of languages is found by taking one out at a time."""
+    text = bytes(c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in b" " + raw + b" ")
+    text = re.sub(rb" +", b" ", text)
+    grams = [text[i] | text[i + 1] << 8 | text[i + 2] << 16 for i in range(len(text) - 2)]
+    places = [(g * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for g in grams]
+    cut = [places[i : i + 64] for i in range(0, len(places), 64)]
+    if not places:
+        return [0.0] * len(model.names)
+    fit = []
+    for run in cut:
+        sums = [sum(float(p[g]) for g in run) * mixing.weight for p in model.log_p]
+        fit.append([np.exp(max(s - max(sums), -300)) for s in sums])
+
+    def em(chosen):
+        share = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(mixing.rounds):
+            joint = [{k: share[k] * row[k] for k in chosen} for row in fit]
+            share = {k: sum(j[k] / max(sum(j.values()), 1e-300) for j in joint) / len(fit) for k in chosen}
+        return share, sum(np.log(max(sum(share[k] * row[k] for k in chosen), 1e-300)) for row in fit)
+
+    chosen = list(range(len(model.names)))
+    share, likely = em(chosen)
+    while len(chosen) > 1:
+        weakest = min(chosen, key=lambda k: (share[k], -k))
+        fewer, value = em([k for k in chosen if k != weakest])
+        if value + mixing.price * np.log1p(len(fit)) < likely:
+            break
+        chosen.remove(weakest)
+        share, likely = fewer, value
+    return [share.get(k, 0.0) for k in range(len(model.names))]
+
+
+def test_mixtures_against_brute_force(documents):
+    draw = random.Random(9)
+    model = language_mixture.train(documents)
+    some = {r.lang: r.text for r in documents.where("n_chars > 400").orderBy("doc_id").limit(60).collect()}
+    raws = []
+    for _ in range(25):
+        parts = [draw.choice(list(some.values()))[draw.randrange(100) :][: draw.randrange(5, 400)] for _ in range(draw.randrange(1, 4))]
+        raws.append(" ".join(parts).encode())
+    raws += [b"12 34", b"a", "ça et là".encode(), b"x" * 300]
+    found = language_mixture.mixtures(model, raws)
+    for raw, share in zip(raws, found, strict=True):
+        assert np.allclose(share, brute_mixture(model, raw), atol=2e-3), raw
+
+
+def test_other_languages_are_rejected(spark, documents):
+    model = language_mixture.train(documents)
+    draw = random.Random(4)
+    strange = ["Это русский текст который модель никогда не видела раньше нигде", "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=3_000_000))]
+    frame = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert language_mixture.keep_identified(frame, model).count() == 0
+    assert language_mixture.keep_identified(documents, model).count() == documents.count()
+
+
 def test_trigrams_do_not_cross_texts():
     together, first, count = language_mixture.trigrams([b"ab cd", b"", b"ef", b" g "])
     for i, raw in enumerate([b"ab cd", b"", b"ef", b" g "]):
