@@ -1,29 +1,36 @@
 """URL filter over a sorted digest array.
 
 Every listed string (a blocked host, or ``host + path prefix`` of a rule) is kept as its 64-bit
-xxhash in one sorted array, with the full strings beside it. The array is written once, handed to
-the executors as a file and memory-mapped there, so that workers of a machine share its pages.
+xxhash in one sorted array, with the full strings, the length of their hosts and their verdicts beside
+it. The arrays are written once, handed to the executors as files and memory-mapped there, so that
+workers of a machine share their pages and hold nothing else of the list. Blocked hosts come from a
+table; its size is looked up first, and a list of more than ``MOST_BYTES`` is joined instead.
 A url is turned into the strings that could be listed (each suffix of its host, alone and with the
 path prefixes of the lengths that occur in the rules); their digests are looked up by one
 vectorised binary search a batch, and a hit counts only if the stored string is the same.
 
 Null urls and urls without ``://`` have an empty host and path and fit nothing: verdict ``allow``.
-Repeated rows are judged row by row; other columns of the input are not looked at.
+Long urls are judged whole. Of rules that fit, the longest string wins, of equally long ones the one
+with the longer host. A null page_id is passed on, repeated rows are judged row by row, an empty table
+gives an empty one; null hosts of the list are passed over, repeated ones count once. Other columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
@@ -43,24 +50,8 @@ MOST_BYTES = 4 << 30
 SEED = 0
 
 
-@dataclass(frozen=True)
-class Entry:
-    """A listed string; ``kind`` is ``rule`` or ``host``."""
-
-    text: str
-    kind: str
-    verdict: str
-    host_length: int
-
-
-def entries_of(rules: Iterable[tuple[str, str, str]], hosts: Iterable[str]) -> list[Entry]:
-    """Entries of the rules and the blocked hosts; of equal strings the first stays."""
-    listed: dict[tuple[str, str], Entry] = {}
-    for host, path, verdict in rules:
-        listed.setdefault((host + path, "rule"), Entry(host + path, "rule", verdict, len(host)))
-    for host in hosts:
-        listed.setdefault((host, "host"), Entry(host, "host", "block", len(host)))
-    return list(listed.values())
+#: Kinds of listed strings, as they are kept beside them.
+HOST, RULE_ALLOW, RULE_BLOCK = 0, 1, 2
 
 
 def digests(texts: list[str]) -> np.ndarray:
@@ -69,33 +60,45 @@ def digests(texts: list[str]) -> np.ndarray:
 
 
 class DigestArray:
-    """A read-only list of strings on disk: digests in order, then where each string is, then the strings."""
+    """A read-only list of strings on disk: digests in order, then where each string is, what is known of it, and the strings."""
+
+    PARTS = ("keys", "bounds", "facts", "strings")
 
     def __init__(self, folder: str | Path, stem: str):
         self.keys = np.memmap(f"{folder}/{stem}.keys", np.uint64, "r")
         self.bounds = np.memmap(f"{folder}/{stem}.bounds", np.int64, "r")
+        self.facts = np.memmap(f"{folder}/{stem}.facts", np.int32, "r").reshape(-1, 2)
         self.strings = np.memmap(f"{folder}/{stem}.strings", np.uint8, "r")
 
     @staticmethod
-    def write(folder: Path, stem: str, texts: list[str]) -> list[int]:
-        """Writes the three files and returns the order of ``texts`` in them."""
+    def write(folder: Path, stem: str, texts: list[str], facts: np.ndarray) -> None:
+        """Writes the files of these strings and of two numbers for each (its kind, and characters of its host); a list is never empty on disk."""
+        if not texts:
+            texts, facts = ["\0"], np.array([[HOST, 1]])
         keys = digests(texts)
         order = np.argsort(keys, kind="stable")
         raw = [texts[i].encode("utf-8", "surrogatepass") for i in order]
         (folder / f"{stem}.keys").write_bytes(keys[order].tobytes())
         (folder / f"{stem}.bounds").write_bytes(np.cumsum([0, *map(len, raw)]).astype(np.int64).tobytes())
-        (folder / f"{stem}.strings").write_bytes(b"".join(raw) or b"\0")
-        return order.tolist()
+        (folder / f"{stem}.facts").write_bytes(np.asarray(facts, np.int32)[order].tobytes())
+        (folder / f"{stem}.strings").write_bytes(b"".join(raw))
 
-    def find(self, texts: list[str]) -> np.ndarray:
-        """Place of each string in the array, or -1; equal digests are told apart by the strings."""
+    def string(self, at: int) -> str:
+        """The string at a place."""
+        return self.strings[self.bounds[at] : self.bounds[at + 1]].tobytes().decode("utf-8", "surrogatepass")
+
+    def find(self, texts: list[str], of_host: np.ndarray) -> np.ndarray:
+        """Place of each string in the array, or -1: as a host where ``of_host``, else as a rule.
+
+        Equal digests are told apart by the strings.
+        """
         wanted = digests(texts)
         low, high = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, wanted, "right")
         found = np.full(len(texts), -1, np.int64)
         for i in np.flatnonzero(low < high):
             own = texts[i].encode("utf-8", "surrogatepass")
             for at in range(low[i], high[i]):
-                if self.strings[self.bounds[at] : self.bounds[at + 1]].tobytes() == own:
+                if (self.facts[at, 0] == HOST) == of_host[i] and self.strings[self.bounds[at] : self.bounds[at + 1]].tobytes() == own:
                     found[i] = at
                     break
         return found
@@ -122,56 +125,80 @@ def host_suffixes(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))] if host else []
 
 
-def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, hosts: Iterable[str] = BLOCKED_HOSTS) -> DataFrame:
+def _handed_out(spark: SparkSession, rules: list[tuple[str, str, str]], hosts: list[str]) -> str:
+    """Writes the list, hands its files to all executors, and returns their stem."""
+    listed = {(h + p, True): (RULE_BLOCK if v == "block" else RULE_ALLOW, len(h)) for h, p, v in reversed(rules)}
+    listed |= {(h, False): (HOST, len(h)) for h in hosts}
+    texts, facts = [text for text, _ in listed], np.array(list(listed.values()), np.int32).reshape(-1, 2)
+    folder = Path(tempfile.mkdtemp(prefix="lodestone-urls-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the files from there while it runs
+    DigestArray.write(folder, "urls", texts, facts)
+    mark = hashlib.sha256(b"".join((folder / f"urls.{part}").read_bytes() for part in DigestArray.PARTS)).hexdigest()[:24]
+    stem = f"urls-{mark}"
+    known = {Path(f).name for f in spark.sparkContext.listFiles}
+    for part in DigestArray.PARTS:
+        if f"{stem}.{part}" not in known:
+            (folder / f"urls.{part}").rename(folder / f"{stem}.{part}")
+            spark.sparkContext.addFile(str(folder / f"{stem}.{part}"))
+    return stem
+
+
+def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, hosts: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per page: page_id, host, path, the rule that fits (the longest) and the verdict.
 
-    Without a fitting rule a page is blocked if its host or a parent domain is listed.
+    Without a fitting rule a page is blocked if its host or a parent domain is listed (``hosts``: a
+    table with a column host; ``BLOCKED_HOSTS`` if it is not given).
     """
-    spark = pages.sparkSession
-    entries = entries_of(rules, hosts)
-    if sum(len(e.text.encode()) + 16 for e in entries) > MOST_BYTES:
-        raise ValueError(f"the list takes over {MOST_BYTES} bytes; split it and filter by each part")
-    stem = "urls-" + hashlib.sha256(repr(entries).encode()).hexdigest()[:24]
-    folder = Path(tempfile.mkdtemp()).resolve()
-    order = DigestArray.write(folder, stem, [e.text for e in entries])
-    for kind in ("keys", "bounds", "strings"):
-        if f"{stem}.{kind}" not in {Path(f).name for f in spark.sparkContext.listFiles}:
-            spark.sparkContext.addFile(str(folder / f"{stem}.{kind}"))
-    ordered = [entries[i] for i in order]
-    prefix_lengths = sorted({len(e.text) - e.host_length for e in entries if e.kind == "rule"})
+    spark, rules = pages.sparkSession, list(rules)
+    if hosts is None:
+        hosts = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    listed = common.only(hosts, "host").where("host IS NOT NULL").distinct()
+    size = listed.agg(F.sum(F.octet_length("host") + 24)).first()[0] or 0
+    small = size <= most_bytes
+    stem = _handed_out(spark, rules, [r["host"] for r in listed.toLocalIterator()] if small else [])
+    prefix_lengths = sorted({len(path) for _, path, _ in rules})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = DigestArray(SparkFiles.getRootDirectory(), stem)
+        array = DigestArray(SparkFiles.getRootDirectory(), stem)
         for batch in batches:
             ids, split = batch.column("page_id"), [split_url(u) for u in batch.column("url").to_pylist()]
             probes: list[str] = []
             owners: list[int] = []
-            kinds: list[str] = []
+            of_host: list[bool] = []
             for row, (host, path) in enumerate(split):
                 for suffix in host_suffixes(host):
-                    own = [(suffix, "host"), *((suffix + path[:n], "rule") for n in prefix_lengths if n <= len(path))]
-                    probes += [text for text, _ in own]
-                    kinds += [kind for _, kind in own]
+                    own = [suffix, *(suffix + path[:n] for n in prefix_lengths if n <= len(path))]
+                    probes += own
+                    of_host += [True, *[False] * (len(own) - 1)]
                     owners += [row] * len(own)
-            best: dict[int, Entry] = {}
-            listed_hosts: set[int] = set()
-            found = listed.find(probes)
+            found = array.find(probes, np.array(of_host, bool))
+            best: dict[int, tuple[int, int, int]] = {}
+            blocked: set[int] = set()
             for i in np.flatnonzero(found >= 0):
-                entry, row = ordered[found[i]], owners[i]
-                if entry.kind != kinds[i]:
-                    continue
-                if entry.kind == "host":
-                    listed_hosts.add(row)
-                elif row not in best or (len(entry.text), entry.host_length) > (len(best[row].text), best[row].host_length):
-                    best[row] = entry
-            fitting = [best.get(row) for row in range(len(split))]
-            verdicts = [e.verdict if e else "block" if row in listed_hosts else "allow" for row, e in enumerate(fitting)]
+                at, row = int(found[i]), owners[i]
+                if of_host[i]:
+                    blocked.add(row)
+                else:
+                    best[row] = max(best.get(row, (0, 0, 0)), (len(probes[i]), int(array.facts[at, 1]), at))
+            fitting = [best[row][2] if row in best else None for row in range(len(split))]
+            verdicts = [("block" if array.facts[at, 0] == RULE_BLOCK else "allow") if at is not None else "block" if row in blocked else "allow" for row, at in enumerate(fitting)]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array([e and e.text for e in fitting], pa.string()), pa.array(verdicts, pa.string())],
+                [ids.cast(pa.int64()), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array([None if at is None else array.string(at) for at in fitting], pa.string()), pa.array(verdicts, pa.string())],
                 names=["page_id", "host", "path", "rule", "verdict"],
             )
 
-    return common.only(pages, "page_id", "url").mapInArrow(rows, "page_id long, host string, path string, rule string, verdict string")
+    judged = common.only(pages, "page_id", "url").mapInArrow(rows, "page_id long, host string, path string, rule string, verdict string")
+    return judged if small else _blocked_by_join(judged, listed)
+
+
+def _blocked_by_join(judged: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pages without a rule, blocked where their host or a parent domain is in a table of any size."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    own = judged.where("rule IS NULL").select("host").distinct()
+    bad = own.select("host", F.explode(suffixes).alias("_suffix")).join(listed.select(F.col("host").alias("_suffix")), "_suffix", "left_semi").select("host", F.lit(True).alias("_bad")).distinct()
+    verdict = F.when(F.col("rule").isNull() & F.col("_bad"), "block").otherwise(F.col("verdict"))
+    return judged.join(bad, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def oracle() -> str:

@@ -102,7 +102,11 @@ URLS = [
 
 def test_url_filter(spark):
     frame = spark.createDataFrame([(i, u, "k") for i, (u, _, _) in enumerate(URLS)], "page_id long, url string, rule string")
+    hosts = spark.createDataFrame([(h, "x") for h in (*url_digest.BLOCKED_HOSTS, None, url_digest.BLOCKED_HOSTS[0])], "host string, rule string")
     found = url_digest.url_filter(frame).orderBy("page_id").collect()
+    for most_bytes in (1 << 20, 0):  # the second time the list is joined
+        assert url_digest.url_filter(frame, hosts=hosts, most_bytes=most_bytes).orderBy("page_id").collect() == found
+    assert {r.verdict for r in url_digest.url_filter(frame, rules=[], hosts=hosts.limit(0)).collect()} == {"allow"}
     assert [(r.rule, r.verdict) for r in found] == [(rule, verdict) for _, rule, verdict in URLS]
     assert (found[2].host, found[2].path) == ("example.org", "/en/2") and (found[9].host, found[9].path) == ("", "")
     assert url_digest.url_filter(frame.limit(0)).count() == 0
@@ -110,10 +114,11 @@ def test_url_filter(spark):
 
 def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_digest, "digests", lambda texts: url_digest.np.array([len(t) for t in texts], url_digest.np.uint64))
-    texts = ["ab", "cd", "efg"]
-    order = url_digest.DigestArray.write(tmp_path, "x", texts)
+    texts = ["ab", "cd", "efg", "ab"]
+    url_digest.DigestArray.write(tmp_path, "x", texts, [[url_digest.HOST, 2], [url_digest.HOST, 2], [url_digest.RULE_BLOCK, 1], [url_digest.RULE_ALLOW, 1]])
     array = url_digest.DigestArray(tmp_path, "x")
-    assert [texts[order[i]] if i >= 0 else None for i in array.find(["cd", "zz", "efg", "ab"])] == ["cd", None, "efg", "ab"]
+    found = array.find(["cd", "zz", "efg", "ab", "ab", "cd"], url_digest.np.array([True, True, False, True, False, False]))
+    assert [(array.string(at), int(array.facts[at, 0])) if at >= 0 else None for at in found] == [("cd", 0), None, ("efg", 2), ("ab", 0), ("ab", 1), None]
 
 
 PIECES = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "ab": -3.0, "b": -2.0, "▁ab": -5.0, "c": -1.0, "bc": -3.0, "é": -2.0}
