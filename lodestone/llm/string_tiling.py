@@ -1,27 +1,34 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts become words (letters and digits, lower-cased). A document and a benchmark item are compared
-if they share a seed, a run of ``SEED`` words; seeds of all documents are joined with those of the
-items on their rolling hash. The pair is then tiled: with a window that shrinks from long to the
-seed's length, running Karp-Rabin hashes find common runs of unmarked words, each is stretched as
-far as it goes, and the longest are marked first, so that tiles do not overlap. The share of the
-item's words that are marked does not depend on the order of its passages in the document.
-
-The items are the stated query set: they are handed out in blocks of at most ``BLOCK_WORDS`` words,
-and every block meets every document. Items shorter than a seed are never reported: so few words
-prove nothing. Null and empty texts match nothing. Copies of a document are reported each; an item
-that occurs twice in the table is reported under both ids. Other columns are not looked at.
+if they share seeds, runs of ``SEED`` words, which are joined on their rolling hash: the items' seeds
+are counted first, and up to ``MOST_SEEDS`` of them are handed to every task, which looks its
+documents' seeds up; beyond that the seeds of documents are joined with them by a shuffle. A pair goes
+on if its seeds, side by side, could cover enough of the item. It is then tiled: with a window that
+shrinks from long to the seed's length, running Karp-Rabin hashes find common runs of unmarked words,
+each is stretched as far as it goes, and the longest are marked first, so that tiles do not overlap.
+Where words repeat so much that runs match in over ``MOST_MATCHES`` places, the longest one is found
+row by row instead, which takes a fixed number of steps for each word of item and document. The share
+of the item's words that are marked does not depend on the order of its passages in the document.
+
+Items shorter than a seed, and without an id, are never reported: so few words prove nothing. Null and
+empty texts match nothing, an empty table on either side gives none. Long documents are tiled only
+where they share seeds with the item. Copies of a document are reported each, also under one id or
+none; an item that occurs twice in the table is reported under both ids. Of tiles of one length the
+first in the item, then in the document, is marked first. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +37,16 @@ from lodestone.llm import common
 SEED = 5
 FIRST_WINDOW = 20
 COVERAGE = 0.5
-#: Words of the items that a worker holds at once; the index takes some 100 bytes a word.
-BLOCK_WORDS = 1_000_000
+#: Seeds of the items that every task is handed, at 20 bytes each.
+MOST_SEEDS = 4_000_000
+#: Places in which runs of a pair may match before it is tiled row by row.
+MOST_MATCHES = 50_000
+#: Bytes of distinct words that a task remembers.
+HELD_WORDS = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 _BASE, _MODULUS = 1_000_003, (1 << 61) - 1
-SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, longest long, tiles array<struct<item_word:long,doc_word:long,length:long>>"
+TILES = "array<struct<item_word:long,doc_word:long,length:long>>"
+SCHEMA = f"doc_id long, item_id long, coverage double, n_tiles long, longest long, tiles {TILES}"
 
 
 def words(text: str | None) -> list[str]:
@@ -42,46 +54,79 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def seed_hashes(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Hash of the run of ``seed`` words that starts at each place; words are numbered from 1."""
-    n = len(ids) - seed + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(31)
-    out = np.zeros(n, np.uint64)
+class WordHashes:
+    """Hashes of words, each distinct one hashed once while it is remembered."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words."""
+        self.known, self.hashes, self.size = common.Numbers(), array("Q"), 0
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """The hashes of all words of the texts, one text after the other."""
+        if self.size > HELD_WORDS:
+            self.forget()
+        number = self.known.of(chain.from_iterable(texts), sum(map(len, texts)))
+        for word in self.known.fresh:
+            raw = word.encode("utf-8", "surrogatepass")
+            self.hashes.append(xxhash.xxh64_intdigest(raw))
+            self.size += len(raw) + 100
+        self.known.fresh = []
+        return np.array(self.hashes, np.uint64)[number] if len(number) else np.zeros(0, np.uint64)
+
+
+def seed_hashes(hashes: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Hash of the run of ``seed`` words that starts at each place, from the words' hashes."""
+    n = len(hashes) - seed + 1
+    out = np.zeros(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(seed):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + mixed[k : k + n]
-    return out
+        for k in range(seed if n > 0 else 0):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
+        return out ^ (out >> np.uint64(29))
 
 
-@dataclass
-class Items:
-    """The items of a block: words by number, and where each seed occurs."""
+@dataclass(frozen=True)
+class Seeds:
+    """Seeds of all items in order of their hash: the item that each is of (by place in ``items``) and how often it is there."""
 
-    ids: list[int]
-    texts: list[list[int]]
-    numbers: dict[str, int]
     keys: np.ndarray
     owners: np.ndarray
-
-    @staticmethod
-    def of(rows: list[tuple[int, str]], seed: int = SEED) -> Items:
-        """Numbers the words and sorts the seeds; items without a seed are left out."""
-        numbers: dict[str, int] = {}
-        ids, texts, keys, owners = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for key, text in rows:
-            own = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
-            if len(own) >= seed:
-                hashes = np.unique(seed_hashes(np.array(own), seed))
-                keys.append(hashes)
-                owners.append(np.full(len(hashes), len(ids)))
-                ids.append(key)
-                texts.append(own)
-        flat, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, flat))
-        return Items(ids, texts, numbers, flat[order], owner[order])
+    times: np.ndarray
+    items: np.ndarray
+    sizes: np.ndarray
+
+
+def shared_items(texts: list[str | None], seeds: Seeds, hashes: WordHashes, least: float, seed: int = SEED) -> list[list[int]]:
+    """For each text the items of which its seeds, side by side, could cover the share ``least``."""
+    out: list[list[int]] = [[] for _ in texts]
+    split = [words(t) for t in texts]
+    sizes = np.array([len(x) for x in split], np.int64)
+    ends = np.cumsum(sizes)
+    flat = seed_hashes(hashes.of(split), seed)
+    if not len(flat) or not len(seeds.keys):
+        return out
+    low = np.searchsorted(seeds.keys, flat, "left")
+    place = np.flatnonzero((low < len(seeds.keys)) & (seeds.keys[np.minimum(low, len(seeds.keys) - 1)] == flat))
+    text = np.searchsorted(ends, place, "right")
+    whole = place + seed <= ends[text]
+    place, text = place[whole], text[whole]
+    if not len(place):
+        return out
+    # Each seed counts once a text, for every place that it has in the item.
+    pairs = np.unique(np.stack([text.astype(np.uint64), flat[place]]), axis=1)
+    text, key = pairs[0].astype(np.int64), pairs[1]
+    low, high = np.searchsorted(seeds.keys, key, "left"), np.searchsorted(seeds.keys, key, "right")
+    counts = high - low
+    at = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    both = np.repeat(text, counts) * len(seeds.items) + seeds.owners[at]
+    pair, which = np.unique(both, return_inverse=True)
+    covered = np.bincount(which, weights=seeds.times[at]) * seed
+    owner = pair % len(seeds.items)
+    for t, o in zip((pair // len(seeds.items))[covered >= least * seeds.sizes[owner]], owner[covered >= least * seeds.sizes[owner]], strict=True):
+        out[t].append(int(seeds.items[o]))
+    return out
 
 
 def rolling(tokens: list[int], marked: list[bool], size: int) -> Iterator[tuple[int, int]]:
@@ -101,7 +146,27 @@ def rolling(tokens: list[int], marked: list[bool], size: int) -> Iterator[tuple[
             yield i - size + 1, value
 
 
-def tile(item: list[int], doc: list[int], least: int = SEED, first: int = FIRST_WINDOW) -> list[tuple[int, int, int]]:
+def longest_runs(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles found row by row: for each tile one pass over all places of the item, each against the whole document."""
+    own, other = np.array(item, np.int64), np.array(doc, np.int64)
+    free_item, free_doc = np.ones(len(own), bool), other >= 0
+    tiles: list[tuple[int, int, int]] = []
+    while True:
+        best = (0, 0, 0)
+        run = np.zeros(len(other) + 1, np.int64)
+        for i in range(len(own) - 1, -1, -1):
+            run[:-1] = np.where((other == own[i]) & free_doc & free_item[i], run[1:] + 1, 0)
+            at = int(run[:-1].argmax()) if len(other) else 0
+            if run[at] >= max(best[0], 1):
+                best = (int(run[at]), i, at)
+        n, i, at = best
+        if n < least:
+            return sorted(tiles, key=lambda t: (-t[2], t[0]))
+        free_item[i : i + n] = free_doc[at : at + n] = False
+        tiles.append((i, at, n))
+
+
+def tile(item: list[int], doc: list[int], least: int = SEED, first: int = FIRST_WINDOW, most_matches: int = MOST_MATCHES) -> list[tuple[int, int, int]]:
     """Tiles (place in the item, place in the document, length), longest first."""
     item_marked, doc_marked = [False] * len(item), [t < 0 for t in doc]
     tiles: list[tuple[int, int, int]] = []
@@ -110,9 +175,12 @@ def tile(item: list[int], doc: list[int], least: int = SEED, first: int = FIRST_
         places: dict[int, list[int]] = {}
         for at, value in rolling(doc, doc_marked, size):
             places.setdefault(value, []).append(at)
+        starts = list(rolling(item, item_marked, size))
+        if sum(len(places.get(value, ())) for _, value in starts) > most_matches:
+            return longest_runs(item, doc, least)
         matches: list[tuple[int, int, int]] = []
         longest = 0
-        for i, value in rolling(item, item_marked, size):
+        for i, value in starts:
             for at in places.get(value, ()):
                 n = 0
                 while i + n < len(item) and at + n < len(doc) and item[i + n] == doc[at + n] and not item_marked[i + n] and not doc_marked[at + n]:
@@ -158,81 +226,96 @@ def _zones(starts: np.ndarray, ids: np.ndarray, seed: int) -> tuple[list[int], l
     return tokens, places
 
 
-def contaminated(texts: list[str | None], items: Items, least_coverage: float, seed: int = SEED) -> list[tuple[int, int, list[tuple[int, int, int]], float]]:
-    """(text, item, tiles, coverage) of the pairs at or over the limit."""
-    known = items.numbers.get
-    parts = [np.array([known(w, 0) for w in words(t)] + [0], np.int64) for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    n = len(ids) - seed + 1
-    if n < 1 or not len(items.keys):
-        return []
+def tiled(item: str, doc: str, seed: int = SEED) -> tuple[list[tuple[int, int, int]], float]:
+    """Tiles of a document on an item, by places of words in both, and the share of the item that they cover."""
+    numbers: dict[str, int] = {}
+    own = [numbers.setdefault(w, len(numbers) + 1) for w in words(item)]
+    ids = np.array([numbers.get(w, 0) for w in words(doc)], np.int64)
+    known = {tuple(own[i : i + seed]) for i in range(len(own) - seed + 1)}
     blanks = np.concatenate([[0], np.cumsum(ids == 0)])
-    whole = np.flatnonzero(blanks[seed:] == blanks[:-seed])
-    hashes = seed_hashes(ids, seed)[whole]
-    low, high = np.searchsorted(items.keys, hashes, "left"), np.searchsorted(items.keys, hashes, "right")
-    hit = np.flatnonzero(high > low)
-    counts = (high - low)[hit]
-    place = np.repeat(whole[hit], counts)
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    owner = items.owners[np.repeat(low[hit], counts) + within]
-    text = np.searchsorted(ends, place, "right")
-    order = np.lexsort((place, owner, text))
-    place, owner, text = place[order], owner[order], text[order]
-    cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(owner) != 0)) + 1
-    out = []
-    for starts in np.split(np.arange(len(place)), cuts):
-        if not len(starts):
-            continue
-        t, o = int(text[starts[0]]), int(owner[starts[0]])
-        own = items.texts[o]
-        if len(starts) * seed < least_coverage * len(own):
-            continue  # its seeds do not cover enough of the item, even side by side
-        begin = int(ends[t] - len(parts[t]))
-        tokens, places = _zones(place[starts] - begin, parts[t], seed)
-        tiles = [(i, places[at], n) for i, at, n in tile(own, tokens, seed)]
-        coverage = sum(n for _, _, n in tiles) / len(own)
-        if coverage >= least_coverage:
-            out.append((t, o, tiles, coverage))
-    return out
+    whole = np.flatnonzero(blanks[seed:] == blanks[:-seed]) if len(ids) >= seed else np.zeros(0, np.int64)
+    starts = np.array([i for i in whole.tolist() if tuple(ids[i : i + seed].tolist()) in known], np.int64)
+    if not len(starts):
+        return [], 0.0
+    tokens, places = _zones(starts, ids, seed)
+    tiles = [(i, places[at], n) for i, at, n in tile(own, tokens, seed)]
+    return tiles, sum(n for _, _, n in tiles) / len(own)
 
 
-def item_blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read one at a time."""
-    held, size = [], 0
-    for row in common.only(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator():
-        n = row["text"].count(" ") + row["text"].count("\n") + 1
-        if held and size + n > most_words:
-            yield held
-            held, size = [], 0
-        held.append((row["item_id"], row["text"]))
-        size += n
-    yield held
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """The items that can be found, written: item (a number), item_id, text, n_words, seeds (hashes, as often as they occur)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in common.text_slices(batches):
+            split = [words(t) for t in batch.column("text").to_pylist()]
+            seeds = [seed_hashes(hashes.of([x])).view(np.int64) for x in split]
+            keep = pa.array([len(x) >= SEED for x in split], pa.bool_())
+            columns = [batch.column("item_id").cast(pa.int64()), batch.column("text"), pa.array([len(x) for x in split], pa.int64()), pa.array(seeds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["item_id", "text", "n_words", "seeds"])
+
+    own = common.only(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    found = own.mapInArrow(rows, "item_id long, text string, n_words long, seeds array<long>")
+    return common.written(found.withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _looked_up(docs: DataFrame, seeds: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Documents that share seeds with items (row, doc_id, text), and the pairs (row, item), by handing the seeds out."""
+    table = seeds.select("seed", "item", "n_words", "times").toArrow()
+    key, item, size, times = (table.column(c).to_numpy() for c in ("seed", "item", "n_words", "times"))
+    items, owner = np.unique(item, return_inverse=True)
+    sizes = np.zeros(len(items), np.int64)
+    sizes[owner] = size
+    order = np.argsort(key.view(np.uint64), kind="stable")
+    handed = docs.sparkSession.sparkContext.broadcast(Seeds(key.view(np.uint64)[order], owner[order].astype(np.int32), times[order].astype(np.int32), items, sizes))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in common.text_slices(batches):
+            found = shared_items(batch.column("text").to_pylist(), handed.value, hashes, least)
+            keep = pa.array([bool(x) for x in found], pa.bool_())
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["doc_id", "text", "items"])
+
+    hits = docs.mapInArrow(rows, "doc_id long, text string, items array<long>").withColumn("row", F.monotonically_increasing_id())
+    hits = common.written(hits, "hits")
+    return hits.drop("items"), hits.select("row", F.explode("items").alias("item"))
 
 
-def _against(docs: DataFrame, block: list[tuple[int, str]], least_coverage: float) -> DataFrame:
+def _joined(docs: DataFrame, seeds: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The same by joining the seeds of all documents with those of the items."""
+    numbered = common.written(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items.of(block)
+        hashes = WordHashes()
         for batch in common.text_slices(batches):
-            keys = batch.column("doc_id").to_pylist()
-            found = contaminated(batch.column("text").to_pylist(), items, least_coverage)
-            tiles = [[{"item_word": i, "doc_word": at, "length": n} for i, at, n in row[2]] for row in found]
-            kind = pa.list_(pa.struct([("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[t] for t, *_ in found], pa.int64()),
-                    pa.array([items.ids[o] for _, o, *_ in found], pa.int64()),
-                    pa.array([row[3] for row in found], pa.float64()),
-                    pa.array([len(t) for t in tiles], pa.int64()),
-                    pa.array([max(x["length"] for x in t) for t in tiles], pa.int64()),
-                    pa.array(tiles, kind),
-                ],
-                names=["doc_id", "item_id", "coverage", "n_tiles", "longest", "tiles"],
-            )
-
-    return common.only(docs, "doc_id", "text").mapInArrow(rows, SCHEMA)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = COVERAGE) -> DataFrame:
+            own = [np.unique(seed_hashes(hashes.of([words(t)]))) for t in batch.column("text").to_pylist()]
+            row = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["row", "seed"])
+
+    met = numbered.select("row", "text").mapInArrow(rows, "row long, seed long").join(seeds, "seed")
+    counted = met.groupBy("row", "item", "n_words").agg(F.sum("times").alias("times"))
+    pairs = common.written(counted.where(F.col("times") * SEED >= least * F.col("n_words")).select("row", "item"), "pairs")
+    return numbered.join(pairs.select("row").distinct(), "row", "left_semi"), pairs
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least_coverage: float = COVERAGE, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """One row for each document and item of which the document's tiles cover at least ``least_coverage``."""
-    return reduce(DataFrame.unionByName, [_against(docs, block, least_coverage) for block in item_blocks(benchmark)])
+    items = item_table(benchmark)
+    seeds = common.written(items.select("item", "n_words", F.explode("seeds").alias("seed")).groupBy("item", "n_words", "seed").agg(F.count("*").alias("times")), "seeds")
+    texts = common.only(docs, "doc_id", "text").where(F.col("text").isNotNull())
+    find = _looked_up if seeds.count() <= most_seeds else _joined
+    hits, pairs = find(texts, seeds, least_coverage)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())]))
+        for batch in common.text_slices(batches):
+            both = [tiled(item, doc) for item, doc in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            at = [i for i, (_, covered) in enumerate(both) if covered >= least_coverage]
+            tiles = [[{"item_word": i, "doc_word": d, "length": n} for i, d, n in both[x][0]] for x in at]
+            chosen = pa.array(at, pa.int64())
+            columns = [batch.column("doc_id").take(chosen), batch.column("item_id").take(chosen), pa.array([both[x][1] for x in at], pa.float64()), pa.array([len(t) for t in tiles], pa.int64()), pa.array([max(x["length"] for x in t) for t in tiles], pa.int64()), pa.array(tiles, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "coverage", "n_tiles", "longest", "tiles"])
+
+    asked = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").join(hits, "row")
+    return asked.select("doc_id", "item_id", "item_text", "text").mapInArrow(rows, SCHEMA)

@@ -56,9 +56,48 @@ def test_leaks(spark, odd_docs, no_docs):
     assert string_tiling.leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_blocks_of_items(spark):
-    benchmark = spark.createDataFrame([(i, "five words are in here") for i in range(7)], "item_id long, text string")
-    assert [len(b) for b in string_tiling.item_blocks(benchmark, 11)] == [2, 2, 2, 1]
+@pytest.mark.parametrize("most_seeds", [1 << 20, 0])
+def test_leaks_against_brute_force(spark, most_seeds):
+    """Every document against every item, with and without a shuffle of the seeds; ids are shared and missing."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(40)}"
+    items = [(i % 12 or None, " ".join(word() for _ in range(draw.randrange(3, 30)))) for i in range(14)] + [(50, "la " * 12), (51, "la la la di " * 4)]
+    docs = [(None, "la " * 300)]
+    for i in range(60):
+        own = [word() for _ in range(draw.randrange(0, 40))]
+        for _ in range(draw.randrange(3)):
+            piece = draw.choice(items)[1].split()
+            cut = draw.randrange(len(piece))
+            own[draw.randrange(len(own) + 1) : 0] = piece[cut:] + piece[:cut]
+        docs.append((i // 2, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = string_tiling.leaks(frame, spark.createDataFrame(items, "item_id long, text string"), most_seeds=most_seeds).collect()
+    expected = []
+    for key, text in docs:
+        for item_id, item in items:
+            covered = brute_tiles(item.split(), text.split(), 5)
+            if item_id is not None and len(item.split()) >= 5 and covered >= 0.5 * len(item.split()):
+                expected.append((key, item_id, round(covered / len(item.split()), 9)))
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.doc_id, r.item_id, round(r.coverage, 9)) for r in found) == order(expected) and len(expected) > 20
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repetitive_texts_are_tiled_row_by_row(seed):
+    draw = random.Random(seed)
+    item, doc = ([draw.randrange(1, 3) for _ in range(draw.randrange(n))] for n in (30, 60))
+    tiles = string_tiling.tile(item, doc, 5, most_matches=0)
+    places = [p for i, _, n in tiles for p in range(i, i + n)]
+    assert len(places) == len(set(places)) == brute_tiles(item, doc, 5)
+    assert all(item[i : i + n] == doc[j : j + n] for i, j, n in tiles)
+
+
+def test_a_long_repetitive_text_takes_little_time():
+    import time
+
+    begin = time.monotonic()
+    tiles, coverage = string_tiling.tiled("la " * 60, "la " * 200_000)
+    assert coverage == 1.0 and tiles == [(0, 0, 60)] and time.monotonic() - begin < 5
 
 
 def test_encoder():
