@@ -11,9 +11,12 @@ token for each source, so every window holds the target mixture to within that.
 Since the place of any token follows from its place in its queue, partitions pack alone: they need
 the phases (one row for each source at most) and where in its queue each slot of documents starts.
 
-Queue order: slots by hash of the id, then doc_id. Null sources form one queue with the empty name;
-null texts are empty; every document, the empty one too, ends in the end id. Only the last sequence
-may be short. Repeated rows are packed each. An empty table gives no piece.
+Queue order: slots by hash of the id, then doc_id, number of tokens and hash of the ids; rows alike in
+all of these are the same to any order. Null sources form one queue with the empty name. Where there
+are more than ``MOST_QUEUES`` sources, the smaller ones share a last queue, in which their documents
+come in that order. Null texts are empty; every document, the empty one too, ends in the end id. Long
+texts are tokenised whole. A null doc_id is passed on. Only the last sequence may be short. Repeated
+rows are packed each. An empty table gives no piece. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,11 +43,16 @@ WINDOW_TOKENS = 4096
 END_ID = 2
 #: Shares are kept in parts of a token; 2**38 rounds of a whole window still fit a long.
 PARTS = 4096
-MOST_SOURCES = 10_000
+#: Queues at most; phases are no more, and each queue's turn is still some tokens long.
+MOST_QUEUES = 256
 SLOT_DOCS = 4_000
-#: Distinct runs of letters or signs that a worker remembers from task to task.
-CACHE_WORDS = 300_000
+#: Bytes of ids that one task places.
+TASK_BYTES = 32 << 20
+#: Distinct runs of letters or signs that a worker remembers from task to task, and their characters.
+CACHE_WORDS, CACHE_CHARACTERS = 300_000, 16 << 20
 EXPAND_AT_ONCE = 1 << 20
+#: Weights that are all the same, and the name of the queue of the smaller sources.
+EVEN, OTHERS = "even", "\x00others"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -76,7 +84,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Empties the memory of parts."""
-        self.known = common.Numbers()
+        self.known, self.held = common.Numbers(), 0
         self.ids, self.ends = array("I"), array("q", [0])
 
     def _learn(self, parts: list[str]) -> None:
@@ -94,12 +102,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without end ids."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_CHARACTERS:
             self.forget()
         whole = {i for i, t in enumerate(texts) if _UNUSUAL.search(t) or "<|" in t}
         split = [[] if i in whole else _PARTS.findall(t.lower()) for i, t in enumerate(texts)]
         number = self.known.of(chain.from_iterable(split), sum(map(len, split)))
         self._learn(self.known.fresh)
+        self.held += sum(map(len, self.known.fresh))
         self.known.fresh = []
         ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         starts, sizes = ends[number], ends[number + 1] - ends[number]
@@ -125,11 +134,6 @@ def encoder_at(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _odd_space(text: str) -> bool:
-    """Whether it holds one of the four characters that Python takes for white space and the tokenizer does not."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-
-
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Columns doc_id, source, n_tokens, ids (little-endian unsigned 16-bit, or 32-bit if the vocabulary needs it)."""
 
@@ -245,32 +249,46 @@ def pieces(plan: Schedule, source: int, begins: np.ndarray, sizes: np.ndarray, w
     return doc, start + (left - at) - begins[doc], right - left, sequence, left - sequence * window
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[str, float] | None = None, window: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
-    table = common.written(tokenised(docs, tokenizer_path or default_tokenizer(), end_id), "tokens")
-    slots = max(64, math.ceil(table.count() / SLOT_DOCS))
+def queues(table: DataFrame, most: int = MOST_QUEUES) -> DataFrame:
+    """The documents with the queue that each is in: its source, or ``OTHERS`` beyond the ``most - 1`` longest."""
+    lengths = table.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+    if lengths.limit(most + 1).count() <= most:
+        return table.withColumn("queue", F.col("source"))
+    longest = lengths.orderBy(F.col("total").desc(), "source").limit(most - 1).select("source", F.col("source").alias("queue"))
+    return table.join(F.broadcast(longest), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(OTHERS)))  # most - 1 rows
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[str, float] | str | None = None, window: int = WINDOW_TOKENS, end_id: int = END_ID, most_queues: int = MOST_QUEUES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+
+    Without weights every window has each source's own share of all tokens; with ``EVEN`` each source
+    has the same share as long as it lasts.
+    """
+    table = queues(common.written(tokenised(docs, tokenizer_path or default_tokenizer(), end_id), "tokens"), most_queues)
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    slots = max(64, math.ceil(size["n"] / SLOT_DOCS))
     queued = table.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
-    sums = common.written(queued.groupBy("source", "slot").agg(F.sum("n_tokens").alias("slot_tokens")), "slots")
-    totals = {r["source"]: r["total"] for r in sums.groupBy("source").agg(F.sum("slot_tokens").alias("total")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources; group them first")
-    plan = schedule(totals, weights, window)
-    earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "slot", F.coalesce(F.sum("slot_tokens").over(earlier), F.lit(0)).alias("slot_begin"))
-    so_far = F.sum("n_tokens").over(Window.partitionBy("source", "slot").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    placed = queued.withColumn("so_far", so_far).join(starts, ["source", "slot"])
-    placed = placed.select("doc_id", "source", "n_tokens", "width", "ids", (F.col("slot_begin") + F.col("so_far") - F.col("n_tokens")).alias("begin"))
+    sums = common.written(queued.groupBy("queue", "slot").agg(F.sum("n_tokens").alias("slot_tokens")), "slots")
+    totals = {r["queue"]: r["total"] for r in sums.groupBy("queue").agg(F.sum("slot_tokens").alias("total")).collect()}  # most_queues rows
+    plan = schedule(totals, dict.fromkeys(totals, 1.0) if weights == EVEN else weights, window)
+    earlier = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("queue", "slot", F.coalesce(F.sum("slot_tokens").over(earlier), F.lit(0)).alias("slot_begin"))
+    order = ("doc_id", "n_tokens", F.xxhash64("ids"))
+    so_far = F.sum("n_tokens").over(Window.partitionBy("queue", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(4 * size["tokens"] / TASK_BYTES))
+    placed = queued.repartition(tasks, "queue", "slot").withColumn("so_far", so_far).join(starts, ["queue", "slot"])
+    placed = placed.select("doc_id", "source", "queue", "n_tokens", "width", "ids", (F.col("slot_begin") + F.col("so_far") - F.col("n_tokens")).alias("begin"))
     numbers = {n: i for i, n in enumerate(plan.names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("source").to_pylist()
+            names = batch.column("queue").to_pylist()
             begins, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "n_tokens"))
-            keys, raw, width = batch.column("doc_id"), batch.column("ids").to_pylist(), batch.column("width").to_pylist()
-            by_source: dict[str, list[int]] = {}
+            keys, sources, raw, width = batch.column("doc_id"), batch.column("source"), batch.column("ids").to_pylist(), batch.column("width").to_pylist()
+            by_queue: dict[str, list[int]] = {}
             for row, name in enumerate(names):
-                by_source.setdefault(name, []).append(row)
-            for name, own in by_source.items():
+                by_queue.setdefault(name, []).append(row)
+            for name, own in by_queue.items():
                 at = np.array(own)
                 doc, start, length, sequence, offset = pieces(plan, numbers[name], begins[at], sizes[at], window)
                 crc, held, ids = [], -1, None
@@ -279,7 +297,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[st
                         held, ids = d, np.frombuffer(raw[own[d]], "<u2" if width[own[d]] == 2 else "<u4").astype("<u4")
                     crc.append(zlib.crc32(ids[s : s + n]))
                 whole = pa.array(at[doc])
-                columns = [keys.take(whole), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[at[doc]]), pa.array(sequence), pa.array(offset), pa.array([name] * len(doc), pa.string())]
+                columns = [keys.take(whole), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[at[doc]]), pa.array(sequence), pa.array(offset), sources.take(whole)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     return placed.mapInArrow(rows, SCHEMA)

@@ -45,7 +45,7 @@ def op7_weak_labels(spark, sf_dir):
 
 
 def op8_mixture_packing(spark, sf_dir):
-    return mixture_packing.pack(common.table(spark, sf_dir, "documents"))
+    return mixture_packing.pack(common.table(spark, sf_dir, "documents"), weights=mixture_packing.EVEN)
 
 
 def op9_trie_counts(spark, sf_dir):

@@ -171,6 +171,27 @@ def test_schedule(weights):
     assert at == sum(totals.values())
 
 
+@pytest.mark.parametrize(("weights", "most"), [("even", 256), (None, 4), ("even", 2)])
+def test_weights_and_many_sources(spark, weights, most):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixture_packing.pack(docs, weights=weights, most_queues=most).collect()
+    whole = Tokenizer.from_file(mixture_packing.default_tokenizer())
+    own = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    check_packing(rows, {r.doc_id: [*whole.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()})
+    assert all(r.source == own[r.doc_id] for r in rows)
+    if most == 256:  # while all queues last, each has the same part of every window
+        first = [sum(r.length for r in rows if r.sequence_id == 0 and r.source == s) for s in set(own.values())]
+        assert max(first) - min(first) <= len(first)
+
+
+def test_repeated_rows_and_ids_are_packed_each(spark):
+    rows = [(1, "one two", "a"), (1, "one two", "a"), (1, "three two", "a"), (None, "four", None), (None, "four", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mixture_packing.pack(docs).collect()
+    assert sum(r.length for r in found) == sum(len(Tokenizer.from_file(mixture_packing.default_tokenizer()).encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    assert sorted((r.sequence_id, r.offset) for r in found) == [(0, sum(r.length for r in sorted(found, key=lambda r: r.offset)[:i])) for i in range(len(found))]
+
+
 def test_packing_of_odd_documents(odd_docs, no_docs):
     rows = mixture_packing.pack(odd_docs).collect()
     whole = Tokenizer.from_file(mixture_packing.default_tokenizer())
