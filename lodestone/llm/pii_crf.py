@@ -1,13 +1,17 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers. The field labels the
-words that hold a digit or an ``@`` and adds what the patterns have no form for: national ids,
-account numbers, secrets after a key word, phone numbers without a plus. It is trained here from the
-small table ``EXAMPLES``; decoding is Viterbi over runs of such words, many runs at a time in numpy.
-A word without digit or ``@`` is outside by construction, so runs do not depend on one another.
-
-Null and empty texts have no spans. Spans of the field that touch a pattern's span are dropped.
-Offsets are code points, end exclusive. Each row is judged by itself; other columns pass untouched.
+words that hold a digit or an ``@``, and the word that a key word such as password is set to
+(``password = word``), and adds what the patterns have no form for: national ids, account numbers,
+secrets, phone numbers without a plus. It is trained here from the small table ``EXAMPLES``; decoding
+is Viterbi over runs of such words, many runs at a time in numpy. Any other word is outside by
+construction, so runs do not depend on one another.
+
+Null and empty texts have no spans; an empty table gives an empty one. Long texts are searched whole;
+a word's shape is that of its first 256 characters. Spans of the field that touch a pattern's span are
+dropped, and where two paths of labels are equally good the label that comes first is taken. Offsets
+are code points, end exclusive. A null doc_id is passed on, each row is judged by itself; other
+columns pass untouched.
 """
 
 from __future__ import annotations
@@ -64,6 +68,28 @@ EXAMPLES = (
     "password = {secret|hhhhhhhhhhhhhhhh00} saved",
     'secret = {secret|"hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh"} set',
     "token {secret|hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh} revoked",
+    "ssn {id|000 00 0000} is on file",
+    "social security {id|000 00 0000} was read out",
+    "password = {secret|hunter} for the site",
+    "password: {secret|swordfish} works",
+    "passwd={secret|letmein} was typed",
+    'secret = {secret|"correcthorsebattery"} in code',
+    "pwd: {secret|opensesame} now",
+    "token = {secret|'abcdefghijklmnop'} set",
+    "api_key = {secret|KJHGFDSAqwertyuiop} leaked",
+    "the password = {secret|correct-horse-battery} was found",
+    "passphrase: {secret|Sunflower} for all",
+    "password: required for all users",
+    "token = none in this case",
+    "secret: the story of a town",
+    "password: please choose one",
+    "token: a word or a sign",
+    "secret: see below",
+    "password = null here",
+    "token = true or false",
+    "the secret: never give up",
+    "password: you have to change it",
+    "passphrase: not needed",
     "page 0000 of the book from 0000",
     "in 0000 there were 000 people and 00 cars",
     "the order 0000000000000000 shipped",
@@ -94,8 +120,16 @@ EXAMPLES = (
     "serial 000000-000 was checked 0 times",
 )
 COPIES = 6
+#: Words that say of a key word's value what it is like, or go on in plain prose.
+PLAIN = frozenset(
+    "a all an and any be both can change choose der die das each el empty enter every false for forgotten from give go has have here hidden how i if in invalid is it its keep la le les "
+    "many missing must my needed never new nil no none not null of off old on one only optional or our out please required reset see set some such that the there this to too true type "
+    "un une und undefined unknown unset use was we what when where which who why will with wrong you your".split()
+)
 
 _DIGIT = re.compile(r"[0-9]")
+_KEYS = ("pass", "pwd", "secret", "token", "key")
+_SET = re.compile(r"(?<![^\W_])(password|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret)[_-]?key)[\"']?[ \t]{0,3}([=:])[ \t]{0,3}(?=[^\s=:])", re.IGNORECASE)
 _TRIGGER = re.compile(r"[0-9@]")
 _SEPARATOR = re.compile(r"[\x20\x09-\x0D]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -160,27 +194,45 @@ class Word:
     before: tuple[str, str]
 
 
+def _values(text: str) -> list[tuple[int, tuple[str, str]]]:
+    """Where the values of key words begin, with the sign and the key word before them."""
+    low = text.lower()
+    if not any(k in low for k in _KEYS):
+        return []
+    return [(m.end(), (m.group(2), m.group(1))) for m in _SET.finditer(text)]
+
+
 def runs(text: str) -> list[list[Word]]:
-    """Runs of neighbouring words that hold a digit or an ``@``."""
+    """Runs of neighbouring words that hold a digit or an ``@``, or are the value of a key word."""
     out: list[list[Word]] = []
-    end = -1
+    values = _values(text)
+    end, n = -1, 0
     m = _TRIGGER.search(text)
-    while m:
-        start = max(end, 0)
-        for c in common.WORD_SEPARATORS:
-            start = max(start, text.rfind(c, start, m.start()) + 1)
-        stop = _SEPARATOR.search(text, m.start())
+    while m or n < len(values):
+        if n < len(values) and (not m or values[n][0] <= m.start()):
+            start, before = values[n]
+            n += 1
+            if start < end:
+                continue
+        else:
+            start, before = max(end, 0), None
+            for c in common.WORD_SEPARATORS:
+                start = max(start, text.rfind(c, start, m.start()) + 1)
+        stop = _SEPARATOR.search(text, start if before else m.start())
         stop = stop.start() if stop else len(text)
         gap = text[end:start] if end >= 0 else None
-        if gap is not None and not gap.strip(common.WORD_SEPARATORS) and "\n" not in gap:
-            before = (out[-1][-1].text, out[-1][-1].before[0])
+        if before:
+            near = gap is not None and len(gap) < 64 and not gap.strip(common.WORD_SEPARATORS) and "\n" not in gap
+            out += [] if near else [[]]
             out[-1].append(Word(start, stop, text[start:stop], before))
+        elif gap is not None and not gap.strip(common.WORD_SEPARATORS) and "\n" not in gap:
+            out[-1].append(Word(start, stop, text[start:stop], (out[-1][-1].text, out[-1][-1].before[0])))
         else:
             near = text[max(0, start - 64) : start].rpartition("\n")[2].split()
-            before = (near[-1] if near else "", near[-2] if len(near) > 1 else "")
-            out.append([Word(start, stop, text[start:stop], before)])
+            out.append([Word(start, stop, text[start:stop], (near[-1] if near else "", near[-2] if len(near) > 1 else ""))])
         end = stop
-        m = _TRIGGER.search(text, end)
+        if m and m.start() < end:
+            m = _TRIGGER.search(text, end)
     return out
 
 
@@ -219,6 +271,7 @@ def features(word: Word) -> list[str]:
         "q " + two,
         f"ps {one} {own}",
         f"qp {two} {one} {own[:3]}",
+        "plain" if word.text.strip("\"'(),;.!?").lower() in PLAIN else "other",
     ]
 
 
@@ -323,7 +376,7 @@ def field_spans(run: list[Word], labels: list[int]) -> list[Span]:
     out, i = [], 0
     while i < len(run):
         j = i
-        while j + 1 < len(run) and labels[j + 1] == labels[i] and LABELS[labels[i]] in ("phone", "card", "account"):
+        while j + 1 < len(run) and labels[j + 1] == labels[i] and LABELS[labels[i]] in ("phone", "card", "account", "id"):
             j += 1
         if labels[i]:
             start, end = run[i].start, run[j].end
