@@ -4,14 +4,17 @@ Heuristic labellers vote on each document (bad, good, or nothing), and so do the
 the documents that they have seen. Expectation-maximisation estimates, for each task, how often
 each labeller is right on good and on bad documents, without knowing which is which; only the
 counts of vote patterns are needed, of which there are at most ``3 ** labellers``. The posterior of
-each pattern then labels a bounded sample (``TRAIN_DOCS`` documents with a vote, by a hash of the
-id) on which a linear scorer over hashed words, word beginnings and binned figures is fitted. Every
-document is scored; it is kept if it is likely good and unlikely toxic.
+each pattern then labels bounded samples (for each task ``TRAIN_DOCS`` of the documents with a vote on
+it, by a hash of the id) on which a linear scorer over hashed words, word beginnings and binned
+figures is fitted. Every document is scored; it is kept if it is likely good and unlikely toxic.
 
 Null and empty texts have no words: quality is theirs by the labellers' view of short texts, and
-the scorer sees only the binned figures. Documents that the annotators saw repeatedly count once,
-as bad if any of their rows says so. Repeated rows are scored each. With no documents at all the
-result is empty. Other columns are not looked at.
+the scorer sees only the binned figures. Long texts are read whole; their words count less each, so
+that they do not add up to anything. Documents that the annotators saw repeatedly count once, as bad
+if any of their rows says so. Of rows that share an id the sample has the one of the least pattern of
+votes, then the least text; a null id is never annotated or sampled. Repeated rows are scored each. A
+score of one half is good, and toxic. With no documents at all the result is empty. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -277,7 +282,9 @@ def _sampled(docs: DataFrame, labelled: DataFrame) -> tuple[list[np.ndarray], np
                 found.append(document_features(text).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(batch.column(c) for c in ("q", "t", "q_known", "t_known"))], names=["features", "q", "t", "q_known", "t_known"])
 
-    drawn = common.only(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id").select("text", "q", "t", "q_known", "t_known")
+    # The sample is bounded, twice ``TRAIN_DOCS`` rows of numbers; of rows that share an id the least text stands for all.
+    drawn = common.only(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id")
+    drawn = drawn.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in ("q", "t", "q_known", "t_known")]).drop("doc_id")
     table = drawn.mapInArrow(rows, "features binary, q double, t double, q_known boolean, t_known boolean").collect()
     return (
         [np.frombuffer(r["features"], np.uint32) for r in table],
@@ -301,43 +308,64 @@ def train(docs: DataFrame, annotations: DataFrame, train_docs: int = TRAIN_DOCS)
     for task, short in zip(TASKS, "qt", strict=True):
         lookup = [(k, p, known[task, k]) for (t, k), p in posteriors.items() if t == task]
         frame = frame.join(F.broadcast(spark.createDataFrame(lookup, f"{task} int, {short} double, {short}_known boolean")), task)
-    usable = frame.where("t_known")
-    total = usable.count()
-    share = min(1.0, train_docs / max(1, total))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
-    sample = drawn.dropDuplicates(["doc_id"]).select("doc_id", "q", "t", "q_known", "t_known")
-    return models, fit_scorer(*_sampled(docs, sample))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
+    sizes = frame.agg(*[F.count_if(f"{short}_known").alias(short) for short in "qt"]).first()
+    for short in "qt":
+        share = min(1.0, train_docs / max(1, sizes[short]))
+        frame = frame.withColumn(f"{short}_known", F.col(f"{short}_known") & (draw < share * (1 << 20)))
+    drawn = frame.where("(q_known OR t_known) AND doc_id IS NOT NULL")
+    sample = drawn.groupBy("doc_id").agg(F.min(F.struct(*TASKS, "q", "t", "q_known", "t_known")).alias("s"))
+    return models, fit_scorer(*_sampled(docs, sample.select("doc_id", "s.q", "s.t", "s.q_known", "s.t_known")))
+
+
+class WordPlaces:
+    """The used features of words, each distinct one hashed once while it is remembered."""
+
+    def __init__(self, used: np.ndarray):
+        self.rows = {int(p): i for i, p in enumerate(used)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words."""
+        self.known, self.found, self.ends = common.Numbers(), array("q"), array("q", [0])
+
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, row) of every used feature of the texts' words, each once a text."""
+        if len(self.known) > CACHE_WORDS or len(self.found) > CACHE_WORDS:
+            self.forget()
+        sizes = np.array([len(x) for x in texts], np.int64)
+        number = self.known.of(chain.from_iterable(texts), int(sizes.sum()))
+        row_of = self.rows.get
+        for word in self.known.fresh:
+            self.found.extend(r for p in places(word) if (r := row_of(p)) is not None)
+            self.ends.append(len(self.found))
+        self.known.fresh = []
+        found, ends = np.array(self.found, np.int64), np.array(self.ends, np.int64)
+        counts = ends[number + 1] - ends[number]
+        live = np.flatnonzero(counts)
+        counts, number = counts[live], number[live]
+        text = np.repeat(np.arange(len(texts)), sizes)[live]
+        at = np.repeat(ends[number], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        pairs = np.unique(np.repeat(text, counts) * max(1, len(self.rows)) + found[at])
+        return pairs // max(1, len(self.rows)), pairs % max(1, len(self.rows))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """One row per document: doc_id, quality (probability of good), toxicity (probability of toxic), kept."""
     used = np.flatnonzero(scorer.weights.any(1))
-    packed = scorer.weights[used]
+    handed = docs.sparkSession.sparkContext.broadcast((used, scorer.weights[used].astype(float), scorer.bias))  # used features: 10 bytes a dimension at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = dict(zip(used.tolist(), packed.astype(float).tolist(), strict=True))
-        cache: dict[str, tuple[int, ...]] = {}
-
-        def telling_places(word: str) -> tuple[int, ...]:
-            own = tuple(p for p in places(word) if p in weights)
-            if len(cache) < CACHE_WORDS and len(word) <= 64:
-                cache[word] = own
-            return own
-
-        def total(held: set[int]) -> np.ndarray:
-            return np.sum([weights[p] for p in held], 0) if held else np.zeros(len(TASKS))
-
+        used, weights, bias = handed.value
+        words, own_bins = WordPlaces(used), WordPlaces(used)
         for batch in common.text_slices(batches):
-            results = []
-            for text in batch.column("text").to_pylist():
-                f, letters = figures(text or "")
-                held: set[int] = set()
-                for w in letters:
-                    if own := telling_places(w) if (known := cache.get(w)) is None else known:
-                        held.update(own)
-                binned = np.sum([weights.get(p, [0.0] * len(TASKS)) for b in bins(f) for p in places(b)], 0)
-                results.append(total(held) * word_scale(len(letters)) + binned + scorer.bias)
-            good = 1 / (1 + np.exp(-np.clip(np.array(results).reshape(-1, len(TASKS)), -50, 50)))
+            seen = [figures(t or "") for t in batch.column("text").to_pylist()]
+            scale = np.array([word_scale(len(letters)) for _, letters in seen])
+            total = np.tile(bias, (len(seen), 1)).astype(float)
+            for (text, row), part in ((words.of([letters for _, letters in seen]), scale), (own_bins.of([bins(f) for f, _ in seen]), np.ones(len(seen)))):
+                for task in range(len(TASKS)):
+                    total[:, task] += np.bincount(text, weights=weights[row, task], minlength=len(seen)) * part
+            good = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
             quality, toxicity = good[:, 0], 1 - good[:, 1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(quality), pa.array(toxicity), pa.array((quality >= 0.5) & (toxicity < 0.5))],

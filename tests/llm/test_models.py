@@ -137,6 +137,50 @@ def test_held_out_quality(spark, documents):
     assert sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
+def test_scores_against_brute_force(spark):
+    """Every word's and figure's weight looked up and added one by one."""
+    draw = np.random.default_rng(3)
+    weights = np.where(draw.random((weak_labels.DIMENSIONS, 2)) < 0.2, draw.normal(size=(weak_labels.DIMENSIONS, 2)), 0).astype(np.float32)
+    scorer = weak_labels.Scorer(weights, np.array([0.3, -0.2]))
+    letters = random.Random(2)
+    word = lambda: "".join(letters.choices("abcdeé", k=letters.randrange(1, 9)))
+    texts = [None, "", "12 | #", *(" ".join(word() for _ in range(letters.choice([3, 50, 400]))) for _ in range(30))]
+    found = weak_labels.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scorer).orderBy("doc_id").collect()
+    for text, row in zip(texts, found, strict=True):
+        f, words = weak_labels.figures(text or "")
+        held = {p for w in words for p in weak_labels.places(w)}
+        total = np.array([0.3, -0.2])
+        for p in held:
+            total = total + weights[p].astype(float) * weak_labels.word_scale(len(words))
+        for b in weak_labels.bins(f):
+            total = total + sum(weights[p].astype(float) for p in weak_labels.places(b))
+        quality, clean = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        assert abs(row.quality - quality) < 1e-9 and abs(row.toxicity - (1 - clean)) < 1e-9 and row.kept == (quality >= 0.5 and 1 - clean < 0.5)
+
+
+def test_votes_against_brute_force():
+    """Expectation and maximisation written out document by document."""
+    draw = np.random.default_rng(5)
+    votes = draw.integers(0, 3, (40, 4))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    supposed = [weak_labels.HEURISTIC] * 3 + [weak_labels.ANNOTATOR]
+    share, says = 0.8, [[list(s[c]) for s in supposed] for c in (0, 1)]
+    for _ in range(7):
+        good = []
+        for row in votes:
+            fit = [p * np.prod([says[c][j][v] for j, v in enumerate(row)]) for c, p in ((0, 1 - share), (1, share))]
+            good.append(fit[1] / sum(fit))
+        for c in (0, 1):
+            for j in range(4):
+                said = [sum((g if c else 1 - g) for g, row in zip(good, votes, strict=True) if row[j] == v) for v in range(3)]
+                cast = sum(row[3] != 2 for row in votes)
+                pull, whole = (10, sum(said)) if j < 3 else (10 + 0.2 * cast, said[0] + said[1])
+                says[c][j] = [min(1.0, max(1e-4, (said[v] + supposed[j][c][v] * pull) / (whole + pull))) for v in (0, 1)] + [1.0]
+        share = min(0.98, max(0.02, sum(good) / 40))
+    model = weak_labels.fit_votes(patterns, counts.astype(float), rounds=7)
+    assert abs(model.good - share) < 1e-9 and np.allclose(model.says, says, atol=1e-9)
+
+
 def test_weak_labels_of_odd_documents(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     _, scorer = weak_labels.train(odd_docs, labels)
@@ -191,6 +235,33 @@ def test_field_generalises():
     assert base == [] and [(k, text[s:e]) for k, s, e in every] == [("id", "123-45-6789"), ("secret", "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567")]
 
 
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ("the password = tangerine for it", ["tangerine"]),
+        ("password=Bluebird", ["Bluebird"]),
+        ('secret = "abcdefghijklmnop" and so on', ["abcdefghijklmnop"]),
+        ("Passwd: moonlight.", ["moonlight"]),
+        ("ssn 123 45 6789 on file", ["123 45 6789"]),
+        ("password: please enter", []),
+        ("the secret: never tell", []),
+        ("token = null", []),
+        ("a secret of the town, a token of thanks and a key to it", []),
+        ("token passing: a method; keyword: a word", []),
+        ("password =", []),
+    ],
+)
+def test_words_that_a_key_word_is_set_to(text, secrets):
+    ((_, every),) = pii_crf.all_spans([text], pii_crf.train())
+    assert [text[s:e] for _, s, e in every] == secrets
+
+
+def test_long_texts_are_searched_whole():
+    text = "word " * 500_000 + "password = tangerine and a.b@c.de " + "x" * 2_000_000 + " 1.2.3.4"
+    ((_, every),) = pii_crf.all_spans([text], pii_crf.train())
+    assert [text[s:e] for _, s, e in every] == ["a.b@c.de", "1.2.3.4", "tangerine"]
+
+
 def test_pii_of_odd_documents(odd_docs, no_docs):
     found = {r.doc_id: r for r in pii_crf.digest(pii_crf.find_pii(odd_docs)).collect()}
     assert len(found) == 11 and found[1].spans == "" and found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
