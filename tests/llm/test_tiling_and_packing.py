@@ -216,6 +216,18 @@ def test_pipeline(spark, small_dir):
     check_packing(packed, {r.doc_id: [*whole.encode(r.text or "", add_special_tokens=False).ids, 2] for r in tables[4].collect()})
 
 
+def test_rows_with_missing_and_shared_ids_are_told_apart(spark, small_dir):
+    item = common.table(spark, small_dir, "benchmark").where("length(text) > 200").orderBy("item_id").first()["text"]
+    plain = [f"the {w} of the {v} was as {u} as the rest of it on that day in town" for w, v, u in zip("abcdefg", "hijklmn", "opqrstu", strict=True)]
+    rows = [(None, item), (None, plain[0] * 3), (1, item), (1, plain[1] * 3), (2, plain[2] * 3), (2, plain[2] * 3), (None, plain[0] * 3), (3, plain[0] * 3), (4, plain[3] * 3)]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1]), 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    left = corpus_pipeline.decontamination(spark, common.written(docs, "test"), small_dir)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(k), t) for k, t in rows if t != item)
+    single = corpus_pipeline.near_duplicates(spark, common.written(left, "test"), small_dir).collect()
+    assert sorted(r.text for r in single) == sorted({t for _, t in rows if t != item})
+
+
 def test_pipeline_of_odd_documents(spark, odd_docs, no_docs, small_dir):
     for start in (odd_docs, no_docs):
         docs = start
