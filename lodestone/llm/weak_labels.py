@@ -5,7 +5,7 @@ the documents that they have seen. Expectation-maximisation estimates, for each
 each labeller is right on good and on bad documents, without knowing which is which; only the
 counts of vote patterns are needed, of which there are at most ``3 ** labellers``. The posterior of
 each pattern then labels bounded samples (for each task ``TRAIN_DOCS`` of the documents with a vote on
-it, by a hash of the id) on which a linear scorer over hashed words, word beginnings and binned
+it, by a hash of the id, for quality the annotated ones first) on which a linear scorer over hashed words, word beginnings and binned
 figures is fitted. Every document is scored; it is kept if it is likely good and unlikely toxic.
 
 Null and empty texts have no words: quality is theirs by the labellers' view of short texts, and
@@ -308,11 +308,14 @@ def train(docs: DataFrame, annotations: DataFrame, train_docs: int = TRAIN_DOCS)
     for task, short in zip(TASKS, "qt", strict=True):
         lookup = [(k, p, known[task, k]) for (t, k), p in posteriors.items() if t == task]
         frame = frame.join(F.broadcast(spark.createDataFrame(lookup, f"{task} int, {short} double, {short}_known boolean")), task)
+    # For quality nearly every document has some vote: those that annotators saw come first, others fill up.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
-    sizes = frame.agg(*[F.count_if(f"{short}_known").alias(short) for short in "qt"]).first()
-    for short in "qt":
-        share = min(1.0, train_docs / max(1, sizes[short]))
-        frame = frame.withColumn(f"{short}_known", F.col(f"{short}_known") & (draw < share * (1 << 20)))
+    seen = F.floor(F.col("quality") / 3 ** len(LABELLERS["quality"])) != NONE
+    tiers = {"q": F.col("q_known") & seen, "q_rest": F.col("q_known") & ~seen, "t": F.col("t_known")}
+    sizes = frame.agg(*[F.count_if(c).alias(n) for n, c in tiers.items()]).first()
+    wanted = {"q": train_docs, "q_rest": max(0, train_docs - sizes["q"]), "t": train_docs}
+    chosen = {n: c & (draw < min(1.0, wanted[n] / max(1, sizes[n])) * (1 << 20)) for n, c in tiers.items()}
+    frame = frame.withColumns({"q_known": chosen["q"] | chosen["q_rest"], "t_known": chosen["t"]})
     drawn = frame.where("(q_known OR t_known) AND doc_id IS NOT NULL")
     sample = drawn.groupBy("doc_id").agg(F.min(F.struct(*TASKS, "q", "t", "q_known", "t_known")).alias("s"))
     return models, fit_scorer(*_sampled(docs, sample.select("doc_id", "s.q", "s.t", "s.q_known", "s.t_known")))
