@@ -15,10 +15,12 @@ That holds for a radius of a few bits, as ``op1`` has it. Texts whose sets of fi
 have a Jaccard similarity of 0.8 differ by some ten bits with a deviation of three, so no radius that
 still tells texts apart reaches all of them. Where a similarity is asked for, which is the default,
 candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAND_ROWS``: of pairs at
-0.8, 3 in a million share no cell), and every pair is decided by the exact Jaccard similarity of its
-sets. A cell's members are first held against one of them, its leader, and only where that leaves
-several components against each other; while the pairs would be many, further leaders come first.
-Every pair of a cell is decided or already joined, whatever the cell's size.
+0.8, 3 in a million share no cell). Pairs fall to the Hamming distance of the sets' fingerprints
+(``MOST_BITS``, five deviations beyond that of pairs at 0.8) and to their sizes, and what is left is
+decided by the exact Jaccard similarity. No cell is paired up: every text is first held against one
+leader, the least of its cells; texts outside their cell's largest component then against one of its
+members, another one each of ``ROUNDS`` times; and only those still outside it against all of the cell.
+So every pair of a cell is decided or joined otherwise, whatever the cell's size.
 
 Null texts and texts without words have fingerprint zero, linked like any other; as sets they equal
 each other alone. Copies share a fingerprint, and texts of equal sets a set's digest, and are joined
@@ -37,7 +39,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -52,11 +54,10 @@ PAIRS_AT_ONCE = 1 << 21
 _PAIRS = tuple(combinations(range(BLOCKS), 2))
 #: The general rule for near-duplicates, where ``op1`` has SHINGLE and RADIUS.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 32, 5
+BANDS, BAND_ROWS = 24, 4
+MOST_BITS, ROUNDS = 26, 3
 #: Set members whose MinHash values are computed at once.
 MEMBERS_AT_ONCE = 1 << 11
-#: Pairs that are decided at once, without further leaders: so many for each member of a cell, and so many in all.
-PAIRS_A_MEMBER, FEW_PAIRS = 8, 1 << 20
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -279,25 +280,26 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """Columns (doc_id, fp, node, size, cells): fingerprint, digest and size of the set of shingles, and its cells."""
+    """Columns (doc_id, fp, node, mark, size, cells): fingerprint of the text; digest, fingerprint, size and cells of its set of shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches):
-            prints, nodes, sizes, cells = [], [], [], []
+            prints, nodes, marks, sizes, cells = [], [], [], [], []
             for raw in common.utf8(batch.column("text")):
                 hashes = shingle_hashes(raw, shingle)
                 members = np.unique(hashes)
                 prints.append(majority(hashes))
                 nodes.append(set_digest(members))
+                marks.append(majority(members))
                 sizes.append(len(members))
                 cells.append(band_keys(members))
-            whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
+            whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes, marks)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *whole, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "node", "size", "cells"],
+                names=["doc_id", "fp", "node", "mark", "size", "cells"],
             )
 
-    return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long, node long, size long, cells array<long>")
+    return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long, node long, mark long, size long, cells array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -330,44 +332,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(rows, "u long, v long")
 
 
-def _pairs_in_cells(members: DataFrame) -> DataFrame:
-    """All pairs of a cell's members that are in different components."""
-    left = members.select("cell", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("root").alias("u_root"))
-    right = members.select("cell", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
-    return left.join(right, "cell").where("u < v AND u_root <> v_root")
+def _fits(similarity: float, other: str = "lead") -> Column:
+    """Whether a row's set and another one (a struct of node, mark, size) may have the similarity, by their fingerprints and sizes."""
+    sizes = F.least("size", f"{other}.size") >= similarity * F.greatest("size", f"{other}.size") - 1e-9
+    return (F.col("node") != F.col(f"{other}.node")) & (F.bit_count(F.col("mark").bitwiseXOR(F.col(f"{other}.mark"))) <= MOST_BITS) & sizes
 
 
-def _pairs_with_leaders(members: DataFrame) -> DataFrame:
-    """Each member of a cell with the cell's leader, where they are in different components."""
-    lead = members.groupBy("cell").agg(F.min(F.struct("node", "size", "root")).alias("lead"))
-    both = members.join(lead, "cell").where("node <> lead.node AND root <> lead.root")
-    return both.select(F.col("lead.node").alias("u"), F.col("lead.size").alias("u_size"), F.col("node").alias("v"), F.col("size").alias("v_size"))
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs (node, other) as (u, v), the lesser first, each once."""
+    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
 def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Columns (node, root) that join distinct sets (columns node, rep, size, cells) into components of alike sets."""
-    cells = distinct.select("node", "size", F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = common.written(cells.join(shared, "cell").select("cell", "node", "size", F.col("node").alias("root")), "cells")
-    wanted = common.written(distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep"), "wanted")
-    sets = common.written(_sets(docs, wanted, shingle), "sets")
-    links, settled, leading = None, None, True
-    most_pairs = PAIRS_A_MEMBER * members.count() + FEW_PAIRS
-    while not members.isEmpty():
-        pairs = _pairs_with_leaders(members) if leading else _pairs_in_cells(members)
-        fitting = pairs.where(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-9)
-        fresh = _confirmed(common.written(fitting.select("u", "v").distinct(), "pairs"), sets, similarity)
-        links = common.written(fresh if links is None else links.unionByName(fresh), "links")
-        settled = common.written(connected_components(links), "settled")
-        if not leading:
-            break
-        # The leaders are through with their cells: they leave, and so do cells that are one component.
-        lead = members.groupBy("cell").agg(F.min("node").alias("node"))
-        left = members.join(lead, ["cell", "node"], "left_anti").drop("root", "n").join(settled, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        still = left.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-        members = common.written(left.join(still, "cell").select("cell", "node", "size", "root", "n"), "cells")
-        leading = (members.agg(F.sum(F.col("n") - 1)).first()[0] or 0) > 2 * most_pairs
-    return distinct.select("node").limit(0).withColumn("root", F.col("node")) if settled is None else settled
+    """Columns (node, root) that join distinct sets (columns node, rep, mark, size, cells) into components of alike sets."""
+    own = distinct.select("node", "mark", "size", F.explode("cells").alias("cell"))
+    row = F.struct("node", "mark", "size")
+    # Joins with what few cells have are outer ones of all rows: a crowded cell is then dealt out anew.
+    leads = common.written(own.groupBy("cell").agg(F.count("*").alias("n"), F.min(row).alias("lead")).where("n > 1").drop("n"), "leads")
+    met = common.written(own.join(leads, "cell", "left").where("lead IS NOT NULL").select("node", "mark", "size", "lead"), "met")
+    wanted = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "rep")
+    sets = common.written(_sets(docs, common.written(wanted, "wanted"), shingle), "sets")
+    first = met.where(_fits(similarity)).groupBy("node").agg(F.min("lead.node").alias("other"))
+    links = common.written(_confirmed(common.written(_in_order(first), "pairs"), sets, similarity), "links")
+    settled = common.written(connected_components(links), "settled")
+
+    # Cells that still hold several components, and the largest one of each.
+    rooted = distinct.join(settled, "node", "left").select("node", "mark", "size", F.coalesce("root", "node").alias("root"), F.explode("cells").alias("cell"))
+    counts = rooted.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most"))
+    tops = common.written(counts.where("k > 1").select("cell", F.col("most.root").alias("top")), "tops")
+    members = common.written(rooted.join(tops, "cell", "left").where("top IS NOT NULL"), "members")
+    outside = common.written(members.where("root <> top").withColumns({"now": F.col("root"), "top_now": F.col("top")}), "outside")
+    for turn in range(1, ROUNDS + 1):
+        if outside.isEmpty():
+            return settled
+        leaders = members.where("root = top").groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "mark", "size")).alias("lead"))
+        near = F.bit_count(F.col("mark").bitwiseXOR(F.col("lead.mark")))
+        asked = outside.join(leaders, "cell").where(_fits(similarity)).groupBy("node").agg(F.min(F.struct(near.alias("bits"), F.col("lead.node").alias("other"))).alias("best"))
+        fresh = _confirmed(common.written(_in_order(asked.select("node", "best.other")), "pairs"), sets, similarity)
+        links, settled, outside = _joined(links, fresh, outside)
+    every = members.select("cell", F.col("root").alias("g_root"), row.alias("lead"))
+    asked = outside.join(every, "cell").where((F.col("root") != F.col("g_root")) & _fits(similarity)).select("node", F.col("lead.node").alias("other"))
+    fresh = _confirmed(common.written(_in_order(asked), "pairs"), sets, similarity)
+    return common.written(connected_components(links.unionByName(fresh)), "settled")
+
+
+def _joined(links: DataFrame, fresh: DataFrame, outside: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links, the components that they make, and the rows that are still outside the largest one of their cell."""
+    links = common.written(links.unionByName(fresh), "links")
+    settled = common.written(connected_components(links), "settled")
+    of = lambda column: settled.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    moved = outside.join(of("now"), "now", "left").join(of("top_now"), "top_now", "left")
+    moved = moved.withColumns({"now": F.coalesce("now_root", "now"), "top_now": F.coalesce("top_now_root", "top_now")}).select(outside.columns)
+    return links, settled, common.written(moved.where("now <> top_now"), "outside")
 
 
 def near_duplicates(
@@ -382,7 +398,8 @@ def near_duplicates(
         raise ValueError(f"cells are made for a radius of {RADIUS} bits, or a similarity of {SIMILARITY} or more")
     if radius is None:
         prints = common.written(sketches(docs, shingle), "sketches")
-        distinct = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("cells").alias("cells"))
+        distinct = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("mark", "size", "cells")])
+        distinct = common.written(distinct, "distinct")
         settled = similar_components(docs, distinct, shingle, similarity)
     else:
         prints = common.written(fingerprints(docs, shingle), "fingerprints").withColumn("node", F.col("fp"))

@@ -133,10 +133,9 @@ def edited_copies(seed, families, copies):
     return texts
 
 
-@pytest.mark.parametrize("most_pairs", [1000, 0])
-def test_similar_texts(spark, monkeypatch, most_pairs):
-    monkeypatch.setattr(simhash_pivot, "PAIRS_A_MEMBER", 0)
-    monkeypatch.setattr(simhash_pivot, "FEW_PAIRS", most_pairs)
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_similar_texts(spark, monkeypatch, rounds):
+    monkeypatch.setattr(simhash_pivot, "ROUNDS", rounds)
     texts = edited_copies(7, 5, 6) | {1000: "a b c", 1001: "A  b c", 1002: "a b d", 1003: None, 1004: " "}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash_pivot.near_duplicates(docs).collect()}
@@ -144,6 +143,25 @@ def test_similar_texts(spark, monkeypatch, most_pairs):
     assert 5 < len(set(found.values())) < len(texts)
 
 
+def test_a_large_family_that_drifts(spark):
+    """Every copy is edited from the one before, so most are no near copies of their cells' leaders."""
+    texts = edited_copies(3, 2, 40) | {k + 500: t for k, t in edited_copies(4, 10, 1).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash_pivot.near_duplicates(docs).collect()} == brute_groups(texts)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 30, 300])
+def test_pairs_at_the_limit_pass_the_filter(size):
+    """Fingerprints of sets with a similarity of 0.8 differ by far fewer bits than the filter asks for."""
+    draw = np.random.default_rng(size)
+    apart = []
+    for _ in range(300):
+        a = np.unique(draw.integers(0, 1 << 63, 9 * size).astype(np.uint64))
+        b = np.append(a[size:], draw.integers(0, 1 << 63, size).astype(np.uint64))
+        apart.append((simhash_pivot.majority(a) ^ simhash_pivot.majority(b)).bit_count())
+    assert max(apart) <= simhash_pivot.MOST_BITS
+
+
 def test_stage_removes_edited_copies(spark, small_dir):
     texts = edited_copies(11, 20, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
