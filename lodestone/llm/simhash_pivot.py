@@ -15,12 +15,13 @@ That holds for a radius of a few bits, as ``op1`` has it. Texts whose sets of fi
 have a Jaccard similarity of 0.8 differ by some ten bits with a deviation of three, so no radius that
 still tells texts apart reaches all of them. Where a similarity is asked for, which is the default,
 candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAND_ROWS``: of pairs at
-0.8, 3 in a million share no cell). Pairs fall to the Hamming distance of the sets' fingerprints
-(``MOST_BITS``, five deviations beyond that of pairs at 0.8) and to their sizes, and what is left is
-decided by the exact Jaccard similarity. No cell is paired up: every text is first held against one
-leader, the least of its cells; texts outside their cell's largest component then against one of its
-members, another one each of ``ROUNDS`` times; and only those still outside it against all of the cell.
-So every pair of a cell is decided or joined otherwise, whatever the cell's size.
+0.8, 3 in a million share no cell). No cell is paired up: every text is first held against leaders,
+the least ones of its cells, if fingerprints and sizes allow (``MOST_BITS``). A text that is then in
+another component than some leader of its cells is held against all of that component, and against
+the others that are left over beside it; so every pair of a cell is decided or joined otherwise,
+whatever the cell's size. There pairs fall to a table of ``MARKS`` marks, the buckets that a set's
+members are in: what two sets have in common is no more than the marks that they share, and the
+members beyond one a mark. What is left is decided by the exact Jaccard similarity.
 
 Null texts and texts without words have fingerprint zero, linked like any other; as sets they equal
 each other alone. Copies share a fingerprint, and texts of equal sets a set's digest, and are joined
@@ -55,7 +56,10 @@ _PAIRS = tuple(combinations(range(BLOCKS), 2))
 #: The general rule for near-duplicates, where ``op1`` has SHINGLE and RADIUS.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
-MOST_BITS, ROUNDS = 26, 3
+MOST_BITS = 26
+#: Marks of a set, in columns of 64.
+MARKS = 1024
+_COLUMNS = tuple(f"m{i}" for i in range(MARKS // 64))
 #: Set members whose MinHash values are computed at once.
 MEMBERS_AT_ONCE = 1 << 11
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
@@ -302,20 +306,29 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long, node long, mark long, size long, cells array<long>")
 
 
+def marks_of(members: np.ndarray) -> np.ndarray:
+    """The buckets that a set's members are in, as bits of ``MARKS // 64`` numbers."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(members >> np.uint64(20)).astype(np.int64) % MARKS] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Columns (node, members) for the wanted nodes (columns node, rep); members are the bytes of the sorted set."""
+    """Columns (node, members, m0...) for the wanted nodes (columns node, rep): the bytes of the sorted set, and its marks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches):
             sets = [np.unique(shingle_hashes(raw, shingle)) for raw in common.utf8(batch.column("text"))]
             own = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
             take = np.flatnonzero(own == batch.column("wanted").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary())], names=["node", "members"])
+            marks = np.array([marks_of(sets[i]) for i in take], np.int64).reshape(-1, len(_COLUMNS))
+            columns = [pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary()), *(pa.array(marks[:, i]) for i in range(len(_COLUMNS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", *_COLUMNS])
 
     texts = common.only(docs, "doc_id", "text")
     wanted = wanted.select("rep", F.col("node").alias("wanted"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
-    return found.mapInArrow(rows, "node long, members binary").dropDuplicates(["node"])
+    return found.mapInArrow(rows, "node long, members binary, " + ", ".join(f"{m} long" for m in _COLUMNS)).dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -333,7 +346,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def _fits(similarity: float, other: str = "lead") -> Column:
-    """Whether a row's set and another one (a struct of node, mark, size) may have the similarity, by their fingerprints and sizes."""
+    """Whether a row's set and another one (a struct of node, mark, size) are likely to have the similarity, by their fingerprints and sizes."""
     sizes = F.least("size", f"{other}.size") >= similarity * F.greatest("size", f"{other}.size") - 1e-9
     return (F.col("node") != F.col(f"{other}.node")) & (F.bit_count(F.col("mark").bitwiseXOR(F.col(f"{other}.mark"))) <= MOST_BITS) & sizes
 
@@ -343,49 +356,48 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
+def _may_be_alike(similarity: float) -> Column:
+    """Whether two sets (columns size, spare, m0... of each, the second's with a 2) may have the similarity, by their marks."""
+    both = reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"{m}_2"))) for m in _COLUMNS])
+    most = both + F.least("spare", "spare_2")
+    return (F.least("size", "size_2") >= similarity * F.greatest("size", "size_2") - 1e-9) & (most >= similarity * (F.col("size") + F.col("size_2") - most) - 1e-9)
+
+
 def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Columns (node, root) that join distinct sets (columns node, rep, mark, size, cells) into components of alike sets."""
     own = distinct.select("node", "mark", "size", F.explode("cells").alias("cell"))
-    row = F.struct("node", "mark", "size")
-    # Joins with what few cells have are outer ones of all rows: a crowded cell is then dealt out anew.
-    leads = common.written(own.groupBy("cell").agg(F.count("*").alias("n"), F.min(row).alias("lead")).where("n > 1").drop("n"), "leads")
-    met = common.written(own.join(leads, "cell", "left").where("lead IS NOT NULL").select("node", "mark", "size", "lead"), "met")
-    wanted = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "rep")
+    leads = own.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("node", "mark", "size")).alias("lead")).where("n > 1").drop("n")
+    # Written, and joined to all rows, so that a crowded cell is dealt out anew.
+    met = own.join(common.written(leads, "leads"), "cell", "left").where("lead IS NOT NULL")
+    couples = met.groupBy("node", F.col("lead.node").alias("other")).agg(F.max(_fits(similarity)).alias("fits"))
+    couples = common.written(couples, "couples")
+    wanted = distinct.join(couples.select("node").distinct(), "node", "left_semi").select("node", "rep")
     sets = common.written(_sets(docs, common.written(wanted, "wanted"), shingle), "sets")
-    first = met.where(_fits(similarity)).groupBy("node").agg(F.min("lead.node").alias("other"))
-    links = common.written(_confirmed(common.written(_in_order(first), "pairs"), sets, similarity), "links")
+    first = couples.where("fits").groupBy("node").agg(F.array(F.min("other"), F.max("other")).alias("others"))
+    asked = _in_order(first.select("node", F.explode("others").alias("other")))
+    links = common.written(_confirmed(common.written(asked, "pairs"), sets, similarity), "links")
     settled = common.written(connected_components(links), "settled")
 
-    # Cells that still hold several components, and the largest one of each.
-    rooted = distinct.join(settled, "node", "left").select("node", "mark", "size", F.coalesce("root", "node").alias("root"), F.explode("cells").alias("cell"))
-    counts = rooted.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most"))
-    tops = common.written(counts.where("k > 1").select("cell", F.col("most.root").alias("top")), "tops")
-    members = common.written(rooted.join(tops, "cell", "left").where("top IS NOT NULL"), "members")
-    outside = common.written(members.where("root <> top").withColumns({"now": F.col("root"), "top_now": F.col("top")}), "outside")
-    for turn in range(1, ROUNDS + 1):
-        if outside.isEmpty():
-            return settled
-        leaders = members.where("root = top").groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "mark", "size")).alias("lead"))
-        near = F.bit_count(F.col("mark").bitwiseXOR(F.col("lead.mark")))
-        asked = outside.join(leaders, "cell").where(_fits(similarity)).groupBy("node").agg(F.min(F.struct(near.alias("bits"), F.col("lead.node").alias("other"))).alias("best"))
-        fresh = _confirmed(common.written(_in_order(asked.select("node", "best.other")), "pairs"), sets, similarity)
-        links, settled, outside = _joined(links, fresh, outside)
-    every = members.select("cell", F.col("root").alias("g_root"), row.alias("lead"))
-    asked = outside.join(every, "cell").where((F.col("root") != F.col("g_root")) & _fits(similarity)).select("node", F.col("lead.node").alias("other"))
-    fresh = _confirmed(common.written(_in_order(asked), "pairs"), sets, similarity)
+    # Who is in another component than a leader of its cells, and whom to hold it against.
+    root_of = lambda column, name: settled.select(F.col("node").alias(column), F.col("root").alias(name))
+    placed = couples.where("node <> other").select("node", "other").join(root_of("node", "root"), "node", "left").join(root_of("other", "home"), "other", "left")
+    placed = placed.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("home", "other").alias("home"))
+    strays = common.written(placed.where("root <> home").distinct(), "strays")
+    if strays.isEmpty():
+        return settled
+    # A set of eight bytes a member; what its members have beyond one a mark can be shared unseen.
+    marked = sum((F.bit_count(m) for m in _COLUMNS), F.lit(0))
+    size = F.octet_length("members") / 8
+    table = common.written(sets.select("node", size.cast("long").alias("size"), (size - marked).cast("long").alias("spare"), *_COLUMNS).join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "marks")
+    asking = common.written(strays.select("node", "home").join(table, "node"), "asking")
+    held = table.withColumn("home", F.col("root")).select(asking.columns).unionByName(asking)
+    names = {"node": "other", "root": "root_2", "size": "size_2", "spare": "spare_2", **{m: f"{m}_2" for m in _COLUMNS}}
+    against = common.written(held.withColumnsRenamed(names), "held")
+    pairs = asking.join(against, "home").where((F.col("root") != F.col("root_2")) & _may_be_alike(similarity)).select("node", "other")
+    fresh = _confirmed(common.written(_in_order(pairs), "pairs"), sets, similarity)
     return common.written(connected_components(links.unionByName(fresh)), "settled")
 
 
-def _joined(links: DataFrame, fresh: DataFrame, outside: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All links, the components that they make, and the rows that are still outside the largest one of their cell."""
-    links = common.written(links.unionByName(fresh), "links")
-    settled = common.written(connected_components(links), "settled")
-    of = lambda column: settled.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-    moved = outside.join(of("now"), "now", "left").join(of("top_now"), "top_now", "left")
-    moved = moved.withColumns({"now": F.coalesce("now_root", "now"), "top_now": F.coalesce("top_now_root", "top_now")}).select(outside.columns)
-    return links, settled, common.written(moved.where("now <> top_now"), "outside")
-
-
 def near_duplicates(
     docs: DataFrame, most_in_cell: int = MOST_IN_CELL, shingle: int = WIDE_SHINGLE, radius: int | None = None, similarity: float = SIMILARITY
 ) -> DataFrame:

@@ -133,9 +133,10 @@ def edited_copies(seed, families, copies):
     return texts
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
-def test_similar_texts(spark, monkeypatch, rounds):
-    monkeypatch.setattr(simhash_pivot, "ROUNDS", rounds)
+@pytest.mark.parametrize("most_bits", [26, 0])
+def test_similar_texts(spark, monkeypatch, most_bits):
+    """With no bits hardly a leader is asked, and the marks have to find every pair."""
+    monkeypatch.setattr(simhash_pivot, "MOST_BITS", most_bits)
     texts = edited_copies(7, 5, 6) | {1000: "a b c", 1001: "A  b c", 1002: "a b d", 1003: None, 1004: " "}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash_pivot.near_duplicates(docs).collect()}
@@ -162,6 +163,17 @@ def test_pairs_at_the_limit_pass_the_filter(size):
     assert max(apart) <= simhash_pivot.MOST_BITS
 
 
+@pytest.mark.parametrize("size", [1, 3, 40, 900, 3000])
+def test_marks_bound_what_sets_share(size):
+    draw = np.random.default_rng(size)
+    pool = draw.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+    for _ in range(20):
+        a, b = (np.unique(draw.choice(pool, size)) for _ in range(2))
+        own, other = (simhash_pivot.marks_of(x).view(np.uint64) for x in (a, b))
+        spare = min(len(x) - int(np.bitwise_count(m).sum()) for x, m in ((a, own), (b, other)))
+        assert len(np.intersect1d(a, b)) <= int(np.bitwise_count(own & other).sum()) + spare
+
+
 def test_stage_removes_edited_copies(spark, small_dir):
     texts = edited_copies(11, 20, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
