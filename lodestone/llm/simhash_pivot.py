@@ -15,8 +15,8 @@ That holds for a radius of a few bits, as ``op1`` has it. Texts whose sets of fi
 have a Jaccard similarity of 0.8 differ by some ten bits with a deviation of three, so no radius that
 still tells texts apart reaches all of them. Where a similarity is asked for, which is the default,
 candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAND_ROWS``: of pairs at
-0.8, 3 in a million share no cell). No cell is paired up: every text is first held against leaders,
-the least ones of its cells, if fingerprints and sizes allow (``MOST_BITS``). A text that is then in
+0.8, 3 in a million share no cell). No cell is paired up: every text is first held against a leader,
+the least one of its cells that fingerprints and sizes allow (``MOST_BITS``). A text that is then in
 another component than some leader of its cells is held against all of that component, and against
 the others that are left over beside it; so every pair of a cell is decided or joined otherwise,
 whatever the cell's size. There pairs fall to a table of ``MARKS`` marks, the buckets that a set's
@@ -314,21 +314,26 @@ def marks_of(members: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Columns (node, members, m0...) for the wanted nodes (columns node, rep): the bytes of the sorted set, and its marks."""
+    """Columns (node, members, m0...) for the wanted nodes (columns node, rep): the bytes of the sorted set, and its marks.
+
+    Here and where sets meet their pairs the join is a merge at any size, whose cost is in proportion.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows of one id meet in one task
         for batch in common.text_slices(batches):
             sets = [np.unique(shingle_hashes(raw, shingle)) for raw in common.utf8(batch.column("text"))]
             own = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
-            take = np.flatnonzero(own == batch.column("wanted").to_numpy(zero_copy_only=False))
+            right = np.flatnonzero(own == batch.column("wanted").to_numpy(zero_copy_only=False))
+            take = np.array([i for i in right.tolist() if not (own[i] in done or done.add(own[i]))], np.int64)
             marks = np.array([marks_of(sets[i]) for i in take], np.int64).reshape(-1, len(_COLUMNS))
             columns = [pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary()), *(pa.array(marks[:, i]) for i in range(len(_COLUMNS)))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "members", *_COLUMNS])
 
     texts = common.only(docs, "doc_id", "text")
     wanted = wanted.select("rep", F.col("node").alias("wanted"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
-    return found.mapInArrow(rows, "node long, members binary, " + ", ".join(f"{m} long" for m in _COLUMNS)).dropDuplicates(["node"])
+    found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
+    return found.mapInArrow(rows, "node long, members binary, " + ", ".join(f"{m} long" for m in _COLUMNS))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -342,7 +347,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
     first = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     second = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(rows, "u long, v long")
+    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(rows, "u long, v long")
 
 
 def _fits(similarity: float, other: str = "lead") -> Column:
@@ -373,8 +378,7 @@ def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, simil
     couples = common.written(couples, "couples")
     wanted = distinct.join(couples.select("node").distinct(), "node", "left_semi").select("node", "rep")
     sets = common.written(_sets(docs, common.written(wanted, "wanted"), shingle), "sets")
-    first = couples.where("fits").groupBy("node").agg(F.array(F.min("other"), F.max("other")).alias("others"))
-    asked = _in_order(first.select("node", F.explode("others").alias("other")))
+    asked = _in_order(couples.where("fits").groupBy("node").agg(F.min("other").alias("other")))
     links = common.written(_confirmed(common.written(asked, "pairs"), sets, similarity), "links")
     settled = common.written(connected_components(links), "settled")
 
@@ -395,7 +399,13 @@ def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, simil
     against = common.written(held.withColumnsRenamed(names), "held")
     pairs = asking.join(against, "home").where((F.col("root") != F.col("root_2")) & _may_be_alike(similarity)).select("node", "other")
     fresh = _confirmed(common.written(_in_order(pairs), "pairs"), sets, similarity)
-    return common.written(connected_components(links.unionByName(fresh)), "settled")
+    # Components are joined by their roots, one link for each two of them however many pairs there are.
+    roots = table.select("node", "root").distinct()
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = fresh.join(of("u"), "u").join(of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct()
+    joined = connected_components(common.written(between, "between")).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    whole = roots.join(joined, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return common.written(whole.where("node <> root"), "settled")
 
 
 def near_duplicates(
