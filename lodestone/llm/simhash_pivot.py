@@ -18,7 +18,7 @@ candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAN
 0.8, 3 in a million share no cell). No cell is paired up: every text is first held against a leader,
 the least one of its cells that fingerprints and sizes allow (``MOST_BITS``). A text that is then in
 another component than some leader of its cells is held against all of that component, and against
-the others that are left over beside it, the one most alike first; so every pair of a cell is decided
+the others that are left over beside it, the ones most alike first; so every pair of a cell is decided
 or joined otherwise, whatever the cell's size. There pairs fall to a table of ``MARKS`` marks, the buckets that a set's
 members are in: what two sets have in common is no more than the marks that they share, and the
 members beyond one a mark. What is left is decided by the exact Jaccard similarity.
@@ -399,13 +399,13 @@ def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, simil
     against = common.written(held.withColumnsRenamed(names), "held")
     roots = table.select("node", "root").distinct()
     shared = reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"{m}_2"))) for m in _COLUMNS])
-    for best_only in (True, False):  # the one most alike of each component first: what it joins needs no other
+    for best_only in (True, True, False):  # the one most alike first: a text that it joins to a component needs no other there
         now = roots.select("node", F.col("root").alias("now"))
         own = asking.join(now, "node").withColumn("root", F.col("now")).drop("now")
         others = against.join(now.withColumnRenamed("node", "other"), "other").withColumn("root_2", F.col("now")).drop("now")
         met = common.written(own, "own").join(common.written(others, "others"), "home").where((F.col("root") != F.col("root_2")) & _may_be_alike(similarity))
         if best_only:
-            met = met.groupBy("node", "root_2").agg(F.max(F.struct(shared.alias("shared"), "other")).alias("best")).select("node", "best.other")
+            met = met.groupBy("node").agg(F.max(F.struct(shared.alias("shared"), "other")).alias("best")).select("node", "best.other")
         fresh = _confirmed(common.written(_in_order(met.select("node", "other")), "pairs"), sets, similarity)
         roots = _joined_roots(fresh, roots)
     return roots.where("node <> root")
