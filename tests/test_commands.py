@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.plans import catalog, commands
+from lodestone.plans import commands
 
 
 @pytest.fixture(scope="module")
@@ -33,30 +33,3 @@ def test_commands_run(source):
 def test_commands_are_checked(source, name, given):
     with pytest.raises(commands.CommandError):
         commands.run(source, name, **given)
-
-
-@pytest.fixture(scope="module")
-def found(spark, small_dir):
-    return lambda name, *columns: sorted(tuple(r[c] for c in columns) for r in catalog.queries()[name](spark, small_dir).collect())
-
-
-def test_source_queries(found):
-    assert found("python_select", "qualname", "start_line") == [("Cart.__init__", 11), ("Cart.rounded", 21), ("Cart.total", 14)]
-    assert found("complexity_report", "qualname", "complexity") == [("Cart.total", 5), ("of", 2), ("of_many", 2), ("rate", 3)]
-    assert found("stub_functions", "qualname", "stub") == [("Base.total", "ellipsis"), ("later", "not_implemented"), ("refresh", "pass")]
-    assert found("empty_methods", "qualname") == [("Base.total",)]
-    assert found("late_imports", "doc", "names") == [("shop/tax.py", "late"), ("shop/tax.py", "shop.cart")]
-    assert found("structural_duplicates", "doc", "names") == [("shop/price.py", "of,of_many")]
-    assert ("shop/price.py", "file", "") in found("missing_docstrings", "doc", "kind", "qualname")
-    assert {n for n, _ in found("docstring_chunks", "qualname", "binding_level")} == {"", "Base", "Cart.rounded", "of_many"}
-
-
-def test_import_cycle(found):
-    assert found("import_cycles", "node", "component", "in_cycle") == [("shop/cart.py", "shop/cart.py", True), ("shop/price.py", "shop/cart.py", True), ("shop/tax.py", "shop/cart.py", True)]
-
-
-def test_cross_reference(found):
-    rows = found("build_cross_reference", "file", "name", "caller", "callee")
-    assert ("shop/cart.py", "rounded", "shop/cart.py::Cart.total", "shop/cart.py::Cart.rounded") in rows
-    assert ("shop/tax.py", "Cart", "shop/tax.py::rate", "shop/cart.py::Cart") in rows
-    assert ("shop/price.py", "rate", "shop/price.py::of", "shop/tax.py::rate") in rows
