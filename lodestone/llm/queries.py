@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, mixture_packing, periodic_runs, pii_crf, simhash_pivot, string_tiling, suffix_columns, trie_counts, url_digest, weak_labels
+from lodestone.llm import common, language_mixture, maxscore, mixture_packing, periodic_runs, pii_crf, simhash_pivot, string_tiling, suffix_columns, trie_counts, url_digest, weak_labels
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -62,6 +62,11 @@ def op12_periodic_runs(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.find_runs(woven))
 
 
+def op13_maxscore(spark, sf_dir):
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", maxscore.weights(F.col("embedding")).alias("weights"))
+    return maxscore.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_simhash_pivot": op1_simhash_pivot,
     "op2_suffix_columns": op2_suffix_columns,
@@ -74,5 +79,6 @@ QUERIES = {
     "op9_trie_counts": op9_trie_counts,
     "op10_pii_crf": op10_pii_crf,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_maxscore": op13_maxscore,
 }
-ORACLES = {"op4_url_digest": url_digest.oracle()}
+ORACLES = {"op4_url_digest": url_digest.oracle(), "op13_maxscore": maxscore.oracle()}
