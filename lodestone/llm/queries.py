@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, language_mixture, maxscore, mixture_packing, periodic_runs, pii_crf, simhash_pivot, string_tiling, suffix_columns, trie_counts, url_digest, weak_labels
+from lodestone.llm import common, language_mixture, maxscore, mixture_packing, periodic_runs, pii_crf, simhash_pivot, string_tiling, suffix_columns, trie_counts, url_digest, weak_labels, window_panes
 from lodestone.llm.compression_bands import compression_bands
 
 
@@ -56,6 +56,10 @@ def op10_pii_crf(spark, sf_dir):
     return pii_crf.digest(pii_crf.find_pii(common.table(spark, sf_dir, "documents")))
 
 
+def op11_window_panes(spark, sf_dir):
+    return window_panes.revisions(common.table(spark, sf_dir, "clicks"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     woven = docs.select("doc_id", periodic_runs.woven(F.col("text"), F.col("doc_id")).alias("text"))
@@ -78,7 +82,8 @@ QUERIES = {
     "op8_mixture_packing": op8_mixture_packing,
     "op9_trie_counts": op9_trie_counts,
     "op10_pii_crf": op10_pii_crf,
+    "op11_window_panes": op11_window_panes,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_maxscore": op13_maxscore,
 }
-ORACLES = {"op4_url_digest": url_digest.oracle(), "op13_maxscore": maxscore.oracle()}
+ORACLES = {"op4_url_digest": url_digest.oracle(), "op11_window_panes": window_panes.oracle(), "op13_maxscore": maxscore.oracle()}
