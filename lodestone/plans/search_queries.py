@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import duplicates, relational, search
+from lodestone.operators import duplicates, relational, search, text_index
 from lodestone.plans.catalog import register
 from lodestone.sources import files, tables
 from lodestone.sources.lineage import scratch
@@ -22,16 +22,67 @@ _COSINE = f"""(SELECT vec_id, 1 - list_dot_product(e, {_VECTOR_SQL}) / (sqrt(lis
     FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
 
 
+#: Indexes built so far, by application, table and the state of its folder.
+_INDEXES: dict[tuple, text_index.TextIndex] = {}
+
+
+def _index(spark, sf_dir):
+    """The stored index of the documents, built with the first search that asks for it."""
+    path = f"{sf_dir}/documents.parquet"
+    known = (spark.sparkContext.applicationId, path, *text_index.folder_state(spark, path))
+    if known not in _INDEXES:
+        index = text_index.TextIndex(spark, scratch(spark, "words"))
+        index.put(tables.read(spark, sf_dir, "documents"), "doc_id", search.index_text(F.col("text")))
+        _INDEXES[known] = index
+    return _INDEXES[known]
+
+
 def _fulltext(spark, sf_dir):
-    docs = tables.read(spark, sf_dir, "documents")
-    return search.fulltext(docs, "doc_id", search.index_text(F.col("text")), QUERY)
+    return _index(spark, sf_dir).matches(QUERY).withColumnRenamed("key", "doc_id")
 
 
 @register("fulltext_matches", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT})")
 def fulltext_matches(spark, sf_dir):
+    """By reading every text, without an index."""
+    docs = tables.read(spark, sf_dir, "documents")
+    return search.fulltext(docs, "doc_id", search.index_text(F.col("text")), QUERY).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@register("fulltext_indexed", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT})")
+def fulltext_indexed(spark, sf_dir):
     return _fulltext(spark, sf_dir).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+_NEXT = ", ".join(f"min(CASE WHEN starts_with(t, '{t}') THEN place END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n{i}" for i, t in enumerate(_TERMS))
+
+
+@register("fulltext_cover", f"""WITH places AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS t FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+    held AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM places WHERE {" OR ".join(f"starts_with(t, '{t}')" for t in _TERMS)}),
+    ends AS (SELECT doc_id, place, n, CASE WHEN {" AND ".join(f"n{i} IS NOT NULL" for i in range(len(_TERMS)))} THEN greatest({", ".join(f"n{i}" for i in range(len(_TERMS)))}) END AS upto FROM (SELECT doc_id, place, n, {_NEXT} FROM held)),
+    least AS (SELECT *, lead(upto) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM ends)
+    SELECT l.doc_id, count(*) AS covers, round(sum(0.1 / (1 + l.upto - l.place - (h.n - l.n))), 6) AS rank FROM least l JOIN held h ON h.doc_id = l.doc_id AND h.place = l.upto
+    WHERE l.upto IS NOT NULL AND (following IS NULL OR following > l.upto) GROUP BY 1""")
+def fulltext_cover(spark, sf_dir):
+    found = _index(spark, sf_dir)
+    covers = found.covers(QUERY).groupBy("key").agg(F.count("*").alias("covers"))
+    return found.cover_density(QUERY).join(covers, "key").select(F.col("key").alias("doc_id"), "covers", F.round("rank", 6).alias("rank"))
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Thing ' || coalesce(text, '') || ' out-rest' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0)"
+
+
+@register("fulltext_updated", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT.replace('FROM documents', f'FROM {_CHANGED}')})")
+def fulltext_updated(spark, sf_dir):
+    """Documents dropped, others put anew, and the generations made one."""
+    docs, text = tables.read(spark, sf_dir, "documents"), search.index_text(F.col("text"))
+    index = text_index.TextIndex(spark, scratch(spark, "words"))
+    index.put(docs, "doc_id", text)
+    index.drop(docs.where("doc_id % 11 = 0"), "doc_id")
+    index.put(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("Thing "), F.coalesce("text", F.lit("")), F.lit(" out-rest"))), "doc_id", text)
+    index.compact()
+    return index.matches(QUERY).select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
 @register("fulltext_topk", f"SELECT doc_id, round(rank, 6) AS rank FROM ({_FULLTEXT}) ORDER BY round(rank, 6) DESC, doc_id LIMIT 10")
 def fulltext_topk(spark, sf_dir):
     return search.top_by_rank(_fulltext(spark, sf_dir).select("doc_id", F.round("rank", 6).alias("rank")), "doc_id", 10)
