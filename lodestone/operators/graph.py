@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.containment import smallest_span
 from lodestone.operators.relational import chains, preferred
 from lodestone.sources.lineage import cut
 
@@ -232,22 +233,14 @@ def _dead_code_state(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
     return joined.select(*columns, state.alias("state"), rank.alias("rank"))
 
 
-def cross_reference(usages: DataFrame, spans: DataFrame, entities: DataFrame, bucket: int | None = None) -> DataFrame:
+def cross_reference(usages: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges caller to callee: the smallest entity around each usage, and the entity of the name used, same file first.
 
     ``usages``: usage_id, file, line, name. ``spans``: entity, file, first, last, rank.
     ``entities``: entity, file, name. The least entity of each name, and of each name in each file,
-    is found first, so a usage meets one row of either however common its name is. ``bucket``: width
-    of cells that lines are dealt into, for files with very many spans.
+    is found first, so a usage meets one row of either however common its name is.
     """
-    s = spans.select(F.col("file").alias("_file"), "entity", F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("rank").alias("_rank"))
-    u, on = usages, F.col("file") == F.col("_file")
-    if bucket:
-        s = s.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / bucket), F.floor(F.col("_last") / bucket))))
-        u = u.withColumn("_at", F.floor(F.col("line") / bucket))
-        on = on & (F.col("_at") == F.col("_cell"))
-    around = u.join(s, on & F.col("line").between(F.col("_first"), F.col("_last")), "left")
-    callers = around.groupBy(*usages.columns).agg(F.min_by("entity", F.when(F.col("entity").isNotNull(), F.struct(F.col("_last") - F.col("_first"), "_rank", -F.col("_first"), "entity"))).alias("caller"))
+    callers = smallest_span(usages, spans, "file", "line", "first", "last", F.col("rank"), "entity", "left").withColumnRenamed("entity", "caller")
     return preferred(callers, entities.withColumnRenamed("entity", "callee"), ("name", "name"), ("file", "file"), "callee")
 
 

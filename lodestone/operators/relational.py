@@ -188,22 +188,6 @@ def or_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     return reduce(DataFrame.unionByName, joined).dropDuplicates([left_id, right_id])
 
 
-def smallest_span(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, rank: Column, span_id: str, bucket: int | None = None) -> DataFrame:
-    """For each point the smallest span of its key that holds it; ties by ``rank``, then the later start.
-
-    ``bucket``: width of cells that both sides are dealt into, for keys with very many spans.
-    """
-    s = spans.select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(span_id).alias("_span"), rank.alias("_rank"))
-    p, on = points, F.col(key) == F.col("_key")
-    if bucket:
-        s = s.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_start") / bucket), F.floor(F.col("_end") / bucket))))
-        p = p.withColumn("_at_cell", F.floor(F.col(at) / bucket))
-        on = on & (F.col("_at_cell") == F.col("_cell"))
-    held = p.join(s, on & F.col(at).between(F.col("_start"), F.col("_end")))
-    best = F.min_by("_span", F.struct(F.col("_end") - F.col("_start"), "_rank", -F.col("_start"), "_span"))
-    return held.groupBy(*points.columns).agg(best.alias(span_id))
-
-
 def preferred(left: DataFrame, right: DataFrame, on: tuple[str, str], same: tuple[str, str], right_id: str) -> DataFrame:
     """Left rows with the least id among the right rows of their key, of those that are the same in another column if there are any.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.patterns import prefix_terms
+from lodestone.operators.containment import smallest_span
 from lodestone.operators.relational import renumber
 
 #: Characters of a text that full-text search looks at, as documented for the index.
@@ -129,10 +130,8 @@ def enrich(matches: DataFrame, blocks: DataFrame, key: str, line: str, n: int, n
     """The first ``n`` matches (by key and line) with the smallest block around them, the others with the line alone."""
     numbered = renumber(matches, [key, line], "_n").withColumn("_n", F.col("_n") + 1)
     near = numbered.where(F.col("_n") <= n)
-    b = blocks.select(F.col(key).alias("_key"), "block", F.col("first").alias("_first"), F.col("last").alias("_last"))
-    held = near.join(b, (near[key] == b["_key"]) & near[line].between(b["_first"], b["_last"]), "left")
-    best = F.min_by("block", F.when(F.col("block").isNotNull(), F.struct(F.col("_last") - F.col("_first"), "_first", "block")))
-    joined = held.groupBy(*numbered.columns).agg(best.alias("block")).unionByName(numbered.where(F.col("_n") > n).withColumn("block", F.lit(None).cast(blocks.schema["block"].dataType)))
+    held = smallest_span(near, blocks, key, line, "first", "last", F.col("first"), "block", "left")
+    joined = held.unionByName(numbered.where(F.col("_n") > n).withColumn("block", F.lit(None).cast(blocks.schema["block"].dataType)))
     out = joined.withColumn("status", F.when(F.col("block").isNotNull(), "block").otherwise("line")).drop("_n")
     return out.where("status = 'block'") if need_structure else out
 

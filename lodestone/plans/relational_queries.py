@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import logs, patterns
-from lodestone.operators import duplicates, relational
+from lodestone.operators import containment, duplicates, relational
 from lodestone.plans.catalog import register
 from lodestone.sources import files, tables
 from lodestone.sources.lineage import scratch
@@ -364,7 +364,7 @@ def containment_smallest_span(spark, sf_dir):
     events = _t(spark, sf_dir, "events").withColumn("x", F.floor("value").cast("long"))
     spans = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("span"), F.col("x").alias("a"), (F.col("x") + 10 + F.col("event_id") % 7).alias("b"), (F.col("event_id") % 3).alias("rank"))
     points = events.where("event_type = 'click'").select("event_id", "user_id", "x")
-    return relational.smallest_span(points, spans, "user_id", "x", "a", "b", F.col("rank"), "span", bucket=32)
+    return containment.smallest_span(points, spans, "user_id", "x", "a", "b", F.col("rank"), "span")
 
 
 @register("preferred_match", """SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY (c_nationkey = s_nationkey) DESC, s_suppkey) AS rn
