@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import duplicates, relational, search, text_index
+from lodestone.operators import duplicates, relational, search, text_index, vector_clusters
 from lodestone.plans.catalog import register
 from lodestone.sources import files, tables
 from lodestone.sources.lineage import scratch
@@ -249,6 +249,13 @@ def stored_vector_search(spark, sf_dir):
     return found.select(F.col("key").alias("vec_id"), "dense_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
+@register("clustered_vector_search", f"SELECT vec_id, round(2 * distance, 6) AS distance, round(1 / (1 + 2 * distance), 6) AS score FROM {_COSINE} ORDER BY distance, vec_id LIMIT 15")
+def clustered_vector_search(spark, sf_dir):
+    index = vector_clusters.ClusterIndex(spark, scratch(spark, "clusters"))
+    index.build(tables.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return index.search(VECTOR, 15).select(F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
 _GROWN = """WITH t AS (SELECT conv_id, turn, length(text) AS size, length(text) % 3 = 0 AS failed, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations),
     l AS (SELECT a.conv_id, a.turn, a.size, a.upto, coalesce(min(b.turn) FILTER (a.upto - b.upto + b.size <= 1000), any_value(a.turn)) AS first FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.failed GROUP BY a.conv_id, a.turn, a.size, a.upto),
     w AS (SELECT l.*, l.upto - f.upto + f.size AS held FROM l JOIN t f ON l.conv_id = f.conv_id AND f.turn = l.first)"""
