@@ -40,7 +40,16 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lodestone.llm import common
 
+_STORE = "spark.sql.streaming.stateStore."
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Kept by RocksDB, as ``transformWithState`` asks. The stores here are small and many, and each start has its own,
+#: so they give their local files back when a batch is done, reserve none, and send changes alone.
+SETTINGS = {
+    f"{_STORE}providerClass": ROCKSDB,
+    f"{_STORE}unloadOnCommit": "true",
+    f"{_STORE}rocksdb.allowFAllocate": "false",
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+}
 RECORD = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 ROW = "kind string, shard int, hour long, click_id long, n long, cents long, late boolean"
 STATE = "first long, ring binary, overflow binary"
@@ -96,7 +105,7 @@ def _added(table: pa.Table) -> pa.Table:
     by = ["kind", "shard", "hour"]
     sums = table.group_by(by).aggregate([("n", "sum"), ("cents", "sum")])
     count = len(sums)
-    columns = [*(sums.column(c) for c in by), pa.array([-1] * count, pa.int64()), sums.column("n_sum"), sums.column("cents_sum"), pa.array([False] * count)]
+    columns = [*(sums.column(c) for c in by), pa.array([-1] * count, pa.int64()), sums.column("n_sum"), sums.column("cents_sum"), pa.array([False] * count, pa.bool_())]
     return pa.table(columns, names=["kind", "shard", "hour", "click_id", "n", "cents", "late"])
 
 
@@ -254,14 +263,15 @@ class Shards(StatefulProcessor):
 
 @contextmanager
 def stateful(spark: SparkSession):
-    """Has state kept by RocksDB, as ``transformWithState`` asks, while this lasts."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    """Has state kept as ``SETTINGS`` say, while this lasts."""
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def revisions(clicks: DataFrame, panes: Panes = Panes()) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,12 @@ def test_a_store_against_a_dictionary(seed):
 def test_sums_beyond_the_weights_of_bincount():
     values = np.array([2**62, -(2**61), 2**53 + 1, 1, -1], np.int64)
     assert window_panes.binned(np.array([0, 1, 2, 2, 3]), values, 5).tolist() == [2**62, -(2**61), 2**53 + 2, -1, 0]
+
+
+def test_batches_of_late_rows_alone_are_combined():
+    columns = {"kind": ["a", "a", "a"], "shard": [0, 0, 1], "hour": [5, 5, 6], "click_id": [1, 2, 3], "n": [1, 1, 1], "cents": [7, -2, 4]}
+    schema = pa.schema([("kind", pa.string()), ("shard", pa.int32()), *[(c, pa.int64()) for c in ("hour", "click_id", "n", "cents")], ("late", pa.bool_())])
+    batch = lambda late: pa.RecordBatch.from_pydict({**columns, "late": late}, schema=schema)
+    out = pa.Table.from_batches(list(window_panes.combined(iter([batch([True] * 3), batch([False] * 3)])))).to_pylist()
+    assert sorted(r["click_id"] for r in out if r["late"]) == [1, 2, 3]
+    assert sorted((r["hour"], r["n"], r["cents"]) for r in out if not r["late"]) == [(5, 2, 5), (6, 1, 4)]
