@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
+import re
+import tokenize
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -59,92 +62,126 @@ def complexity(df: DataFrame, key: str, text: str, least: int = 1) -> DataFrame:
     return exploded(df, key, text, "qualname string, line int, complexity int", rows).where(F.col("complexity") >= least).orderBy(F.col("complexity").desc(), "doc", "line")
 
 
-def _body(node: ast.AST) -> list[ast.stmt]:
-    body = node.body
-    return body[1:] if ast.get_docstring(node, clean=False) is not None else body
+def _marked(node: ast.AST, name: str) -> bool:
+    """Whether a definition is decorated with a plain name."""
+    return any(isinstance(d, ast.Name) and d.id == name for d in node.decorator_list)
 
 
-def _decorators(node: ast.AST) -> set[str]:
-    return {d.attr if isinstance(d, ast.Attribute) else getattr(d, "id", "") for d in node.decorator_list}
+def _methods(root: ast.AST) -> dict[ast.AST, ast.ClassDef]:
+    """Functions that stand in the body of a class itself, with the class."""
+    return {item: node for node in ast.walk(root) if isinstance(node, ast.ClassDef) for item in node.body if isinstance(item, FUNCTIONS)}
 
 
 def stub_kind(node: ast.AST) -> str | None:
-    """pass, ellipsis, not_implemented or return_none if that is all that a function does."""
-    body = _body(node)
-    if len(body) > 1:
-        return None
-    if not body or isinstance(body[0], ast.Pass):
-        return "pass"
-    only = body[0]
-    if isinstance(only, ast.Expr) and isinstance(only.value, ast.Constant) and only.value.value is Ellipsis:
-        return "ellipsis"
-    if isinstance(only, ast.Raise):
-        raised = only.exc.func if isinstance(only.exc, ast.Call) else only.exc
-        return "not_implemented" if getattr(raised, "id", None) == "NotImplementedError" else None
-    if isinstance(only, ast.Return) and (only.value is None or isinstance(only.value, ast.Constant) and only.value.value is None):
-        return "return_none"
+    """What the only statement of a function leaves open: pass, ellipsis, not_implemented (a call) or return_none (spelt out, and not abstract).
+
+    A docstring is a statement like any other.
+    """
+    match node.body:
+        case [ast.Pass()]:
+            return "pass"
+        case [ast.Expr(value=ast.Constant(value=value))] if value is Ellipsis:
+            return "ellipsis"
+        case [ast.Raise(exc=ast.Call(func=ast.Name(id="NotImplementedError")))]:
+            return "not_implemented"
+        case [ast.Return(value=ast.Constant(value=None))] if not _marked(node, "abstractmethod"):
+            return "return_none"
     return None
 
 
 def stubs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Functions that do nothing, by kind."""
+    """Functions and methods that do nothing, by kind; a function in the body of a class itself is a method."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
-        found = [(q, n.lineno, stub_kind(n)) for n, _, q in _definitions(root) if isinstance(n, FUNCTIONS)] if root else []
-        return [f for f in found if f[2]]
+        methods = _methods(root) if root else {}
+        found = [(q, n.lineno, "method" if n in methods else "function", stub_kind(n)) for n, _, q in _definitions(root) if isinstance(n, FUNCTIONS)] if root else []
+        return [f for f in found if f[3]]
 
-    return exploded(df, key, text, "qualname string, line int, stub string", rows)
+    return exploded(df, key, text, "qualname string, line int, kind string, stub string", rows)
 
 
-def empty_methods(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Methods without a statement of their own; abstract ones are left out."""
+def empty_methods(df: DataFrame, key: str, text: str, abstract: bool = False) -> DataFrame:
+    """Methods whose only statement is pass, an ellipsis or a docstring; abstract ones, and those of classes based on ``ABC``, only if asked for."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
-        if not root:
-            return []
-        methods = [(n, q) for n, p, q in _definitions(root) if isinstance(n, FUNCTIONS) and isinstance(p, ast.ClassDef)]
-        return [(q, n.lineno) for n, q in methods if stub_kind(n) in ("pass", "ellipsis") and "abstractmethod" not in _decorators(n)]
+        out = []
+        for node, owner in _methods(root).items() if root else ():
+            unfinished = _marked(node, "abstractmethod") or any(isinstance(b, ast.Name) and b.id == "ABC" for b in owner.bases)
+            words = isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str)
+            kind = "docstring_only" if len(node.body) == 1 and words else stub_kind(node)
+            if kind in ("pass", "ellipsis", "docstring_only") and (abstract or not unfinished):
+                out.append((owner.name, node.name, node.lineno, kind))
+        return out
 
-    return exploded(df, key, text, "qualname string, line int", rows)
+    return exploded(df, key, text, "class string, name string, line int, body string", rows)
 
 
 def late_imports(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Imports that do not stand at the top: inside anything, or after a statement that is no import."""
+    """Names imported by statements of the module itself that do not come before its code, one row a name.
+
+    Strings on their own are no code. A module without code has no place before it, so all of its imports are late.
+    """
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
-        if not root:
-            return []
-        top, started = set(), False
-        for statement in _body(root):
-            if isinstance(statement, ast.Import | ast.ImportFrom):
-                if not started:
-                    top.add(statement)
-            else:
-                started = True
-        return [(n.lineno, ", ".join(a.name for a in n.names)) for n in ast.walk(root) if isinstance(n, ast.Import | ast.ImportFrom) and n not in top]
+        body = root.body if root else []
+        taken = [n for n in body if isinstance(n, ast.Import | ast.ImportFrom)]
+        words = [n for n in body if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)]
+        code = min((n.lineno for n in body if n not in taken and n not in words), default=0)
+        late = [n for n in taken if n.lineno >= code]
+        return [(n.lineno, a.name, getattr(n, "module", None), "import" if isinstance(n, ast.Import) else "import_from") for n in late for a in n.names]
 
-    return exploded(df, key, text, "line int, names string", rows)
+    return exploded(df, key, text, "line int, name string, module string, import_type string", rows)
 
 
 def missing_docstrings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Modules, classes, methods and functions without a docstring; properties are left out."""
+    """Modules, all classes, methods (but for properties) and the module's own functions without a docstring that says anything."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
         if not root:
             return []
-        out = [] if ast.get_docstring(root) else [("file", "", 1)]
-        for node, parent, qualname in _definitions(root):
-            if ast.get_docstring(node) or isinstance(node, FUNCTIONS) and "property" in _decorators(node):
-                continue
-            kind = "class" if isinstance(node, ast.ClassDef) else "method" if isinstance(parent, ast.ClassDef) else "function"
-            out.append((kind, qualname, node.lineno))
-        return out
+        bare = lambda node: not (ast.get_docstring(node) or "").strip()
+        named = [("file", "", 1, root)]
+        named += [("class", n.name, n.lineno, n) for n in ast.walk(root) if isinstance(n, ast.ClassDef)]
+        named += [("method", f"{c.name}.{n.name}", n.lineno, n) for n, c in _methods(root).items() if not _marked(n, "property")]
+        named += [("function", n.name, n.lineno, n) for n in root.body if isinstance(n, FUNCTIONS)]
+        return [(kind, name, line) for kind, name, line, node in named if bare(node)]
+
+    return exploded(df, key, text, "kind string, name string, line int", rows)
+
+
+#: Words that mark unfinished work.
+PLACEHOLDERS = ("TODO", "FIXME", "XXX", "HACK", "NOTE", "BUG", "OPTIMIZE", "PLACEHOLDER", "STUB", "NOT IMPLEMENTED")
+
 
-    return exploded(df, key, text, "kind string, qualname string, line int", rows)
+def placeholders(df: DataFrame, key: str, text: str, words: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
+    """Comments, docstrings and strings with one of the words, whatever its case: kind, line, the first word, text and the line as it stands.
+
+    Docstrings are reported by the line of what they belong to (the module: 1), and once more as
+    strings, by their own; texts but those of comments are cut at a hundred characters. Comments are
+    found in what can be split into tokens, the others in what can be parsed.
+    """
+    wanted = re.compile(rf"\b({'|'.join(map(re.escape, words))})\b", re.IGNORECASE)
+
+    def rows(source: str) -> list[tuple]:
+        lines, found = source.split("\n"), []
+        try:
+            tokens = list(tokenize.generate_tokens(io.StringIO(source).readline))
+        except (tokenize.TokenError, SyntaxError):
+            tokens = []
+        found += [("comment", t.start[0], t.string, t.string.strip()) for t in tokens if t.type == tokenize.COMMENT]
+        for node in ast.walk(root) if (root := _parsed(source)) else ():
+            if isinstance(node, (*FUNCTIONS, ast.ClassDef, ast.Module)):
+                found.append(("docstring", getattr(node, "lineno", 1), ast.get_docstring(node, clean=False) or "", None))
+            elif isinstance(node, ast.Constant) and isinstance(node.value, str):
+                found.append(("string", node.lineno, node.value, None))
+        met = [(kind, line, wanted.search(own), own[:100] if shown is None else shown) for kind, line, own, shown in found]
+        return [(kind, line, m[1].upper(), shown, lines[line - 1] if line <= len(lines) else "") for kind, line, m, shown in met if m]
+
+    return exploded(df, key, text, "kind string, line int, word string, text string, context string", rows)
 
 
 def _called_on(value: ast.AST, owner: str | None) -> str | None:
@@ -204,17 +241,14 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def docstring_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Docstrings with what they are bound to: 1 module, 2 class or function, 3 method."""
+    """Docstrings with what they are bound to: 1 module, 2 class, 3 function or method."""
 
     def rows(source: str) -> list[tuple]:
         root = _parsed(source)
         if not root:
             return []
-        out = [("", 1, 1, d)] if (d := ast.get_docstring(root)) else []
-        for node, parent, qualname in _definitions(root):
-            if doc := ast.get_docstring(node):
-                out.append((qualname, 3 if isinstance(parent, ast.ClassDef) else 2, node.lineno, doc))
-        return out
+        bound = [("", 1, 1, root), *((q, 2 if isinstance(n, ast.ClassDef) else 3, n.lineno, n) for n, _, q in _definitions(root))]
+        return [(name, level, line, doc) for name, level, line, node in bound if (doc := ast.get_docstring(node))]
 
     return exploded(df, key, text, "qualname string, binding_level int, line int, chunk string", rows)
 

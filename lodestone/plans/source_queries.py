@@ -129,27 +129,150 @@ def complexity_report(spark, sf_dir):
     return python_source.complexity(_sources(spark, sf_dir), "path", "source", 2)
 
 
-@register("stub_functions", _P + " SELECT doc, 'C' || k || '.stub' AS qualname, 12 AS line, CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'ellipsis' WHEN 2 THEN 'not_implemented' ELSE 'return_none' END AS stub FROM p")
+@register("stub_functions", _P + " SELECT doc, 'C' || k || '.stub' AS qualname, 12 AS line, 'method' AS kind, CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'ellipsis' ELSE 'return_none' END AS stub FROM p WHERE k % 4 <> 2")
 def stub_functions(spark, sf_dir):
     return python_source.stubs(_sources(spark, sf_dir), "path", "source")
 
 
-@register("empty_methods", _P + " SELECT doc, 'C' || k || '.stub' AS qualname, 12 AS line FROM p WHERE k % 4 < 2")
+@register("empty_methods", _P + " SELECT doc, 'C' || k AS class, 'stub' AS name, 12 AS line, CASE k % 4 WHEN 0 THEN 'pass' ELSE 'ellipsis' END AS body FROM p WHERE k % 4 < 2")
 def empty_methods(spark, sf_dir):
     return python_source.empty_methods(_sources(spark, sf_dir), "path", "source")
 
 
-@register("late_imports", _P + " SELECT doc, 26 AS line, 'late' AS names FROM p WHERE k % 3 = 1")
+@register("late_imports", _P + " SELECT doc, 26 AS line, 'late' AS name, NULL AS module, 'import' AS import_type FROM p WHERE k % 3 = 1")
 def late_imports(spark, sf_dir):
     return python_source.late_imports(_sources(spark, sf_dir), "path", "source")
 
 
-@register("missing_docstrings", _P + f""" SELECT doc, 'file' AS kind, '' AS qualname, 1 AS line FROM p WHERE k % 2 = 1 UNION ALL SELECT doc, 'class', 'C' || k, 5 FROM p WHERE k % 3 <> 0
+@register("missing_docstrings", _P + f""" SELECT doc, 'file' AS kind, '' AS name, 1 AS line FROM p WHERE k % 2 = 1 UNION ALL SELECT doc, 'class', 'C' || k, 5 FROM p WHERE k % 3 <> 0
     UNION ALL SELECT doc, kind, qualname, start_line FROM {_DEFINITIONS} WHERE kind <> 'class'""")
 def missing_docstrings(spark, sf_dir):
     return python_source.missing_docstrings(_sources(spark, sf_dir), "path", "source")
 
 
+#: Sources that take every branch of the measures: a part with key k has the form of its remainder, with its key for {k}.
+_FORMS_OF_SOURCE = (
+    '''class A(ABC):
+    """Doc."""
+    @abstractmethod
+    def one(self):
+        return None
+    def two(self):
+        pass
+    def three(self):
+        """Only words {k}."""
+        pass''',
+    '''"""Top {k}."""
+import os
+"loose"
+import sys, re as r
+def outer():
+    """Says {k}."""
+    import json
+    def inner():
+        ...
+    return inner
+from pkg{k} import b, c as d
+class B:
+    @property
+    def p(self):
+        return 1
+    def q(self):
+        "words"
+    class N:
+        def m(self):
+            raise NotImplementedError
+        def n(self):
+            raise NotImplementedError("no")''',
+    '''import a
+"text"
+from . import z{k}''',
+    '''def f():
+    return
+def g():
+    return None
+async def h():
+    pass
+class E:
+    pass
+class D(E):
+    """ """
+    def one(self):
+        ...
+    async def two(self):
+        """Text."""
+    def three(self): pass
+    if True:
+        def four(self):
+            pass
+    @staticmethod
+    def five():
+        x = {k}''',
+    '''"""A stub of {k}; todo"""
+x = "fix me, no bug"  # note {k}
+def f():
+    """Hack
+    XXX"""
+    # todos, notes and NOTE_1 are other words
+    return f"{x} not implemented"  #FIXME''',
+    "x = = {k}  # TODO twice: todo",
+    "def broken(:  # TODO {k}",
+    "",
+)
+_B = f"WITH p AS (SELECT p_partkey AS k, p_partkey % {len(_FORMS_OF_SOURCE)} AS form, 'b/mod' || p_partkey || '.py' AS doc FROM part)"
+
+
+def _expected(columns: str, rows: str) -> str:
+    """SQL of the rows that the sources of a form give; texts may have the key for {k}."""
+    names = columns.split(", ")
+    filled = ", ".join(f"replace({n}, '{{k}}', k::VARCHAR) AS {n}" if n not in ("line", "binding_level") else n for n in names)
+    return f"{_B} SELECT doc, {filled} FROM p JOIN (VALUES {rows}) AS v(form, {columns}) USING (form)"
+
+
+def _branches(spark, sf_dir):
+    k = F.col("p_partkey")
+    source = F.lit(None).cast("string")
+    for remainder, form in enumerate(_FORMS_OF_SOURCE):
+        source = F.when(k % len(_FORMS_OF_SOURCE) == remainder, F.replace(F.lit(form), F.lit("{k}"), k.cast("string"))).otherwise(source)
+    return tables.read(spark, sf_dir, "part").select(F.concat(F.lit("b/mod"), k.cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
+
+
+@register("stub_branches", _expected("qualname, line, kind, stub", """(0, 'A.two', 6, 'method', 'pass'), (1, 'outer.inner', 8, 'function', 'ellipsis'), (1, 'B.N.n', 21, 'method', 'not_implemented'),
+    (3, 'g', 3, 'function', 'return_none'), (3, 'h', 5, 'function', 'pass'), (3, 'D.one', 11, 'method', 'ellipsis'), (3, 'D.three', 15, 'method', 'pass'), (3, 'D.four', 17, 'function', 'pass')"""))
+def stub_branches(spark, sf_dir):
+    return python_source.stubs(_branches(spark, sf_dir), "path", "source")
+
+
+@register("empty_method_branches", _expected("class, name, line, body", "(1, 'B', 'q', 16, 'docstring_only'), (3, 'D', 'one', 11, 'ellipsis'), (3, 'D', 'two', 13, 'docstring_only'), (3, 'D', 'three', 15, 'pass')"))
+def empty_method_branches(spark, sf_dir):
+    return python_source.empty_methods(_branches(spark, sf_dir), "path", "source")
+
+
+@register("late_import_branches", _expected("line, name, module, import_type", "(1, 11, 'b', 'pkg{k}', 'import_from'), (1, 11, 'c', 'pkg{k}', 'import_from'), (2, 1, 'a', NULL, 'import'), (2, 3, 'z{k}', NULL, 'import_from')"))
+def late_import_branches(spark, sf_dir):
+    return python_source.late_imports(_branches(spark, sf_dir), "path", "source")
+
+
+@register("missing_docstring_branches", _expected("kind, name, line", """(0, 'file', '', 1), (0, 'method', 'A.one', 4), (0, 'method', 'A.two', 6), (1, 'class', 'B', 12), (1, 'class', 'N', 18), (1, 'method', 'N.m', 19), (1, 'method', 'N.n', 21),
+    (2, 'file', '', 1), (3, 'file', '', 1), (3, 'function', 'f', 1), (3, 'function', 'g', 3), (3, 'function', 'h', 5), (3, 'class', 'E', 7), (3, 'class', 'D', 9), (3, 'method', 'D.one', 11), (3, 'method', 'D.three', 15), (3, 'method', 'D.five', 20), (7, 'file', '', 1)"""))
+def missing_docstring_branches(spark, sf_dir):
+    return python_source.missing_docstrings(_branches(spark, sf_dir), "path", "source")
+
+
+@register("docstring_chunk_branches", _expected("qualname, binding_level, line, chunk", """(0, 'A', 2, 1, 'Doc.'), (0, 'A.three', 3, 8, 'Only words {k}.'), (1, '', 1, 1, 'Top {k}.'), (1, 'outer', 3, 5, 'Says {k}.'), (1, 'B.q', 3, 16, 'words'),
+    (3, 'D.two', 3, 13, 'Text.'), (4, '', 1, 1, 'A stub of {k}; todo'), (4, 'f', 3, 3, 'Hack' || chr(10) || 'XXX')"""))
+def docstring_chunk_branches(spark, sf_dir):
+    return python_source.docstring_chunks(_branches(spark, sf_dir), "path", "source")
+
+
+@register("source_placeholders", _expected("kind, line, word, text, context", """(4, 'comment', 2, 'NOTE', '# note {k}', 'x = "fix me, no bug"  # note {k}'), (4, 'comment', 7, 'FIXME', '#FIXME', '    return f"{x} not implemented"  #FIXME'),
+    (4, 'docstring', 1, 'STUB', 'A stub of {k}; todo', 'QQQA stub of {k}; todoQQQ'), (4, 'docstring', 3, 'HACK', 'Hack' || chr(10) || '    XXX', 'def f():'), (4, 'string', 1, 'STUB', 'A stub of {k}; todo', 'QQQA stub of {k}; todoQQQ'),
+    (4, 'string', 2, 'BUG', 'fix me, no bug', 'x = "fix me, no bug"  # note {k}'), (4, 'string', 4, 'HACK', 'Hack' || chr(10) || '    XXX', '    QQQHack'), (4, 'string', 7, 'NOT IMPLEMENTED', ' not implemented', '    return f"{x} not implemented"  #FIXME'),
+    (5, 'comment', 1, 'TODO', '# TODO twice: todo', 'x = = {k}  # TODO twice: todo')""".replace("QQQ", 3 * '"')))
+def source_placeholders(spark, sf_dir):
+    return python_source.placeholders(_branches(spark, sf_dir), "path", "source")
+
+
 _USAGES = """(SELECT doc, k, 'go' AS name, 'method' AS target_type, 'call' AS usage, NULL AS target_class, 'class:C' || k || ' | function:run' AS context, 9 AS line FROM p
     UNION ALL SELECT doc, k, 'stub', 'method', 'call', 'C' || k, 'class:C' || k || ' | function:run', 10 FROM p UNION ALL SELECT doc, k, 'C' || k, 'class', 'instantiation', NULL, 'function:go', 19 FROM p
     UNION ALL SELECT doc, k, 'D', 'class', 'instantiation', NULL, 'function:twin', 25 FROM p WHERE k % 5 <> 0)"""
