@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.catalog import register
 from lodestone.sources import tables
-from lodestone.streaming import incremental
+from lodestone.sources.lineage import scratch
+from lodestone.streaming import incremental, keyed
 
 
 def _snapshots(spark, sf_dir):
@@ -77,3 +78,65 @@ def closed_sessions(spark, sf_dir):
     found = incremental.closed_sessions(tables.read(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select("user_id", shown("start"), shown("end"), "n")
+
+
+def _fed(spark, parts, handle):
+    """Writes parts of a table one after another to a folder that a stream reads, and has each handled by a query that starts anew."""
+    root = scratch(spark, "stream")
+    with keyed.settings(spark):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{root}/fed")
+            handle(spark.readStream.schema(part.schema).parquet(f"{root}/fed"), root)
+    return root
+
+
+@register("idle_expired_stream", """WITH s AS (SELECT user_id, max(ts) AS last, max(event_id) AS e FROM events GROUP BY 1) SELECT user_id, CASE WHEN user_id % 29 = 0 THEN 'lost' ELSE 'ttl_expired' END AS reason FROM s
+    WHERE user_id % 29 = 0 OR (e % 2 = 0 AND epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last) > 43200)""")
+def idle_expired_stream(spark, sf_dir):
+    """The sessions of ``idle_expired`` from a stream of accesses in four parts, of which the last only tells the time."""
+    events = tables.read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofmonth("ts")
+    parts = [events.where(day <= 10), events.where(day.between(11, 20)), events.where(day > 20)]
+    parts.append(spark.sql("SELECT -1L AS user_id, 1L AS event_id, timestamp'2024-01-31 00:00:00' AS ts"))
+
+    def handle(stream, root):
+        number = F.col("event_id")
+        gone = keyed.idle_sessions(stream, "user_id", "ts", number, (number % 2 == 0) & (F.col("user_id") >= 0), F.col("user_id") % 29 == 0, 43_200)
+        keyed.once(gone, f"{root}/checkpoint", keyed.numbered(f"{root}/gone"))
+
+    root = _fed(spark, parts, handle)
+    gone = spark.read.schema("session long, last long, reason string").parquet(f"{root}/gone").groupBy("session").agg(F.max(F.struct("last", "reason")).alias("g"))
+    latest = events.groupBy("user_id").agg(F.max(F.unix_micros("ts")).alias("last"))
+    return gone.join(latest, (F.col("session") == F.col("user_id")) & (F.col("g.last") == F.col("last"))).select("user_id", F.col("g.reason").alias("reason"))
+
+
+@register("dead_letters_stream", """WITH t AS (SELECT user_id, event_id, event_type <> 'error' AS ok, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+    f AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, run ORDER BY event_id) AS failed FROM t), d AS (SELECT user_id, min(event_id) AS dead FROM f WHERE failed >= 3 GROUP BY 1)
+    SELECT user_id AS item, event_id AS attempt, failed, CASE WHEN ok THEN 'done' WHEN failed >= 3 THEN 'dead' ELSE 'again' END AS outcome FROM f LEFT JOIN d USING (user_id) WHERE dead IS NULL OR event_id <= dead""")
+def dead_letters_stream(spark, sf_dir):
+    """Errors as failed tries, in three parts; three failures in a row make a dead letter."""
+    events = tables.read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+
+    def handle(stream, root):
+        outcomes = keyed.retried(stream, "user_id", F.col("event_id"), F.col("event_type") != "error", 3)
+        keyed.once(outcomes, f"{root}/checkpoint", keyed.parted(f"{root}/outcomes"))
+
+    bounds = events.agg(F.max("event_id")).first()[0] or 0
+    third = F.floor(F.col("event_id") * 3 / F.lit(bounds + 1))
+    root = _fed(spark, [events.where(third == i) for i in range(3)], handle)
+    return spark.read.schema("item long, attempt long, failed int, outcome string").parquet(f"{root}/outcomes").select("item", "attempt", "failed", "outcome")
+
+
+@register("cycle_stats_stream", """WITH d AS (SELECT (day(ts) - 1) // 6 AS cycle, count(*) AS n, sum(round(value * 100)::BIGINT) AS s FROM events GROUP BY 1)
+    SELECT cycle, sum(n) OVER w AS total, round(sum(s) OVER w / 100.0, 6) AS seconds, round(sum(s) OVER w / 100.0 / sum(n) OVER w, 6) AS average FROM d WINDOW w AS (ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def cycle_stats_stream(spark, sf_dir):
+    """A micro-batch for each six days, with running totals from the figures that the engine observes."""
+    events = tables.read(spark, sf_dir, "events").select(F.floor((F.dayofmonth("ts") - 1) / 6).cast("long").alias("cycle"), (F.round(F.col("value") * 100).cast("long") / 100).alias("spent"))
+    root = scratch(spark, "cycles")
+    for cycle in range(6):
+        part = events.where(F.col("cycle") == cycle)
+        if not part.isEmpty():
+            part.coalesce(1).write.mode("append").parquet(f"{root}/fed")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/fed")
+    found = keyed.observed_cycles(stream, "cycle", F.col("spent"), f"{root}/rows", f"{root}/checkpoint")
+    return found.select("cycle", "total", F.round("seconds", 6).alias("seconds"), F.round("average", 6).alias("average"))
