@@ -238,3 +238,20 @@ def test_merged_neighbours(spark):
     frame = spark.createDataFrame([("s", i, i in (2, 5), n) for i, n in enumerate([5, 3, 2, 4, 9, 50, 1])], "s string, o int, bad boolean, n int")
     found = duplicates.merged_neighbours(frame, "s", "o", "bad", "n", 11).orderBy("o").collect()
     assert [(r.o, r["first"], r["last"]) for r in found] == [(2, 0, 2), (5, 5, 5)]
+
+
+@pytest.mark.parametrize(("rounds", "at_once"), [(0, 0), (1, 0), (40, 0), (40, 60)])
+def test_hybrid_groups_in_rounds_are_those_of_the_fold(spark, rounds, at_once):
+    draw = random.Random(rounds)
+    groups = [(s, o, draw.sample(range(40), draw.randrange(1, 5))) for s in "ab" for o in range(40)]
+    groups += [("chain", o, [o, o + 1]) for o in range(12)] + [("none", 1, []), ("none", 2, [1, 1]), ("none", 3, [2, 1, 2])]
+    expected, seen = set(), {}
+    for s, o, m in sorted(groups):
+        left = [x for x in dict.fromkeys(m) if x not in seen.setdefault(s, set())]
+        if len(left) >= 2:
+            seen[s].update(left)
+            expected.add((s, o, tuple(left)))
+    frame = spark.createDataFrame(groups, "s string, o int, m array<int>").repartition(3)
+    found = [(r.s, r.o, tuple(r.m)) for r in duplicates.hybrid_groups(frame, "s", "o", "m", rounds, at_once).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert duplicates.hybrid_groups(frame.limit(0), "s", "o", "m", rounds, at_once).count() == 0
