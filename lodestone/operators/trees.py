@@ -203,10 +203,20 @@ def flatten_ast(nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
     return found.select("doc", "depth", "pre", "node_type", "name", "start_line", "end_line").orderBy("doc", "depth", "pre")
 
 
+#: Fixed value: what ends a line of plain text.
+TEXT_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Paragraph blocks of texts with the lines that they span."""
-    numbered = df.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
-    return numbered.where(F.trim("line") != "").select(key, F.col("n").alias("first"), F.col("n").alias("last"), F.col("line").alias("block"))
+    """A block for every line of plain texts, blank ones too: its reference (lines from 0), the lines it spans (from 1), and itself.
+
+    What follows the last break is a line only if there is something; an empty text is one empty line, a null one has none.
+    """
+    lines = F.split(F.col(text), TEXT_BREAK, -1)
+    lines = F.when((F.size(lines) > 1) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    numbered = df.select(key, F.posexplode(lines).alias("n", "block"))
+    place = (F.col("n") + 1).cast("long")
+    return numbered.select(key, F.col("n").cast("string").alias("node_ref"), place.alias("first"), place.alias("last"), "block")
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")

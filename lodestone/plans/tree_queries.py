@@ -108,10 +108,10 @@ def json_nodes(spark, sf_dir):
     return trees.flatten_json(tables.read(spark, sf_dir, "events"), "event_id", "props").select("doc", "pre", "pointer", "kind", "value")
 
 
-@register("text_blocks", r"""SELECT doc_id, n AS first, n AS last, line AS block FROM (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''""")
+@register("text_blocks", r"""SELECT doc_id, (n - 1)::VARCHAR AS node_ref, n AS first, n AS last, block FROM (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS block
+    FROM (SELECT doc_id, CASE WHEN len(l) > 1 AND l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS l FROM documents)))""")
 def text_blocks(spark, sf_dir):
-    found = trees.text_blocks(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.withColumn("first", F.col("first").cast("long")).withColumn("last", F.col("last").cast("long"))
+    return trees.text_blocks(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @register("markdown_blocks", r"""SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[#*>`~=+_|-]|[0-9]', 'x', 'g'), '\n\s*\n')) AS block FROM documents) WHERE trim(regexp_replace(block, '\s', '', 'g')) <> '' GROUP BY 1""")

@@ -119,3 +119,10 @@ def test_markdown_blocks():
         ("heading", 1, 12, 13), ("quote", 0, 14, 15), ("rule", 0, 16, 16), ("paragraph", 0, 17, 17), ("fence", 0, 18, 19),
     ]
     assert trees.markdown_blocks("") == []
+
+
+def test_text_blocks_are_all_lines(spark):
+    texts = ["", "a", "a\n", "\n\n", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h\u2029", " \n\tx \n", "\x1fa b"]
+    frame = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, t string")
+    found = sorted((r.i, r.first, r.last, r.node_ref, r.block) for r in trees.text_blocks(frame, "i", "t").collect())
+    assert found == [(i, n + 1, n + 1, str(n), line) for i, t in enumerate(texts) for n, line in enumerate(t.splitlines() or [""])]
