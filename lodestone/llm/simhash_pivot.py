@@ -18,10 +18,14 @@ candidates therefore meet in cells of MinHash values instead (``BANDS`` of ``BAN
 0.8, 3 in a million share no cell). No cell is paired up: every text is first held against a leader,
 the least one of its cells that fingerprints and sizes allow (``MOST_BITS``). A text that is then in
 another component than some leader of its cells is held against all of that component, and against
-the others that are left over beside it, the ones most alike first; so every pair of a cell is decided
-or joined otherwise, whatever the cell's size. There pairs fall to a table of ``MARKS`` marks, the buckets that a set's
-members are in: what two sets have in common is no more than the marks that they share, and the
-members beyond one a mark. What is left is decided by the exact Jaccard similarity.
+the others that are left over beside it; so every pair of a cell is decided or joined otherwise,
+whatever the cell's size. No component is paired up there: its sets are told by their differences from
+what is usual in it. A set that is not like the usual one can be like another one only if they share
+more than half of the other's differences (``shared_least``), so it has one of any half of them; those
+that the other has beyond the usual come first, which hardly a third set has. Sets that are like the
+usual one and not like the set nearest to it (the centre, which is tried first) are told by their
+differences from that one. So most sets of a family never meet, and none is lost, whatever the centre;
+what meets is decided by the exact Jaccard similarity.
 
 Null texts and texts without words have fingerprint zero, linked like any other; as sets they equal
 each other alone. Copies share a fingerprint, and texts of equal sets a set's digest, and are joined
@@ -34,14 +38,17 @@ its least. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 from itertools import combinations
+from math import floor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import common
 from lodestone.llm.components import connected_components
@@ -57,9 +64,6 @@ _PAIRS = tuple(combinations(range(BLOCKS), 2))
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 MOST_BITS = 26
-#: Marks of a set, in columns of 64.
-MARKS = 1024
-_COLUMNS = tuple(f"m{i}" for i in range(MARKS // 64))
 #: Set members whose MinHash values are computed at once.
 MEMBERS_AT_ONCE = 1 << 11
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
@@ -306,15 +310,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return common.only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, fp long, node long, mark long, size long, cells array<long>")
 
 
-def marks_of(members: np.ndarray) -> np.ndarray:
-    """The buckets that a set's members are in, as bits of ``MARKS // 64`` numbers."""
-    bits = np.zeros(MARKS, np.uint8)
-    bits[(members >> np.uint64(20)).astype(np.int64) % MARKS] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Columns (node, members, m0...) for the wanted nodes (columns node, rep): the bytes of the sorted set, and its marks.
+    """Columns (node, members) for the wanted nodes (columns node, rep): the bytes of the sorted set.
 
     Here and where sets meet their pairs the join is a merge at any size, whose cost is in proportion.
     """
@@ -326,14 +323,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             own = np.array([set_digest(s) for s in sets], np.uint64).view(np.int64)
             right = np.flatnonzero(own == batch.column("wanted").to_numpy(zero_copy_only=False))
             take = np.array([i for i in right.tolist() if not (own[i] in done or done.add(own[i]))], np.int64)
-            marks = np.array([marks_of(sets[i]) for i in take], np.int64).reshape(-1, len(_COLUMNS))
-            columns = [pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary()), *(pa.array(marks[:, i]) for i in range(len(_COLUMNS)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", *_COLUMNS])
+            yield pa.RecordBatch.from_arrays([pa.array(own[take]), pa.array([sets[i].tobytes() for i in take], pa.binary())], names=["node", "members"])
 
     texts = common.only(docs, "doc_id", "text")
     wanted = wanted.select("rep", F.col("node").alias("wanted"))
     found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["rep"])).select("wanted", "text")
-    return found.mapInArrow(rows, "node long, members binary, " + ", ".join(f"{m} long" for m in _COLUMNS))
+    return found.mapInArrow(rows, "node long, members binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -361,11 +356,88 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
-def _may_be_alike(similarity: float) -> Column:
-    """Whether two sets (columns size, spare, m0... of each, the second's with a 2) may have the similarity, by their marks."""
-    both = reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"{m}_2"))) for m in _COLUMNS])
-    most = both + F.least("spare", "spare_2")
-    return (F.least("size", "size_2") >= similarity * F.greatest("size", "size_2") - 1e-9) & (most >= similarity * (F.col("size") + F.col("size_2") - most) - 1e-9)
+def shared_least(differences: int, size: int, centre: int, similarity: float) -> int:
+    """How many of its differences from a centre a set shares at least with any set that is like it and not like the centre.
+
+    For similarity s let b = (1 - s) / (1 + s): two sets are alike if they differ in b times the sum of their
+    sizes at most. One that is not like the centre differs from it in more than that. Differences from the
+    centre that both sets have cancel out between them, which gives more than (differences + b * (centre - size)) / 2.
+    """
+    s = Fraction(str(similarity))
+    b = (1 - s) / (1 + s)
+    return floor((differences + b * (centre - size)) / 2) + 1
+
+
+#: What a row of ``_told_apart`` says: the set is like the centre; one of the differences by which others meet it; one by which it meets others.
+LIKE, MET_BY, MEETS_BY = 0, 1, 2
+#: Sets from which the usual one is taken. Any gives the same pairs in the end; a fitting one lets fewer meet.
+USUAL_OF = 64
+
+
+def _usual(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Columns (home, usual): of some sets held against each other the shingles that most have."""
+
+    def most(some: pa.Table) -> pa.Table:
+        values, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in some.column("members").to_pylist()]), return_counts=True)
+        return pa.table({"home": some.column("home")[:1], "usual": [values[2 * counts > len(some)].tobytes()]})
+
+    order = Window.partitionBy("home").orderBy(F.xxhash64("node"), "node")
+    some = held.select("home", "node").withColumn("at", F.row_number().over(order)).where(F.col("at") <= USUAL_OF)
+    return some.select("home", "node").join(sets.hint("merge"), "node").groupBy("home").applyInArrow(most, "home long, usual binary")
+
+
+def _centres(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Columns (home, heart, heart_root, centre, usual): of all sets held against each other the one nearest to what is usual among them."""
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("members").to_pylist(), batch.column("usual").to_pylist(), strict=True)
+            apart = [len(np.setxor1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("home", "node", "root")), pa.array(apart, pa.int64())], names=["home", "node", "root", "apart"])
+
+    usual = common.written(_usual(held, sets), "usual")
+    each = held.join(sets.hint("merge"), "node").join(usual.hint("merge"), "home").select("home", "node", "root", "members", "usual")
+    found = each.mapInArrow(distances, "home long, node long, root long, apart long").groupBy("home").agg(F.min(F.struct("apart", "node", "root")).alias("best"))
+    found = found.select("home", F.col("best.node").alias("heart"), F.col("best.root").alias("heart_root"))
+    return found.join(sets.select(F.col("node").alias("heart"), F.col("members").alias("centre")).hint("merge"), "heart").join(usual, "home")
+
+
+def _told_apart(held: DataFrame, similarity: float) -> DataFrame:
+    """Columns (home, node, root, heart, kind, part, apart, size, least) from (home, node, root, asks, members, heart, centre, usual): what sets share with others.
+
+    A set that asks is told to be like its centre, or meets others by any of its differences: from the
+    usual shingles if it is not like these, else from the centre, told by ``part``'s lowest bit. Every
+    set is met by the fewest of its differences, of either kind, that no set like it can all lack.
+    ``apart``: how many differences it has; ``least``: how many of them a set like it has.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, np.ndarray, int, int, int]] = []
+            for i, (asks, *sets) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("asks", "members", "centre", "usual")), strict=True)):
+                own, centre, usual = (np.frombuffer(x, np.uint64) for x in sets)
+                parts = []
+                for kind, other in ((0, usual), (1, centre)):
+                    if kind and np.array_equal(centre, usual):
+                        break
+                    apart = np.concatenate([np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)])
+                    apart = (apart & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+                    least = shared_least(len(apart), len(own), len(other), similarity)
+                    found.append((i, MET_BY, apart[: len(apart) - least + 1], len(apart), len(own), least))
+                    parts.append(apart)
+                if asks and alike(own, centre, similarity):
+                    found.append((i, LIKE, np.zeros(1, np.int64), 0, 0, 0))
+                elif asks:
+                    apart = parts[-1 if alike(own, usual, similarity) else 0]
+                    found.append((i, MEETS_BY, apart, len(apart), len(own), 0))
+            counts = np.array([len(x[2]) for x in found], np.int64)
+            at, kinds, *sizes = (pa.array(np.repeat(np.array([x[c] for x in found], np.int64), counts)) for c in (0, 1, 3, 4, 5))
+            parts = pa.array(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.int64))
+            own = [batch.column(c).take(at) for c in ("home", "node", "root", "heart")]
+            yield pa.RecordBatch.from_arrays([*own, kinds, parts, *sizes], names=names)
+
+    names = ["home", "node", "root", "heart", "kind", "part", "apart", "size", "least"]
+    return held.select("home", "node", "root", "heart", "asks", "members", "centre", "usual").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
 def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -389,26 +461,22 @@ def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, simil
     strays = common.written(placed.where("root <> home").distinct(), "strays")
     if strays.isEmpty():
         return settled
-    # A set of eight bytes a member; what its members have beyond one a mark can be shared unseen.
-    marked = sum((F.bit_count(m) for m in _COLUMNS), F.lit(0))
-    size = F.octet_length("members") / 8
-    table = common.written(sets.select("node", size.cast("long").alias("size"), (size - marked).cast("long").alias("spare"), *_COLUMNS).join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "marks")
-    asking = common.written(strays.select("node", "home").join(table, "node"), "asking")
-    held = table.withColumn("home", F.col("root")).select(asking.columns).unionByName(asking)
-    names = {"node": "other", "root": "root_2", "size": "size_2", "spare": "spare_2", **{m: f"{m}_2" for m in _COLUMNS}}
-    against = common.written(held.withColumnsRenamed(names), "held")
-    roots = table.select("node", "root").distinct()
-    shared = reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"{m}_2"))) for m in _COLUMNS])
-    for best_only in (True, True, False):  # the one most alike first: a text that it joins to a component needs no other there
-        now = roots.select("node", F.col("root").alias("now"))
-        own = asking.join(now, "node").withColumn("root", F.col("now")).drop("now")
-        others = against.join(now.withColumnRenamed("node", "other"), "other").withColumn("root_2", F.col("now")).drop("now")
-        met = common.written(own, "own").join(common.written(others, "others"), "home").where((F.col("root") != F.col("root_2")) & _may_be_alike(similarity))
-        if best_only:
-            met = met.groupBy("node").agg(F.max(F.struct(shared.alias("shared"), "other")).alias("best")).select("node", "best.other")
-        fresh = _confirmed(common.written(_in_order(met.select("node", "other")), "pairs"), sets, similarity)
-        roots = _joined_roots(fresh, roots)
-    return roots.where("node <> root")
+    rooted = common.written(sets.select("node").join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    inside = rooted.join(strays.select("home").distinct(), F.col("root") == F.col("home")).select("home", "node", "root", F.lit(False).alias("asks"))
+    held = common.written(inside.unionByName(strays.select("home", "node", "root", F.lit(True).alias("asks"))), "held")
+    centres = common.written(_centres(held, sets), "centres")
+    # Sets of the component ask too where the centre is not one of it; else being like the centre settles a set.
+    held = held.join(sets.hint("merge"), "node").join(centres.hint("merge"), "home").withColumn("asks", F.col("asks") | (F.col("heart_root") != F.col("home")))
+    told = common.written(_told_apart(held, similarity), "differences")
+    like = told.where(F.col("kind") == LIKE).select(F.col("heart").alias("u"), F.col("node").alias("v"))
+    met = told.where(F.col("kind") == MET_BY).select("home", "part", F.col("node").alias("other"), F.col("root").alias("root_2"), F.col("apart").alias("apart_2"), F.col("size").alias("size_2"), F.col("least").alias("least_2"))
+    pairs = told.where(F.col("kind") == MEETS_BY).select("home", "part", "node", "root", "apart", "size").join(met, ["home", "part"]).where("root <> root_2")
+    # Beside those that they were met by, two sets share no more differences than the other holds back.
+    share = (1 - similarity) / (1 + similarity)
+    needed = F.ceil((F.col("apart") + F.col("apart_2") - share * (F.col("size") + F.col("size_2"))) / 2 - 1e-6)
+    pairs = pairs.groupBy("home", "node", "other", "apart", "apart_2", "size", "size_2", "least_2").agg(F.count("*").alias("met")).where(F.col("met") + F.col("least_2") - 1 >= needed)
+    fresh = _confirmed(common.written(_in_order(pairs.select("node", "other")), "pairs"), sets, similarity)
+    return _joined_roots(fresh.unionByName(like), rooted).where("node <> root")
 
 
 def _joined_roots(links: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from lodestone.llm import components, simhash_pivot
@@ -135,7 +137,7 @@ def edited_copies(seed, families, copies):
 
 @pytest.mark.parametrize("most_bits", [26, 0])
 def test_similar_texts(spark, monkeypatch, most_bits):
-    """With no bits hardly a leader is asked, and the marks have to find every pair."""
+    """With no bits hardly a leader is asked, and the differences have to find every pair."""
     monkeypatch.setattr(simhash_pivot, "MOST_BITS", most_bits)
     texts = edited_copies(7, 5, 6) | {1000: "a b c", 1001: "A  b c", 1002: "a b d", 1003: None, 1004: " "}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -163,15 +165,46 @@ def test_pairs_at_the_limit_pass_the_filter(size):
     assert max(apart) <= simhash_pivot.MOST_BITS
 
 
-@pytest.mark.parametrize("size", [1, 3, 40, 900, 3000])
-def test_marks_bound_what_sets_share(size):
-    draw = np.random.default_rng(size)
-    pool = draw.integers(0, 1 << 63, 2 * size).astype(np.uint64)
-    for _ in range(20):
-        a, b = (np.unique(draw.choice(pool, size)) for _ in range(2))
-        own, other = (simhash_pivot.marks_of(x).view(np.uint64) for x in (a, b))
-        spare = min(len(x) - int(np.bitwise_count(m).sum()) for x, m in ((a, own), (b, other)))
-        assert len(np.intersect1d(a, b)) <= int(np.bitwise_count(own & other).sum()) + spare
+@given(st.integers(0, 10**9))
+@settings(max_examples=300, deadline=None)
+def test_alike_sets_share_differences_from_a_centre(seed):
+    """Of two alike sets of which one is not like the centre, the other's first differences hold one that both have."""
+    draw = random.Random(seed)
+    n = draw.choice([3, 9, 30, 100])
+    centre = set(range(n))
+
+    def edited(base, most):
+        gone = set(draw.sample(sorted(base), min(len(base) - 1, draw.randrange(most + 1))))
+        return base - gone | {draw.randrange(1000, 1000 + 3 * n) for _ in range(draw.randrange(most + 1))}
+
+    first = edited(centre, n // 2 + 1)
+    second = edited(first, n // 6 + 1)
+    array = lambda x: np.array(sorted(x), np.uint64)
+    for x, y in ((first, second), (second, first)):
+        if simhash_pivot.alike(array(x), array(y), 0.8) and not simhash_pivot.alike(array(x), array(centre), 0.8):
+            parts = [*sorted(y - centre), *sorted(centre - y)]
+            least = simhash_pivot.shared_least(len(parts), len(y), n, 0.8)
+            assert len((x ^ centre) & (y ^ centre)) >= least
+            assert set(parts[: len(parts) - least + 1]) & (x ^ centre)
+
+
+def test_a_family_of_which_a_third_strays_is_not_paired_up(spark, monkeypatch):
+    """The sets that meet grow with the family, not with its square."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    counts = []
+    confirmed = simhash_pivot._confirmed
+    monkeypatch.setattr(simhash_pivot, "_confirmed", lambda pairs, *rest: counts.append(pairs.count()) or confirmed(pairs, *rest))
+    for copies in (60, 120):
+        texts = {}
+        for i in range(copies):
+            own = list(words)
+            for _ in range(draw.choice([1, 2, 6])):
+                own[draw.randrange(150)] = f"v{draw.randrange(10**6)}"
+            texts[i] = " ".join(own)
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in simhash_pivot.near_duplicates(docs).collect()} == brute_groups(texts)
+    assert counts[0] <= 60 and counts[1] <= 60 and counts[2] <= 120 and counts[3] <= 120
 
 
 def test_stage_removes_edited_copies(spark, small_dir):
