@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import re
 from array import array
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +168,11 @@ def longest_runs(item: list[int], doc: list[int], least: int) -> list[tuple[int,
 
 
 def tile(item: list[int], doc: list[int], least: int = SEED, first: int = FIRST_WINDOW, most_matches: int = MOST_MATCHES) -> list[tuple[int, int, int]]:
-    """Tiles (place in the item, place in the document, length), longest first."""
+    """Tiles (place in the item, place in the document, length), longest first.
+
+    Always the longest match of unmarked words is the next tile; of several the first in the item, then in
+    the document. What is left of a match that a tile has cut waits with the others, by its new length.
+    """
     item_marked, doc_marked = [False] * len(item), [t < 0 for t in doc]
     tiles: list[tuple[int, int, int]] = []
     size = max(least, min(first, len(item)))
@@ -179,41 +184,35 @@ def tile(item: list[int], doc: list[int], least: int = SEED, first: int = FIRST_
         if sum(len(places.get(value, ())) for _, value in starts) > most_matches:
             return longest_runs(item, doc, least)
         matches: list[tuple[int, int, int]] = []
-        longest = 0
         for i, value in starts:
             for at in places.get(value, ()):
+                if i and at and item[i - 1] == doc[at - 1] and not item_marked[i - 1] and not doc_marked[at - 1]:
+                    continue  # a part of the match that begins before
                 n = 0
                 while i + n < len(item) and at + n < len(doc) and item[i + n] == doc[at + n] and not item_marked[i + n] and not doc_marked[at + n]:
                     n += 1
                 if n >= size:
-                    matches.append((n, i, at))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
+                    matches.append((-n, i, at))
+        if matches and -min(matches)[0] > 2 * size:
+            size = -min(matches)[0]
             continue
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        for n, i, at in matches:
-            if not any(item_marked[i : i + n]) and not any(doc_marked[at : at + n]):
-                item_marked[i : i + n] = doc_marked[at : at + n] = [True] * n
-                tiles.append((i, at, n))
+        heapq.heapify(matches)
+        while matches:
+            n, i, at = heapq.heappop(matches)
+            free = [not (item_marked[i + k] or doc_marked[at + k]) for k in range(-n)]
+            if all(free):
+                item_marked[i : i - n] = doc_marked[at : at - n] = [True] * -n
+                tiles.append((i, at, -n))
+                continue
+            for whole, part in groupby(range(-n), free.__getitem__):
+                own = list(part)
+                if whole and len(own) >= size:  # shorter ones are found with a shorter window
+                    heapq.heappush(matches, (-len(own), i + own[0], at + own[0]))
         if size == least:
-            if not _left(matches, item_marked, doc_marked, least):
-                return sorted(tiles, key=lambda t: (-t[2], t[0]))
-            continue
+            return sorted(tiles, key=lambda t: (-t[2], t[0]))
         size = max(least, size // 2)
 
 
-def _left(matches: list[tuple[int, int, int]], item_marked: list[bool], doc_marked: list[bool], least: int) -> bool:
-    """Whether marking has left ``least`` words in a row of any match."""
-    for n, i, at in matches:
-        run = 0
-        for k in range(n):
-            run = 0 if item_marked[i + k] or doc_marked[at + k] else run + 1
-            if run == least:
-                return True
-    return False
-
-
 def _zones(starts: np.ndarray, ids: np.ndarray, seed: int) -> tuple[list[int], list[int]]:
     """The words under seed hits, zones set apart by a negative number, and their places."""
     tokens: list[int] = []

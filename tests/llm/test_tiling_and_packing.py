@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import common, mixture_packing, registry, simhash_pivot, string_tiling
@@ -235,3 +236,15 @@ def test_pipeline_of_odd_documents(spark, odd_docs, no_docs, small_dir):
             docs = common.written(stage(spark, docs, small_dir), "odd")
             assert docs.columns == start.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, small_dir).count() >= 0
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_both_ways_of_tiling_give_the_same_tiles(seed):
+    draw = random.Random(seed)
+    kinds = draw.choice([2, 2, 3, 5])
+    item, doc = ([draw.randrange(kinds) for _ in range(draw.randrange(5, 60))] for _ in range(2))
+    doc = [-1 if draw.random() < 0.02 else t for t in doc]
+    least = draw.choice([2, 3, 5])
+    tiles = string_tiling.tile(item, doc, least, first=draw.choice([least, 8, 20]))
+    assert tiles == string_tiling.longest_runs(item, doc, least)
+    assert [n for _, _, n in tiles] == sorted((n for _, _, n in tiles), reverse=True)
