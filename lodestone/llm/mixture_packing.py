@@ -258,6 +258,20 @@ def queues(table: DataFrame, most: int = MOST_QUEUES) -> DataFrame:
     return table.join(F.broadcast(longest), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(OTHERS)))  # most - 1 rows
 
 
+def queue_weights(table: DataFrame, weights: Mapping[str, float] | str | None) -> Mapping[str, float] | None:
+    """The weight of each queue: that of its source, or of all the sources that ``OTHERS`` holds together."""
+    if weights is None:
+        return None
+    own = table.select("queue", "source").distinct()
+    if weights != EVEN:
+        if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+            raise ValueError("weights must be finite and not negative")
+        given = table.sparkSession.createDataFrame([(n, float(w)) for n, w in weights.items()], "source string, weight double")
+        own = own.join(given, "source", "left")
+    found = own.groupBy("queue").agg(F.count("*").alias("n") if weights == EVEN else F.coalesce(F.sum("weight"), F.lit(0.0)).alias("n"))
+    return {r["queue"]: float(r["n"]) for r in found.collect()}  # a row a queue
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[str, float] | str | None = None, window: int = WINDOW_TOKENS, end_id: int = END_ID, most_queues: int = MOST_QUEUES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
@@ -270,6 +284,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, weights: Mapping[st
     queued = table.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
     sums = common.written(queued.groupBy("queue", "slot").agg(F.sum("n_tokens").alias("slot_tokens")), "slots")
     totals = {r["queue"]: r["total"] for r in sums.groupBy("queue").agg(F.sum("slot_tokens").alias("total")).collect()}  # most_queues rows
+    if OTHERS in totals:
+        weights = queue_weights(table, weights)
     plan = schedule(totals, dict.fromkeys(totals, 1.0) if weights == EVEN else weights, window)
     earlier = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("queue", "slot", F.coalesce(F.sum("slot_tokens").over(earlier), F.lit(0)).alias("slot_begin"))

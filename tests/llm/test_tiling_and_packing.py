@@ -248,3 +248,14 @@ def test_both_ways_of_tiling_give_the_same_tiles(seed):
     tiles = string_tiling.tile(item, doc, least, first=draw.choice([least, 8, 20]))
     assert tiles == string_tiling.longest_runs(item, doc, least)
     assert [n for _, _, n in tiles] == sorted((n for _, _, n in tiles), reverse=True)
+
+
+@pytest.mark.parametrize("weights", [mixture_packing.EVEN, {"s0": 4.0, "s7": 2.0, "s8": 2.0, "none": 9.0}])
+def test_sources_that_share_a_queue_keep_their_joint_share(spark, weights):
+    rows = [(100 * s + i, f"word {s} " * (40 + 20 * (s < 3)), f"s{s}") for s in range(9) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixture_packing.pack(frame, weights=weights, window=256, most_queues=4).where("sequence_id < 3").groupBy("source").agg(F.sum("length").alias("n")).collect()
+    sent = {r.source: r.n for r in found}
+    small = sum(n for s, n in sent.items() if int(s[1:]) > 2)
+    expected = 6 / 9 if weights == mixture_packing.EVEN else 4 / 8
+    assert abs(small / sum(sent.values()) - expected) < 0.01
