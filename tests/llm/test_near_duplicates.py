@@ -207,6 +207,44 @@ def test_a_family_of_which_a_third_strays_is_not_paired_up(spark, monkeypatch):
     assert counts[0] <= 60 and counts[1] <= 60 and counts[2] <= 120 and counts[3] <= 120
 
 
+def brute_entries(members, band):
+    """Distances to all pivots of a band's fingerprint, by sorting the members in each of its orders."""
+    first = []
+    for order in range(band * simhash_pivot.BAND_ROWS, (band + 1) * simhash_pivot.BAND_ROWS):
+        mask, factor = int(simhash_pivot._MASKS[order, 0]), int(simhash_pivot._FACTORS[order, 0])
+        first.append(min(members, key=lambda m: (m ^ mask) * factor % (1 << 64)))
+    print_ = sum(1 << bit for bit in range(64) if 2 * sum(m >> bit & 1 for m in first) > len(first))
+    return tuple((print_ ^ int(pivot)).bit_count() for pivot in simhash_pivot.PIVOTS)
+
+
+def test_cells_of_sets_come_from_the_pivot_table(monkeypatch):
+    """Two sets meet in a band's cell where the table has the same distances for their fingerprints, and only there."""
+    draw = random.Random(8)
+    asked = []
+    table = simhash_pivot.distance_table
+    monkeypatch.setattr(simhash_pivot, "distance_table", lambda prints, *rest: asked.append(len(prints)) or table(prints, *rest))
+    base = [draw.getrandbits(64) for _ in range(40)]
+    sets = [sorted({*base[n:], *(draw.getrandbits(64) for _ in range(n))}) for n in (0, 0, 2, 4, 8, 39)] + [base[:1]]
+    keys = [simhash_pivot.band_keys(np.array(s, np.uint64)) for s in sets]
+    assert asked == [simhash_pivot.BANDS] * len(sets)
+    same = 0
+    for band in range(simhash_pivot.BANDS):
+        entries = [brute_entries(s, band) for s in sets]
+        assert [[a == b for b in entries] for a in entries] == [[a[band] == b[band] for b in keys] for a in keys]
+        same += entries[0] == entries[3]
+    assert 0 < same < simhash_pivot.BANDS
+
+
+@pytest.mark.parametrize("size", [5, 10, 45, 180])
+def test_alike_sets_share_a_cell(size):
+    """At the limit: one in five of the smaller set's size is missing from it."""
+    draw = np.random.default_rng(size)
+    for _ in range(300):
+        whole = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+        part = np.sort(draw.permutation(whole)[: -(-size * 4 // 5)])
+        assert simhash_pivot.alike(whole, part, 0.8) and (simhash_pivot.band_keys(whole) == simhash_pivot.band_keys(part)).any()
+
+
 def test_stage_removes_edited_copies(spark, small_dir):
     texts = edited_copies(11, 20, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
