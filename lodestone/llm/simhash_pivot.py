@@ -23,8 +23,8 @@ another component than some leader of its cells is held against all of that comp
 the others that are left over beside it; so every pair of a cell is decided or joined otherwise,
 whatever the cell's size. No component is paired up there: its sets are told by their differences from
 what is usual in it. A set that is not like the usual one can be like another one only if they share
-more than half of the other's differences (``shared_least``), so it has one of any half of them; those
-that the other has beyond the usual come first, which hardly a third set has. Sets that are like the
+more than half of the other's differences (``shared_least``), so it has one of any half of them; the
+half is taken that the fewest sets ask for, and a set that asks likewise uses its first differences alone. Sets that are like the
 usual one and not like the set nearest to it (the centre, which is tried first) are told by their
 differences from that one. So most sets of a family never meet, and none is lost, whatever the centre;
 what meets is decided by the exact Jaccard similarity.
@@ -384,8 +384,8 @@ def shared_least(differences: int, size: int, centre: int, similarity: float) ->
     return floor((differences + b * (centre - size)) / 2) + 1
 
 
-#: What a row of ``_told_apart`` says: the set is like the centre; one of the differences by which others meet it; one by which it meets others.
-LIKE, MET_BY, MEETS_BY = 0, 1, 2
+#: What a row of ``_told_apart`` says: the set is like the centre; one of its differences; one by which it also meets others.
+LIKE, DIFFERS, MEETS_BY = 0, 1, 2
 #: Sets from which the usual one is taken. Any gives the same pairs in the end; a fitting one lets fewer meet.
 USUAL_OF = 64
 
@@ -422,8 +422,8 @@ def _told_apart(held: DataFrame, similarity: float) -> DataFrame:
     """Columns (home, node, root, heart, kind, part, apart, size, least) from (home, node, root, asks, members, heart, centre, usual): what sets share with others.
 
     A set that asks is told to be like its centre, or meets others by any of its differences: from the
-    usual shingles if it is not like these, else from the centre, told by ``part``'s lowest bit. Every
-    set is met by the fewest of its differences, of either kind, that no set like it can all lack.
+    usual shingles if it is not like these, else from the centre, told by ``part``'s lowest bit. Of every
+    set all differences of either kind are told, by the first of which it is met (``_first_parts``).
     ``apart``: how many differences it has; ``least``: how many of them a set like it has.
     """
 
@@ -432,20 +432,20 @@ def _told_apart(held: DataFrame, similarity: float) -> DataFrame:
             found: list[tuple[int, int, np.ndarray, int, int, int]] = []
             for i, (asks, *sets) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("asks", "members", "centre", "usual")), strict=True)):
                 own, centre, usual = (np.frombuffer(x, np.uint64) for x in sets)
-                parts = []
+                parts: list[tuple[int, int, np.ndarray, int, int, int]] = []
                 for kind, other in ((0, usual), (1, centre)):
                     if kind and np.array_equal(centre, usual):
                         break
                     apart = np.concatenate([np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)])
                     apart = (apart & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
                     least = shared_least(len(apart), len(own), len(other), similarity)
-                    found.append((i, MET_BY, apart[: len(apart) - least + 1], len(apart), len(own), least))
-                    parts.append(apart)
+                    parts.append((i, DIFFERS, apart, len(apart), len(own), least))
                 if asks and alike(own, centre, similarity):
-                    found.append((i, LIKE, np.zeros(1, np.int64), 0, 0, 0))
+                    parts.append((i, LIKE, np.zeros(1, np.int64), 0, 0, 0))
                 elif asks:
-                    apart = parts[-1 if alike(own, usual, similarity) else 0]
-                    found.append((i, MEETS_BY, apart, len(apart), len(own), 0))
+                    at = -1 if alike(own, usual, similarity) else 0
+                    parts[at] = (i, MEETS_BY, *parts[at][2:])
+                found += parts
             counts = np.array([len(x[2]) for x in found], np.int64)
             at, kinds, *sizes = (pa.array(np.repeat(np.array([x[c] for x in found], np.int64), counts)) for c in (0, 1, 3, 4, 5))
             parts = pa.array(np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.int64))
@@ -456,6 +456,24 @@ def _told_apart(held: DataFrame, similarity: float) -> DataFrame:
     return held.select("home", "node", "root", "heart", "asks", "members", "centre", "usual").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
+def _first_parts(told: DataFrame, similarity: float) -> DataFrame:
+    """Of the told differences those by which sets meet: columns asks and met say on which side, held how many the asking side holds back.
+
+    All sets of a home have their differences in one order, those by which the fewest ask first: a
+    passage that many texts share, or a shingle that many copies lack, comes last. The first one that two
+    alike sets share lies so far in front on either side that the others they share have room after it:
+    a set that asks shares all but (1 - s) / s times its size, one that is met ``least``.
+    """
+    differences = told.where(F.col("kind") != LIKE)
+    askers = differences.where(F.col("kind") == MEETS_BY).groupBy("home", "part").agg(F.count("*").alias("askers"))
+    order = Window.partitionBy("home", "node", F.col("part").bitwiseAND(1)).orderBy("askers", "part")
+    placed = differences.join(common.written(askers, "askers"), ["home", "part"], "left").withColumn("askers", F.coalesce("askers", F.lit(0))).withColumn("at", F.row_number().over(order))
+    room = F.least("apart", F.floor((1 - similarity) / similarity * F.col("size") + 1e-6) + 1)
+    placed = placed.withColumn("asks", (F.col("kind") == MEETS_BY) & (F.col("at") <= room)).withColumn("held", F.col("apart") - room)
+    placed = placed.withColumn("met", (F.col("at") <= F.col("apart") - F.col("least") + 1) & (F.col("askers") > (F.col("kind") == MEETS_BY).cast("int")))
+    return placed.where("asks OR met").drop("askers", "at", "kind")
+
+
 def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Columns (node, root) that join distinct sets (columns node, rep, mark, size, cells) into components of alike sets."""
     own = distinct.select("node", "mark", "size", F.explode("cells").alias("cell"))
@@ -485,12 +503,14 @@ def similar_components(docs: DataFrame, distinct: DataFrame, shingle: int, simil
     held = held.join(sets.hint("merge"), "node").join(centres.hint("merge"), "home").withColumn("asks", F.col("asks") | (F.col("heart_root") != F.col("home")))
     told = common.written(_told_apart(held, similarity), "differences")
     like = told.where(F.col("kind") == LIKE).select(F.col("heart").alias("u"), F.col("node").alias("v"))
-    met = told.where(F.col("kind") == MET_BY).select("home", "part", F.col("node").alias("other"), F.col("root").alias("root_2"), F.col("apart").alias("apart_2"), F.col("size").alias("size_2"), F.col("least").alias("least_2"))
-    pairs = told.where(F.col("kind") == MEETS_BY).select("home", "part", "node", "root", "apart", "size").join(met, ["home", "part"]).where("root <> root_2")
-    # Beside those that they were met by, two sets share no more differences than the other holds back.
+    first = common.written(_first_parts(told, similarity), "first")
+    met = first.where("met").select("home", "part", F.col("node").alias("other"), F.col("root").alias("root_2"), F.col("apart").alias("apart_2"), F.col("size").alias("size_2"), F.col("least").alias("least_2"))
+    pairs = first.where("asks").select("home", "part", "node", "root", "apart", "size", "held").join(met, ["home", "part"]).where("root <> root_2")
+    # Beside those by which they met, two sets share no more differences than the side that ends first holds back.
     share = (1 - similarity) / (1 + similarity)
     needed = F.ceil((F.col("apart") + F.col("apart_2") - share * (F.col("size") + F.col("size_2"))) / 2 - 1e-6)
-    pairs = pairs.groupBy("home", "node", "other", "apart", "apart_2", "size", "size_2", "least_2").agg(F.count("*").alias("met")).where(F.col("met") + F.col("least_2") - 1 >= needed)
+    pairs = pairs.groupBy("home", "node", "other", "apart", "apart_2", "size", "size_2", "held", "least_2").agg(F.count("*").alias("met"))
+    pairs = pairs.where(F.col("met") + F.greatest(F.col("least_2") - 1, "held") >= needed)
     fresh = _confirmed(common.written(_in_order(pairs.select("node", "other")), "pairs"), sets, similarity)
     return _joined_roots(fresh.unionByName(like), rooted).where("node <> root")
 

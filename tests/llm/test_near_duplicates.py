@@ -245,6 +245,21 @@ def test_alike_sets_share_a_cell(size):
         assert simhash_pivot.alike(whole, part, 0.8) and (simhash_pivot.band_keys(whole) == simhash_pivot.band_keys(part)).any()
 
 
+def test_sets_meet_by_what_the_fewest_differ_by(spark):
+    """Shingles that all copies lack come last though they are least, on both sides."""
+    draw = random.Random(9)
+    rare = {node: [draw.randrange(1000, 10**9) * 2 for _ in range(10)] for node in range(60)}
+    rare[1] = rare[0][:1] + rare[1][1:]
+    rows = [(7, node, node, 0, simhash_pivot.MEETS_BY, part, 20, 36, 11) for node in rare for part in [*range(0, 20, 2), *rare[node]]]
+    told = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("home", "node", "root", "heart", "kind", "part", "apart", "size", "least")))
+    first = simhash_pivot._first_parts(told, 0.8).collect()
+    assert sorted((r.node, r.part) for r in first if r.met) == [(0, rare[0][0]), (1, rare[0][0])]
+    assert sorted((r.node, r.part) for r in first if r.asks) == sorted((n, part) for n in rare for part in rare[n]) and {r.held for r in first} == {10}
+    more = simhash_pivot._first_parts(told.withColumn("least", told["least"] - 3), 0.8)  # three places more than there are rare ones
+    found = [r.part for r in more.where("met").collect()]
+    assert len(found) == 2 + 3 * 60 and set(found) == {0, 2, 4, rare[0][0]}
+
+
 def test_stage_removes_edited_copies(spark, small_dir):
     texts = edited_copies(11, 20, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
