@@ -140,3 +140,26 @@ def test_batches_of_late_rows_alone_are_combined():
     out = pa.Table.from_batches(list(window_panes.combined(iter([batch([True] * 3), batch([False] * 3)])))).to_pylist()
     assert sorted(r["click_id"] for r in out if r["late"]) == [1, 2, 3]
     assert sorted((r["hour"], r["n"], r["cents"]) for r in out if not r["late"]) == [(5, 2, 5), (6, 1, 4)]
+
+
+def test_state_lies_in_files_though_the_session_has_rocksdb(spark, tmp_path, monkeypatch):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    monkeypatch.setattr(common, "scratch", lambda _, label: f"{tmp_path}/{label}")
+    rows = drawn(2, 80)
+    spark.conf.set(provider, window_panes.ROCKSDB)
+    try:
+        assert found(spark, rows, Panes(batches=3)) == brute(rows, 3)
+        assert spark.conf.get(provider) == window_panes.ROCKSDB
+    finally:
+        spark.conf.unset(provider)
+    kept = {p.suffix for p in tmp_path.glob("panes/checkpoint/state/0/*/*") if not p.name.startswith(".")}
+    assert ".delta" in kept and not kept & {".changelog", ".zip"}  # a store of RocksDB leaves native memory behind whenever it is opened
+
+
+def test_sums_beyond_doubles_pass_through_the_stream(spark):
+    start = datetime(2024, 1, 1)
+    values = [2e14, 2e14, 0.01, 0.03, -1e14, 0.05]
+    rows = [(6 * day + i, start + timedelta(days=day, hours=i % 3), start + timedelta(days=day), "a", value) for day in range(3) for i, value in enumerate(values)]
+    got = found(spark, rows, Panes(batches=4))
+    assert got == brute(rows, 4)
+    assert any(abs(r[4]) > 2**53 and r[4] % 2 for r in got)
