@@ -126,3 +126,29 @@ def test_text_blocks_are_all_lines(spark):
     frame = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, t string")
     found = sorted((r.i, r.first, r.last, r.node_ref, r.block) for r in trees.text_blocks(frame, "i", "t").collect())
     assert found == [(i, n + 1, n + 1, str(n), line) for i, t in enumerate(texts) for n, line in enumerate(t.splitlines() or [""])]
+
+
+def test_nodes_of_some_kinds_keep_their_numbers(spark):
+    every = trees.python_nodes(SOURCE_OF_KINDS)
+    for kinds in (["class", "method"], ["import", "stmt"], []):
+        assert trees.python_nodes(SOURCE_OF_KINDS, kinds) == [r for r in every if r[5] in kinds]
+    frame = spark.createDataFrame([(1, SOURCE_OF_KINDS), (2, "x = ("), (3, None)], "i int, s string")
+    found = trees.python_tree(frame, "i", "s", ["method"])
+    assert [(r.doc, r.qualname, r.pre) for r in found.collect()] == [(1, r[7], r[0]) for r in every if r[5] == "method"]
+
+
+def test_sources_are_dealt_out(spark, small_dir):
+    from lodestone.plans import source_queries
+
+    assert source_queries._sources(spark, small_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+SOURCE_OF_KINDS = """import a
+class A:
+    def one(self):
+        if a:
+            def two(): pass
+        return [x for x in a]
+    class B:
+        async def three(self): ...
+"""
