@@ -1,5 +1,7 @@
 """Measures of Python sources."""
 
+import ast
+
 import pytest
 
 from lodestone.operators import python_source as source
@@ -88,6 +90,49 @@ def rows(frame, *columns):
     return [tuple(r[c] for c in columns) for r in frame.orderBy("doc", "line").collect()] if "line" in frame.columns else [tuple(r[c] for c in columns) for r in frame.collect()]
 
 
+NESTED = """
+def a(x):
+    if x and 1 or 2:
+        async def b():
+            async for i in x:
+                y = 1 if i else (2 if x else 3)
+            class C:
+                def c(self, d=lambda: 1 if 2 else 3):
+                    match d:
+                        case 1: pass
+                        case _: pass
+                    with d: return [z for z in d if z]
+    try:
+        pass
+    except E:
+        while x: pass
+@(g if h else i)
+def j(): pass
+"""
+
+
+def test_complexities_are_those_of_each_function_alone():
+    from pathlib import Path
+
+    for text in (NESTED, "", *(p.read_text() for p in Path(source.__file__).parent.glob("*.py"))):
+        root = ast.parse(text)
+        alone = [(q, n.lineno, source.cyclomatic(n)) for n, _, q in source._definitions(root) if isinstance(n, source.FUNCTIONS)]
+        assert source.complexities(root) == alone
+
+
+def test_sources_are_parsed_once(spark, tmp_path):
+    frame = spark.createDataFrame([(f"{i}.py", f"def f{i}(x):\n    return x or {i}") for i in range(40)], "f string, s string").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = source.complexity(frame.mapInArrow(counted, frame.schema), "f", "s")
+    assert [r.doc for r in found.collect()] == sorted(f"{i}.py" for i in range(40)) and seen.value == 40
+
+
 def test_complexity(sources):
     found = dict(rows(source.complexity(sources, "f", "s").where("doc = 'm'"), "qualname", "complexity"))
     assert found["branches"] == 1 + 1 + 2 + 1 + 1 + 1 + 1 + 1 + 2 + 1
