@@ -1,6 +1,7 @@
 """Selectors and node tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import selector, trees
 
@@ -143,6 +144,16 @@ def test_sources_are_dealt_out(spark, small_dir):
     assert source_queries._sources(spark, small_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_selectors_on_nodes_of_some_kinds(spark):
+    frame = spark.createDataFrame([(i, SOURCE_OF_KINDS) for i in range(3)], "i int, s string")
+    kinds = ["module", "class", "method", "function"]
+    every = trees.python_tree(frame, "i", "s").where(F.col("kind").isin(kinds))
+    some = trees.python_tree(frame, "i", "s", kinds)
+    for form in ("class > method", "class//function", "method:last", "//ClassDef//FunctionDef"):
+        found = [sorted((r.doc, r.pre, r.post) for r in selector.select(nodes, form).collect()) for nodes in (every, some)]
+        assert found[0] == found[1] and found[0]
+
+
 SOURCE_OF_KINDS = """import a
 class A:
     def one(self):
