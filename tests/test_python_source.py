@@ -5,6 +5,7 @@ import ast
 import pytest
 
 from lodestone.operators import python_source as source
+from lodestone.operators import trees
 
 TEXT = '''"""Module."""
 import abc
@@ -202,3 +203,12 @@ def test_normal_form():
     assert hash_of("def a(x: int): return x") != hash_of("def a(x): return x")
     assert hash_of("def a(x): return None") != hash_of("def a(x): return 1")
     assert hash_of("def a(x): return ...") == hash_of("def a(x): return b'1'")
+
+
+def test_definitions_and_usages_are_those_taken_apart(spark):
+    frame = spark.createDataFrame([("a.py", TEXT), ("b.py", NESTED), ("c.py", "x = ("), ("d.py", None)], "f string, s string")
+    both = source.definitions_and_usages(frame, "f", "s").collect()
+    own = trees.python_tree(frame, "f", "s").where("kind IN ('class', 'method', 'function')").collect()
+    assert [(r.doc, r.kind, r.qualname, r.start_line, r.end_line) for r in both if r.role == "definition"] == [(r.doc, r.kind, r.qualname, r.start_line, r.end_line) for r in own]
+    calls = source.usages(frame, "f", "s").collect()
+    assert [(r.doc, r.kind, r.name, r.owner, r.start_line) for r in both if r.role == "usage"] == [(r.doc, r.target_type, r.name, r.target_class, r.line) for r in calls]
