@@ -255,3 +255,24 @@ def test_hybrid_groups_in_rounds_are_those_of_the_fold(spark, rounds, at_once):
     found = [(r.s, r.o, tuple(r.m)) for r in duplicates.hybrid_groups(frame, "s", "o", "m", rounds, at_once).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert duplicates.hybrid_groups(frame.limit(0), "s", "o", "m", rounds, at_once).count() == 0
+
+
+def test_hybrid_groups_of_a_dense_scope_are_folded_in_slices(spark, monkeypatch):
+    draw = random.Random(6)
+    pairs = [(s, a * 100 + b, [a, b]) for s in "ab" for a in range(60) for b in range(a + 1, 60) if draw.random() < 0.4]
+    expected, seen = set(), set()
+    for s, o, m in sorted(pairs):
+        if not {(s, x) for x in m} & seen:
+            seen |= {(s, x) for x in m}
+            expected.add((s, o, tuple(m)))
+    frame = spark.createDataFrame(pairs, "s string, o int, m array<int>").repartition(3)
+    sizes, folded = [], duplicates._folded
+
+    def counted(each, *names):
+        sizes.append(each.groupBy("s").count().agg(F.max("count")).first()[0])
+        return folded(each, *names)
+
+    monkeypatch.setattr(duplicates, "_folded", counted)
+    found = [(r.s, r.o, tuple(r.m)) for r in duplicates.hybrid_groups(frame, "s", "o", "m", at_once=0, slice_members=400).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert len(sizes) > 2 and max(n or 0 for n in sizes) < 800
